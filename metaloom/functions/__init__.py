@@ -1,0 +1 @@
+"""Scalar functions as column expressions; nothing here runs Python on executors."""
