@@ -47,7 +47,7 @@ def pool_sizes(pools: DataFrame) -> DataFrame:
 def pool_proportions(pools: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Pools whose positive proportions do not sum to 1 within the tolerance are not valid; pools without any are."""
     total = pools.groupBy("parent_sample").agg(F.sum(F.when(F.col("proportion") > 0, F.col("proportion"))).alias("total"))
-    return total.select("parent_sample", F.round("total", 6).alias("total"), (F.col("total").isNull() | (F.abs(F.col("total") - 1) <= tolerance)).alias("valid"))
+    return total.select("parent_sample", F.round("total", 6).alias("total"), (F.col("total").isNull() | (F.abs(F.round(F.col("total") - 1, 9)) <= tolerance)).alias("valid"))
 
 
 def overview(studies: DataFrame, experiments: DataFrame, samples: DataFrame, runs: DataFrame, submissions: DataFrame, approximate: bool = False) -> DataFrame:

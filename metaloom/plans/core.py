@@ -371,7 +371,7 @@ def a12(s, d):
     return f.experiment(s, d).groupBy(F.col("submission_date").cast("string").alias("stat_date")).agg(F.count("*").alias("experiments"), F.countDistinct("platform").alias("platforms"), F.countDistinct("library_strategy").alias("strategies"))
 
 
-@query("a13_pool_proportions", "SELECT parent_sample, round(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END), 6) AS total, abs(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END) - 1) <= 0.01 AS valid FROM pool GROUP BY 1")
+@query("a13_pool_proportions", "SELECT parent_sample, round(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END), 6) AS total, abs(round(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END) - 1, 9)) <= 0.01 AS valid FROM pool GROUP BY 1")
 def a13(s, d):
     pools = f.pool(s, d).withColumn("proportion", F.when(F.col("member_sample") != "SRS000000001", F.col("proportion")))
     return stats.pool_proportions(pools)

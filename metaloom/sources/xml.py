@@ -2,6 +2,7 @@
 
 Attributes of elements carry the prefix ``_``, their text the name ``_VALUE``. An empty element reads as an empty
 string and an absent one as null, which is how variants (platform, layout, action, analysis type) are told apart.
+Numbers are read as strings and cast leniently when records are flattened: one bad number costs its own value only.
 """
 
 from __future__ import annotations
@@ -24,25 +25,25 @@ IDS = f"STRUCT<PRIMARY_ID: STRING, SECONDARY_ID: ARRAY<STRING>, EXTERNAL_ID: {NA
 HEAD = f"_accession STRING, _alias STRING, _center_name STRING, _broker_name STRING, IDENTIFIERS {IDS}"
 REF = "STRUCT<_accession: STRING, _refname: STRING>"
 FILE = "STRUCT<_filename: STRING, _filetype: STRING, _checksum: STRING, _checksum_method: STRING>"
-MEMBER = "STRUCT<_accession: STRING, _member_name: STRING, _proportion: DOUBLE, READ_LABEL: ARRAY<STRING>>"
+MEMBER = "STRUCT<_accession: STRING, _member_name: STRING, _proportion: STRING, READ_LABEL: ARRAY<STRING>>"
 #: Variants of a platform in the order in which they are tried.
 PLATFORM_ORDER = ["ILLUMINA", "ION_TORRENT", "PACBIO_SMRT", "OXFORD_NANOPORE", "LS454", "ABI_SOLID", "HELICOS", "COMPLETE_GENOMICS", "CAPILLARY"]
 PLATFORM_ORDER += [p for p in schemas.PLATFORMS if p not in PLATFORM_ORDER]
 MODEL = ", ".join(f"{p}: STRUCT<INSTRUMENT_MODEL: STRING>" for p in PLATFORM_ORDER)
 
 READ_SCHEMAS = {
-    "STUDY": f"{HEAD}, DESCRIPTOR STRUCT<STUDY_TITLE: STRING, STUDY_ABSTRACT: STRING, STUDY_DESCRIPTION: STRING, CENTER_PROJECT_NAME: STRING, STUDY_TYPE: STRUCT<_existing_study_type: STRING, _new_study_type: STRING>, RELATED_STUDIES: STRUCT<RELATED_STUDY: ARRAY<STRUCT<RELATED_LINK: STRUCT<DB: STRING, ID: STRING>, IS_PRIMARY: BOOLEAN>>>>, STUDY_LINKS STRUCT<STUDY_LINK: {LINK}>, STUDY_ATTRIBUTES STRUCT<STUDY_ATTRIBUTE: {ATTR}>",
-    "EXPERIMENT": f"{HEAD}, TITLE STRING, STUDY_REF {REF}, DESIGN STRUCT<DESIGN_DESCRIPTION: STRING, SAMPLE_DESCRIPTOR: STRUCT<_accession: STRING, POOL: STRUCT<DEFAULT_MEMBER: {MEMBER}, MEMBER: ARRAY<{MEMBER}>>>, LIBRARY_DESCRIPTOR: STRUCT<LIBRARY_NAME: STRING, LIBRARY_STRATEGY: STRING, LIBRARY_SOURCE: STRING, LIBRARY_SELECTION: STRING, LIBRARY_LAYOUT: STRUCT<SINGLE: STRING, PAIRED: STRUCT<_NOMINAL_LENGTH: INT, _NOMINAL_SDEV: DOUBLE>>, LIBRARY_CONSTRUCTION_PROTOCOL: STRING, TARGETED_LOCI: STRUCT<LOCUS: ARRAY<STRUCT<_locus_name: STRING, _description: STRING>>>>, SPOT_DESCRIPTOR: STRUCT<SPOT_DECODE_SPEC: STRUCT<SPOT_LENGTH: INT, READ_SPEC: ARRAY<STRUCT<READ_INDEX: INT, READ_CLASS: STRING, READ_TYPE: STRING, BASE_COORD: INT, READ_LENGTH: INT>>>>>, PLATFORM STRUCT<{MODEL}>, EXPERIMENT_LINKS STRUCT<EXPERIMENT_LINK: {LINK}>, EXPERIMENT_ATTRIBUTES STRUCT<EXPERIMENT_ATTRIBUTE: {ATTR}>",
-    "SAMPLE": f"{HEAD}, TITLE STRING, DESCRIPTION STRING, SAMPLE_NAME STRUCT<TAXON_ID: INT, SCIENTIFIC_NAME: STRING, COMMON_NAME: STRING>, SAMPLE_LINKS STRUCT<SAMPLE_LINK: {LINK}>, SAMPLE_ATTRIBUTES STRUCT<SAMPLE_ATTRIBUTE: {ATTR}>",
-    "RUN": f"{HEAD}, _run_center STRING, _run_date STRING, _published STRING, _spots LONG, _bases LONG, _total_spots LONG, _total_bases LONG, _size LONG, _load_done BOOLEAN, TITLE STRING, EXPERIMENT_REF {REF}, Statistics STRUCT<_total_spots: LONG, _total_bases: LONG, _total_size: LONG>, DATA_BLOCK STRUCT<FILES: STRUCT<FILE: ARRAY<{FILE}>>>, RUN_LINKS STRUCT<RUN_LINK: {LINK}>, RUN_ATTRIBUTES STRUCT<RUN_ATTRIBUTE: {ATTR}>",
-    "ANALYSIS": f"{HEAD}, _analysis_center STRING, _analysis_date STRING, TITLE STRING, STUDY_REF {REF}, DESCRIPTION STRING, ANALYSIS_TYPE STRUCT<DE_NOVO_ASSEMBLY: STRUCT<PROCESSING: STRING>, REFERENCE_ALIGNMENT: STRUCT<ASSEMBLY: STRUCT<STANDARD: STRUCT<_short_name: STRING>, CUSTOM: STRUCT<DESCRIPTION: STRING>>, RUN_LABELS: STRUCT<RUN: ARRAY<STRUCT<_accession: STRING, _read_group_label: STRING>>>, SEQ_LABELS: STRUCT<SEQUENCE: ARRAY<STRUCT<_accession: STRING, _seq_label: STRING>>>, PROCESSING: STRUCT<PIPELINE: STRUCT<PIPE_SECTION: ARRAY<STRUCT<PROGRAM: STRING, VERSION: STRING>>>>>, SEQUENCE_ANNOTATION: STRUCT<PROCESSING: STRING>, ABUNDANCE_MEASUREMENT: STRUCT<PROCESSING: STRING>>, TARGETS STRUCT<TARGET: ARRAY<STRUCT<_sra_object_type: STRING, _accession: STRING, _refname: STRING, _refcenter: STRING>>>, DATA_BLOCK ARRAY<STRUCT<_name: STRING, _serial: INT, _member: STRING, FILES: STRUCT<FILE: ARRAY<{FILE}>>>>, ANALYSIS_LINKS STRUCT<ANALYSIS_LINK: {LINK}>, ANALYSIS_ATTRIBUTES STRUCT<ANALYSIS_ATTRIBUTE: {ATTR}>",
+    "STUDY": f"{HEAD}, DESCRIPTOR STRUCT<STUDY_TITLE: STRING, STUDY_ABSTRACT: STRING, STUDY_DESCRIPTION: STRING, CENTER_PROJECT_NAME: STRING, STUDY_TYPE: STRUCT<_existing_study_type: STRING, _new_study_type: STRING>, RELATED_STUDIES: STRUCT<RELATED_STUDY: ARRAY<STRUCT<RELATED_LINK: STRUCT<DB: STRING, ID: STRING>, IS_PRIMARY: STRING>>>>, STUDY_LINKS STRUCT<STUDY_LINK: {LINK}>, STUDY_ATTRIBUTES STRUCT<STUDY_ATTRIBUTE: {ATTR}>",
+    "EXPERIMENT": f"{HEAD}, TITLE STRING, STUDY_REF {REF}, DESIGN STRUCT<DESIGN_DESCRIPTION: STRING, SAMPLE_DESCRIPTOR: STRUCT<_accession: STRING, POOL: STRUCT<DEFAULT_MEMBER: {MEMBER}, MEMBER: ARRAY<{MEMBER}>>>, LIBRARY_DESCRIPTOR: STRUCT<LIBRARY_NAME: STRING, LIBRARY_STRATEGY: STRING, LIBRARY_SOURCE: STRING, LIBRARY_SELECTION: STRING, LIBRARY_LAYOUT: STRUCT<SINGLE: STRING, PAIRED: STRUCT<_NOMINAL_LENGTH: STRING, _NOMINAL_SDEV: STRING>>, LIBRARY_CONSTRUCTION_PROTOCOL: STRING, TARGETED_LOCI: STRUCT<LOCUS: ARRAY<STRUCT<_locus_name: STRING, _description: STRING>>>>, SPOT_DESCRIPTOR: STRUCT<SPOT_DECODE_SPEC: STRUCT<SPOT_LENGTH: STRING, READ_SPEC: ARRAY<STRUCT<READ_INDEX: STRING, READ_CLASS: STRING, READ_TYPE: STRING, BASE_COORD: STRING, READ_LENGTH: STRING>>>>>, PLATFORM STRUCT<{MODEL}>, EXPERIMENT_LINKS STRUCT<EXPERIMENT_LINK: {LINK}>, EXPERIMENT_ATTRIBUTES STRUCT<EXPERIMENT_ATTRIBUTE: {ATTR}>",
+    "SAMPLE": f"{HEAD}, TITLE STRING, DESCRIPTION STRING, SAMPLE_NAME STRUCT<TAXON_ID: STRING, SCIENTIFIC_NAME: STRING, COMMON_NAME: STRING>, SAMPLE_LINKS STRUCT<SAMPLE_LINK: {LINK}>, SAMPLE_ATTRIBUTES STRUCT<SAMPLE_ATTRIBUTE: {ATTR}>",
+    "RUN": f"{HEAD}, _run_center STRING, _run_date STRING, _published STRING, _spots STRING, _bases STRING, _total_spots STRING, _total_bases STRING, _size STRING, _load_done STRING, TITLE STRING, EXPERIMENT_REF {REF}, Statistics STRUCT<_total_spots: STRING, _total_bases: STRING, _total_size: STRING>, DATA_BLOCK STRUCT<FILES: STRUCT<FILE: ARRAY<{FILE}>>>, RUN_LINKS STRUCT<RUN_LINK: {LINK}>, RUN_ATTRIBUTES STRUCT<RUN_ATTRIBUTE: {ATTR}>",
+    "ANALYSIS": f"{HEAD}, _analysis_center STRING, _analysis_date STRING, TITLE STRING, STUDY_REF {REF}, DESCRIPTION STRING, ANALYSIS_TYPE STRUCT<DE_NOVO_ASSEMBLY: STRUCT<PROCESSING: STRING>, REFERENCE_ALIGNMENT: STRUCT<ASSEMBLY: STRUCT<STANDARD: STRUCT<_short_name: STRING>, CUSTOM: STRUCT<DESCRIPTION: STRING>>, RUN_LABELS: STRUCT<RUN: ARRAY<STRUCT<_accession: STRING, _read_group_label: STRING>>>, SEQ_LABELS: STRUCT<SEQUENCE: ARRAY<STRUCT<_accession: STRING, _seq_label: STRING>>>, PROCESSING: STRUCT<PIPELINE: STRUCT<PIPE_SECTION: ARRAY<STRUCT<PROGRAM: STRING, VERSION: STRING>>>>>, SEQUENCE_ANNOTATION: STRUCT<PROCESSING: STRING>, ABUNDANCE_MEASUREMENT: STRUCT<PROCESSING: STRING>>, TARGETS STRUCT<TARGET: ARRAY<STRUCT<_sra_object_type: STRING, _accession: STRING, _refname: STRING, _refcenter: STRING>>>, DATA_BLOCK ARRAY<STRUCT<_name: STRING, _serial: STRING, _member: STRING, FILES: STRUCT<FILE: ARRAY<{FILE}>>>>, ANALYSIS_LINKS STRUCT<ANALYSIS_LINK: {LINK}>, ANALYSIS_ATTRIBUTES STRUCT<ANALYSIS_ATTRIBUTE: {ATTR}>",
     "SUBMISSION": f"{HEAD}, _lab_name STRING, _submission_date STRING, _submission_comment STRING, TITLE STRING, CONTACTS STRUCT<CONTACT: ARRAY<STRUCT<_name: STRING, _inform_on_status: STRING, _inform_on_error: STRING>>>, ACTIONS STRUCT<ACTION: ARRAY<STRUCT<ADD: STRUCT<_source: STRING, _schema: STRING>, MODIFY: STRUCT<_source: STRING, _schema: STRING>, SUPPRESS: STRUCT<_target: STRING>, HOLD: STRUCT<_target: STRING, _HoldUntilDate: STRING>, RELEASE: STRUCT<_target: STRING>, PROTECT: STRING, VALIDATE: STRING>>>, SUBMISSION_LINKS STRUCT<SUBMISSION_LINK: {LINK}>, SUBMISSION_ATTRIBUTES STRUCT<SUBMISSION_ATTRIBUTE: {ATTR}>",
 }
 
 
 def scan(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Records of one kind, in sets or alone; what does not parse stays as a row with ``_corrupt_record``."""
-    return spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreCorruptFiles", "true").schema(READ_SCHEMAS[tag] + ", _corrupt_record STRING").load(path)
+    return spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(READ_SCHEMAS[tag] + ", _corrupt_record STRING").load(path)
 
 
 def route(name: Column) -> Column:
@@ -136,7 +137,7 @@ def study_type(existing: Column, new: Column) -> Column:
 
 def studies(df: DataFrame) -> DataFrame:
     d, attrs = F.col("DESCRIPTOR"), attributes(F.col("STUDY_ATTRIBUTES.STUDY_ATTRIBUTE"))
-    related = F.transform(d["RELATED_STUDIES"]["RELATED_STUDY"], lambda r: F.struct(r["RELATED_LINK"]["DB"].alias("db"), r["RELATED_LINK"]["ID"].alias("id"), r["IS_PRIMARY"].alias("is_primary")))
+    related = F.transform(d["RELATED_STUDIES"]["RELATED_STUDY"], lambda r: F.struct(r["RELATED_LINK"]["DB"].alias("db"), r["RELATED_LINK"]["ID"].alias("id"), r["IS_PRIMARY"].try_cast("boolean").alias("is_primary")))
     return df.select(
         *head("study_accession"), d["STUDY_TITLE"].alias("study_title"), d["STUDY_ABSTRACT"].alias("study_abstract"), d["STUDY_DESCRIPTION"].alias("study_description"), d["CENTER_PROJECT_NAME"].alias("center_project_name"),
         study_type(d["STUDY_TYPE"]["_existing_study_type"], d["STUDY_TYPE"]["_new_study_type"]).alias("study_type"), parse_time(last_value(attrs, "submission_date")).alias("submission_date"), parse_time(last_value(attrs, "ena-first-public")).alias("first_public"), parse_time(last_value(attrs, "ena-last-update")).alias("last_update"),
@@ -156,7 +157,7 @@ def layout(c: Column) -> Column:
 
 def pool_info(c: Column) -> Column:
     members = F.concat(F.array_compact(F.array(c["DEFAULT_MEMBER"])), F.coalesce(c["MEMBER"], F.array().cast(f"array<{MEMBER}>")))
-    listed = F.transform(members, lambda m: F.struct(m["_accession"].alias("accession"), m["_member_name"].alias("name"), m["_proportion"].alias("proportion")))
+    listed = F.transform(members, lambda m: F.struct(m["_accession"].alias("accession"), m["_member_name"].alias("name"), m["_proportion"].try_cast("double").alias("proportion")))
     return F.when(c.isNotNull(), F.struct(listed.alias("members"), F.size(listed).alias("member_count")))
 
 
@@ -165,21 +166,21 @@ def experiments(df: DataFrame) -> DataFrame:
     name, model = platform(F.col("PLATFORM"))
     pool = pool_info(d["SAMPLE_DESCRIPTOR"]["POOL"])
     spec = d["SPOT_DESCRIPTOR"]["SPOT_DECODE_SPEC"]
-    reads = F.transform(spec["READ_SPEC"], lambda r: F.struct(r["READ_INDEX"].alias("read_index"), r["READ_CLASS"].alias("read_class"), r["READ_TYPE"].alias("read_type"), r["BASE_COORD"].alias("base_coord"), F.nullif(r["READ_LENGTH"], F.lit(0)).alias("read_length")))
+    reads = F.transform(spec["READ_SPEC"], lambda r: F.struct(r["READ_INDEX"].try_cast("int").alias("read_index"), r["READ_CLASS"].alias("read_class"), r["READ_TYPE"].alias("read_type"), r["BASE_COORD"].try_cast("int").alias("base_coord"), F.nullif(r["READ_LENGTH"].try_cast("int"), F.lit(0)).alias("read_length")))
     attrs = attributes(F.col("EXPERIMENT_ATTRIBUTES.EXPERIMENT_ATTRIBUTE"))
     return df.select(
         *head("experiment_accession"), F.col("STUDY_REF._accession").alias("study_accession"), d["SAMPLE_DESCRIPTOR"]["_accession"].alias("sample_accession"), F.col("TITLE").alias("title"), d["DESIGN_DESCRIPTION"].alias("design_description"),
         *(lib[c].alias(c.lower()) for c in ("LIBRARY_NAME", "LIBRARY_STRATEGY", "LIBRARY_SOURCE", "LIBRARY_SELECTION", "LIBRARY_CONSTRUCTION_PROTOCOL")), layout(lib["LIBRARY_LAYOUT"]).alias("library_layout"),
-        lib["LIBRARY_LAYOUT"]["PAIRED"]["_NOMINAL_LENGTH"].alias("nominal_length"), lib["LIBRARY_LAYOUT"]["PAIRED"]["_NOMINAL_SDEV"].alias("nominal_sdev"), name.alias("platform"), model.alias("instrument_model"),
+        lib["LIBRARY_LAYOUT"]["PAIRED"]["_NOMINAL_LENGTH"].try_cast("int").alias("nominal_length"), lib["LIBRARY_LAYOUT"]["PAIRED"]["_NOMINAL_SDEV"].try_cast("double").alias("nominal_sdev"), name.alias("platform"), model.alias("instrument_model"),
         F.transform(lib["TARGETED_LOCI"]["LOCUS"], lambda x: F.struct(x["_locus_name"].alias("name"), x["_description"].alias("description"))).alias("targeted_loci"), F.coalesce(pool["member_count"], F.lit(0)).alias("pool_member_count"), pool.alias("pool_info"),
-        links(F.col("EXPERIMENT_LINKS.EXPERIMENT_LINK")).alias("experiment_links"), attrs.alias("experiment_attributes"), spec["SPOT_LENGTH"].alias("spot_length"), F.when(spec.isNotNull(), F.struct(spec["SPOT_LENGTH"].alias("spot_length"), reads.alias("read_specs"))).alias("spot_decode_spec"),
+        links(F.col("EXPERIMENT_LINKS.EXPERIMENT_LINK")).alias("experiment_links"), attrs.alias("experiment_attributes"), spec["SPOT_LENGTH"].try_cast("int").alias("spot_length"), F.when(spec.isNotNull(), F.struct(spec["SPOT_LENGTH"].try_cast("int").alias("spot_length"), reads.alias("read_specs"))).alias("spot_decode_spec"),
     )
 
 
 def pool_rows(df: DataFrame) -> DataFrame:
     d = F.col("DESIGN.SAMPLE_DESCRIPTOR")
     members = F.concat(F.array_compact(F.array(d["POOL"]["DEFAULT_MEMBER"])), F.coalesce(d["POOL"]["MEMBER"], F.array().cast(f"array<{MEMBER}>")))
-    return df.select(d["_accession"].alias("parent_sample"), F.explode(members).alias("m")).select("parent_sample", F.col("m._accession").alias("member_sample"), F.col("m._member_name").alias("member_name"), F.col("m._proportion").alias("proportion"), F.get("m.READ_LABEL", F.lit(0)).alias("read_label"))
+    return df.select(d["_accession"].alias("parent_sample"), F.explode(members).alias("m")).select("parent_sample", F.col("m._accession").alias("member_sample"), F.col("m._member_name").alias("member_name"), F.col("m._proportion").try_cast("double").alias("proportion"), F.get("m.READ_LABEL", F.lit(0)).alias("read_label"))
 
 
 def junction_rows(df: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def samples(df: DataFrame) -> DataFrame:
     age = F.try_element_at(F.filter(attrs, lambda a: F.lower(a["tag"]) == "age"), F.lit(-1))
     name = F.col("SAMPLE_NAME")
     return df.select(
-        *head("sample_accession"), F.col("TITLE").alias("title"), F.col("DESCRIPTION").alias("description"), name["TAXON_ID"].alias("taxon_id"), name["SCIENTIFIC_NAME"].alias("scientific_name"), name["COMMON_NAME"].alias("common_name"), organism(F.coalesce(last_value(attrs, "organism"), name["SCIENTIFIC_NAME"])).alias("organism"),
+        *head("sample_accession"), F.col("TITLE").alias("title"), F.col("DESCRIPTION").alias("description"), name["TAXON_ID"].try_cast("int").alias("taxon_id"), name["SCIENTIFIC_NAME"].alias("scientific_name"), name["COMMON_NAME"].alias("common_name"), organism(F.coalesce(last_value(attrs, "organism"), name["SCIENTIFIC_NAME"])).alias("organism"),
         *(last_value(attrs, *tags).alias(c) for c, tags in SAMPLE_TAGS.items()), F.concat_ws(" ", age["value"], age["units"]).alias("age"), links(F.col("SAMPLE_LINKS.SAMPLE_LINK")).alias("sample_links"), attrs.alias("sample_attributes"),
     )
 
@@ -212,11 +213,11 @@ def files(c: Column) -> Column:
 
 def runs(df: DataFrame) -> DataFrame:
     attrs, s = attributes(F.col("RUN_ATTRIBUTES.RUN_ATTRIBUTE")), F.col("Statistics")
-    zero = F.lit(0).cast("long")
+    whole = lambda *c: F.coalesce(*(x.try_cast("bigint") for x in c), F.lit(0).cast("long"))
     number = lambda tag, kind: last_value(attrs, tag).try_cast(kind)
     return df.select(
         *head("run_accession"), F.col("_run_center").alias("run_center"), F.col("EXPERIMENT_REF._accession").alias("experiment_accession"), F.col("TITLE").alias("title"), parse_time(F.col("_run_date")).alias("run_date"),
-        F.coalesce(s["_total_spots"], F.col("_total_spots"), F.col("_spots"), zero).alias("total_spots"), F.coalesce(s["_total_bases"], F.col("_total_bases"), F.col("_bases"), zero).alias("total_bases"), F.coalesce(s["_total_size"], F.col("_size"), zero).alias("total_size"), F.col("_load_done").alias("load_done"), F.col("_published").alias("published"),
+        whole(s["_total_spots"], F.col("_total_spots"), F.col("_spots")).alias("total_spots"), whole(s["_total_bases"], F.col("_total_bases"), F.col("_bases")).alias("total_bases"), whole(s["_total_size"], F.col("_size")).alias("total_size"), F.col("_load_done").try_cast("boolean").alias("load_done"), F.col("_published").alias("published"),
         files(F.col("DATA_BLOCK.FILES.FILE")).alias("data_files"), links(F.col("RUN_LINKS.RUN_LINK")).alias("run_links"), attrs.alias("run_attributes"),
         number("quality_score_mean", "double").alias("quality_score_mean"), number("quality_score_std", "double").alias("quality_score_std"), number("read_count_r1", "bigint").alias("read_count_r1"), number("read_count_r2", "bigint").alias("read_count_r2"),
     )
@@ -228,7 +229,7 @@ def analyses(df: DataFrame) -> DataFrame:
     a = t["REFERENCE_ALIGNMENT"]
     programs = F.transform(a["PROCESSING"]["PIPELINE"]["PIPE_SECTION"], lambda p: F.struct(p["PROGRAM"].alias("name"), p["VERSION"].alias("version")))
     targets = F.transform(F.col("TARGETS.TARGET"), lambda x: F.struct(x["_sra_object_type"].alias("sra_object_type"), x["_accession"].alias("accession"), x["_refname"].alias("refname"), x["_refcenter"].alias("refcenter")))
-    blocks = F.transform(F.col("DATA_BLOCK"), lambda b: F.struct(b["_name"].alias("name"), b["_serial"].alias("serial"), b["_member"].alias("member"), files(b["FILES"]["FILE"]).alias("files")))
+    blocks = F.transform(F.col("DATA_BLOCK"), lambda b: F.struct(b["_name"].alias("name"), b["_serial"].try_cast("int").alias("serial"), b["_member"].alias("member"), files(b["FILES"]["FILE"]).alias("files")))
     std, own = a["ASSEMBLY"]["STANDARD"], a["ASSEMBLY"]["CUSTOM"]
     return df.select(
         *head("analysis_accession"), F.col("_analysis_center").alias("analysis_center"), parse_time(F.col("_analysis_date")).alias("analysis_date"), F.col("STUDY_REF._accession").alias("study_accession"), F.col("TITLE").alias("title"), F.col("DESCRIPTION").alias("description"), kind.alias("analysis_type"),
