@@ -11,8 +11,9 @@ in a register with a probability that grows with the sets' Jaccard similarity. T
    likelihood of a Jaccard similarity at the threshold is compared with the largest one; pairs for which it is
    hopeless are dropped (``log_odds``), those that stay are verified on the full sets.
 4. Components. First each class tries its smallest partner; then only pairs that are not yet in one component are
-   tried; last, in buckets that still hold several components, every pair across components is tried, so that a link
-   that no bucket's first member shows is found too.
+   tried; last, in buckets that still hold several components, pairs across components are tried, so that a link that
+   no bucket's first member shows is found too. Pairs that share a rare shingle are found by it, the
+   others by their bucket, if an exact bound on what they can share allows the threshold.
 
 A pair with similarity at the threshold is missed by all bands with a probability of about 1e-6 with the standard
 parameters. Rounds 2 and 3 exist for correctness; where copies of one text fill a bucket, round 1 joins them and
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.components import components
@@ -42,13 +43,14 @@ from metaloom.session import cut, ship_package
 
 @dataclass(frozen=True)
 class Sketch:
-    """``bands`` bands of ``rows`` registers with base ``base``; ``percent``: least similarity of a link; ``log_odds``: how much less likely than the best estimate the threshold may be."""
+    """``bands`` bands of ``rows`` registers with base ``base``; ``percent``: least similarity of a link; ``log_odds``: how much less likely than the best estimate the threshold may be; ``rare``: a shingle in at most so many of the sets of the last round counts as rare there."""
 
     bands: int = 42
     rows: int = 6
     base: float = 1.1
     percent: int = 80
     log_odds: float = 16.0
+    rare: int = 200
 
     @property
     def registers(self) -> int:
@@ -122,6 +124,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "items"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            items = batch.column("items").slice(i, 256).to_pylist()
+            sizes = pa.array(np.repeat(np.arange(i, i + len(items)), [len(x) // 8 for x in items]))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(sizes), batch.column("label").take(sizes), batch.column("n").take(sizes), pa.array(np.frombuffer(b"".join(items), dtype=np.int64))], names=["node", "label", "n", "token"])
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
     """The pairs (a, b) that the sketches do not rule out."""
 
@@ -190,11 +200,29 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     # Buckets that still hold several components.
     placed = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     mixed = cut(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "lo"))
-    rest = cut(placed.join(mixed, "key").join(near.select("node", "n"), "node"))
-    one = rest.filter("label != lo").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    two = rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-    fits = (F.col("nx") * 100 >= F.col("ny") * sketch.percent) & (F.col("ny") * 100 >= F.col("nx") * sketch.percent)
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("lx") != F.col("ly")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = placed.join(mixed, "key").join(near.select("node", "n", bands.alias("bands")), "node")
+    # A shingle that no other component has can't be in an intersection across components. Of the others, those in few
+    # of these sets lead straight to the pairs that share them; a pair that shares none of those is bounded by what is
+    # left of the smaller set, as similarity t needs an intersection of t / (1 + t) of both sizes together.
+    loose = cut(rest.select("node", "label", "n").distinct())
+    tokens = loose.join(sets, "node").select("node", "label", "n", "items").mapInArrow(_exploded, f"node {kind}, label {kind}, n long, token long")
+    tokens = cut(tokens)
+    spread = cut(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")))
+    # Similar sets share a shingle among the rarest of both (prefix filter), so only those lead to pairs.
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    ranked = cut(tokens.join(spread, "token").withColumn("rank", rank).filter("lo != hi").select("node", "label", "token", "df", ((F.col("rank") - 1) * 100 <= F.col("n") * (100 - sketch.percent)).alias("front")))
+    left_over = ranked.filter(F.col("df") > sketch.rare).groupBy("node").agg(F.count("*").alias("s"))
+    few = ranked.filter((F.col("df") <= sketch.rare) & F.col("front")).select("token", "node", "label")
+    rest = cut(rest.join(left_over, "node").filter(F.col("s") * 100 >= F.col("n") * sketch.percent))
+    one = rest.filter("label != lo").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("bands").alias("bx"))
+    two = rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("bands").alias("by"))
+    fits = F.least("sx", "sy") * (100 + sketch.percent) >= (F.col("nx") + F.col("ny")) * sketch.percent
+    # A pair that shares several buckets comes from the first of them.
+    first = F.element_at("bx", F.array_position(F.zip_with("bx", "by", lambda p, q: p == q), True).cast("int")) == one["key"]
+    by_bound = one.join(two, (one["key"] == two["key"]) & (F.col("lx") != F.col("ly")) & fits & first).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    other = few.select("token", F.col("node").alias("b"), F.col("label").alias("lb"))
+    by_shingle = few.withColumnsRenamed({"node": "a", "label": "la"}).join(other, "token").filter("a < b and la != lb").select("a", "b")
+    across = by_bound.union(by_shingle).distinct()
     last = tried(across.join(stars, ["a", "b"], "left_anti"))
     # An id whose rows have different sets links their classes.
     with_node = cut(signed.join(classes.select("mark", "node"), "mark", "left").select("id", "n", "node"))
