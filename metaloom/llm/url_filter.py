@@ -62,23 +62,23 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFram
 
 
 def judge_urls(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with ``host, path, rule, listed, verdict``; ``listed`` has a column ``canonical_url`` (repeats and nulls allowed)."""
-    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias("_key")).distinct())
-    bloom = blocked_bloom(keys, "_key", blocks)
+    """``df`` with ``host, path, rule, listed, verdict`` (columns of these names are replaced); ``listed`` has a column ``canonical_url`` (repeats and nulls allowed)."""
+    tag = "metaloom_"
+    key, block, url, settled, maybe = (tag + x for x in ("key", "block", "url", "settled", "maybe"))
+    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias(key)).distinct())
+    bloom = blocked_bloom(keys, key, blocks).toDF(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    parts = df.withColumns({"host": host, "path": path})
+    parts = df.withColumns({f"{tag}host": host, f"{tag}path": path}).drop("host", "path", "rule", "listed", "verdict").withColumnsRenamed({f"{tag}host": "host", f"{tag}path": "path"})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumns({"rule": rule, "_rule_verdict": verdict, "_url": canonical(F.col("host"), F.col("path"))})
+    parts = parts.withColumns({"rule": rule, settled: verdict, url: canonical(F.col("host"), F.col("path"))})
     # A URL that a rule settles, or without a host, is not looked up.
-    parts = parts.withColumn("_block", F.when(F.col("rule").isNull() & (F.col("host") != ""), _block(F.col("_url"), blocks)))
-    tested = parts.join(F.broadcast(bloom), F.col("_block") == F.col("block"), "left")
-    hit = F.coalesce(F.lit(True), F.lit(True))
-    for k, b in enumerate(_bits(F.col("_url"))):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(b) != 0)
-    # The key is null where the filter says no; such rows are spread over the join's partitions instead of meeting in one.
-    may = F.coalesce(hit, F.lit(False)) & F.col("block").isNotNull()
-    tested = tested.withColumn("_maybe", F.when(may, F.col("_url"))).drop("block", "_block", *(f"w{k}" for k in range(4)))
-    found = tested.filter("_maybe is not null").join(keys, F.col("_maybe") == F.col("_key"), "left").withColumn("listed", F.col("_key").isNotNull()).drop("_key")
-    passed = tested.filter("_maybe is null").withColumn("listed", F.lit(False))
-    both = found.unionByName(passed)
-    return both.withColumn("verdict", F.coalesce("_rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_rule_verdict", "_url", "_maybe")
+    parts = parts.withColumn(block, F.when(F.col("rule").isNull() & (F.col("host") != ""), _block(F.col(url), blocks)))
+    tested = parts.join(F.broadcast(bloom), F.col(block) == F.col(f"{tag}at"), "left")
+    hit = F.col(f"{tag}at").isNotNull()
+    for k, b in enumerate(_bits(F.col(url))):
+        hit = hit & (F.col(f"{tag}w{k}").bitwiseAND(b) != 0)
+    tested = tested.withColumn(maybe, F.coalesce(hit, F.lit(False))).drop(block, f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
+    # Only URLs that the filter lets pass are shuffled to the list.
+    found = tested.filter(F.col(maybe)).join(keys, F.col(url) == F.col(key), "left").withColumn("listed", F.col(key).isNotNull()).drop(key)
+    passed = tested.filter(~F.col(maybe)).withColumn("listed", F.lit(False))
+    return found.unionByName(passed).withColumn("verdict", F.coalesce(F.col(settled), F.when(F.col("listed"), "block").otherwise("allow"))).drop(settled, url, maybe)
