@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metaloom.functions.scalars import rate
-from metaloom.operators.ranking import upsert
+from metaloom.operators.ranking import latest, upsert
 from metaloom.sources.xml import READ_SCHEMAS
 
 
@@ -46,7 +46,7 @@ def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, che
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = latest_version(spark, target, below=number)
-        rows = batch.dropDuplicates(keys)
+        rows = latest(batch, keys, F.col(seq))
         out = upsert(old, rows, keys, seq) if old is not None else upsert(rows.limit(0), rows, keys, seq)
         out.write.mode("overwrite").parquet(f"{target}/version={number}")
 
