@@ -40,27 +40,46 @@ def similar_to(df: DataFrame, vector: str, key: str, target: object, k: int) ->
     return scored.orderBy("distance", key).limit(k)
 
 
-def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 8, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+TILE = (512, 16_384)
+
+
+def _tile_best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``a`` the k nearest rows of ``b`` and all that tie with the last of them: row, id, distance."""
+    d = np.round(1 - a @ b.T, 6) + 0.0  # no negative zero
+    last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, col = np.nonzero(d <= last[:, None])
+    return row, ids[col], d[row, col]
+
+
+def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, vec_id, distance, rank`` of the k nearest rows to each query.
 
-    Rows are dealt into blocks; each block meets each slice of the queries once, as one matrix product, and sends up k
-    candidates a query; those are ranked. No pair but the best k of a block leaves a task.
+    Rows are dealt into blocks and queries into slices (by default of about 50,000 and 20,000 vectors). Each block meets
+    each slice once, tile by tile as matrix products, and sends up k candidates a query; those are ranked. No pair but
+    the best k of a block leaves a task.
     """
-    slices = max(1, blocks // 2)
+    blocks = blocks or 1 + rows.count() // 50_000
+    slices = slices or 1 + queries.count() // 20_000
     q = queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(qid), F.lit(slices)).cast("int").alias("slice"))
     q = q.select("query_id", "q", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     r = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     r = r.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        m, n = np.stack(a["q"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
         unit = lambda x: x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, np.inf)
-        d = np.round(1 - unit(m) @ unit(n).T, 6) + 0.0  # no negative zero
-        ids = b["vec_id"].to_numpy()
-        out = [np.lexsort((ids, row))[:k] for row in d]
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), [len(x) for x in out]), "vec_id": np.concatenate([ids[x] for x in out]), "distance": np.concatenate([d[i, x] for i, x in enumerate(out)])})
+        if not a.empty and not b.empty:
+            m, n = unit(np.stack(a["q"]).astype(np.float64)), unit(np.stack(b["v"]).astype(np.float64))
+            asked, ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
+            for i in range(0, len(m), TILE[0]):
+                parts = [_tile_best(m[i : i + TILE[0]], n[j : j + TILE[1]], ids[j : j + TILE[1]], k) for j in range(0, len(n), TILE[1])]
+                row, vec_id, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((vec_id, distance, row))
+                row = row[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                order = order[place < k]
+                found.append(pd.DataFrame({"query_id": asked[i + row[place < k]], "vec_id": vec_id[order], "distance": distance[order]}))
+        return pd.concat(found[1:] or found, ignore_index=True)
 
     found = q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(best, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))

@@ -37,34 +37,49 @@ def xml_stream(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     return spark.readStream.format("xml").option("rowTag", tag).option("ignoreCorruptFiles", "true").schema(READ_SCHEMAS[tag]).load(folder)
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Rows of a stream written over the Parquet table at ``target``, a new version a batch; the newest version's name is kept beside them.
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, checkpoint: str, interval: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Rows of a stream written over the Parquet table at ``target``.
 
-    A version holds the whole table, and a batch writes the version of its own number, so it can run again.
+    The table is dealt into buckets by a hash of the key. A batch rewrites only the buckets that it touches, under a
+    version that is its own number, so it can run again; readers take each bucket's newest version.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = latest_version(spark, target, below=number)
-        rows = latest(batch, keys, F.col(seq))
-        out = upsert(old, rows, keys, seq) if old is not None else upsert(rows.limit(0), rows, keys, seq)
-        out.write.mode("overwrite").parquet(f"{target}/version={number}")
+        rows = latest(batch, keys, F.col(seq)).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        old = _newest(spark, target, below=number, only=touched)
+        out = upsert(rows.limit(0) if old is None else old, rows, keys, seq)
+        out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/version={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def latest_version(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The table as of its newest version (below a number); null if there is none."""
+BUCKET = "key_bucket"
+
+
+def _newest(spark: SparkSession, target: str, below: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """The newest version of each bucket (below a number, of some buckets); null if there is none."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at(target)):
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{target}/version={max(numbers)}") if numbers else None
+    names = lambda path: [s.getPath().getName() for s in fs.listStatus(at(path))]
+    versions = sorted(int(n.split("=")[1]) for n in names(target) if n.startswith("version=") and fs.exists(at(f"{target}/{n}/_SUCCESS")))
+    newest: dict[int, str] = {}
+    for v in versions:
+        if below is None or v < below:
+            newest |= {int(n.split("=")[1]): f"{target}/version={v}/{n}" for n in names(f"{target}/version={v}") if n.startswith(f"{BUCKET}=")}
+    paths = [path for b, path in newest.items() if only is None or b in only]
+    return spark.read.option("basePath", target).parquet(*paths).drop("version") if paths else None
+
+
+def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table as it is now; null if nothing was written."""
+    df = _newest(spark, target)
+    return None if df is None else df.drop(BUCKET)
 
 
 def periodic(stream: DataFrame, sync: Callable[[DataFrame, int], None], seconds: int, checkpoint: str) -> StreamingQuery:

@@ -115,7 +115,7 @@ def test_vectors(spark):
     assert [(x.vec_id, x.distance) for x in vec.nearest(e, "embedding", "vec_id", [1.0, 0.0], 4).collect()] == [(1, 0.0), (2, 1.0), (4, 1.0), (3, 2.0)]
     assert vec.similar_to(e, "embedding", "vec_id", 99, 3).count() == 0
     assert [x[0] for x in e.select(vec.quantised(F.col("embedding"))).collect()] == [[255, 0], [0, 255], [0, 255], [0, 0]]
-    got = {(x.query_id, x["rank"]): x.vec_id for x in vec.batch_nearest(e, e, 2, blocks=3, qid="vec_id").collect()}
+    got = {(x.query_id, x["rank"]): x.vec_id for x in vec.batch_nearest(e, e, 2, blocks=3, slices=2, qid="vec_id").collect()}
     assert got[1, 1] == 1 and got[1, 2] == 2 and got[4, 1] == 1
     with pytest.raises(Exception):
         e.select(vec.cosine_distance(F.col("embedding"), F.array(F.lit(1.0)))).collect()

@@ -1,4 +1,4 @@
-"""Every registered query of the reference's own operators against SQL, or at least against rows."""
+"""Every registered query outside the training-data subpackage against SQL, or at least against rows."""
 
 from __future__ import annotations
 
