@@ -41,14 +41,6 @@ def stem(analysed: DataFrame, stemmer: Callable[[pd.Series], pd.Series]) -> Data
     return analysed.join(vocabulary, "term").withColumn("term", F.col("stem")).drop("stem")
 
 
-def plural_stemmer(s: pd.Series) -> pd.Series:
-    """The first step of the usual English stemmer: sses to ss, ies to i, a single s goes."""
-    out = s.str.replace(r"sses$", "ss", regex=True)
-    out = out.where(~s.str.endswith("ies"), s.str.replace(r"ies$", "i", regex=True))
-    one = s.str.endswith("s") & ~s.str.endswith("ss") & ~s.str.endswith("ies") & ~s.str.endswith("sses")
-    return out.where(~one, s.str[:-1])
-
-
 def postings(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 

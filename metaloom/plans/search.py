@@ -8,6 +8,7 @@ from metaloom.functions import scalars as sc
 from metaloom.operators import predicates as p
 from metaloom.operators import text as t
 from metaloom.operators import vectors as vec
+from metaloom.operators.stemming import stems
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
 from metaloom.session import table
@@ -49,7 +50,7 @@ def t5(s, d):
 
 @query("t6_stemming")
 def t6(s, d):
-    return t.stem(_analysed(s, d), t.plural_stemmer).groupBy("term").agg(F.count("*").alias("tokens"))
+    return t.stem(_analysed(s, d), stems).groupBy("term").agg(F.count("*").alias("tokens"))
 
 
 @query("t7_bm25_top", bm25_sql(["onanthan", "thnd", "hend"], " SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20"))

@@ -14,6 +14,7 @@ from metaloom.operators import stats
 from metaloom.operators import text as t
 from metaloom.operators import validation as v
 from metaloom.operators import vectors as vec
+from metaloom.operators.stemming import stems
 from metaloom.streaming import incremental as inc
 
 
@@ -106,7 +107,14 @@ def test_text(spark):
     assert [x.doc_id for x in t.phrase(t.postings(t.analyse(docs, "id", {"body": "standard"}, stop=False)), ["of", "the", "lung"]).collect()] == ["a"]
     assert {x.term for x in t.wildcard_terms(post, "*an*").collect()} == {"human", "cancer"}
     assert t.damerau("ca", "abc") == 2 and t.damerau("", "ab") == 2
-    assert t.plural_stemmer(pd.Series(["ponies", "cats", "caress", "caresses"])).tolist() == ["poni", "cat", "caress", "caress"]
+
+
+PAIRS = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit valenci valenc vietnamization vietnam operator oper hopefulness hope formality formal triplicate triplic electrical electr goodness good revival reviv adjustable adjust replacement replac adoption adopt probate probat rate rate cease ceas controll control roll roll"
+
+
+def test_stemming():
+    words = PAIRS.split()
+    assert stems(pd.Series(words[::2])).tolist() == words[1::2]
 
 
 def test_vectors(spark):
