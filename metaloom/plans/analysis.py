@@ -260,6 +260,13 @@ def i1(s, d):
     return inc.new_files(inc.with_source_hash(e.select("file").distinct()), done)
 
 
+@query("i2_next_actions", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'done' WHEN event_type IN ('view', 'purchase') THEN 'start' ELSE 'resume' END AS action FROM events")
+def i2(s, d):
+    t = F.col("event_type")
+    state = F.when(t == "click", "completed").when(t == "view", "failed").when(t != "purchase", "downloading")
+    return table(s, d, "events").select("event_id", inc.next_action(state).alias("action"))
+
+
 @query("i10_ingest_statistics", "SELECT count(*) AS files, sum(records)::BIGINT AS records, sum(bytes)::BIGINT AS bytes, round(sum(records) / sum(seconds), 4) AS records_s, round(sum(bytes) / sum(seconds), 4) AS bytes_s, round(sum(bytes) * 100 / sum(total_bytes), 4) AS percent, round((sum(total_bytes) - sum(bytes)) / (sum(bytes) / sum(seconds)), 4) AS eta_s FROM (SELECT user_id % 10 + 1 AS records, event_id AS bytes, event_id + user_id AS total_bytes, event_id % 7 + 1 AS seconds FROM events)")
 def i10(s, d):
     u, e = F.col("user_id"), F.col("event_id")

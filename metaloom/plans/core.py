@@ -437,6 +437,23 @@ def o1b(s, d):
     return r.page_after(f.study(s, d).select("study_accession", "study_title"), "study_accession", "SRP000000049", 25)
 
 
+@query("o3_top_by_score", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 10")
+def o3(s, d):
+    return r.page(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 30, 10)
+
+
+@query("o5_top_groups", "SELECT platform, library_strategy, count(*) AS experiments FROM experiment GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 5")
+def o5(s, d):
+    return f.experiment(s, d).groupBy("platform", "library_strategy").agg(F.count("*").alias("experiments")).orderBy(F.desc("experiments"), "platform", "library_strategy").limit(5)
+
+
+@query("flagship_top_platforms", "SELECT platform, count(*) AS runs, sum(total_spots)::BIGINT AS spots FROM run JOIN experiment USING (experiment_accession) WHERE total_spots >= 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def flagship(s, d):
+    e = f.experiment(s, d).select("experiment_accession", "platform")
+    runs = f.run(s, d).filter(p.counts_between(F.col("total_spots"), 10, 0)).join(e, "experiment_accession")
+    return runs.groupBy("platform").agg(F.count("*").alias("runs"), F.sum("total_spots").alias("spots")).orderBy(F.desc("runs"), "platform").limit(10)
+
+
 @query("o8_budget_merge", "SELECT * FROM (SELECT 0 AS source_rank, o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderstatus = 'P' ORDER BY score DESC, id LIMIT 40) UNION ALL SELECT * FROM (SELECT 1, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY 3 DESC, 2 LIMIT (SELECT greatest(0, 40 - count(*)) FROM orders WHERE o_orderstatus = 'P'))")
 def o8(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), "o_orderstatus")

@@ -33,6 +33,11 @@ def start_or_resume(manifest: DataFrame, source: str, force: bool = False) -> st
     return "done" if row[0][0] == "completed" else "resume"
 
 
+def next_action(state: Column) -> Column:
+    """The same for a whole table of sources: what a state in the manifest asks for."""
+    return F.when(state == "completed", "done").when(state.isNull() | (state == "failed"), "start").otherwise("resume")
+
+
 def xml_stream(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     return spark.readStream.format("xml").option("rowTag", tag).option("ignoreCorruptFiles", "true").schema(READ_SCHEMAS[tag]).load(folder)
 
