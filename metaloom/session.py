@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -30,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what cut lineage has left behind: the driver removes shuffle files and checkpoints that nothing refers to once its JVM has collected garbage, which a job of many rounds should not leave to chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application (they may not share the driver's folders)."""
     app = spark.sparkContext.applicationId
