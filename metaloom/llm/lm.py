@@ -1,15 +1,16 @@
 """Language-model scoring with bigrams in Elias-Fano tries.
 
-The model: ``P(w | h) = (c(h w) + mu * B(w)) / (c(h) + mu)``, with the add-one base ``B(w) = (c(w) + 1) / (N + V + 1)``.
-Its first part, ``c(h w) / (c(h) + mu)``, is kept for each bigram as a quantised logarithm in a trie of two levels:
-contexts, and behind monotone pointers each context's successors, all Elias-Fano coded in flat buffers that open in
-place. A bigram is found by successor search relative to its context.
+The model is absolute discounting, interpolated: ``P(w | h) = max(c(h w) - D, 0) / c(h) + D * T(h) / c(h) * B(w)``, with
+T(h) the number of different words seen after h, and the add-one base ``B(w) = (c(w) + 1) / (N + V + 1)``, which alone counts
+after a context that was never seen. The first part is kept for each bigram as a quantised logarithm in a trie of two
+levels: contexts, and behind monotone pointers each context's successors, all Elias-Fano coded in flat buffers that open
+in place. A bigram is found by successor search relative to its context; T(h) is the distance of two pointers.
 
 Nothing grows beyond a task. The corpus lies in blocks of about ``block_bytes`` of text; words and bigrams belong to
 shards by hash. A block asks each shard once for its distinct words, with its training counts; the shard adds up what
 all blocks say and answers. Then the same with bigrams, where each shard builds its part of the trie from the counts
 and answers from the trie. A context with very many occurrences is dealt over several shards by its successors
-(``hot``), so no shard holds a whole frequent context. All counts are complete: every word and bigram of the training
+(``hot``), so no shard holds a whole frequent context; a block asks all of them for their part of T(h). All counts are complete: every word and bigram of the training
 texts counts, none is cut off. Words are known by 64-bit hashes, successors within a context by 40 bits of them.
 
 A null or empty text has one token, its end. A row without an id is scored and belongs to the training rows. Rows are
@@ -39,8 +40,8 @@ ANSWER = "block long, shard long, answer binary"
 
 @dataclass(frozen=True)
 class Model:
-    mu: float = 120.0
-    block_bytes: int = 12_000_000
+    discount: float = 0.75
+    block_bytes: int = 7_000_000
     hot: int = 2_000_000
 
 
@@ -145,6 +146,13 @@ class Trie:
         return out
 
 
+    def followers(self, context: np.ndarray) -> np.ndarray:
+        """How many successors each context has here."""
+        c = self.contexts.find(context)
+        at = np.maximum(c, 0)
+        return np.where(c >= 0, (self.pointers.get(at + 1) - self.pointers.get(at)).astype(np.int64), 0) if self.contexts.n else np.zeros(len(c), dtype=np.int64)
+
+
 def quantise(logp: np.ndarray) -> np.ndarray:
     return (1 + np.clip(np.round((logp - FLOOR) / -FLOOR * STEPS), 0, STEPS)).astype(np.uint16)
 
@@ -191,12 +199,27 @@ class Scorer:
         """Hashes and occurrences of contexts by number."""
         return np.concatenate([[START], b.words]), np.concatenate([[self.docs], total])
 
-    def _bigram_cells(self, b: Block, total: np.ndarray):
+    def _bigram_cells(self, b: Block, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Questions in order of shard and context: order, runs of equal contexts, cells; of each question the context's number, hash and occurrences, and the successor.
+
+        The block's bigrams come first; then, for contexts that are dealt over several shards, one question to each of
+        them that stands for no bigram.
+        """
         names, seen = self._contexts(b, total)
-        context = names[b.context]
-        parts = U(1) + seen[b.context].astype(np.uint64) // U(self.model.hot)
-        shard = (mix(context + mix(b.words[b.word]) % parts * U(0x9E3779B97F4A7C15)) % U(self.shards)).astype(np.int64)
-        return (context, seen[b.context], b.words[b.word] >> U(64 - Trie.BITS), *_by_shard(shard))
+        parts = 1 + seen // self.model.hot
+        split = np.unique(b.context[parts[b.context] > 1])
+        number = np.concatenate([b.context, np.repeat(split, parts[split])])
+        of_part = np.arange(len(number) - len(b.context)) - np.repeat(np.cumsum(parts[split]) - parts[split], parts[split])
+        part = np.concatenate([(mix(b.words[b.word]) % parts[b.context].astype(np.uint64)).astype(np.int64), of_part])
+        successor = np.concatenate([b.words[b.word] >> U(64 - Trie.BITS), np.full(len(of_part), (1 << Trie.BITS) - 1, dtype=np.uint64)])
+        shard = (mix(names[number] + part.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(self.shards)).astype(np.int64)
+        order = np.lexsort((number, shard))
+        s, n = shard[order], number[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        runs = np.flatnonzero(new | np.concatenate([[True], n[1:] != n[:-1]])) if len(s) else at
+        cells = list(zip(s[at].tolist(), at.tolist(), [*at[1:].tolist(), len(s)], strict=True))
+        return order, runs, cells, number, names[number], seen[number], successor
 
     def ask_bigrams(self, docs: pa.Table, words: pa.Table) -> pa.Table:
         rows = {"shard": [], "block": [], "contexts": [], "sizes": [], "successors": [], "counts": []}
@@ -204,16 +227,17 @@ class Scorer:
             b = Block(docs)
             b.bigrams()
             block = docs.column("block")[0].as_py()
-            context, seen, successor, order, cells = self._bigram_cells(b, self._known(b, words))
+            order, runs, cells, _, context, seen, successor = self._bigram_cells(b, self._known(b, words))
+            counts = np.concatenate([b.pair_counts, np.zeros(len(order) - len(b.pair_counts), dtype=np.uint32)])
             for shard, i, j in cells:
                 o = order[i:j]
-                at = np.flatnonzero(np.concatenate([[True], context[o][1:] != context[o][:-1]]))
+                at = runs[np.searchsorted(runs, i) : np.searchsorted(runs, j)] - i
                 rows["shard"].append(shard)
                 rows["block"].append(block)
                 rows["contexts"].append(context[o][at].tobytes())
                 rows["sizes"].append(_z(np.stack([seen[o][at], np.diff(at, append=j - i)])))
                 rows["successors"].append(successor[o].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : Trie.BITS // 8].tobytes())
-                rows["counts"].append(_z(b.pair_counts[o]))
+                rows["counts"].append(_z(counts[o]))
         return pa.table({k: pa.array(v, pa.int64() if k in ("shard", "block") else pa.binary()) for k, v in rows.items()})
 
     @staticmethod
@@ -235,13 +259,14 @@ class Scorer:
         context, successor = context[order], successor[order]
         new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])])) if len(order) else np.zeros(0, dtype=np.int64)
         total = np.add.reduceat(count[order], new) if len(new) else np.zeros(0, dtype=np.int64)
-        value = quantise(np.log10(np.maximum(total, 1) / (seen[order][new] + self.model.mu)))
+        value = quantise(np.log10((np.maximum(total, 1) - self.model.discount) / np.maximum(seen[order][new], 1)))
         return Trie.build(context[new], successor[new], value)
 
     def answer_bigrams(self, table: pa.Table) -> pa.Table:
         asked = [self._asked(r) for r in table.select(["contexts", "sizes", "successors", "counts"]).to_pylist()]
         trie = Trie.open(self.build(asked))
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array([_z(trie.find(c, n, s)) for c, _, n, s, _ in asked], pa.binary())})
+        both = [_z(np.concatenate([trie.followers(c).astype("<u4").view("<u2"), trie.find(c, n, s)])) for c, _, n, s, _ in asked]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(both, pa.binary())})
 
     def trie_rows(self, table: pa.Table) -> pa.Table:
         asked = [self._asked(r) for r in table.select(["contexts", "sizes", "successors", "counts"]).to_pylist()]
@@ -254,10 +279,19 @@ class Scorer:
         b.bigrams()
         kinds = answers.column("kind").to_numpy()
         total = self._known(b, answers.filter(pa.array(kinds == 1)))
-        _, seen, _, order, cells = self._bigram_cells(b, total)
-        code = _answers(answers.filter(pa.array(kinds == 2)), len(b.word), order, cells, np.uint16)
+        order, runs, cells, number, _, seen, _ = self._bigram_cells(b, total)
+        found = answers.filter(pa.array(kinds == 2))
+        got = dict(zip(found.column("shard").to_pylist(), found.column("answer").to_pylist(), strict=True))
+        code, followers = np.zeros(len(order), dtype=np.uint16), np.zeros(len(b.words) + 1, dtype=np.int64)
+        for shard, i, j in cells:
+            at = runs[np.searchsorted(runs, i) : np.searchsorted(runs, j)]
+            answer = _uz(got[shard], "<u2")
+            np.add.at(followers, number[order[at]], answer[: 2 * len(at)].view("<u4"))
+            code[order[i:j]] = answer[2 * len(at) :]
+        code, seen = code[: len(b.word)], seen[: len(b.word)]
         base = (total[b.word] + 1.0) / (self.n + (self.v + 1))
-        p = dequantise(code) + self.model.mu / (seen + self.model.mu) * base
+        rest = np.where(seen > 0, self.model.discount * followers[b.context] / np.maximum(seen, 1), 1.0)
+        p = dequantise(code) + rest * base
         sums = lambda x: np.add.reduceat(x, b.first[:-1])  # noqa: E731  every text has a token
         known = (total > 0)[b.number].astype(np.int64)
         return pa.table(

@@ -83,7 +83,7 @@ def held_out(i) -> bool:
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def lm(docs: list[tuple], mu: float) -> list[tuple]:
+def lm(docs: list[tuple], d: float) -> list[tuple]:
     """(tokens, known, N, base, score) of each row in order."""
     tokens = [[*WORD.findall(lower(t or "")), None] for _, t in docs]
     c, pairs = Counter(), Counter()
@@ -93,10 +93,15 @@ def lm(docs: list[tuple], mu: float) -> list[tuple]:
             pairs.update(zip(["<s>", *ts], ts))
     n, v = sum(c.values()), len(c)
     seen = dict(c) | {"<s>": sum(not held_out(i) for i, _ in docs)}
+    after = Counter(h for h, _ in pairs)
+
+    def p(h, t, b):
+        return max(pairs[h, t] - d, 0) / seen[h] + d * after[h] / seen[h] * b if seen.get(h) else b
+
     out = []
     for ts in tokens:
         base = [math.log10((c[t] + 1) / (n + v + 1)) for t in ts]
-        score = sum(math.log10((pairs[h, t] + mu * 10**b) / (seen.get(h, 0) + mu)) for h, t, b in zip(["<s>", *ts], ts, base))
+        score = sum(math.log10(p(h, t, 10**b)) for h, t, b in zip(["<s>", *ts], ts, base))
         out.append((len(ts), sum(t in c for t in ts), n, sum(base), score))
     return out
 

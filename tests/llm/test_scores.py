@@ -74,7 +74,7 @@ def test_trie_finds_successors_of_contexts():
 
 def held_against(rows, docs, model):
     want = {}
-    for (i, t), w in zip(docs, brute.lm(docs, model.mu), strict=True):
+    for (i, t), w in zip(docs, brute.lm(docs, model.discount), strict=True):
         want.setdefault(i, []).append(w)
     for r in rows:
         assert any(
@@ -84,7 +84,7 @@ def held_against(rows, docs, model):
 
 
 def test_lm_odd_rows(odd, none, odd_rows):
-    for model in (lm.Model(), lm.Model(mu=3.0, block_bytes=2000, hot=5)):
+    for model in (lm.Model(), lm.Model(discount=0.5, block_bytes=2000, hot=5)):
         got = lm.score_documents(odd, model).collect()
         assert len(got) == len(odd_rows)
         held_against(got, odd_rows, model)
@@ -99,11 +99,11 @@ def test_lm_beats_its_base(spark, data, documents):
 
 
 def test_all_probabilities_sum_to_one():
-    mu, c = 4.0, {"a": 3, "b": 1, None: 2}
+    d, c = 0.75, {"a": 3, "b": 1, None: 2}
     n, v = sum(c.values()), len(c)
     base = {w: (k + 1) / (n + v + 1) for w, k in c.items()} | {"unseen": 1 / (n + v + 1)}
     after = {"a": 2, "b": 1}
-    assert sum((after.get(w, 0) + mu * b) / (sum(after.values()) + mu) for w, b in base.items()) == pytest.approx(1)
+    assert sum(max(after.get(w, 0) - d, 0) / 3 + d * len(after) / 3 * b for w, b in base.items()) == pytest.approx(1)
 
 
 def test_pipeline(spark, data, documents):
