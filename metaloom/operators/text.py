@@ -49,12 +49,24 @@ def doc_stats(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("doc_id", "field").agg(F.count("*").alias("length"))
 
 
+def lengths(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool = True) -> DataFrame:
+    """The same as :func:`doc_stats` of the analysed documents, straight from the texts: nothing is exploded or shuffled."""
+    out = None
+    for name, kind in fields.items():
+        terms = F.array_compact(F.array(F.col(name))) if kind == "keyword" else tokens(F.col(name))
+        if stop and kind != "keyword":
+            terms = F.filter(terms, lambda x: ~x.isin(STOP_WORDS))
+        part = docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.size(terms).cast("long").alias("length")).filter("length > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, need_all: bool = False) -> DataFrame:
     """``query_id, doc_id, score`` of every match. ``queries``: query_id, term. Scores are summed over terms and fields."""
     q = queries.select("query_id", "term").distinct()
     totals = stats.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     hits = post.join(q.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term", "field").agg(F.countDistinct("doc_id").alias("df"))
+    df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # a posting is a document
     scored = hits.join(F.broadcast(totals), "field").join(df, ["term", "field"]).join(stats, ["doc_id", "field"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -150,8 +162,7 @@ def delete_documents(post: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fields_bm25(docs: DataFrame, id_col: str, fields: dict[str, str], queries: DataFrame) -> DataFrame:
-    a = analyse(docs, id_col, fields)
-    return bm25(queries, postings(a), doc_stats(a))
+    return bm25(queries, postings(analyse(docs, id_col, fields)), lengths(docs, id_col, fields))
 
 
 def routed(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:

@@ -22,6 +22,10 @@ def _analysed(s, d):
     return t.analyse(table(s, d, "documents"), "doc_id", {"text": "standard"})
 
 
+def _lengths(s, d):
+    return t.lengths(table(s, d, "documents"), "doc_id", {"text": "standard"})
+
+
 def _query(s, words):
     return s.createDataFrame([(1, w) for w in words], "query_id int, term string")
 
@@ -56,13 +60,13 @@ def t6(s, d):
 @query("t7_bm25_top", bm25_sql(["onanthan", "thnd", "hend"], " SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20"))
 def t7(s, d):
     a = _analysed(s, d)
-    return t.top_hits(t.bm25(_query(s, ["onanthan", "thnd", "hend"]), t.postings(a), t.doc_stats(a)), 20).select("doc_id", "score")
+    return t.top_hits(t.bm25(_query(s, ["onanthan", "thnd", "hend"]), t.postings(a), _lengths(s, d)), 20).select("doc_id", "score")
 
 
 @query("t9_any_term", bm25_sql(["eronouen", "thstinnt", "leux", "keit"], " SELECT doc_id, score FROM r"))
 def t9(s, d):
     a = _analysed(s, d)
-    return t.bm25(_query(s, ["eronouen", "thstinnt", "leux", "keit"]), t.postings(a), t.doc_stats(a)).select("doc_id", "score")
+    return t.bm25(_query(s, ["eronouen", "thstinnt", "leux", "keit"]), t.postings(a), _lengths(s, d)).select("doc_id", "score")
 
 
 @query("t9_every_benchmark_item")
@@ -70,7 +74,7 @@ def t9b(s, d):
     """Each benchmark text as a query against all documents."""
     a = _analysed(s, d)
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(t.tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(t.STOP_WORDS))
-    return t.top_hits(t.bm25(q, t.postings(a), t.doc_stats(a)), 5)
+    return t.top_hits(t.bm25(q, t.postings(a), _lengths(s, d)), 5)
 
 
 @query("t10_field_terms", "SELECT experiment_accession FROM experiment WHERE lower(platform) = '1-urgent' AND lower(library_strategy) = 'o'")
@@ -112,7 +116,7 @@ def t14(s, d):
 def t15(s, d):
     a = _analysed(s, d)
     allowed = table(s, d, "documents").filter("source = 'src0' and lang = 'en'").select("doc_id")
-    return t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), t.doc_stats(a)).join(allowed, "doc_id", "left_semi").select("doc_id", "score")
+    return t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), _lengths(s, d)).join(allowed, "doc_id", "left_semi").select("doc_id", "score")
 
 
 @query("t16_fuzzy", TOKENS + " SELECT DISTINCT term, damerau_levenshtein(term, 'thnad')::INT AS distance FROM a WHERE damerau_levenshtein(term, 'thnad') <= 1")
@@ -128,7 +132,7 @@ def t17(s, d):
 @query("t18_floors", bm25_sql(["thnd", "hend"], " SELECT doc_id, score, CASE WHEN score > 5 THEN 'high' WHEN score > 2 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE score >= 1"))
 def t18(s, d):
     a = _analysed(s, d)
-    hits = t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), t.doc_stats(a)).filter("score >= 1")
+    hits = t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), _lengths(s, d)).filter("score >= 1")
     return hits.select("doc_id", "score", sc.confidence(F.col("score"), F.lit(0.0)).alias("confidence"))
 
 

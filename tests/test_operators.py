@@ -101,6 +101,7 @@ def test_text(spark):
     docs = spark.createDataFrame([("a", "Human cancer study of the lung"), ("b", "Homo sapiens cells"), ("c", "")], "id string, body string")
     a = t.analyse(docs, "id", {"body": "standard"})
     post, lens = t.postings(a), t.doc_stats(a)
+    assert t.lengths(docs, "id", {"body": "standard"}).exceptAll(lens).count() == 0 and lens.count() == 2
     q = spark.createDataFrame([(1, "cancer"), (2, "homo"), (2, "sapiens"), (3, "unheard")], "query_id int, term string")
     assert sorted((x.query_id, x.doc_id) for x in t.bm25(q, post, lens, need_all=True).collect()) == [(1, "a"), (2, "b")]
     assert [x.term for x in t.fuzzy_terms(post, "humna", 1).collect()] == ["human"]
