@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from metaloom.llm.components import components
 from metaloom.llm.words import mix, scan, shingles, slices
-from metaloom.session import cut, ship_package
+from metaloom.session import cut, release, ship_package
 
 
 @dataclass(frozen=True)
@@ -173,18 +173,25 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     usable = signed.filter("id is not null and n > 0")
     # Classes of equal sets, each a node; an id in several classes joins them later by links.
     classes = cut(usable.groupBy("mark").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    with_node = cut(signed.join(classes.select("mark", "node"), "mark", "left").select("id", "n", "node"))
+    del signed, usable
     nodes = classes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     bands = F.array(*(F.xxhash64(F.substring("sketch", 1 + i * sketch.rows, sketch.rows), F.lit(i)) for i in range(sketch.bands)))
     banded = classes.select("node", F.explode(bands).alias("key"))
     heads = cut(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("key", "head"))
     members = cut(banded.join(heads, "key").select("key", "node", "head"))
+    del heads, banded
     stars = cut(members.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     shared = members.select("node").distinct()
     near = cut(nodes.join(shared, "node", "left_semi"))
     sets = cut(docs.join(shared, docs["id"] == shared["node"]).select("node", "text").mapInArrow(_full_sets, f"node {kind}, items binary").groupBy("node").agg(F.first("items").alias("items")))
 
     def tried(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(_estimated(pairs, near, sketch), sets, sketch.percent))
+        out = cut(_verified(_estimated(pairs, near, sketch), sets, sketch.percent))
+        release(spark)
+        return out
+
+    release(spark)
 
     links = tried(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = components(links)
@@ -212,6 +219,8 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     ranked = cut(tokens.join(spread, "token").withColumn("rank", rank).filter("lo != hi").select("node", "label", "token", "df", ((F.col("rank") - 1) * 100 <= F.col("n") * (100 - sketch.percent)).alias("front")))
     left_over = ranked.filter(F.col("df") > sketch.rare).groupBy("node").agg(F.count("*").alias("s"))
+    del tokens
+    release(spark)
     few = ranked.filter((F.col("df") <= sketch.rare) & F.col("front")).select("token", "node", "label")
     rest = cut(rest.join(left_over, "node").filter(F.col("s") * 100 >= F.col("n") * sketch.percent))
     one = rest.filter("label != lo").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("bands").alias("bx"))
@@ -224,8 +233,8 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     by_shingle = few.withColumnsRenamed({"node": "a", "label": "la"}).join(other, "token").filter("a < b and la != lb").select("a", "b")
     across = by_bound.union(by_shingle).distinct()
     last = tried(across.join(stars, ["a", "b"], "left_anti"))
+    del near, sets, members, placed, mixed, rest, loose, spread, ranked, few, left_over, one, two, by_bound, by_shingle, other, across, stars
     # An id whose rows have different sets links their classes.
-    with_node = cut(signed.join(classes.select("mark", "node"), "mark", "left").select("id", "n", "node"))
     several = with_node.filter("id is not null and node is not null").groupBy("id").agg(F.collect_set("node").alias("all")).filter(F.size("all") > 1)
     again = several.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a != b")
     labels = components(links.union(last).union(again))
