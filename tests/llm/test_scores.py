@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 import brute
 import corpus_pipeline
 import numpy as np
@@ -43,6 +45,25 @@ def test_bands_reject_by_length():
     assert quality.judge_run([mixed], quality.Bands()).n_bad_chunks[0] >= 2
 
 
+def test_bands_reject_base64():
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words, 8000))
+
+    def encoded(n: int, width: int = 76) -> str:
+        s = base64.b64encode(rng.bytes(n)).decode()
+        return "\n".join(s[i : i + width] for i in range(0, len(s), width))[:n]
+
+    alone = [encoded(n) for n in (2000, 3000, 5000, 20_000, 50_000)] + [encoded(n, 12) for n in (400, 999, 1499, 4096)]
+    assert not quality.judge_run(alone, quality.Bands()).in_band.any()
+    d = quality.judge_run([encoded(24_000) + prose[:16_000], prose[:16_000] + encoded(24_000), prose[:30_000] + encoded(10_000)], quality.Bands())
+    assert d.in_band.tolist() == [False, False, True] and d.n_chunks.tolist() == [10, 10, 10]
+    # The end of a text, which fills no chunk, is judged too.
+    tail = quality.judge_run([encoded(4096) + prose[:4000], prose[:4096] + encoded(4000)], quality.Bands())
+    assert tail.n_chunks.tolist() == [2, 2] and tail.n_bad_chunks.tolist() == [1, 1] and tail.in_band.tolist() == [False, True]
+    assert quality.judge_run([prose[:6000] + encoded(9000)], quality.Bands()).in_band.tolist() == [False]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=200), st.integers(0, 3))
 def test_elias_fano(values, extra):
