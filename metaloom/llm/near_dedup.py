@@ -43,7 +43,7 @@ from metaloom.session import cut, release, ship_package
 
 @dataclass(frozen=True)
 class Sketch:
-    """``bands`` bands of ``rows`` registers with base ``base``; ``percent``: least similarity of a link; ``log_odds``: how much less likely than the best estimate the threshold may be; ``rare``: a shingle in at most so many of the sets of the last round counts as rare there."""
+    """``bands`` bands of ``rows`` registers with base ``base``; ``percent``: least similarity of a link; ``log_odds``: how much less likely than the best estimate the threshold may be; ``width``: words of a shingle; ``rare``: a shingle in at most so many of the sets of the last round counts as rare there."""
 
     bands: int = 42
     rows: int = 6
@@ -51,6 +51,7 @@ class Sketch:
     percent: int = 80
     log_odds: float = 16.0
     rare: int = 200
+    width: int = 2
 
     @property
     def registers(self) -> int:
@@ -106,7 +107,7 @@ def _signature(sketch: Sketch):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                sets = shingles(scan(texts[a:b], lower=True))
+                sets = shingles(scan(texts[a:b], lower=True), sketch.width)
                 marks = [np.array([(s * np.uint64(2) + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s))], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(marks, type=pa.binary()), pa.array([k.tobytes() for k in sketch.of(sets)], type=pa.binary())],
@@ -116,12 +117,15 @@ def _signature(sketch: Sketch):
     return run
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            sets = shingles(scan(texts[a:b], lower=True))
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "items"])
+def _full_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                sets = shingles(scan(texts[a:b], lower=True), width)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "items"])
+
+    return run
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,7 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     stars = cut(members.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     shared = members.select("node").distinct()
     near = cut(nodes.join(shared, "node", "left_semi"))
-    sets = cut(docs.join(shared, docs["id"] == shared["node"]).select("node", "text").mapInArrow(_full_sets, f"node {kind}, items binary").groupBy("node").agg(F.first("items").alias("items")))
+    sets = cut(docs.join(shared, docs["id"] == shared["node"]).select("node", "text").mapInArrow(_full_sets(sketch.width), f"node {kind}, items binary").groupBy("node").agg(F.first("items").alias("items")))
 
     def tried(pairs: DataFrame) -> DataFrame:
         out = cut(_verified(_estimated(pairs, near, sketch), sets, sketch.percent))

@@ -52,7 +52,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Sketch(width=2))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,14 @@ def slices(texts: list[str | None], limit: int = 1 << 21):
         yield a, len(texts)
 
 
-def shingles(w: Words) -> list[np.ndarray]:
-    """Of each text: the sorted distinct 2-word shingles as hashes; a single word stands for itself; no word gives none."""
+def shingles(w: Words, width: int = 2) -> list[np.ndarray]:
+    """Of each text: the sorted distinct shingles of ``width`` words as hashes; fewer words are one shingle; no word gives none."""
     h = w.hashes
+    runs, x = [mix(h ^ U(0xD6E8FEB86659FD93))], h
+    for k in range(1, width):
+        x = mix(x[:-1] * U(0x9E3779B97F4A7C15) + (h[k:] ^ (h[k:] >> U(32))) * U(0xC2B2AE3D27D4EB4F))
+        runs.append(x)
     out = []
-    pair = mix(h[:-1] * U(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> U(32))) * U(0xC2B2AE3D27D4EB4F)) if len(h) > 1 else h[:0]
-    single = mix(h ^ U(0xD6E8FEB86659FD93))
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        out.append(np.unique(pair[a : b - 1]) if b - a > 1 else single[a:b])
+        out.append(np.unique(runs[-1][a : b - width + 1]) if b - a >= width else runs[b - a - 1][a : a + 1] if b > a else h[:0])
     return out

@@ -92,6 +92,29 @@ def test_ids_in_several_rows(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def five_words(t: str | None) -> set:
+    w = brute.WORD.findall(brute.lower(t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_by_five_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"v{i}" for i in range(200)]
+    far = [f"x{i}" if i % 25 == 12 else w for i, w in enumerate(base)]  # 183/215 on two words, 156/236 on five
+    docs = [(0, " ".join(base)), (1, " ".join(far)), (2, "one two three"), (3, "One two  three"), (4, "one two"), (5, "a b c d"), (6, "a b c d e"), (7, ""), (8, None)]
+    for k in range(60):
+        w = base.copy()
+        for place in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+            w[place] = f"e{rng.integers(6)}"
+        docs.append((100 + k, " ".join(w)))
+    df, five = spark.createDataFrame(docs, "doc_id long, text string"), near_dedup.Sketch(width=5)
+    two = brute.near(docs[:2])
+    monkeypatch.setattr(brute, "shingle_set", five_words)
+    assert two[1][1] == 0 and brute.near(docs[:2])[1][1] == 1
+    agrees({r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, five).collect()}, docs)
+    assert near_dedup.drop_near_duplicates(df.filter("doc_id < 2"), five).count() == 2 and near_dedup.drop_near_duplicates(df.filter("doc_id < 2")).count() == 1
+
+
 def test_registers_merge_and_estimate():
     sketch = near_dedup.Sketch()
     a = np.arange(1, 1000, dtype=np.uint64) * np.uint64(2654435761)
