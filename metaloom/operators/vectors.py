@@ -120,12 +120,12 @@ def to_embed(texts: DataFrame, stored: DataFrame, key: str, text: str) -> DataFr
     return hashed.join(stored.select(key, "text_hash"), [key, "text_hash"], "left_anti")
 
 
-def embed(df: DataFrame, key: str, text: str, fn: Callable[[pd.Series], list], longest: int = 512) -> DataFrame:
-    """``key, embedding``: a user's function over batches of texts."""
+def embed(df: DataFrame, key: str, text: str, fn: Callable[[pd.Series], list], longest: int | None = None) -> DataFrame:
+    """``key, embedding``: a user's function over batches of whole texts, or of their first ``longest`` characters if its model needs a limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "embedding": list(fn(b[text].fillna("").str.slice(0, longest)))})
+            yield pd.DataFrame({key: b[key], "embedding": list(fn(b[text].fillna("").str.slice(stop=longest)))})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from metaloom import plans
 from metaloom.functions import scalars as sc
 from metaloom.operators import predicates as p
 from metaloom.operators import ranking as r
@@ -168,3 +169,15 @@ def test_changes_and_retention(spark):
     was = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, hash int")
     assert {x.id: x.change for x in inc.changes(now, was, "id").collect()} == {2: "changed", 3: "deleted", 4: "new"}
     assert inc.recent(now, F.current_timestamp()).count() == 3
+
+
+def test_embed_whole_texts(spark, data):
+    fn = vec.hashing_embedder(16)
+    texts = {1: "x " * 400 + "tail", 2: None, 3: "x " * 400}
+    df = spark.createDataFrame(list(texts.items()), "k long, body string")
+    got = {r.k: r.embedding for r in vec.embed(df, "k", "body", fn).collect()}
+    assert got == {k: v.tolist() for k, v in zip(texts, fn(pd.Series([x or "" for x in texts.values()])))} and got[1] != got[3]
+    assert len({tuple(r.embedding) for r in vec.embed(df, "k", "body", fn, longest=512).filter("k <> 2").collect()}) == 1
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = dict(zip(docs, (v.tolist() for v in fn(pd.Series(list(docs.values()))))))
+    assert {r.doc_id: r.embedding for r in plans.QUERIES["v10_embed"](spark, data).collect()} == want
