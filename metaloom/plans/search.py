@@ -150,7 +150,7 @@ def t20(s, d):
 @query("t21_routing")
 def t21(s, d):
     """Each benchmark text and some accessions, routed by what they are about."""
-    q = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("query")).select(F.col("item_id").alias("query_id"), "query")
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     st = f.study(s, d)
     both = q.unionByName(st.select((F.xxhash64("study_accession")).alias("query_id"), F.col("study_accession").alias("query")))
     docs = st.select(F.col("study_accession").alias("id"), F.col("study_abstract").alias("body")).unionByName(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))

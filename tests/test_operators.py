@@ -181,3 +181,10 @@ def test_embed_whole_texts(spark, data):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     want = dict(zip(docs, (v.tolist() for v in fn(pd.Series(list(docs.values()))))))
     assert {r.doc_id: r.embedding for r in plans.QUERIES["v10_embed"](spark, data).collect()} == want
+
+
+def test_routing_takes_whole_queries(spark, data, monkeypatch):
+    monkeypatch.setattr(t, "routed", lambda queries, *_, **__: queries)
+    got = {r.query_id: r.query for r in plans.QUERIES["t21_routing"](spark, data).collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    assert {i: got[i] for i in items} == items and max(map(len, items.values())) > 80
