@@ -162,15 +162,28 @@ def delete_documents(post: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fields_bm25(docs: DataFrame, id_col: str, fields: dict[str, str], queries: DataFrame) -> DataFrame:
-    return bm25(queries, postings(analyse(docs, id_col, fields)), lengths(docs, id_col, fields))
+    asked = analyse(docs, id_col, fields).join(queries.select("term").distinct(), "term", "left_semi")  # other terms score nothing
+    return bm25(queries, postings(asked), lengths(docs, id_col, fields))
 
 
 def routed(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    """A table of queries (query_id, query), each answered by what it is about: accessions by key, others by rank."""
+    """A table of queries (query_id, query), each answered by what it is about.
+
+    ``docs`` has ``type``, ``platform`` and ``library_strategy`` beside id and text. Accessions are found by key; study
+    queries are ranked among studies alone; technical and general ones among all documents, and of the hits of technical
+    ones those stay that have the platform and strategy that the query names (ILLUMINA, RNA-Seq).
+    """
     from metaloom.functions.scalars import intent, normalised_accession
 
     q = queries.withColumn("intent", intent(F.col("query")))
     exact = q.filter("intent = 'accession'").join(docs.select(F.col(id_col).alias("doc_id")), normalised_accession(F.col("query")) == F.col("doc_id")).select("query_id", "doc_id", F.lit(1.0).alias("score"))
-    words = q.filter("intent <> 'accession'").select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    ranked = fields_bm25(docs, id_col, {text_col: "standard"}, words)
-    return top_hits(exact.unionByName(ranked), k)
+    words = lambda x: x.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+    body = {text_col: "standard"}
+    studies = fields_bm25(docs.filter("type = 'study'"), id_col, body, words(q.filter("intent = 'study'")))
+    whole = fields_bm25(docs, id_col, body, words(q.filter("intent in ('technical', 'general')")))
+    technical, name = F.col("intent") == "technical", F.upper("query")
+    names = q.select("query_id", (technical & name.contains("ILLUMINA")).alias("by_platform"), (technical & name.contains("RNA-SEQ")).alias("by_strategy")).filter("by_platform or by_strategy")
+    has = docs.select(F.col(id_col).alias("doc_id"), (F.col("platform") == "ILLUMINA").alias("illumina"), contains_phrase(F.col("library_strategy"), "rna seq").alias("rna_seq")).filter("illumina or rna_seq")
+    fits = "(by_platform is null or not by_platform or illumina) and (by_strategy is null or not by_strategy or rna_seq)"
+    filtered = whole.join(names, "query_id", "left").join(has, "doc_id", "left").filter(fits).select("query_id", "doc_id", "score")
+    return top_hits(exact.unionByName(studies).unionByName(filtered), k)

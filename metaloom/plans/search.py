@@ -153,7 +153,12 @@ def t21(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     st = f.study(s, d)
     both = q.unionByName(st.select((F.xxhash64("study_accession")).alias("query_id"), F.col("study_accession").alias("query")))
-    docs = st.select(F.col("study_accession").alias("id"), F.col("study_abstract").alias("body")).unionByName(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))
+    e = f.experiment(s, d)
+    docs = (
+        st.select(F.lit("study").alias("type"), F.col("study_accession").alias("id"), F.col("study_abstract").alias("body"))
+        .unionByName(e.select(F.lit("experiment").alias("type"), F.col("experiment_accession").alias("id"), F.concat_ws(" ", "title", "platform", "library_strategy").alias("body"), "platform", "library_strategy"), allowMissingColumns=True)
+        .unionByName(table(s, d, "documents").select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")), allowMissingColumns=True)
+    )
     return t.routed(both, docs, "id", "body", 3)
 
 

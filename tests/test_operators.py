@@ -188,3 +188,20 @@ def test_routing_takes_whole_queries(spark, data, monkeypatch):
     got = {r.query_id: r.query for r in plans.QUERIES["t21_routing"](spark, data).collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     assert {i: got[i] for i in items} == items and max(map(len, items.values())) > 80
+
+
+def test_routing_by_intent(spark):
+    docs = spark.createDataFrame(
+        [
+            ("SRP1", "study", "cancer of the liver", None, None), ("SRP2", "study", "liver", None, None), ("SRX1", "experiment", "liver ILLUMINA RNA-Seq", "ILLUMINA", "RNA-Seq"), ("SRX2", "experiment", "liver ILLUMINA WGS", "ILLUMINA", "WGS"),
+            ("SRX3", "experiment", "liver PACBIO RNA-Seq", "PACBIO", "RNA-Seq"), ("D1", "document", "liver cancer ILLUMINA RNA-Seq", None, None),
+        ],
+        "id string, type string, body string, platform string, library_strategy string",
+    )
+    asked = {1: "srp2", 2: "liver cancer", 3: "illumina liver", 4: "liver RNA-Seq", 5: "Illumina RNA-Seq liver", 6: "liver wgs", 7: "liver"}
+    hits = t.routed(spark.createDataFrame(list(asked.items()), "query_id long, query string"), docs, "id", "body").collect()
+    got = {i: {r.doc_id for r in hits if r.query_id == i} for i in asked}
+    every = {"SRP1", "SRP2", "SRX1", "SRX2", "SRX3", "D1"}
+    assert got == {1: {"SRP2"}, 2: {"SRP1", "SRP2"}, 3: {"SRX1", "SRX2"}, 4: {"SRX1", "SRX3"}, 5: {"SRX1"}, 6: every, 7: every}
+    alone = t.fields_bm25(docs.filter("type = 'study'"), "id", {"body": "standard"}, spark.createDataFrame([(2, "liver"), (2, "cancer")], "query_id long, term string")).collect()
+    assert {(r.doc_id, r.score) for r in alone} == {(r.doc_id, r.score) for r in hits if r.query_id == 2}
