@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all machines share. Only on one machine a temporary one is set where the session names none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="metaloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later jobs neither recompute it nor lose it with an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written in the shared checkpoint folder: later jobs neither recompute it nor lose it with an executor, read only the columns they need, and plan with its true size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what cut lineage has left behind: the driver removes shuffle files and checkpoints that nothing refers to once its JVM has collected garbage, which a job of many rounds should not leave to chance."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*cuts: DataFrame) -> None:
+    """Deletes the tables behind frames that :func:`cut` has returned, when nothing will read them again."""
+    for df in cuts:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
