@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest id stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """Of each component of near duplicates (five words a shingle, similarity 0.8) the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs, near_dedup.Sketch(width=5, percent=80))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Byte-level BPE over pre-tokens: vocabularies, cached pair merging, encoding of many texts at once.
 
-A run of texts is cut into pre-tokens (:mod:`pretok`); equal pre-tokens of the run are found by a 64-bit hash; each
-distinct one is looked up in a bounded memo and merged on a miss; the ids are then gathered by NumPy.
+A run of texts is cut into pre-tokens (:mod:`pretok`); equal pre-tokens of the run are found by dictionary encoding,
+which compares bytes; each distinct one is looked up in a bounded memo by its bytes and merged on a miss; the ids are then
+gathered by NumPy.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 from metaloom.llm import pretok
-from metaloom.llm.words import _BYTE, _powers, mix
+from metaloom.llm.words import numbered
 
 MEMO = 400_000
 NONE = np.int32(2**31 - 1)
@@ -182,8 +183,8 @@ class Vocabulary:
         ends = (4 * np.cumsum(done_left)).tolist()
         return [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def whole_tokens(self) -> dict[str, int]:
-        """Strings that encode alone as one token: proved by cutting and merging each vocabulary string."""
+    def whole_tokens(self) -> dict[bytes, int]:
+        """Strings (as bytes) that encode alone as one token: proved by cutting and merging each vocabulary string."""
         texts = {}
         for b in self.ids:
             try:
@@ -193,7 +194,7 @@ class Vocabulary:
         names = list(texts)
         _, _, first = pretok.boundaries(names)
         alone = [x == self.ids[texts[t]].to_bytes(4, "little") for t, x in zip(names, self.merge_many(list(texts.values())), strict=True)]
-        return {t: self.ids[texts[t]] for i, (t, n) in enumerate(zip(names, np.diff(first).tolist(), strict=True)) if n == 1 and alone[i]}
+        return {texts[t]: self.ids[texts[t]] for i, (t, n) in enumerate(zip(names, np.diff(first).tolist(), strict=True)) if n == 1 and alone[i]}
 
 
 @lru_cache(4)
@@ -209,7 +210,7 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def many(self, keys: list[str]) -> list:
+    def many(self, keys: list) -> list:
         fixed, young, old = self.fixed, self.young, self.old
         out, missing = [None] * len(keys), []
         for i, k in enumerate(keys):
@@ -230,19 +231,15 @@ class Memo:
         return out
 
 
-def distinct(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pre-tokens of the texts, for each pre-token in order the number of its string, and each text's first."""
+def distinct(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of the texts as bytes, for each pre-token in order the number of its string, and each text's first."""
     joined, starts, first = pretok.boundaries(texts)
     if not len(starts):
         return [], np.zeros(0, dtype=np.int64), first
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    lens = np.diff(starts, append=len(code))
-    pos = np.arange(len(code)) - np.repeat(starts, lens)
-    values = (_BYTE[code & 0xFF] + (code >> 8).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * _powers(int(lens.max()))[pos]
-    keys = mix(np.add.reduceat(values, starts) + lens.astype(np.uint64))
-    _, at, number = np.unique(keys, return_index=True, return_inverse=True)
-    a = starts[at].tolist()
-    return [joined[i:j] for i, j in zip(a, (starts[at] + lens[at]).tolist(), strict=True)], number, first
+    raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    at = starts if len(raw) == len(joined) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+    names, number = numbered(raw, np.append(at, len(raw)))
+    return names.to_numpy(zero_copy_only=False).tolist(), number, first
 
 
 def split_special(texts: list[str | None], special: dict[str, int]) -> tuple[list[str], list[int], list[int]]:

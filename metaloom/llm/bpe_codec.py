@@ -23,7 +23,7 @@ from metaloom.llm.words import slices
 @lru_cache(2)
 def _memo(path: str) -> bpe.Memo:
     vocab = bpe.vocabulary(path)
-    return bpe.Memo(lambda names: vocab.merge_many([s.encode("utf-8", "surrogatepass") for s in names]))
+    return bpe.Memo(vocab.merge_many)
 
 
 @lru_cache(2)

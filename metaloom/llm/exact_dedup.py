@@ -7,6 +7,9 @@ Within a partition a run of equal texts is settled at once; the first and the la
 partition, and those (two a partition) are settled by one small aggregate that is broadcast: it has two rows a
 partition at most.
 
+The keyed rows are written first, so that sampling splitters reads short keys and does not normalise and hash all texts
+a second time.
+
 Of equal texts the row with the most code points in the original text stays, then the smallest id; an id that is null
 comes last; of rows equal in both one stays. Null text counts as empty. Only the id and the text are read; other
 columns play no part.
@@ -24,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaloom.session import cut, ship_package
+from metaloom.session import cut, discard, ship_package
 
 WHITE = " \t\n\x0b\x0c\r"
+PREFIX = 24
 
 
 def without_white(text: Column) -> Column:
@@ -82,18 +86,62 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts, whether the run may go on in another partition, and this partition."""
+    part = TaskContext.get().partitionId()
+    normalised = lambda x: (x or "").encode("utf-8", "surrogatepass").translate(None, WHITE.encode())
+    before, waiting, first = None, None, True
+
+    def marked(rows: pa.RecordBatch, open_: bool) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(n, open_), pa.bool_()), pa.array(np.full(n, part), pa.int32())], names=[*rows.schema.names, "open", "part"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        digest, text = batch.column("digest"), batch.column("text").cast(pa.large_string())
+        same = np.zeros(n, dtype=bool)
+        same[0] = before is not None and before[0] == digest[0].as_py() and normalised(before[1]) == normalised(text[0].as_py())
+        if n > 1:
+            same[1:] = pc.equal(digest.slice(1), digest.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(same[1:]) + 1:
+                same[i] = normalised(text[i].as_py()) == normalised(text[i - 1].as_py())
+        before = digest[n - 1].as_py(), text[n - 1].as_py()
+        at = np.flatnonzero(~same)
+        if len(at):
+            if waiting is not None:
+                yield marked(waiting, first)
+                first = False
+            if len(at) > 1:
+                yield marked(batch.take(pa.array(at[:1])), first)
+                first = False
+                yield marked(batch.take(pa.array(at[1:-1])), False)
+            waiting = batch.take(pa.array(at[-1:]))
+    if waiting is not None:
+        yield marked(waiting, True)
+
+
+def _order() -> list[Column]:
+    return [F.col("prefix"), F.col("digest"), F.col("chars").desc(), F.col("id").asc_nulls_last()]
+
+
+def _keys(df: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    norm = without_white(F.col(f"`{text_col}`"))
+    chars = F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long")
+    return {"id": F.col(f"`{id_col}`"), "norm": norm, "chars": chars, "digest": F.unhex(F.sha2(norm, 256)), "prefix": F.substring(norm, 1, PREFIX)}
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    norm = without_white(F.col(f"`{text_col}`"))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm"), F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long").alias("chars")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    order = [F.substring("norm", 1, 24), F.col("digest"), F.col("chars").desc(), F.col("id").asc_nulls_last()]
+    ship_package(df.sparkSession)
+    rows = cut(df.select(*(c.alias(n) for n, c in _keys(df, id_col, text_col).items())))
     kind = rows.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id", kind), T.StructField("keep_id", kind), T.StructField("keep_chars", T.LongType()), T.StructField("run_size", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("head", T.BooleanType()), T.StructField("open", T.BooleanType()), T.StructField("part", T.IntegerType())]
     )
-    runs = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, schema))
+    runs = cut(rows.repartitionByRange(*_order()).sortWithinPartitions(*_order()).select("id", "norm", "chars", "digest").mapInArrow(_runs, schema))
+    discard(rows)
     best = F.struct((-F.col("keep_chars")).alias("a"), F.col("keep_id").isNull().alias("b"), F.col("keep_id").alias("c"), F.col("part").alias("d"))
     across = runs.filter("open and head").groupBy(F.col("digest").alias("open_digest")).agg(F.sum("run_size").alias("all_size"), F.min(best).alias("best"))
     joined = runs.join(F.broadcast(across), (F.col("digest") == F.col("open_digest")) & F.col("open"), "left")
@@ -108,15 +156,18 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their own columns; rows alike in id and text stay once."""
-    mark = "metaloom_row"
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(f"`{id_col}`").alias(f"{mark}_id"), F.col("text_sha256").alias(f"{mark}_sha"))
-    tagged = df.withColumn(f"{mark}_digest", F.sha2(without_white(F.col(f"`{text_col}`")), 256))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{mark}_id")) & (F.col(f"{mark}_digest") == F.col(f"{mark}_sha"))
-    out = tagged.join(kept, same, "left_semi").drop(f"{mark}_digest")
-    return out.dropDuplicates([id_col, text_col]) if _repeats(df, id_col) else out
-
-
-def _repeats(df: DataFrame, id_col: str) -> bool:
-    """Whether an id stands in more than one row: only then can two kept rows be alike."""
-    return bool(df.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").take(1))
+    """The rows of ``df`` that stay, with their own columns: exactly one row a group, whatever repeats. The rows themselves go through the sort."""
+    ship_package(df.sparkSession)
+    keys = _keys(df, id_col, text_col)
+    del keys["norm"]  # made anew from the text for the neighbours that need it
+    others = [c for c in df.columns if c not in (text_col, id_col)]
+    held = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("boolean")
+    rows = cut(df.select(F.col(f"`{text_col}`").alias("text"), held.alias("row"), *(c.alias(n) for n, c in keys.items())))
+    carried = rows.select("id", "text", "row", "digest").schema
+    schema = T.StructType([*carried.fields, T.StructField("open", T.BooleanType()), T.StructField("part", T.IntegerType())])
+    heads = cut(rows.repartitionByRange(*_order()).sortWithinPartitions(*_order()).select("id", "text", "row", "digest").mapInArrow(_heads, schema))
+    discard(rows)
+    across = heads.filter("open").groupBy(F.col("digest").alias("open_digest")).agg(F.min("part").alias("first_part"))
+    joined = heads.join(F.broadcast(across), (F.col("digest") == F.col("open_digest")) & F.col("open"), "left")
+    own = {text_col: F.col("text"), id_col: F.col("id")}
+    return joined.filter("first_part is null or first_part = part").select(*((own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in df.columns))

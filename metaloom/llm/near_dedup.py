@@ -4,12 +4,13 @@ Each set of shingles is sketched in registers ``K_i = clip(floor(1 - log_b(min_x
 exponentially distributed ``h_i``: exponentially spaced truncated minima. They merge by maximum, and two sketches agree
 in a register with a probability that grows with the sets' Jaccard similarity. The method:
 
-1. Sets: documents with equal sets form a class, represented by the smallest id. Only classes go on.
+1. Sets: documents with equal sets (128 bits of a cryptographic hash of them) form a class. Only classes go on.
 2. Bands of registers: classes with an equal band fall into one bucket. Every member is paired with the bucket's
    smallest member, not with every other: pairs grow with the rows, however large a bucket.
 3. Estimate: from the numbers of registers that are greater, smaller and equal, and the known set sizes, the
    likelihood of a Jaccard similarity at the threshold is compared with the largest one; pairs for which it is
-   hopeless are dropped (``log_odds``), those that stay are verified on the full sets.
+   hopeless are dropped (``log_odds``), those that stay are confirmed on the full sets, made anew from the whole texts
+   with shingles that are equal only if their words are.
 4. Components. First each class tries its smallest partner; then only pairs that are not yet in one component are
    tried; last, in buckets that still hold several components, pairs across components are tried, so that a link that
    no bucket's first member shows is found too. Pairs that share a rare shingle are found by it, the
@@ -21,7 +22,7 @@ nothing of the bucket is left over.
 
 A text without words (or null) has the empty set and is linked with nothing, not even with its equals; a text with
 fewer words than a shingle is one shingle. Rows that share an id count as one document: a link of one is a link of
-all. A row without an id is linked with nothing and has no component. Only the id and the text are read.
+all, so their classes are linked with each other. A row without an id is linked with nothing and has no component. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.components import components
-from metaloom.llm.words import mix, scan, shingles, slices
-from metaloom.session import cut, release, ship_package
+from metaloom.llm.words import exact_shingles, marked_shingles, mix, scan, slices
+from metaloom.session import cut, discard, ship_package
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Sketch:
     percent: int = 80
     log_odds: float = 16.0
     rare: int = 200
-    width: int = 2
+    width: int = 5
 
     @property
     def registers(self) -> int:
@@ -107,8 +108,7 @@ def _signature(sketch: Sketch):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                sets = shingles(scan(texts[a:b], lower=True), sketch.width)
-                marks = [np.array([(s * np.uint64(2) + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s))], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
+                sets, marks = marked_shingles(scan(texts[a:b], lower=True), sketch.width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(marks, type=pa.binary()), pa.array([k.tobytes() for k in sketch.of(sets)], type=pa.binary())],
                     names=["id", "n", "mark", "sketch"],
@@ -117,23 +117,31 @@ def _signature(sketch: Sketch):
     return run
 
 
-def _full_sets(width: int):
+def _of_class(width: int):
+    """Rows of (node, mark, text) whose text has that mark, as (node, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, marks = batch.column("text").to_pylist(), batch.column("mark").to_pylist()
             for a, b in slices(texts):
-                sets = shingles(scan(texts[a:b], lower=True), width)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "items"])
+                own = marked_shingles(scan(texts[a:b], lower=True), width)[1]
+                yield batch.select(["node", "text"]).slice(a, b - a).filter(pa.array([x == y for x, y in zip(own, marks[a:b], strict=True)]))
 
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            items = batch.column("items").slice(i, 256).to_pylist()
-            sizes = pa.array(np.repeat(np.arange(i, i + len(items)), [len(x) // 8 for x in items]))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(sizes), batch.column("label").take(sizes), batch.column("n").take(sizes), pa.array(np.frombuffer(b"".join(items), dtype=np.int64))], names=["node", "label", "n", "token"])
+def _exploded(width: int):
+    """Rows of (node, label, n, text) as one row for each shingle, by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                sets = marked_shingles(scan(texts[a:b], lower=True), width)[0]
+                owner = pa.array(np.repeat(np.arange(a, b), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in ("node", "label", "n")), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "label", "n", "token"])
+
+    return run
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
@@ -151,20 +159,36 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: Sketch) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(hopeful("ka", "kb", "na", "nb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
+def _confirmed(sketch: Sketch):
+    """Rows of (a, b, ta, tb) whose texts' full sets are similar, as (a, b)."""
 
-    @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), dtype=bool)
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            a, b = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [t for pair in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True) for t in pair]
+            links = np.zeros(batch.num_rows, dtype=bool)
+            at = 0
+            while at < len(both):
+                to, size = at, 0
+                while to < len(both) and size < 1 << 21:
+                    size += len(both[to]) + len(both[to + 1])
+                    to += 2
+                sets = exact_shingles(scan(both[at:to], lower=True), sketch.width)
+                for i in range(0, to - at, 2):
+                    x, y = sets[i], sets[i + 1]
+                    # Similar sets have similar sizes; the others need not be met.
+                    if 100 * min(len(x), len(y)) >= sketch.percent * max(len(x), len(y)):
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        links[(at + i) // 2] = 100 * common >= sketch.percent * (len(x) + len(y) - common)
+                at = to
+            yield batch.select(["a", "b"]).filter(pa.array(links))
+
+    return run
 
-    side = lambda x, y: sets.select(F.col("node").alias(x), F.col("items").alias(y))
-    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").filter(similar("sa", "sb")).select("a", "b")
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """The pairs whose full sets are similar. ``texts``: node and text."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(sketch), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -175,27 +199,27 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     kind = docs.schema["id"].dataType.simpleString()
     signed = cut(docs.mapInArrow(_signature(sketch), f"id {kind}, n long, mark binary, sketch binary"))
     usable = signed.filter("id is not null and n > 0")
-    # Classes of equal sets, each a node; an id in several classes joins them later by links.
-    classes = cut(usable.groupBy("mark").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    with_node = cut(signed.join(classes.select("mark", "node"), "mark", "left").select("id", "n", "node"))
-    del signed, usable
-    nodes = classes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # Classes of equal sets, each a node with a number of its own (which the written table holds fast).
+    classes = usable.groupBy("mark").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    with_node = cut(signed.join(classes.select("mark", "node"), "mark", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")))
+    discard(signed)
+    nodes = classes.select("node", "n", "sketch")
     bands = F.array(*(F.xxhash64(F.substring("sketch", 1 + i * sketch.rows, sketch.rows), F.lit(i)) for i in range(sketch.bands)))
     banded = classes.select("node", F.explode(bands).alias("key"))
     heads = cut(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("key", "head"))
     members = cut(banded.join(heads, "key").select("key", "node", "head"))
-    del heads, banded
+    discard(heads)
     stars = cut(members.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     shared = members.select("node").distinct()
     near = cut(nodes.join(shared, "node", "left_semi"))
-    sets = cut(docs.join(shared, docs["id"] == shared["node"]).select("node", "text").mapInArrow(_full_sets(sketch.width), f"node {kind}, items binary").groupBy("node").agg(F.first("items").alias("items")))
+    # Of each class that shares a bucket one text; where an id stands for several texts, the one that has the class's set.
+    wanted = classes.join(shared, "node", "left_semi").select("node", "mark", "least")
+    texts = docs.join(wanted, docs["id"] == wanted["least"]).select("node", "mark", "text").mapInArrow(_of_class(sketch.width), "node long, text string")
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def tried(pairs: DataFrame) -> DataFrame:
-        out = cut(_verified(_estimated(pairs, near, sketch), sets, sketch.percent))
-        release(spark)
-        return out
-
-    release(spark)
+        return cut(_verified(_estimated(pairs, near, sketch), texts, sketch))
 
     links = tried(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = components(links)
@@ -207,6 +231,7 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
 
     more = tried(labelled(stars, labels).filter("ca != cb").select("a", "b"))
     links = links.union(more)
+    discard(labels)
     labels = components(links)
     # Buckets that still hold several components.
     placed = cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
@@ -216,15 +241,14 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     # of these sets lead straight to the pairs that share them; a pair that shares none of those is bounded by what is
     # left of the smaller set, as similarity t needs an intersection of t / (1 + t) of both sizes together.
     loose = cut(rest.select("node", "label", "n").distinct())
-    tokens = loose.join(sets, "node").select("node", "label", "n", "items").mapInArrow(_exploded, f"node {kind}, label {kind}, n long, token long")
+    tokens = loose.join(texts, "node").select("node", "label", "n", "text").mapInArrow(_exploded(sketch.width), "node long, label long, n long, token long")
     tokens = cut(tokens)
     spread = cut(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")))
     # Similar sets share a shingle among the rarest of both (prefix filter), so only those lead to pairs.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     ranked = cut(tokens.join(spread, "token").withColumn("rank", rank).filter("lo != hi").select("node", "label", "token", "df", ((F.col("rank") - 1) * 100 <= F.col("n") * (100 - sketch.percent)).alias("front")))
     left_over = ranked.filter(F.col("df") > sketch.rare).groupBy("node").agg(F.count("*").alias("s"))
-    del tokens
-    release(spark)
+    discard(tokens, spread)
     few = ranked.filter((F.col("df") <= sketch.rare) & F.col("front")).select("token", "node", "label")
     rest = cut(rest.join(left_over, "node").filter(F.col("s") * 100 >= F.col("n") * sketch.percent))
     one = rest.filter("label != lo").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("bands").alias("bx"))
@@ -237,12 +261,15 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     by_shingle = few.withColumnsRenamed({"node": "a", "label": "la"}).join(other, "token").filter("a < b and la != lb").select("a", "b")
     across = by_bound.union(by_shingle).distinct()
     last = tried(across.join(stars, ["a", "b"], "left_anti"))
-    del near, sets, members, placed, mixed, rest, loose, spread, ranked, few, left_over, one, two, by_bound, by_shingle, other, across, stars
-    # An id whose rows have different sets links their classes.
-    several = with_node.filter("id is not null and node is not null").groupBy("id").agg(F.collect_set("node").alias("all")).filter(F.size("all") > 1)
-    again = several.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a != b")
-    labels = components(links.union(last).union(again))
-    linked = with_node.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    discard(members, stars, near, texts, labels, placed, mixed, ranked, rest, loose)
+    # An id whose rows have different sets links their classes, as a star around the first of them.
+    owned = with_node.filter("node is not null").select("id", "node")
+    several = owned.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("id", "a")
+    again = owned.join(several, "id").filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    labels = components(links.union(last).union(again)).join(classes.select("node", "least"), "node")
+    smallest = labels.groupBy("label").agg(F.min("least").alias("component"))
+    named = labels.join(smallest, "label").select("node", "component").unionByName(classes.join(labels, "node", "left_anti").select("node", F.col("least").alias("component")))
+    linked = with_node.join(named, "node", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -24,7 +24,7 @@ from metaloom.session import ship_package
 @lru_cache(2)
 def _counter(path: str) -> bpe.Memo:
     vocab = bpe.vocabulary(path)
-    return bpe.Memo(lambda names: [len(x) // 4 for x in vocab.merge_many([s.encode("utf-8", "surrogatepass") for s in names])], fixed=dict.fromkeys(vocab.whole_tokens(), 1))
+    return bpe.Memo(lambda names: [len(x) // 4 for x in vocab.merge_many(names)], fixed=dict.fromkeys(vocab.whole_tokens(), 1))
 
 
 def count_run(texts: list[str | None], path: str) -> np.ndarray:

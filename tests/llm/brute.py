@@ -15,9 +15,12 @@ def lower(t: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
+WIDTH = 2
+
+
 def shingle_set(text: str | None) -> set:
     w = WORD.findall(lower(text or ""))
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + WIDTH]) for i in range(len(w) - WIDTH + 1)} if len(w) >= WIDTH else {tuple(w)} if w else set()
 
 
 def near(docs: list[tuple]) -> dict:

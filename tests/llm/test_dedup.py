@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metaloom.llm import exact_dedup, line_dedup, near_dedup, sharding, url_filter
 from metaloom.llm.queries import QUERIES, SQL, URL_RULES
-from metaloom.llm.words import scan, shingles
+from metaloom.llm.words import exact_shingles, scan, shingles
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -53,8 +53,29 @@ def test_drop_exact_copies(odd):
     assert kept.columns == odd.columns and kept.count() == len(brute.exact([(r.doc_id, r.text) for r in odd.collect()]))
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c", 1), (1, "abc", 2), (2, "a bc", 3), (None, "a b c", 4), (None, None, 5), (3, "", 6), (3, " ", 7), (3, " ", 8), (4, "x", 9), (4, "x", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, metaloom_row_id int").withColumns({"digest": F.lit("d"), "prefix": F.lit("p"), "open": F.lit(True), "part": F.lit(0), "row": F.lit("r"), "norm": F.lit("n")})
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    got = sorted((r.metaloom_row_id, r.doc_id, r.text, r.digest) for r in kept.collect())
+    assert [g[:3] for g in got if g[0] != 7 and g[0] != 8] == [(1, 1, "a b c"), (9, 4, "x")] and len(got) == 3 and got[1][1:] == (3, " ", "d")
+
+
+def test_kept_rows_of_a_group_over_many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 != 1, F.lit("hot text")).otherwise(F.col("id").cast("string")).alias("text")).repartition(6)
+        assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()) == [0, *range(1, 4000, 4)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+TWO = near_dedup.Sketch(width=2)
+
+
 def near_of(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, TWO).collect()}
 
 
 def agrees(got: dict, docs: list[tuple]):
@@ -63,7 +84,7 @@ def agrees(got: dict, docs: list[tuple]):
 
 
 def test_near_odd_rows(odd, none, odd_rows):
-    got = near_dedup.near_duplicates(odd).collect()
+    got = near_dedup.near_duplicates(odd, TWO).collect()
     assert len(got) == len(odd_rows) and all(r.component_id is None and r.kept for r in got if r.doc_id is None)
     agrees({r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got}, [(i, t) for i, t in dict(odd_rows).items() if i is not None])
     assert near_dedup.near_duplicates(none).count() == 0
@@ -88,13 +109,13 @@ def test_near_chains_and_strays(spark):
 
 def test_ids_in_several_rows(spark):
     docs = [(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (3, "e f g h"), (4, "x y")]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), TWO).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    # An id that is the smallest of two classes stands for either text.
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, "x y z")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), TWO).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
-
-
-def five_words(t: str | None) -> set:
-    w = brute.WORD.findall(brute.lower(t or ""))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
 def test_near_by_five_words(spark, monkeypatch):
@@ -109,10 +130,10 @@ def test_near_by_five_words(spark, monkeypatch):
         docs.append((100 + k, " ".join(w)))
     df, five = spark.createDataFrame(docs, "doc_id long, text string"), near_dedup.Sketch(width=5)
     two = brute.near(docs[:2])
-    monkeypatch.setattr(brute, "shingle_set", five_words)
+    monkeypatch.setattr(brute, "WIDTH", 5)
     assert two[1][1] == 0 and brute.near(docs[:2])[1][1] == 1
     agrees({r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, five).collect()}, docs)
-    assert near_dedup.drop_near_duplicates(df.filter("doc_id < 2"), five).count() == 2 and near_dedup.drop_near_duplicates(df.filter("doc_id < 2")).count() == 1
+    assert near_dedup.drop_near_duplicates(df.filter("doc_id < 2"), five).count() == 2 and near_dedup.drop_near_duplicates(df.filter("doc_id < 2"), TWO).count() == 1
 
 
 def test_registers_merge_and_estimate():
@@ -129,6 +150,28 @@ def test_registers_merge_and_estimate():
     assert one(ka, kb, len(a), len(b)) and not one(ka, sketch.of([a[100:] + np.uint64(7)])[0], 999, 899)
 
 
+def test_words_that_weak_hashes_confuse(spark):
+    from test_tokens import twins
+
+    a, b = twins()
+    docs = [(1, a), (2, b), (3, a + " x"), (4, b + " x"), (5, a + " x")]
+    agrees(near_of(spark.createDataFrame(docs, "doc_id long, text string")), docs)
+    w = scan([a, b], lower=True)
+    assert len(w.names) == 2 and w.digests[0].tolist() != w.digests[1].tolist()
+
+
+def test_exact_shingles_are_word_sequences():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 6, int(n))) for n in rng.integers(0, 12, 60)]
+    for width in (1, 2, 3, 5):
+        sets = exact_shingles(scan(texts, lower=True), width)
+        words = [t.split() for t in texts]
+        want = [{tuple(x[i : i + width]) for i in range(len(x) - width + 1)} if len(x) >= width else {tuple(x)} if x else set() for x in words]
+        for i in range(60):
+            assert len(sets[i]) == len(want[i])
+            assert all(len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) for j in range(i))
+
+
 def test_shingles():
     sets = shingles(scan(["A b", "a B c", "", "one", None, "one one one"], lower=True))
     assert [len(s) for s in sets] == [1, 2, 0, 1, 0, 1] and sets[0][0] in sets[1]

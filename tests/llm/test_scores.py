@@ -27,6 +27,20 @@ def test_quality_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_repeats_of_words_that_weak_hashes_confuse():
+    from test_tokens import twins
+
+    a, b = twins()
+    texts = [" ".join([a, *map(str, range(7)), b, *map(str, range(7))]), " ".join([a, *map(str, range(7))] * 2), "", "x " * 40, "a b c d e f g h"]
+    assert quality.judge_run(texts, quality.Bands()).n_repeat_words.tolist() == [brute.quality(t)[4] for t in texts] == [0, 16, 0, 40, 0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=40).map(" ".join), max_size=6))
+def test_repeats(texts):
+    assert quality.judge_run(texts, quality.Bands()).n_repeat_words.tolist() == [brute.quality(t)[4] for t in texts]
+
+
 def test_quality_query(spark, data, documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in QUERIES["op9_quality_rules"](spark, data).collect():
@@ -127,8 +141,9 @@ def test_all_probabilities_sum_to_one():
     assert sum(max(after.get(w, 0) - d, 0) / 3 + d * len(after) / 3 * b for w, b in base.items()) == pytest.approx(1)
 
 
-def test_pipeline(spark, data, documents):
-    """Each stage against its plain version, on what the stage before kept."""
+def test_pipeline(spark, data, documents, monkeypatch):
+    """Each stage against its plain version, on what the stage before kept; near duplicates by five words."""
+    monkeypatch.setattr(brute, "WIDTH", 5)
     docs = [(r.doc_id, r.text) for r in documents.collect()]
     good = [(i, t) for i, t in docs if not brute.quality(t)[5] and quality.judge_run([t], quality.Bands()).in_band[0]]
     stages = dict(corpus_pipeline.STAGES)
