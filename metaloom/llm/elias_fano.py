@@ -82,10 +82,11 @@ class EliasFano:
         out = np.full(len(v), -1, dtype=np.int64)
         if not self.n:
             return out
-        begin = np.zeros(len(v), dtype=np.int64)
-        some = top > 0
+        begin, end = np.zeros(len(v), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
+        inside = v <= self.get(np.array([self.n - 1]))[0]
+        some = inside & (top > 0)
         begin[some] = self._select(top[some] - 1, self.zeros, True) + 1 - top[some]
-        end = self._select(top, self.zeros, True) - top
+        end[inside] = self._select(top[inside], self.zeros, True) - top[inside]
         live = np.flatnonzero(begin < end)
         lo, hi = begin[live], end[live]
         while len(live):

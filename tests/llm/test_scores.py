@@ -97,7 +97,7 @@ def test_elias_fano_is_compact():
 
 def test_trie_finds_successors_of_contexts():
     rng = np.random.default_rng(2)
-    c, s = rng.choice(rng.integers(0, 2**63, 50, dtype=np.uint64), 4000), rng.integers(0, 300, 4000).astype(np.uint64)
+    c, s = rng.choice(rng.integers(0, 2**31, 50, dtype=np.uint64), 4000), rng.integers(0, 300, 4000).astype(np.uint64)
     pairs = np.unique(np.stack([c, s], axis=1), axis=0)
     t = lm.Trie.open(lm.Trie.build(pairs[:, 0], pairs[:, 1], np.arange(1, len(pairs) + 1)))
     assert t.find(pairs[:, 0], np.ones(len(pairs), dtype=int), pairs[:, 1]).tolist() == list(range(1, len(pairs) + 1))
@@ -107,6 +107,24 @@ def test_trie_finds_successors_of_contexts():
     assert np.allclose(lm.dequantise(lm.quantise(np.log10(p))), p, rtol=1e-3) and lm.dequantise(np.array([0]))[0] == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-(2**40), 2**40), max_size=30), max_size=4))
+def test_packed_numbers(lists):
+    arrays = [np.array(x, dtype=np.int64) for x in lists]
+    assert [x.tolist() for x in lm.unpack(lm.pack(*arrays))] == lists
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    from test_tokens import twins
+
+    a, b = twins()
+    train, held = (next(i for i in range(99) if brute.held_out(i) == x) for x in (False, True))
+    docs = [(train, a), (held, b)]
+    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    held_against(rows, docs, lm.Model())
+    assert {r.doc_id: r.n_known for r in rows} == {train: 2, held: 1}
+
+
 def held_against(rows, docs, model):
     want = {}
     for (i, t), w in zip(docs, brute.lm(docs, model.discount), strict=True):
