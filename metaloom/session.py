@@ -29,11 +29,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written in the shared checkpoint folder: later jobs neither recompute it nor lose it with an executor, read only the columns they need, and plan with its true size."""
+def cut(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    """``df`` as a table written in the shared checkpoint folder: later jobs neither recompute it nor lose it with an executor, read only the columns they need, and plan with its true size. ``rows_a_file`` (0: any number) is for very large rows."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _TABLES[out] = path
     return out
