@@ -13,8 +13,8 @@ from metaloom.session import checkpoint_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base's rules or leave their compression band go."""
-    return quality.keep_good(docs)
+    """Documents that fail the base's rules or leave their compression band go; the bands are fitted to labelled texts."""
+    return quality.keep_good(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,8 +41,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs under which two or more pages were fetched."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_and_path(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path")).filter("host != ''").select(url_filter.canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+    urls = pages.filter(url_filter.host_and_path(F.col("url"))[0] != "").select(url_filter.canonical(F.col("url")).alias("canonical_url"))
     listed = urls.groupBy("canonical_url").count().filter("count >= 2").select("canonical_url")
     return url_filter.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
@@ -70,7 +69,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The bands are fitted to the texts that ``labels`` calls good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.with_quality(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_bad_chunks")))
 
 
@@ -92,10 +93,20 @@ SQL = {
 WITH p AS (
   SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END, '') AS rest FROM pages),
 q AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+e AS (
+  SELECT page_id, host, path, string_split(path, '%') AS pp, string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '%') AS qq FROM q),
+u AS (
+  SELECT page_id, host, path, [pp[1]] || list_transform(pp[2:], lambda x: CASE WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN '%' || x
+           WHEN regexp_matches(x, '^(3[0-9]|4[1-9A-Fa-f]|5[0-9Aa]|6[1-9A-Fa-f]|7[0-9Aa]|2[DdEe]|5[Ff]|7[Ee])') THEN chr(('0x' || x[1:2])::INT) || x[3:] ELSE '%' || upper(x[1:2]) || x[3:] END) AS pp,
+         [qq[1]] || list_transform(qq[2:], lambda x: CASE WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN '%' || x
+           WHEN regexp_matches(x, '^(3[0-9]|4[1-9A-Fa-f]|5[0-9Aa]|6[1-9A-Fa-f]|7[0-9Aa]|2[DdEe]|5[Ff]|7[Ee])') THEN chr(('0x' || x[1:2])::INT) || x[3:] ELSE '%' || upper(x[1:2]) || x[3:] END) AS qq FROM e),
+k AS (
+  SELECT page_id, host, path, array_to_string(pp, '') AS plain, list_sort(list_filter(string_split(array_to_string(qq, ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|msclkid|ref|ref_src)(=|$)'))) AS kept FROM u),
 c AS (
-  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM q),
+  SELECT page_id, host, path, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', ''), '^www\.', '')
+         || regexp_replace(plain, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM k),
 l AS (SELECT canonical FROM c WHERE host <> '' GROUP BY canonical HAVING count(*) >= 2),
 r AS (
   SELECT *, CASE

@@ -1,10 +1,15 @@
 """URL filters with DataFrame functions alone: rules, then a blocked Bloom filter before an exact hash join.
 
 The list of canonical URLs may be of any size. It is folded into a blocked Bloom filter: a URL's hash names one block
-of four 64-bit words and sets one bit in each. The filter has a fixed number of blocks, so its broadcast has a proven
-bound (``blocks`` rows of 40 bytes, 2.6 MB by default) however long the list; a longer list only lets more URLs pass.
-URLs that pass are joined with the list itself on the canonical URL, which removes false hits; the others skip the
-join's shuffle.
+of four 64-bit words and sets one bit in each. The number of blocks follows the list (``KEYS`` URLs a block, where about
+one other URL in 250 passes), up to ``blocks``, so the broadcast has a proven bound: that many rows of 40 bytes, 10.5 MB
+by default, which serve four million URLs. A longer list is joined without the filter, as nearly all would pass it.
+URLs that pass are joined with the list itself on the canonical URL, which removes false hits; the key of the others
+can't be in the list. Pages are read once.
+
+Canonical URLs: scheme, user, fragment, default ports, a leading ``www.`` and slashes at the path's end are left out;
+dot segments are resolved; escapes of unreserved characters are undone and the others written in capitals; parameters of
+the query are sorted, and those that only track (``TRACKING``) left out. All other parameters count.
 
 Rules are few and given as a parameter: (verdict, host, path). A rule fits its host and all subdomains if the URL's
 path starts with the rule's path; of several the longest wins and its verdict stands; else a listed URL is blocked,
@@ -21,7 +26,9 @@ from pyspark.sql import functions as F
 
 from metaloom.session import cut
 
-BLOCKS = 65_536
+BLOCKS, KEYS = 1 << 18, 16
+# Parameters of a query that name the way to a page, not the page.
+TRACKING = r"^(utm_[^=]*|gclid|fbclid|msclkid|ref|ref_src)(=|$)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -31,9 +38,33 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(cut_off, string.ascii_uppercase, string.ascii_lowercase), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without a leading ``www.``, path without slashes at its end; scheme, query and fragment are gone."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""))
+def _unescaped(x: Column) -> Column:
+    """Escapes of unreserved characters undone, the others in capitals."""
+
+    def part(y: Column) -> Column:
+        code = F.upper(F.substring(y, 1, 2))
+        char = F.char(F.conv(code, 16, 10).cast("long"))
+        rest = F.substring(y, 3, 2**31 - 1)
+        return F.when(~code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), y)).when(char.rlike("^[A-Za-z0-9._~-]$"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), code, rest))
+
+    pieces = F.split(x, "%", -1)
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), part), ""))
+
+
+def _resolved(path: Column) -> Column:
+    """The path without ``.`` and ``..``, and without slashes at its end."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    plain = F.when(path.contains("/."), F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")).otherwise(path)
+    return F.regexp_replace(plain, r"/+$", "")
+
+
+def canonical(url: Column) -> Column:
+    """The canonical form of a URL; empty where it has no ``://``."""
+    host, path = host_and_path(url)
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":(80|443)?$", ""), r"^www\.", "")
+    parameters = F.split(_unescaped(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))), "&", -1)
+    kept = F.array_join(F.array_sort(F.filter(parameters, lambda x: (x != "") & ~x.rlike(TRACKING))), "&")
+    return F.concat(host, _resolved(_unescaped(path)), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -63,22 +94,26 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFram
 
 def judge_urls(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
     """``df`` with ``host, path, rule, listed, verdict`` (columns of these names are replaced); ``listed`` has a column ``canonical_url`` (repeats and nulls allowed)."""
-    tag = "metaloom_"
-    key, block, url, settled, maybe = (tag + x for x in ("key", "block", "url", "settled", "maybe"))
-    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias(key)).distinct())
-    bloom = blocked_bloom(keys, key, blocks).toDF(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
-    host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    parts = df.withColumns({f"{tag}host": host, f"{tag}path": path}).drop("host", "path", "rule", "listed", "verdict").withColumnsRenamed({f"{tag}host": "host", f"{tag}path": "path"})
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag += "_"
+    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias(f"{tag}key")).distinct())
+    count = keys.count()
+    source, wanted, at = (F.col(f"{tag}{x}") for x in ("source", "wanted", "at"))
+    host, path = host_and_path(source)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumns({"rule": rule, settled: verdict, url: canonical(F.col("host"), F.col("path"))})
+    parts = df.withColumn(f"{tag}source", F.col(f"`{url_col}`").cast("string")).drop("host", "path", "rule", "listed", "verdict").withColumns({"host": host, "path": path})
     # A URL that a rule settles, or without a host, is not looked up.
-    parts = parts.withColumn(block, F.when(F.col("rule").isNull() & (F.col("host") != ""), _block(F.col(url), blocks)))
-    tested = parts.join(F.broadcast(bloom), F.col(block) == F.col(f"{tag}at"), "left")
-    hit = F.col(f"{tag}at").isNotNull()
-    for k, b in enumerate(_bits(F.col(url))):
-        hit = hit & (F.col(f"{tag}w{k}").bitwiseAND(b) != 0)
-    tested = tested.withColumn(maybe, F.coalesce(hit, F.lit(False))).drop(block, f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
-    # Only URLs that the filter lets pass are shuffled to the list.
-    found = tested.filter(F.col(maybe)).join(keys, F.col(url) == F.col(key), "left").withColumn("listed", F.col(key).isNotNull()).drop(key)
-    passed = tested.filter(~F.col(maybe)).withColumn("listed", F.lit(False))
-    return found.unionByName(passed).withColumn("verdict", F.coalesce(F.col(settled), F.when(F.col("listed"), "block").otherwise("allow"))).drop(settled, url, maybe)
+    parts = parts.withColumns({"rule": rule, f"{tag}settled": verdict})
+    parts = parts.withColumn(f"{tag}wanted", F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical(source)))
+    if count <= KEYS * blocks:
+        own = min(blocks, max(1024, -(-count // KEYS)))
+        bloom = blocked_bloom(keys, f"{tag}key", own).toDF(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
+        tested = parts.join(F.broadcast(bloom), _block(wanted, own) == at, "left")
+        hit = at.isNotNull()
+        for k, b in enumerate(_bits(wanted)):
+            hit = hit & (F.col(f"{tag}w{k}").bitwiseAND(b) != 0)
+        # What the filter stops gets a key that is in no list.
+        parts = tested.withColumn(f"{tag}wanted", F.when(hit, wanted).otherwise(F.concat(F.lit("\0"), wanted))).drop(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
+    judged = parts.join(keys, wanted == F.col(f"{tag}key"), "left").withColumn("listed", F.col(f"{tag}key").isNotNull())
+    return judged.withColumn("verdict", F.coalesce(F.col(f"{tag}settled"), F.when(F.col("listed"), "block").otherwise("allow"))).drop(*(f"{tag}{x}" for x in ("source", "settled", "wanted", "key")))

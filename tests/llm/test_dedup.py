@@ -255,6 +255,22 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.filter("false"), listed, URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("url, want", [
+    ("http://www.A.com:80/x/", "a.com/x"), ("https://u:p@a.com:443/x?b=2&a=1&utm_source=f#top", "a.com/x?a=1&b=2"), ("http://a.com:8080/", "a.com:8080"),
+    ("http://a.com/x?id=1", "a.com/x?id=1"), ("http://a.com/x?ref=y&gclid=3&&", "a.com/x"), ("http://a.com/x?reference=1", "a.com/x?reference=1"), ("http://a.com/a/./b/../c//", "a.com/a/c"), ("http://a.com/../../x", "a.com/x"),
+    ("http://a.com/%7euser/%c3%A9%2f%zz%4", "a.com/~user/%C3%A9%2F%zz%4"), ("no scheme", ""), ("http://a.com/.hidden", "a.com/.hidden"), ("http://a.com?q=%41", "a.com?q=A"), ("http://a.com/\nx", "a.com/\nx"),
+])
+def test_canonical(spark, url, want):
+    assert spark.createDataFrame([(url,)], "url string").select(url_filter.canonical(F.col("url"))).first()[0] == want
+
+
+def test_lists_beyond_the_filter(spark):
+    keys = spark.range(300).select(F.concat(F.lit("h.com/"), F.col("id")).alias("canonical_url"))
+    pages = spark.range(600).select(F.concat(F.lit("http://h.com/"), F.col("id")).alias("url"), F.lit(1).alias("_key"), F.lit(2).alias("__wanted"), F.lit("x").alias("Host"))
+    got = url_filter.judge_urls(pages, keys, [], blocks=4)
+    assert got.filter("listed").count() == 300 and got.columns == ["url", "_key", "__wanted", "host", "path", "rule", "listed", "verdict"]
+
+
 def test_bloom_never_misses_and_false_hits_are_removed(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h.com/"), F.col("id")).alias("canonical_url"))
     pages = spark.range(6000).select(F.concat(F.lit("http://h.com/"), F.col("id")).alias("url"))

@@ -47,6 +47,56 @@ def test_quality_query(spark, data, documents):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(texts[r.doc_id])
 
 
+def plain_verdict(t: str | None, bands: quality.Bands) -> bool:
+    """The verdict by the plainest reading: every chunk, and the tail as a chunk that ends with the text."""
+    import zstandard
+
+    raw = (t or "").encode()
+    within = lambda b, n: [lo <= len(b) / len(zstandard.compress(b, bands.level)) <= hi for at, lo, hi in bands.limits if n >= at][-1]
+    if brute.quality(t)[5] or raw and not within(raw, len(raw)):
+        return False
+    if len(raw) <= bands.chunk:
+        return True
+    bad = set()
+    for i in range(0, len(raw), bands.chunk):
+        end = min(i + bands.chunk, len(raw))
+        if not within(raw[end - bands.chunk : end], bands.chunk):
+            bad |= set(range(i, end))
+    return len(bad) <= bands.bad_chunks * len(raw)
+
+
+def test_kept_query(spark, data, documents):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    bands = quality.fit_bands(documents, labels)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = QUERIES["op9_quality_rules"](spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.kept == plain_verdict(texts[r.doc_id], bands), r
+
+
+def test_fitted_bands_decide(spark):
+    """On labelled texts of sf0.01: clean ones stay, and most poor ones that pass the base's rules go by compression."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    bands = quality.fit_bands(docs, labels)
+    rows = quality.with_quality(docs.join(labels.select("doc_id"), "doc_id"), bands=bands).filter("not quality.base_failed").select("doc_id", F.col("quality.in_band").alias("ok")).collect()
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    clean, poor = [r.ok for r in rows if r.doc_id in good], [r.ok for r in rows if r.doc_id not in good]
+    assert sum(clean) >= 0.99 * len(clean) and sum(poor) <= 0.5 * len(poor)
+
+
+def test_bands_without_labels_or_few(spark, odd, none):
+    labels = spark.createDataFrame([(10, 1), (13, 1), (None, 1), (11, 0)], "doc_id long, quality int")
+    for docs, few in ((odd, labels), (none, labels), (odd, labels.filter("false"))):
+        assert quality.fit_bands(docs, few) == quality.Bands()
+    sizes = np.repeat(np.arange(1000, 3000, 10), 3)
+    b = quality.Bands().fitted(sizes, 1.9 + 0.0001 * (sizes - 1000), 100)
+    assert b.band(999) == quality.Bands().band(999) and b.band(3000) == quality.Bands().band(3000) and 1.9 < b.band(1500)[1] < 2.0
+    starts = [x[0] for x in b.limits]
+    assert starts == sorted(set(starts)) and starts[0] == 0
+
+
 def test_bands_reject_by_length():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
@@ -163,7 +213,8 @@ def test_pipeline(spark, data, documents, monkeypatch):
     """Each stage against its plain version, on what the stage before kept; near duplicates by five words."""
     monkeypatch.setattr(brute, "WIDTH", 5)
     docs = [(r.doc_id, r.text) for r in documents.collect()]
-    good = [(i, t) for i, t in docs if not brute.quality(t)[5] and quality.judge_run([t], quality.Bands()).in_band[0]]
+    bands = quality.fit_bands(documents, spark.read.parquet(f"{data}/labels.parquet"))
+    good = [(i, t) for i, t in docs if plain_verdict(t, bands)]
     stages = dict(corpus_pipeline.STAGES)
     one = stages["quality_rules"](spark, documents, data)
     assert one.columns == documents.columns and sorted(r.doc_id for r in one.collect()) == sorted(i for i, _ in good)
@@ -183,6 +234,7 @@ def test_pipeline(spark, data, documents, monkeypatch):
 
 def test_clean_documents_stay(spark, data, documents):
     labels = spark.read.parquet(f"{data}/labels.parquet")
-    clean = documents.join(labels.filter("quality = 1"), "doc_id")
-    assert quality.with_quality(clean).filter("not quality.in_band").count() == 0
-    assert clean.count() > 0 and clean.agg(F.count("*")).first()[0] > 0
+    clean = documents.join(labels.filter("quality = 1").select("doc_id"), "doc_id")
+    for bands in (quality.Bands(), quality.fit_bands(documents, labels)):
+        judged = quality.with_quality(clean, name="judged", bands=bands)
+        assert judged.count() > 50 and judged.filter("not judged.in_band").count() == 0
