@@ -1,7 +1,9 @@
 """Text search as DataFrames: analysis, postings, ranked and boolean retrieval, facets and highlights.
 
 Postings are rows (term, doc_id, field, tf, positions); documents' lengths are a second frame. A query is a join of its
-terms with the postings, so only its terms' postings are read when they are stored by a hash of the term.
+terms with the postings. :func:`search` answers from the texts themselves and drops all other terms before anything is
+shuffled; for repeated use :func:`store_index` writes postings by buckets of terms, and :func:`stored_search` reads only the
+buckets of the terms that are asked for.
 """
 
 from __future__ import annotations
@@ -9,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metaloom.session import cut
+
 # English stop words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
@@ -61,24 +65,61 @@ def lengths(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool = T
     return out
 
 
-def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, need_all: bool = False) -> DataFrame:
-    """``query_id, doc_id, score`` of every match. ``queries``: query_id, term. Scores are summed over terms and fields."""
-    q = queries.select("query_id", "term").distinct()
-    totals = stats.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = post.join(q.select("term").distinct(), "term", "left_semi")
+def _totals(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+
+
+def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bool) -> DataFrame:
+    """``hits``: term, doc_id, field, tf, length of the asked terms; they are used twice, so they are written once."""
+    q, hits = queries.select("query_id", "term").distinct(), cut(hits)
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # a posting is a document
-    scored = hits.join(F.broadcast(totals), "field").join(df, ["term", "field"]).join(stats, ["doc_id", "field"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    out = scored.withColumn("part", part).join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.countDistinct("term").alias("terms"))
+    scored = hits.join(df.join(F.broadcast(totals), "field"), ["term", "field"]).select("term", "doc_id", part.alias("part"))
+    out = scored.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.countDistinct("term").alias("terms"))
     if need_all:
         out = out.join(q.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def top_hits(scored: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
+def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, need_all: bool = False) -> DataFrame:
+    """``query_id, doc_id, score`` of every match. ``queries``: query_id, term. Scores are summed over terms and fields."""
+    hits = post.join(queries.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "field", "tf")
+    return _scored(queries, hits.join(stats, ["doc_id", "field"]), _totals(stats), need_all)
+
 
+def matching(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame) -> DataFrame:
+    """``term, doc_id, field, tf, length`` of the given terms alone: other terms are dropped where the text is read."""
+    out = None
+    for name, kind in fields.items():
+        words = F.array_compact(F.array(F.lower(F.col(name)))) if kind == "keyword" else F.filter(tokens(F.col(name)), lambda x: ~x.isin(STOP_WORDS))
+        part = docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), words.alias("words"))
+        part = part.select("doc_id", "field", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "field", "length").agg(F.count("*").alias("tf"))
+
+
+def search(docs: DataFrame, id_col: str, fields: dict[str, str], queries: DataFrame, need_all: bool = False) -> DataFrame:
+    """:func:`bm25` straight from the texts: nothing but the asked terms' postings is shuffled."""
+    return _scored(queries, matching(docs, id_col, fields, queries), _totals(lengths(docs, id_col, fields)), need_all)
+
+
+def store_index(docs: DataFrame, id_col: str, fields: dict[str, str], folder: str, buckets: int = 64) -> None:
+    """Writes ``postings`` in folders by bucket of the term, and ``lengths``. A common term's postings lie in several files of its bucket."""
+    post = postings(analyse(docs, id_col, fields)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    post.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths(docs, id_col, fields).write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def stored_search(spark: SparkSession, folder: str, words: dict[int, list[str]], buckets: int = 64, need_all: bool = False) -> DataFrame:
+    """:func:`bm25` over a stored index for queries given as lists of analysed words: reads the folders of their buckets alone."""
+    asked = spark.createDataFrame([(i, w) for i, ws in words.items() for w in ws], "query_id long, term string")
+    of = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]  # as many as buckets at most
+    post = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(of) & F.col("term").isin(sorted({w for ws in words.values() for w in ws})))
+    return bm25(asked, post, spark.read.parquet(f"{folder}/lengths"), need_all)
+
+
+def top_hits(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
@@ -134,7 +175,7 @@ def fuzzy_terms(post: DataFrame, word: str, distance: int = 2) -> DataFrame:
 
 def highlight(text: Column, terms: list[str], around: int = 60) -> Column:
     """The text around the first hit, hits marked; null without one."""
-    pattern = r"(?i)\b(" + "|".join(terms) + r")\b"
+    pattern = r"(?i)(?<!\w)(" + "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms) + r")(?!\w)"
     at = F.regexp_instr(text, F.lit(pattern))
     cutout = F.substring(text, F.greatest(F.lit(1), at - around), F.lit(2 * around))
     return F.when(at > 0, F.regexp_replace(cutout, pattern, "<mark>$1</mark>"))
@@ -161,11 +202,6 @@ def delete_documents(post: DataFrame, ids: DataFrame) -> DataFrame:
     return post.join(ids.select("doc_id"), "doc_id", "left_anti")
 
 
-def fields_bm25(docs: DataFrame, id_col: str, fields: dict[str, str], queries: DataFrame) -> DataFrame:
-    asked = analyse(docs, id_col, fields).join(queries.select("term").distinct(), "term", "left_semi")  # other terms score nothing
-    return bm25(queries, postings(asked), lengths(docs, id_col, fields))
-
-
 def routed(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
     """A table of queries (query_id, query), each answered by what it is about.
 
@@ -179,8 +215,8 @@ def routed(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     exact = q.filter("intent = 'accession'").join(docs.select(F.col(id_col).alias("doc_id")), normalised_accession(F.col("query")) == F.col("doc_id")).select("query_id", "doc_id", F.lit(1.0).alias("score"))
     words = lambda x: x.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     body = {text_col: "standard"}
-    studies = fields_bm25(docs.filter("type = 'study'"), id_col, body, words(q.filter("intent = 'study'")))
-    whole = fields_bm25(docs, id_col, body, words(q.filter("intent in ('technical', 'general')")))
+    studies = search(docs.filter("type = 'study'"), id_col, body, words(q.filter("intent = 'study'")))
+    whole = search(docs, id_col, body, words(q.filter("intent in ('technical', 'general')")))
     technical, name = F.col("intent") == "technical", F.upper("query")
     names = q.select("query_id", (technical & name.contains("ILLUMINA")).alias("by_platform"), (technical & name.contains("RNA-SEQ")).alias("by_strategy")).filter("by_platform or by_strategy")
     has = docs.select(F.col(id_col).alias("doc_id"), (F.col("platform") == "ILLUMINA").alias("illumina"), contains_phrase(F.col("library_strategy"), "rna seq").alias("rna_seq")).filter("illumina or rna_seq")

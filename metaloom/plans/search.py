@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metaloom import schemas
 from metaloom.functions import scalars as sc
 from metaloom.operators import predicates as p
 from metaloom.operators import text as t
@@ -22,8 +23,8 @@ def _analysed(s, d):
     return t.analyse(table(s, d, "documents"), "doc_id", {"text": "standard"})
 
 
-def _lengths(s, d):
-    return t.lengths(table(s, d, "documents"), "doc_id", {"text": "standard"})
+def _search(s, d, queries):
+    return t.search(table(s, d, "documents"), "doc_id", {"text": "standard"}, queries)
 
 
 def _query(s, words):
@@ -59,22 +60,32 @@ def t6(s, d):
 
 @query("t7_bm25_top", bm25_sql(["onanthan", "thnd", "hend"], " SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20"))
 def t7(s, d):
-    a = _analysed(s, d)
-    return t.top_hits(t.bm25(_query(s, ["onanthan", "thnd", "hend"]), t.postings(a), _lengths(s, d)), 20).select("doc_id", "score")
+    return t.top_hits(_search(s, d, _query(s, ["onanthan", "thnd", "hend"])), 20).select("doc_id", "score")
 
 
 @query("t9_any_term", bm25_sql(["eronouen", "thstinnt", "leux", "keit"], " SELECT doc_id, score FROM r"))
 def t9(s, d):
-    a = _analysed(s, d)
-    return t.bm25(_query(s, ["eronouen", "thstinnt", "leux", "keit"]), t.postings(a), _lengths(s, d)).select("doc_id", "score")
+    return _search(s, d, _query(s, ["eronouen", "thstinnt", "leux", "keit"])).select("doc_id", "score")
 
 
-@query("t9_every_benchmark_item")
+def ranked_sql(tag: str) -> str:
+    """BM25 of the queries in ``ask<tag>`` (query_id, term) over ``corpus<tag>`` (id, body), as ``r<tag>``."""
+    return f", tk{tag} AS (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM corpus{tag}), a{tag} AS (SELECT * FROM tk{tag} WHERE term NOT IN ({STOP})), n{tag} AS (SELECT id, count(*) AS len FROM a{tag} GROUP BY 1), g{tag} AS (SELECT count(*) AS docs, avg(len) AS mean FROM n{tag}), x{tag} AS (SELECT id, term, count(*) AS tf FROM a{tag} WHERE term IN (SELECT term FROM ask{tag}) GROUP BY ALL), df{tag} AS (SELECT term, count(*) AS df FROM x{tag} GROUP BY 1), r{tag} AS (SELECT query_id, id AS doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM x{tag} JOIN df{tag} USING (term) JOIN n{tag} USING (id) JOIN ask{tag} USING (term), g{tag} GROUP BY ALL)"
+
+
+def terms_sql(queries: str) -> str:
+    return f"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {queries})"
+
+
+BEST = " QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {k}"
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
+
+
+@query("t9_every_benchmark_item", f", corpus AS (SELECT doc_id AS id, text AS body FROM documents), asking AS (SELECT item_id AS query_id, text AS query FROM benchmark), ask AS ({terms_sql('asking')})" + ranked_sql("") + f" SELECT query_id, doc_id, score, {RANK} FROM r" + BEST.format(k=5))
 def t9b(s, d):
     """Each benchmark text as a query against all documents."""
-    a = _analysed(s, d)
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(t.tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(t.STOP_WORDS))
-    return t.top_hits(t.bm25(q, t.postings(a), _lengths(s, d)), 5)
+    return t.top_hits(_search(s, d, q), 5)
 
 
 @query("t10_field_terms", "SELECT experiment_accession FROM experiment WHERE lower(platform) = '1-urgent' AND lower(library_strategy) = 'o'")
@@ -114,9 +125,8 @@ def t14(s, d):
 
 @query("t15_filtered_search", bm25_sql(["thnd", "hend"], " SELECT doc_id, score FROM r WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src0' AND lang = 'en')"))
 def t15(s, d):
-    a = _analysed(s, d)
     allowed = table(s, d, "documents").filter("source = 'src0' and lang = 'en'").select("doc_id")
-    return t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), _lengths(s, d)).join(allowed, "doc_id", "left_semi").select("doc_id", "score")
+    return _search(s, d, _query(s, ["thnd", "hend"])).join(allowed, "doc_id", "left_semi").select("doc_id", "score")
 
 
 @query("t16_fuzzy", TOKENS + " SELECT DISTINCT term, damerau_levenshtein(term, 'thnad')::INT AS distance FROM a WHERE damerau_levenshtein(term, 'thnad') <= 1")
@@ -131,8 +141,7 @@ def t17(s, d):
 
 @query("t18_floors", bm25_sql(["thnd", "hend"], " SELECT doc_id, score, CASE WHEN score > 5 THEN 'high' WHEN score > 2 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE score >= 1"))
 def t18(s, d):
-    a = _analysed(s, d)
-    hits = t.bm25(_query(s, ["thnd", "hend"]), t.postings(a), _lengths(s, d)).filter("score >= 1")
+    hits = _search(s, d, _query(s, ["thnd", "hend"])).filter("score >= 1")
     return hits.select("doc_id", "score", sc.confidence(F.col("score"), F.lit(0.0)).alias("confidence"))
 
 
@@ -147,12 +156,26 @@ def t20(s, d):
     return f.study(s, d).filter(F.contains(F.lower(F.concat_ws(" ", "study_title", "study_abstract")), F.lit("machinery"))).select("study_accession")
 
 
-@query("t21_routing")
+def routed_sql() -> str:
+    either = "|".join
+    intent = f"CASE WHEN regexp_matches(upper(query), '^[SED]R[RSXP][0-9]+$') THEN 'accession' WHEN regexp_matches(upper(query), '{either(schemas.TECHNICAL_TERMS)}') THEN 'technical' WHEN regexp_matches(upper(query), '{either(schemas.STUDY_TERMS)}') THEN 'study' ELSE 'general' END"
+    everything = "SELECT 'study' AS type, study_accession AS id, study_abstract AS body, NULL AS platform, NULL AS library_strategy FROM study UNION ALL SELECT 'experiment', experiment_accession, concat_ws(' ', title, platform, library_strategy), platform, library_strategy FROM experiment UNION ALL SELECT 'document', doc_id::VARCHAR, text, NULL, NULL FROM documents"
+    queries = "SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT -1 - substr(study_accession, 4)::BIGINT, study_accession FROM study"
+    named = "intent = 'technical' AND contains(upper(query), '{}') AND NOT coalesce({}, false)"
+    other = named.format("ILLUMINA", "platform = 'ILLUMINA'"), named.format("RNA-SEQ", "regexp_matches(lower(library_strategy), '(^|[^\\p{L}\\p{N}])rna[^\\p{L}\\p{N}]+seq($|[^\\p{L}\\p{N}])')")
+    return (
+        f", everything AS ({everything}), asked AS (SELECT *, {intent} AS intent FROM ({queries})), corpus1 AS (SELECT id, body FROM everything WHERE type = 'study'), ask1 AS ({terms_sql('asked WHERE intent = $$study$$')}), corpus2 AS (SELECT id, body FROM everything), ask2 AS ({terms_sql('asked WHERE intent IN ($$technical$$, $$general$$)')})"
+        + ranked_sql("1") + ranked_sql("2")
+        + f", hits AS (SELECT query_id, id AS doc_id, 1.0::DOUBLE AS score FROM asked JOIN everything ON upper(trim(query)) = id WHERE intent = 'accession' UNION ALL SELECT query_id, doc_id, score FROM r1 UNION ALL SELECT query_id, doc_id, score FROM r2 JOIN asked USING (query_id) JOIN everything ON id = doc_id WHERE NOT ({other[0]}) AND NOT ({other[1]})) SELECT query_id, doc_id, score, {RANK} FROM hits" + BEST.format(k=3)
+    )
+
+
+@query("t21_routing", routed_sql())
 def t21(s, d):
     """Each benchmark text and some accessions, routed by what they are about."""
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     st = f.study(s, d)
-    both = q.unionByName(st.select((F.xxhash64("study_accession")).alias("query_id"), F.col("study_accession").alias("query")))
+    both = q.unionByName(st.select((-1 - F.substring("study_accession", 4, 20).cast("long")).alias("query_id"), F.col("study_accession").alias("query")))
     e = f.experiment(s, d)
     docs = (
         st.select(F.lit("study").alias("type"), F.col("study_accession").alias("id"), F.col("study_abstract").alias("body"))
@@ -193,8 +216,8 @@ DIST = f"round(1 - {DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedd
 @query("v2_nearest", f"SELECT b.vec_id, {DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3 AND b.label = a.label ORDER BY distance, b.vec_id LIMIT 10")
 def v2(s, d):
     e = table(s, d, "embeddings")
-    one = e.filter("vec_id = 3").select("embedding", "label").first()
-    return vec.nearest(e, "embedding", "vec_id", list(one[0]), 10, F.col("label") == one[1], 3).select("vec_id", "distance")
+    label = e.filter("vec_id = 3").select("label").first()[0]
+    return vec.similar_to(e.filter((F.col("label") == label) | (F.col("vec_id") == 3)), "embedding", "vec_id", 3, 10).select("vec_id", "distance")
 
 
 @query("v3_v4_similar", f"SELECT b.vec_id, {DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 17 AND b.vec_id <> 17 ORDER BY distance, b.vec_id LIMIT 25")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaloom import plans
+from metaloom.session import checkpoint_dir
 from metaloom.functions import scalars as sc
 from metaloom.operators import predicates as p
 from metaloom.operators import ranking as r
@@ -105,7 +106,15 @@ def test_text(spark):
     assert t.lengths(docs, "id", {"body": "standard"}).exceptAll(lens).count() == 0 and lens.count() == 2
     q = spark.createDataFrame([(1, "cancer"), (2, "homo"), (2, "sapiens"), (3, "unheard")], "query_id int, term string")
     assert sorted((x.query_id, x.doc_id) for x in t.bm25(q, post, lens, need_all=True).collect()) == [(1, "a"), (2, "b")]
+    found = sorted(map(tuple, t.bm25(q, post, lens).collect()))
+    assert found == sorted(map(tuple, t.search(docs, "id", {"body": "standard"}, q).collect())) and len(found) == 2
+    folder = f"{checkpoint_dir(spark)}/index"
+    t.store_index(docs, "id", {"body": "standard"}, folder, buckets=4)
+    stored = t.stored_search(spark, folder, {1: ["cancer"], 2: ["homo", "sapiens"], 3: ["unheard"]}, buckets=4)
+    assert sorted(map(tuple, stored.collect())) == found
     assert [x.term for x in t.fuzzy_terms(post, "humna", 1).collect()] == ["human"]
+    texts = spark.createDataFrame([("a c++ b",), ("a c b",), ("x C++.",), ("(re)*",)], "s string")
+    assert [x[0] for x in texts.select(t.highlight(F.col("s"), ["c++", "(re)*"])).collect()] == ["a <mark>c++</mark> b", None, "x <mark>C++</mark>.", "<mark>(re)*</mark>"]
     assert [x.doc_id for x in t.phrase(t.postings(t.analyse(docs, "id", {"body": "standard"}, stop=False)), ["of", "the", "lung"]).collect()] == ["a"]
     assert {x.term for x in t.wildcard_terms(post, "*an*").collect()} == {"human", "cancer"}
     assert t.damerau("ca", "abc") == 2 and t.damerau("", "ab") == 2
@@ -203,5 +212,5 @@ def test_routing_by_intent(spark):
     got = {i: {r.doc_id for r in hits if r.query_id == i} for i in asked}
     every = {"SRP1", "SRP2", "SRX1", "SRX2", "SRX3", "D1"}
     assert got == {1: {"SRP2"}, 2: {"SRP1", "SRP2"}, 3: {"SRX1", "SRX2"}, 4: {"SRX1", "SRX3"}, 5: {"SRX1"}, 6: every, 7: every}
-    alone = t.fields_bm25(docs.filter("type = 'study'"), "id", {"body": "standard"}, spark.createDataFrame([(2, "liver"), (2, "cancer")], "query_id long, term string")).collect()
+    alone = t.search(docs.filter("type = 'study'"), "id", {"body": "standard"}, spark.createDataFrame([(2, "liver"), (2, "cancer")], "query_id long, term string")).collect()
     assert {(r.doc_id, r.score) for r in alone} == {(r.doc_id, r.score) for r in hits if r.query_id == 2}
