@@ -179,3 +179,11 @@ def accession_types(wanted: DataFrame, entities: list[tuple[str, DataFrame, str]
         found = part if found is None else found.unionByName(part)
     best = found.join(wanted.select("accession").distinct(), "accession", "left_semi").groupBy("accession").agg(F.min_by("type", "priority").alias("type"))
     return wanted.select("accession").distinct().join(best, "accession", "left").withColumn("type", F.coalesce("type", F.lit("unknown")))
+
+
+def cascade(levels: list[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """A filter carried down: of each level, from the filtered first on, the rows whose parent is left. A level is a frame and its key, which the next one holds too."""
+    out = [levels[0][0]]
+    for (_, key), (child, _) in zip(levels, levels[1:], strict=False):
+        out.append(child.join(out[-1].select(key), key, "left_semi"))
+    return out

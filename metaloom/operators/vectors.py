@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,20 +100,38 @@ def quantised(v: Column) -> Column:
     return F.when(hi > lo, F.transform(v, lambda x: ((x.cast("double") - lo) / (hi - lo) * 255).cast("int"))).otherwise(F.transform(v, lambda x: F.lit(0)))
 
 
+def _batchwise(run: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column function over whole Arrow arrays."""
+
+    def fn(column: Column) -> Column:
+        return F.arrow_udf(run, kind)(column)
+
+    return fn
+
+
 def to_bytes(v: Column) -> Column:
-    @F.pandas_udf("binary")
-    def pack(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+    """Vectors as little-endian 32-bit floats: the lists' values are the bytes already, only the offsets are scaled."""
 
-    return pack(v)
+    def pack(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.float32()))
+        values, at = lists.flatten(), np.zeros(len(lists) + 1, dtype=np.int32)
+        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) * 4, out=at[1:])
+        raw = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype="<f4")
+        out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary())) if lists.null_count else out
 
+    return _batchwise(pack, "binary")(v)
 
-def from_bytes(b: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def unpack(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4"))
 
-    return unpack(b)
+def from_bytes(b: Column) -> Column:
+    def unpack(raw: pa.Array) -> pa.Array:
+        at = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False) // 4, out=at[1:])
+        values = np.frombuffer(b"".join(raw.drop_null().to_pylist()), dtype="<f4")
+        out = pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+        return pc.if_else(raw.is_valid(), out, pa.scalar(None, pa.list_(pa.float32()))) if raw.null_count else out
+
+    return _batchwise(unpack, "array<float>")(b)
 
 
 def to_embed(texts: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:

@@ -26,11 +26,6 @@ def e2(s, d):
     return f.study(s, d).select("study_accession", xml.study_type(existing, F.col("organism")).alias("study_type"))
 
 
-@query("e13_numeric_attributes", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS mean, TRY_CAST(event_type AS BIGINT) AS reads FROM events")
-def e13(s, d):
-    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("mean"), F.col("event_type").try_cast("bigint").alias("reads"))
-
-
 @query("e22_junction", "SELECT experiment_accession, sample_accession FROM junction")
 def e22(s, d):
     return f.junction(s, d)
@@ -145,10 +140,16 @@ def p20(s, d):
 
 
 # Validation.
-@query("q1_document_type", "SELECT page_id, '' AS of_page, CASE WHEN page_id % 2 = 0 THEN 'EXPERIMENT' ELSE 'STUDY' END AS of_record FROM pages")
+@query("q1_document_type", "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'EXPERIMENT' WHEN 1 THEN 'STUDY' WHEN 2 THEN 'SAMPLE' WHEN 3 THEN 'RUN' WHEN 4 THEN 'ANALYSIS' WHEN 5 THEN 'SUBMISSION' ELSE '' END AS kind FROM pages")
 def q1(s, d):
-    record = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?>\n<EXPERIMENT_SET><EXPERIMENT><STUDY_REF accession="'), F.col("page_id").cast("string"), F.lit('"/></EXPERIMENT></EXPERIMENT_SET>'))).otherwise(F.lit('<STUDY accession="SRP000001">'))
-    return table(s, d, "pages").select("page_id", v.document_type(F.col("html")).alias("of_page"), v.document_type(record).alias("of_record"))
+    """Sets, single records, prologues and comments; pages and look-alikes are none of the six."""
+    k = F.col("page_id") % 8
+    doc = (
+        F.when(k == 0, F.concat(F.lit('<?xml version="1.0"?>\n<EXPERIMENT_SET><EXPERIMENT><STUDY_REF accession="'), F.col("page_id").cast("string"), F.lit('"/></EXPERIMENT></EXPERIMENT_SET>')))
+        .when(k == 1, F.lit('<STUDY accession="SRP000001">')).when(k == 2, F.lit("<!-- <RUN> -->\n<SAMPLE_SET>")).when(k == 3, F.lit("  <RUN/>")).when(k == 4, F.lit("<!DOCTYPE x>\n<ANALYSIS>")).when(k == 5, F.lit("<SUBMISSION alias='a'>"))
+        .when(k == 6, F.concat(F.lit("<STUDYING>"), F.col("url"))).otherwise(F.col("html"))
+    )
+    return table(s, d, "pages").select("page_id", v.document_type(doc).alias("kind"))
 
 
 @query("q2_elements", "SELECT page_id, len(regexp_extract_all(html, '<[A-Za-z]'))::INT AS elements FROM pages")
@@ -189,10 +190,15 @@ def q6(s, d):
     return v.model_mismatch(m, "platform", "model")
 
 
-@query("q7_library_enumerations", "SELECT experiment_accession, library_strategy FROM experiment")
+@query("q7_library_enumerations", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'strategy' WHEN 2 THEN 'source' WHEN 3 THEN 'selection' END AS bad FROM orders WHERE o_orderkey % 5 IN (1, 2, 3)")
 def q7(s, d):
-    bad = v.any_of(v.not_in(F.col("library_strategy"), schemas.STRATEGIES), v.not_in(F.col("library_strategy"), schemas.SOURCES), v.not_in(F.col("library_strategy"), schemas.SELECTIONS))
-    return f.experiment(s, d).filter(bad).select("experiment_accession", "library_strategy")
+    """Good values, empty ones, and in turn a bad strategy, source and selection."""
+    k = F.col("o_orderkey") % 5
+    named = {"strategy": (schemas.STRATEGIES, 1), "source": (schemas.SOURCES, 2), "selection": (schemas.SELECTIONS, 3)}
+    cols = {n: F.when(k == at, F.lit("no such")).when(k == 4, F.lit("")).otherwise(F.element_at(F.array(*map(F.lit, values)), (1 + F.col("o_custkey") % len(values)).cast("int"))) for n, (values, at) in named.items()}
+    rows = table(s, d, "orders").select("o_orderkey", *(c.alias(n) for n, c in cols.items()))
+    bad = {n: v.not_in(F.col(n), values) for n, (values, _) in named.items()}
+    return rows.filter(v.any_of(*bad.values())).select("o_orderkey", F.concat_ws("+", *(F.when(c, n) for n, c in bad.items())).alias("bad"))
 
 
 @query("q8_strategy_categories", f"SELECT CASE o_orderkey % 4 WHEN 0 THEN 'genomic' WHEN 1 THEN 'transcriptomic' WHEN 2 THEN 'epigenetic' ELSE 'unknown' END AS category, count(*) AS experiments FROM orders GROUP BY 1")
@@ -202,9 +208,15 @@ def q8(s, d):
     return table(s, d, "orders").groupBy(v.strategy_category(name).alias("category")).agg(F.count("*").alias("experiments"))
 
 
-@query("q9_reference_format", "SELECT run_accession FROM run")
+REF = "CASE o_orderkey % 6 WHEN 0 THEN 'SRX' || lpad(o_orderkey::VARCHAR, 9, '0') WHEN 1 THEN 'ERX' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') WHEN 2 THEN 'SRP' || lpad(o_orderkey::VARCHAR, 9, '0') WHEN 3 THEN 'SRX' || (o_orderkey % 100000) WHEN 4 THEN '' END"
+
+
+@query("q9_reference_format", f"SELECT o_orderkey, ref FROM (SELECT o_orderkey, {REF} AS ref FROM orders) WHERE ref <> '' AND NOT regexp_full_match(ref, '[SED]RX[0-9]{{6,9}}')")
 def q9(s, d):
-    return f.run(s, d).filter(v.bad_reference(F.col("run_accession"), "run") & ~v.bad_reference(F.col("experiment_accession"), "experiment")).select("run_accession")
+    """Of right references, those of another kind, short ones, empty and absent ones: what is no experiment's."""
+    k = F.col("o_orderkey") % 6
+    ref = F.when(k == 0, f.acc("SRX", "o_orderkey")).when(k == 1, F.concat(F.lit("ERX"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))).when(k == 2, f.acc("SRP", "o_orderkey")).when(k == 3, F.concat(F.lit("SRX"), (F.col("o_orderkey") % 100000).cast("string"))).when(k == 4, "")
+    return table(s, d, "orders").select("o_orderkey", ref.alias("ref")).filter(v.bad_reference(F.col("ref"), "experiment"))
 
 
 @query("q10_referential_issues", "SELECT experiment_accession AS accession, 'orphan' AS rule FROM experiment WHERE study_accession IN (SELECT study_accession FROM study WHERE study_type = 'BUILDING')")
@@ -230,10 +242,15 @@ def q14(s, d):
 
 
 # Incremental work.
-@query("i4_file_log", "SELECT event_type AS batch, user_id::VARCHAR AS file, count(*) AS records FROM events GROUP BY ALL")
+@query("i4_file_log", "SELECT event_type AS batch, user_id::VARCHAR AS file, count(*) AS records, true AS order_free, bool_or(event_id % 7 = 0) AS changed FROM events GROUP BY ALL")
 def i4(s, d):
+    """The log of the events, beside those of the events in another order and with every seventh value changed."""
     e = table(s, d, "events").select(F.col("event_type").alias("batch"), F.col("user_id").cast("string").alias("file"), "event_id", "value")
-    return inc.file_log(e, "file", "batch").select("batch", "file", "records")
+    log = lambda rows, name: inc.file_log(rows, "file", "batch").withColumnRenamed("checksum", name)
+    now, again = log(e, "now"), log(e.orderBy(F.desc("event_id")), "again").drop("records")
+    other = log(e.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value"))), "other").drop("records")
+    both = now.join(again, ["batch", "file"]).join(other, ["batch", "file"])
+    return both.select("batch", "file", "records", (F.col("now") == F.col("again")).alias("order_free"), (F.col("now") != F.col("other")).alias("changed"))
 
 
 CHANGES = ", old AS (SELECT event_id, event_type AS h FROM events WHERE ts < TIMESTAMP '2024-01-20'), new AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'x' ELSE event_type END AS h FROM events WHERE ts >= TIMESTAMP '2024-01-05')"

@@ -45,9 +45,9 @@ def s14(s, d):
     return r.pick_snapshot(_files(s, d), F.lit("2024-02-03").cast("date")).withColumn("date", F.col("date").cast("string"))
 
 
-@query("o6_newest_files", f"SELECT event_id, name, date::VARCHAR AS date, kind FROM ({SNAPSHOTS}) ORDER BY date DESC, name LIMIT 50")
+@query("o6_newest_files", f"SELECT event_id, name, date::VARCHAR AS date, kind FROM ({SNAPSHOTS}) ORDER BY date DESC, name")
 def o6(s, d):
-    return lists.newest_first(_files(s, d)).limit(50).withColumn("date", F.col("date").cast("string"))
+    return lists.newest_first(_files(s, d)).withColumn("date", F.col("date").cast("string"))
 
 
 # Upserts, bridges, exports.
@@ -263,6 +263,13 @@ def j12(s, d):
     return rel.without_orphans(f.run(s, d), e, "experiment_accession").select("run_accession")
 
 
+@query("d2_cascade", "SELECT 'study' AS type, study_accession AS accession FROM study WHERE organism = 'CHINA' UNION ALL SELECT 'experiment', experiment_accession FROM experiment JOIN study USING (study_accession) WHERE organism = 'CHINA' UNION ALL SELECT 'run', run_accession FROM run JOIN experiment USING (experiment_accession) JOIN study USING (study_accession) WHERE organism = 'CHINA'")
+def d2(s, d):
+    st, e, ru = rel.cascade([(f.study(s, d).filter("organism = 'CHINA'"), "study_accession"), (f.experiment(s, d), "experiment_accession"), (f.run(s, d), "run_accession")])
+    rows = lambda df, kind, key: df.select(F.lit(kind).alias("type"), F.col(key).alias("accession"))
+    return rows(st, "study", "study_accession").unionByName(rows(e, "experiment", "experiment_accession")).unionByName(rows(ru, "run", "run_accession"))
+
+
 @query("j13_orphan_counts", ORPHANS + " SELECT 'experiments' AS entity, count(*) AS orphans FROM experiment WHERE study_accession NOT IN (SELECT study_accession FROM c) UNION ALL SELECT 'runs', count(*) FROM run WHERE experiment_accession NOT IN (SELECT experiment_accession FROM e)")
 def j13(s, d):
     e = rel.without_orphans(f.experiment(s, d), _some_parents(s, d), "study_accession")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 import uuid
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +16,7 @@ from metaloom.operators import ranking
 from metaloom.operators import validation as v
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
-from metaloom.session import checkpoint_dir, table
+from metaloom.session import checkpoint_dir, cut, table
 from metaloom.sources import sinks, xml
 from metaloom.streaming import incremental as inc
 
@@ -125,6 +130,15 @@ def e12(s, d):
     return out.select("run_accession", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "total_spots", "total_bases", "quality_score_mean", "read_count_r1", F.col("data_files")[0]["filetype"].alias("filetype"))
 
 
+@query("e13_numeric_attributes", "SELECT 'E' || event_id AS run_accession, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS mean, CASE WHEN event_id % 3 = 0 THEN user_id END::BIGINT AS reads FROM events")
+def e13(s, d):
+    """Numbers and words as values of two attributes of runs."""
+    t = '<RUN accession="E{a}"><RUN_ATTRIBUTES><RUN_ATTRIBUTE><TAG>quality_score_mean</TAG><VALUE>{m}</VALUE></RUN_ATTRIBUTE><RUN_ATTRIBUTE><TAG>read_count_r1</TAG><VALUE>{n}</VALUE></RUN_ATTRIBUTE></RUN_ATTRIBUTES></RUN>'
+    mean, reads = F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).otherwise(F.col("event_type"))
+    out = xml.runs(parsed(table(s, d, "events"), "RUN", text(t, a=F.col("event_id"), m=mean, n=reads)))
+    return out.select("run_accession", F.col("quality_score_mean").alias("mean"), F.col("read_count_r1").alias("reads"))
+
+
 def analyses(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("s_suppkey") % 2 == 0, F.lit('<REFERENCE_ALIGNMENT><ASSEMBLY><STANDARD short_name="GRCh38"/></ASSEMBLY><PROCESSING><PIPELINE><PIPE_SECTION><PROGRAM>bwa</PROGRAM><VERSION>1</VERSION></PIPE_SECTION></PIPELINE></PROCESSING></REFERENCE_ALIGNMENT>')).otherwise("<DE_NOVO_ASSEMBLY/>")
     t = '<ANALYSIS accession="{a}"><TITLE>{n}</TITLE><ANALYSIS_TYPE>{k}</ANALYSIS_TYPE><TARGETS><TARGET accession="T{a}"/><TARGET accession=""/></TARGETS></ANALYSIS>'
@@ -219,6 +233,42 @@ def w2(s, d):
     return ranking.dense_ids(f.run(s, d).join(f.experiment(s, d).select("experiment_accession", "platform"), "experiment_accession").select("run_accession", "platform"), ["run_accession"], "sra_id")
 
 
+# Archives: the studies as members of gzipped archives, some broken; in sets and alone.
+def _archives(s: SparkSession, d: str, folder: str) -> DataFrame:
+    """A file for each eighth of the studies, written where Spark runs the groups."""
+    one = F.concat(F.lit('<STUDY accession="'), F.col("study_accession"), F.lit('"><DESCRIPTOR><STUDY_TITLE>'), F.col("study_title"), F.when(F.col("k") % 10 == 9, "").otherwise("</STUDY_TITLE>"), F.lit("</DESCRIPTOR></STUDY>"))
+    whole = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<STUDY_SET>\n"), one, F.lit("\n</STUDY_SET>"))).otherwise(one)
+    rows = f.study(s, d).withColumn("k", F.substring("study_accession", 4, 20).cast("long")).select((F.col("k") % 8).alias("part"), F.concat("study_accession", F.lit(".study.xml")).alias("name"), whole.alias("xml"))
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"{path}/part-{part['part'].iloc[0]}.tar.gz"
+        with fs.open_output_stream(name, compression=None) as out:
+            if part["part"].iloc[0] == 5:  # not an archive
+                out.write(b"not gzip data")
+            else:
+                with tarfile.open(fileobj=out, mode="w|gz") as tar:
+                    for n, x in zip(part["name"], part["xml"], strict=True):
+                        info = tarfile.TarInfo(n)
+                        info.size = len(x.encode())
+                        tar.addfile(info, io.BytesIO(x.encode()))
+        return pd.DataFrame({"file": [name], "members": [len(part)]})
+
+    return rows.groupBy("part").applyInPandas(write, "file string, members long")
+
+
+@query("s1_s9_s10_archives", "SELECT CASE WHEN k % 8 = 5 THEN 'unreadable archive' WHEN k % 10 = 9 THEN 'broken record' ELSE 'record' END AS what, CASE WHEN k % 8 <> 5 AND k % 10 <> 9 THEN study_title END AS title, CASE WHEN k % 8 = 5 THEN 1 ELSE count(*) END AS members FROM (SELECT *, substr(study_accession, 4)::BIGINT AS k FROM study) GROUP BY 1, 2, k % 8 = 5")
+def s1(s, d):
+    """What the archives give: records by title, broken records, archives that don't open."""
+    folder = _scratch(s)
+    _archives(s, d, folder).agg(F.sum("members")).collect()
+    members = cut(xml.archive_members(s, folder + "/*.tar.gz"))
+    found = xml.records(members, "STUDY").select(F.when(F.col("_accession").isNull() | F.col("DESCRIPTOR").isNull(), "broken record").otherwise("record").alias("what"), F.col("DESCRIPTOR.STUDY_TITLE").alias("title"))
+    bad = members.filter("error is not null").select(F.lit("unreadable archive").alias("what"), F.lit(None).cast("string").alias("title"))
+    return found.unionByName(bad).groupBy("what", "title").agg(F.count("*").alias("members"))
+
+
 # Streams.
 @query("i7_i9_stream_upsert", ", n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM n WHERE k = 1")
 def i9(s, d):
@@ -227,4 +277,4 @@ def i9(s, d):
     stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/[e]vents.parquet")  # a pattern: a stream's plain path must be a folder
     stream = stream.select("user_id", "event_id", "event_type")
     inc.upsert_stream(stream, f"{folder}/table", ["user_id"], "event_id", f"{folder}/offsets").awaitTermination()
-    return inc.latest_version(s, f"{folder}/table").select("user_id", "event_id", "event_type")
+    return inc.latest_version(s, f"{folder}/table", ["user_id"], "event_id").select("user_id", "event_id", "event_type")

@@ -7,11 +7,13 @@ Numbers are read as strings and cast leniently when records are flattened: one b
 
 from __future__ import annotations
 
-import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,28 +48,62 @@ def scan(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(READ_SCHEMAS[tag] + ", _corrupt_record STRING").load(path)
 
 
+#: Words in a member's name and the records that it holds, in the order in which they are tried.
+ROUTES = {"experiment": "EXPERIMENT", "study": "STUDY", "sample": "SAMPLE", "run": "RUN"}
+
+
 def route(name: Column) -> Column:
     """The kind of record in a member, by its name; null if it is skipped."""
     n = F.lower(name)
-    kind = F.when(n.contains("experiment"), "EXPERIMENT").when(n.contains("study"), "STUDY").when(n.contains("sample"), "SAMPLE").when(n.contains("run"), "RUN")
+    kind = F.lit(None).cast("string")
+    for word, tag in reversed(ROUTES.items()):
+        kind = F.when(n.contains(word), tag).otherwise(kind)
     return F.when(n.endswith(".xml"), kind)
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, member, xml, error`` of tar.gz archives: a task an archive (gzip can't be split), members streamed one by one. An archive that does not open gives one row with its error."""
+PIECE = 16 << 20
+
+
+def _pieces(stream, end: bytes, size: int) -> Iterator[str]:
+    """A member's text in pieces of about ``size`` bytes that end where a record ends."""
+    held = b""
+    while chunk := stream.read(size):
+        held += chunk
+        at = held.rfind(end)
+        if len(held) >= size and at >= 0:
+            yield held[: at + len(end)].decode("utf-8", "replace")
+            held = held[at + len(end) :]
+    if held:
+        yield held.decode("utf-8", "replace")
+
+
+def archive_members(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """``archive, member, piece, xml, error`` of tar.gz archives of any size.
+
+    A task an archive (gzip can't be split): it reads the archive as a stream and gives out each member in pieces of about
+    ``piece`` bytes, so it holds no whole archive and no whole member. A member that is cut short keeps the pieces before
+    it. An archive that does not open gives one row with its error. Spark lists the files; they are opened through Arrow.
+    """
+
+    def end_of(name: str) -> bytes:
+        n = name.lower()
+        return next((f"</{tag}>".encode() for word, tag in ROUTES.items() if word in n), b">")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
+            for name in b["path"]:
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+                    fs, at = pa.fs.FileSystem.from_uri(name)
+                    with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
                         for m in tar:
                             if m.isfile() and m.name.lower().endswith(".xml"):
-                                yield pd.DataFrame({"archive": [name], "member": [m.name], "xml": [tar.extractfile(m).read().decode("utf-8", "replace")], "error": [None]})
-                except (tarfile.TarError, OSError, EOFError) as e:
-                    yield pd.DataFrame({"archive": [name], "member": [None], "xml": [None], "error": [str(e)]})
+                                for i, text in enumerate(_pieces(tar.extractfile(m), end_of(m.name), piece)):
+                                    yield pd.DataFrame({"archive": [name], "member": [m.name], "piece": [i], "xml": [text], "error": [None]})
+                except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
+                    yield pd.DataFrame({"archive": [name], "member": [None], "piece": [0], "xml": [None], "error": [str(e)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, xml string, error string")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(F.col("path")).mapInPandas(members, "archive string, member string, piece int, xml string, error string")
 
 
 def records(members: DataFrame, tag: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metaloom.functions.scalars import rate
-from metaloom.operators.ranking import latest, upsert
+from metaloom.operators.ranking import latest
 from metaloom.sources.xml import READ_SCHEMAS
 
 
@@ -42,49 +42,31 @@ def xml_stream(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     return spark.readStream.format("xml").option("rowTag", tag).option("ignoreCorruptFiles", "true").schema(READ_SCHEMAS[tag]).load(folder)
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, checkpoint: str, interval: str | None = None, buckets: int = 64) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], seq: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Rows of a stream written over the Parquet table at ``target``.
 
-    The table is dealt into buckets by a hash of the key. A batch rewrites only the buckets that it touches, under a
-    version that is its own number, so it can run again; readers take each bucket's newest version.
+    Each batch is one partition ``batch=number`` with its last row of each key: what is written grows with the batch, not
+    with the table, and a batch that is delivered again overwrites its own partition. Readers take the newest row of a
+    key; :func:`compact` writes the table anew when too many batches have gathered.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = latest(batch, keys, F.col(seq)).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        old = _newest(spark, target, below=number, only=touched)
-        out = upsert(rows.limit(0) if old is None else old, rows, keys, seq)
-        out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/version={number}")
+        latest(batch, keys, F.col(seq)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-BUCKET = "key_bucket"
+def latest_version(spark: SparkSession, target: str, keys: list[str], seq: str) -> DataFrame:
+    """The table as it is now: per key the row of the last batch that has it."""
+    return latest(spark.read.parquet(target), keys, F.struct(F.col("batch"), F.col(seq))).drop("batch")
 
 
-def _newest(spark: SparkSession, target: str, below: int | None = None, only: list[int] | None = None) -> DataFrame | None:
-    """The newest version of each bucket (below a number, of some buckets); null if there is none."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path
-    fs = at(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at(target)):
-        return None
-    names = lambda path: [s.getPath().getName() for s in fs.listStatus(at(path))]
-    versions = sorted(int(n.split("=")[1]) for n in names(target) if n.startswith("version=") and fs.exists(at(f"{target}/{n}/_SUCCESS")))
-    newest: dict[int, str] = {}
-    for v in versions:
-        if below is None or v < below:
-            newest |= {int(n.split("=")[1]): f"{target}/version={v}/{n}" for n in names(f"{target}/version={v}") if n.startswith(f"{BUCKET}=")}
-    paths = [path for b, path in newest.items() if only is None or b in only]
-    return spark.read.option("basePath", target).parquet(*paths).drop("version") if paths else None
-
-
-def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table as it is now; null if nothing was written."""
-    df = _newest(spark, target)
-    return None if df is None else df.drop(BUCKET)
+def compact(spark: SparkSession, target: str, into: str, keys: list[str], seq: str) -> None:
+    """The table as it is now as a table of one batch at ``into``, under the number of its last batch; the stream goes on there with the same checkpoint."""
+    rows = spark.read.parquet(target)
+    last = rows.agg(F.max("batch")).first()[0]
+    latest(rows, keys, F.struct(F.col("batch"), F.col(seq))).drop("batch").write.mode("overwrite").parquet(f"{into}/batch={last}")
 
 
 def periodic(stream: DataFrame, sync: Callable[[DataFrame, int], None], seconds: int, checkpoint: str) -> StreamingQuery:

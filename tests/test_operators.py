@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -163,7 +164,7 @@ def test_stream_upserts_files_once(spark, tmp_path):
     def go():
         s = inc.xml_stream(spark, str(src), "RUN").select("_accession", F.coalesce(F.col("_spots").cast("long"), F.lit(0)).alias("_spots"))
         inc.upsert_stream(s, target, ["_accession"], "_spots", ck).awaitTermination()
-        return {x._accession: x._spots for x in inc.latest_version(spark, target).collect()}
+        return {x._accession: x._spots for x in inc.latest_version(spark, target, ["_accession"], "_spots").collect()}
 
     (src / "a.xml").write_text(record.format("SRR1", 1))
     assert go() == {"SRR1": 1}
@@ -171,6 +172,18 @@ def test_stream_upserts_files_once(spark, tmp_path):
     (src / "b.xml").write_text(record.format("SRR1", 5))
     (src / "c.xml").write_text(record.format("SRR2", 2))
     assert go() == {"SRR1": 5, "SRR2": 2}
+    moved = f"{target}-2"
+    inc.compact(spark, target, moved, ["_accession"], "_spots")
+    target = moved
+    (src / "d.xml").write_text(record.format("SRR1", 3))  # a later batch wins, whatever its number
+    assert spark.read.parquet(moved).count() == 2 and go() == {"SRR1": 3, "SRR2": 2}
+
+
+def test_vectors_as_bytes(spark):
+    rows = [(1, [1.5, -2.0]), (2, None), (3, []), (4, [0.25])]
+    df = spark.createDataFrame(rows, "k int, v array<float>").coalesce(1).withColumn("b", vec.to_bytes(F.col("v"))).withColumn("w", vec.from_bytes(F.col("b")))
+    for r in df.collect():
+        assert r.w == r.v and (r.b is None if r.v is None else bytes(r.b) == np.array(r.v, dtype="<f4").tobytes())
 
 
 def test_changes_and_retention(spark):

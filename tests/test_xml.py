@@ -96,6 +96,18 @@ def test_archives(spark, folder, tmp_path):
     assert m.filter("error is not null").count() == 1 and m.filter("member is not null").count() == len(FILES)
     assert {r._accession for r in xml.records(m, "EXPERIMENT").collect()} == {"SRX000001", "SRX000002"}
     assert xml.records(m, "STUDY").count() == 1
+    # A member larger than a piece: its records come whole from several pieces, and an archive that breaks off keeps what was read.
+    big = "<RUN_SET>" + "".join(f'<RUN accession="SRR{i}"><TITLE>{"t" * (i % 50)}</TITLE></RUN>' for i in range(500)) + "</RUN_SET>"
+    (tmp_path / "big.run.xml").write_text(big)
+    with tarfile.open(tmp_path / "c.tgz", "w:gz") as t:
+        t.add(tmp_path / "big.run.xml", "big.run.xml")
+        t.add(tmp_path / "big.run.xml", "again.run.xml")
+    pieces = xml.archive_members(spark, str(tmp_path / "c.tgz"), piece=1000).cache()
+    assert pieces.count() > 20 and xml.records(pieces, "RUN").select("_accession").distinct().count() == 500 and xml.records(pieces, "RUN").count() == 1000
+    raw = (tmp_path / "c.tgz").read_bytes()
+    (tmp_path / "cut.tgz").write_bytes(raw[: len(raw) * 2 // 3])
+    part = xml.archive_members(spark, str(tmp_path / "cut.tgz"), piece=1000).cache()
+    assert part.filter("error is not null").count() == 1 and 0 < part.filter("error is null").count() < pieces.count()
 
 
 def test_corrupt_rows(spark, tmp_path):
