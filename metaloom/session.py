@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCRATCH: list[list[str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,14 +39,34 @@ def cut(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _TABLES[out] = path
+    for paths in _SCRATCH:
+        paths.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*cuts: DataFrame) -> None:
     """Deletes the tables behind frames that :func:`cut` has returned, when nothing will read them again."""
     for df in cuts:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(df))
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, _TABLES.pop(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end: for work whose result has been written by then."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            delete(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -227,3 +227,19 @@ def test_routing_by_intent(spark):
     assert got == {1: {"SRP2"}, 2: {"SRP1", "SRP2"}, 3: {"SRX1", "SRX2"}, 4: {"SRX1", "SRX3"}, 5: {"SRX1"}, 6: every, 7: every}
     alone = t.search(docs.filter("type = 'study'"), "id", {"body": "standard"}, spark.createDataFrame([(2, "liver"), (2, "cancer")], "query_id long, term string")).collect()
     assert {(r.doc_id, r.score) for r in alone} == {(r.doc_id, r.score) for r in hits if r.query_id == 2}
+
+
+def test_cut_tables_go(spark):
+    import os
+
+    from metaloom import session
+
+    root = session.checkpoint_dir(spark).removeprefix("file:")
+    there = lambda: {n for n in os.listdir(root) if n.startswith("cut-")}
+    before = there()
+    with session.scratch(spark):
+        a, b = session.cut(spark.range(5)), session.cut(spark.range(0))
+        assert a.count() == 5 and b.count() == 0 and b.dtypes == [("id", "bigint")] and len(there() - before) == 2
+        session.discard(a)
+        assert len(there() - before) == 1
+    assert there() == before
