@@ -7,8 +7,9 @@ alone, and there are fewer than ``items`` of those. The schedule thus has fewer
 size; it is made on the driver from these sums and goes back as a broadcast table of that many rows. With fewer groups
 than buckets nearly every group is scheduled alone.
 
-Slots number a shard's rows without gaps: rows are dealt into cells by a hash of the id, cells are counted, and a row's
-slot is its cell's offset plus its rank in the cell, so that no task sorts a whole shard.
+Slots number a shard's rows without gaps: rows are dealt into cells by a hash of a mark that each row gets when it is first
+written, cells are counted, and a row's slot is its cell's offset plus its rank in the cell, so that no task sorts a whole
+shard, however often a row repeats.
 
 A null text has the size of an empty one and is in its group. A group larger than a fair share makes its shard larger:
 it is never split. The law is ``bytes``.
@@ -48,6 +49,7 @@ def shard_rows(df: DataFrame, shards: int = 40, extra: int = 16, id_col: str = "
             (F.octet_length(text) + extra).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("crc"),
             F.unhex(F.sha2(text, 256)).alias("key"),
+            F.monotonically_increasing_id().alias("mark"),
         ).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(items)).cast("int"))
     )
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -59,10 +61,10 @@ def shard_rows(df: DataFrame, shards: int = 40, extra: int = 16, id_col: str = "
     of_key = spark.createDataFrame([x for x in plan if not isinstance(x[0], int)], "key binary, key_shard int")
     placed = rows.join(F.broadcast(of_key), "key", "left").join(F.broadcast(of_bucket), "bucket", "left").withColumn("shard", F.coalesce("key_shard", "bucket_shard"))
     cells = max(1, -(-count // (shards * CELL_ROWS)))
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("id", "crc"), F.lit(cells)))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("mark"), F.lit(cells)))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "cell").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "key"))
+    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("mark"))
     return (
         placed.withColumn("rank", rank)
         .join(offsets, ["shard", "cell"])

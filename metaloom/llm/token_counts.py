@@ -1,7 +1,8 @@
 """Token counts by the whole-token shortcut.
 
-Once per worker it is proved which vocabulary strings encode alone as one token (:meth:`Vocabulary.whole_tokens`); a
-pre-token that is such a string counts one at once, and only the others are merged, each distinct one once while the
+Before any text is read, it is proved once, on the driver, which vocabulary strings encode alone as one token
+(:meth:`Vocabulary.whole_tokens`); the proved strings (never more than the vocabulary has) go to the workers with the
+function. A pre-token that is such a string counts one at once, and only the others are merged, each distinct one once while the
 bounded memo holds it. No shuffle: counts are computed where the text is read.
 
 A null or empty text has 0 tokens and 0 bytes. Texts of any length are scanned whole. All other columns stay.
@@ -22,19 +23,30 @@ from metaloom.session import ship_package
 
 
 @lru_cache(2)
-def _counter(path: str) -> bpe.Memo:
-    vocab = bpe.vocabulary(path)
-    return bpe.Memo(lambda names: [len(x) // 4 for x in vocab.merge_many(names)], fixed=dict.fromkeys(vocab.whole_tokens(), 1))
+def proved(path: str) -> frozenset[bytes]:
+    """The strings that encode alone as one token."""
+    return frozenset(bpe.vocabulary(path).whole_tokens())
 
 
-def count_run(texts: list[str | None], path: str) -> np.ndarray:
-    """Number of tokens of each text, special strings counting one."""
+_COUNTERS: dict[str, bpe.Memo] = {}
+
+
+def _counter(path: str, whole: frozenset[bytes]) -> bpe.Memo:
+    """A worker's memo of counts, with the proved strings fixed in it."""
+    if path not in _COUNTERS:
+        vocab = bpe.vocabulary(path)
+        _COUNTERS[path] = bpe.Memo(lambda names: [len(x) // 4 for x in vocab.merge_many(names)], fixed=dict.fromkeys(whole, 1))
+    return _COUNTERS[path]
+
+
+def count_run(texts: list[str | None], path: str, whole: frozenset[bytes]) -> np.ndarray:
+    """Number of tokens of each text, special strings counting one; ``whole``: what :func:`proved` gives."""
     special = bpe.vocabulary(path).special
     out = np.zeros(len(texts), dtype=np.int64)
     for a, b in slices(texts):
         parts, owner, then = bpe.split_special(texts[a:b], special)
         names, number, first = bpe.distinct(parts)
-        each = np.array(_counter(path).many(names), dtype=np.int64)[number] if names else np.zeros(0, dtype=np.int64)
+        each = np.array(_counter(path, whole).many(names), dtype=np.int64)[number] if names else np.zeros(0, dtype=np.int64)
         sums = np.concatenate([[0], np.cumsum(each)])
         np.add.at(out, np.array(owner, dtype=np.int64) + a, sums[first[1:]] - sums[first[:-1]] + (np.array(then) >= 0))
     return out
@@ -42,10 +54,11 @@ def count_run(texts: list[str | None], path: str) -> np.ndarray:
 
 def token_count(text: Column, path: str) -> Column:
     """The number of tokens of a text column under the vocabulary file at ``path`` (a place on every worker)."""
+    whole = proved(path)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        return pd.Series(count_run(s.tolist(), path))
+        return pd.Series(count_run(s.tolist(), path, whole))
 
     return count(text)
 
