@@ -53,25 +53,17 @@ def _tile_best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[n
     return row, ids[col], d[row, col]
 
 
-def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, vec_id, distance, rank`` of the k nearest rows to each query.
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, np.inf)
 
-    Rows are dealt into blocks and queries into slices (by default of about 50,000 and 20,000 vectors). Each block meets
-    each slice once, tile by tile as matrix products, and sends up k candidates a query; those are ranked. No pair but
-    the best k of a block leaves a task.
-    """
-    blocks = blocks or 1 + rows.count() // 50_000
-    slices = slices or 1 + queries.count() // 20_000
-    q = queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(qid), F.lit(slices)).cast("int").alias("slice"))
-    q = q.select("query_id", "q", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    r = r.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+
+def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a group of queries (query_id, q) and one of rows (vec_id, v), the k nearest rows to each query."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
-        unit = lambda x: x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, np.inf)
         if not a.empty and not b.empty:
-            m, n = unit(np.stack(a["q"]).astype(np.float64)), unit(np.stack(b["v"]).astype(np.float64))
+            m, n = _unit(np.stack(a["q"]).astype(np.float64)), _unit(np.stack(b["v"]).astype(np.float64))
             asked, ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
             for i in range(0, len(m), TILE[0]):
                 parts = [_tile_best(m[i : i + TILE[0]], n[j : j + TILE[1]], ids[j : j + TILE[1]], k) for j in range(0, len(n), TILE[1])]
@@ -83,7 +75,65 @@ def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | Non
                 found.append(pd.DataFrame({"query_id": asked[i + row[place < k]], "vec_id": vec_id[order], "distance": distance[order]}))
         return pd.concat(found[1:] or found, ignore_index=True)
 
-    found = q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(best, "query_id long, vec_id long, distance double")
+    return best
+
+
+def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, vec_id, distance, rank`` of the k nearest rows to each query.
+
+    Rows are dealt into blocks and queries into slices (by default of about 50,000 and 20,000 vectors). Each block meets
+    each slice once, tile by tile as matrix products, and sends up k candidates a query; those are ranked. No pair but
+    the best k of a block leaves a task.
+    """
+    blocks = blocks or 1 + rows.count() // 50_000
+    slices = slices or 1 + queries.count() // 20_000
+    q = queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(qid), F.lit(slices)).cast("int").alias("slice"))
+    q = q.select("query_id", "q", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    r = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    r = r.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+
+    found = q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(_best(k), "query_id long, vec_id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+
+
+def fit_centres(rows: DataFrame, centres: int, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id", seed: int = 7) -> np.ndarray:
+    """Unit centres of a coarse quantiser, fitted by k-means to at most ``sample`` rows (those with the smallest hash of their key)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    some = rows.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(array_to_vector(normalised(F.col(vector))).alias("features"))
+    model = KMeans(k=centres, seed=seed, maxIter=10).fit(some)
+    return _unit(np.stack(model.clusterCenters()))
+
+
+def _cells(v: Column, centres: np.ndarray, probes: int) -> Column:
+    """The numbers of the ``probes`` centres nearest to a vector."""
+
+    @F.pandas_udf("array<int>")
+    def nearest_cells(s: pd.Series) -> pd.Series:
+        if not len(s):
+            return pd.Series([], dtype=object)
+        like = _unit(np.stack(s).astype(np.float64)) @ centres.T
+        return pd.Series(list(np.argsort(-like, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return nearest_cells(v)
+
+
+def indexed_nearest(queries: DataFrame, rows: DataFrame, k: int, centres: np.ndarray, probes: int = 8, part_rows: int = 50_000, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """:func:`batch_nearest`, but each query meets the rows of its ``probes`` nearest cells alone: rows are shuffled once and queries ``probes`` times, whatever their numbers.
+
+    Every row is in the cell of its nearest centre. A cell of more than ``part_rows`` rows is dealt into parts, and its
+    queries go to each of them. Rows nearest to a query may lie in other cells: recall grows with ``probes`` and is 1 when
+    they are as many as the centres.
+    """
+    r = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).withColumn("cell", _cells(F.col("v"), centres, 1)[0])
+    parts = r.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))  # at most a row a centre
+    r = r.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("query_id"), F.col(vector).alias("q")).withColumn("cell", F.explode(_cells(F.col("q"), centres, probes)))
+    q = q.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pick = lambda df, *names: df.select("cell", "part", *names).groupBy("cell", "part")
+    found = pick(q, "query_id", "q").cogroup(pick(r, "vec_id", "v")).applyInPandas(_best(k), "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

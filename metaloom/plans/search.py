@@ -231,6 +231,13 @@ def v5(s, d):
     return vec.batch_nearest(e, e, 5, qid="vec_id")
 
 
+@query("v5_indexed_nearest")
+def v5i(s, d):
+    """Every hundredth vector against all, through a coarse quantiser; held against the exact search in the tests."""
+    e = table(s, d, "embeddings")
+    return vec.indexed_nearest(e.filter("vec_id % 100 = 0"), e, 5, vec.fit_centres(e, 32), probes=20, qid="vec_id")
+
+
 @query("v1_v6_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm, CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS unit FROM embeddings")
 def v6(s, d):
     v = F.col("embedding")

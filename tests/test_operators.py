@@ -179,6 +179,20 @@ def test_stream_upserts_files_once(spark, tmp_path):
     assert spark.read.parquet(moved).count() == 2 and go() == {"SRR1": 3, "SRR2": 2}
 
 
+def test_indexed_search_finds_most(spark):
+    """Recall of the registered query against the exact search, on sf0.1; all cells give the exact result."""
+    data = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    asked = e.filter("vec_id % 100 = 0")
+    exact = {(x.query_id, x.vec_id) for x in vec.batch_nearest(asked, e, 5, qid="vec_id").collect()}
+    found = {(x.query_id, x.vec_id) for x in plans.QUERIES["v5_indexed_nearest"](spark, data).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+    few = e.limit(300)
+    centres = vec.fit_centres(few, 8)
+    every = vec.indexed_nearest(few, few, 3, centres, probes=8, part_rows=20, qid="vec_id")
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, vec.batch_nearest(few, few, 3, qid="vec_id").select(*every.columns).collect()))
+
+
 def test_vectors_as_bytes(spark):
     rows = [(1, [1.5, -2.0]), (2, None), (3, []), (4, [0.25])]
     df = spark.createDataFrame(rows, "k int, v array<float>").coalesce(1).withColumn("b", vec.to_bytes(F.col("v"))).withColumn("w", vec.from_bytes(F.col("b")))
