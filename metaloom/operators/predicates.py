@@ -97,3 +97,13 @@ def should(*preds: Column) -> Column:
 
 def must_not(pred: Column) -> Column:
     return ~F.coalesce(pred, F.lit(False))
+
+
+def json_equals(json: Column, field: str, value: str) -> Column:
+    """A field of a JSON text has this value."""
+    return F.get_json_object(json, f"$.{field}") == value
+
+
+def of_record(record_type: str, accession: str, type_col: str = "record_type", key: str = "record_accession") -> Column:
+    """Rows that belong to one record: its identifiers, its links."""
+    return (F.col(type_col) == record_type) & (F.col(key) == accession)

@@ -187,3 +187,14 @@ def cascade(levels: list[tuple[DataFrame, str]]) -> list[DataFrame]:
     for (_, key), (child, _) in zip(levels, levels[1:], strict=False):
         out.append(child.join(out[-1].select(key), key, "left_semi"))
     return out
+
+
+def lookup(df: DataFrame, key: str, accession: str) -> DataFrame:
+    """The row of one accession; the equality reaches the scan."""
+    return df.filter(F.col(key) == accession)
+
+
+def with_metrics(runs: DataFrame) -> DataFrame:
+    """Runs that have spots or bases, as ``spots`` and ``bases`` (a missing one counts 0)."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return runs.filter(F.col("total_spots").isNotNull() | F.col("total_bases").isNotNull()).withColumns({"spots": number("total_spots"), "bases": number("total_bases")})

@@ -88,3 +88,13 @@ def reconcile(index: DataFrame, source: DataFrame) -> DataFrame:
     """Both ``type, documents``: the counts side by side and their difference."""
     a, b = index.select("type", F.col("documents").alias("indexed")), source.select("type", F.col("documents").alias("stored"))
     return a.join(b, "type", "full").na.fill(0, ["indexed", "stored"]).withColumn("difference", F.col("indexed") - F.col("stored"))
+
+
+def study_children(experiments: DataFrame) -> DataFrame:
+    """``study_accession, platforms, strategies``: the platforms joined in order, the strategies counted."""
+    return experiments.groupBy("study_accession").agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), F.countDistinct("library_strategy").alias("strategies"))
+
+
+def top_groups(df: DataFrame, by: list[str], n: int, name: str = "count") -> DataFrame:
+    """The ``n`` largest groups, ties by their values."""
+    return df.groupBy(*by).agg(F.count("*").alias(name)).orderBy(F.desc(name), *by).limit(n)

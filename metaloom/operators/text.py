@@ -223,3 +223,21 @@ def routed(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     fits = "(by_platform is null or not by_platform or illumina) and (by_strategy is null or not by_strategy or rna_seq)"
     filtered = whole.join(names, "query_id", "left").join(has, "doc_id", "left").filter(fits).select("query_id", "doc_id", "score")
     return top_hits(exact.unionByName(studies).unionByName(filtered), k)
+
+
+def corpus(df: DataFrame, kind: str, key: str, parts: list[Column]) -> DataFrame:
+    """``type, accession, body``: a record's parts that are not null, as one text."""
+    return df.select(F.lit(kind).alias("type"), F.col(key).alias("accession"), F.concat_ws(" ", *parts).alias("body"))
+
+
+def sample_corpus(samples: DataFrame) -> DataFrame:
+    return corpus(samples, "sample", "sample_accession", [F.col(c) for c in ("description", "organism", "scientific_name", "tissue")])
+
+
+def run_corpus(runs: DataFrame) -> DataFrame:
+    return corpus(runs, "run", "run_accession", [F.col(c).cast("string") for c in ("total_spots", "total_bases")])
+
+
+def index_documents(df: DataFrame, kind: str, key: str, title: str, others: list[str]) -> DataFrame:
+    """``id, type, title`` and the other fields, as they go to an index."""
+    return df.select(F.col(key).alias("id"), F.lit(kind).alias("type"), F.col(title).alias("title"), *others)

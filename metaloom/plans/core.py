@@ -134,12 +134,12 @@ def p13(s, d):
 
 @query("p14_lookup", f"SELECT study_accession, study_title, study_type, organism FROM study WHERE study_accession = '{STUDY}'")
 def p14(s, d):
-    return f.study(s, d).filter(F.col("study_accession") == STUDY).select("study_accession", "study_title", "study_type", "organism")
+    return rel.lookup(f.study(s, d), "study_accession", STUDY).select("study_accession", "study_title", "study_type", "organism")
 
 
 @query("p15_json_field", "SELECT experiment_accession FROM experiment WHERE json_extract_string(metadata, '$.platform') = '5-LOW'")
 def p15(s, d):
-    return f.experiment(s, d).filter(F.get_json_object("metadata", "$.platform") == "5-LOW").select("experiment_accession")
+    return f.experiment(s, d).filter(p.json_equals(F.col("metadata"), "platform", "5-LOW")).select("experiment_accession")
 
 
 @query("p16_ranges", "SELECT run_accession FROM run WHERE total_spots BETWEEN 10 AND 20 AND total_bases BETWEEN 10000 AND 20000 AND published BETWEEN '1994-01-01' AND '1996-01-01'")
@@ -150,13 +150,13 @@ def p16(s, d):
 @query("p17_identifiers", "SELECT * FROM identifiers WHERE id_value = 'SAMN000000003' UNION ALL SELECT * FROM identifiers WHERE record_type = 'study' AND record_accession = 'SRP000000004'")
 def p17(s, d):
     i = f.identifiers(s, d)
-    return i.filter("id_value = 'SAMN000000003'").union(i.filter("record_type = 'study' and record_accession = 'SRP000000004'"))
+    return rel.lookup(i, "id_value", "SAMN000000003").union(i.filter(p.of_record("study", "SRP000000004")))
 
 
 @query("p18_links_and_pools", "SELECT record_accession AS a, url AS b FROM links WHERE record_type = 'study' AND record_accession = 'SRP000000003' UNION ALL SELECT parent_sample, member_sample FROM pool WHERE parent_sample = 'SRS000000001'")
 def p18(s, d):
-    a = f.links(s, d).filter("record_type = 'study' and record_accession = 'SRP000000003'").select(F.col("record_accession").alias("a"), F.col("url").alias("b"))
-    return a.union(f.pool(s, d).filter("parent_sample = 'SRS000000001'").select("parent_sample", "member_sample"))
+    a = f.links(s, d).filter(p.of_record("study", "SRP000000003")).select(F.col("record_accession").alias("a"), F.col("url").alias("b"))
+    return a.union(rel.lookup(f.pool(s, d), "parent_sample", "SRS000000001").select("parent_sample", "member_sample"))
 
 
 @query("p19_filter_account", "SELECT CASE WHEN platform NOT IN ('1-URGENT', '2-HIGH') THEN 'platform' WHEN library_strategy NOT IN ('O') THEN 'strategy' WHEN submission_date < DATE '1995-01-01' THEN 'date' ELSE 'matched' END AS outcome, count(*) AS records FROM experiment GROUP BY 1")
@@ -241,8 +241,7 @@ def j9(s, d):
 
 @query("j10_metrics", "SELECT run_accession, total_spots::DOUBLE AS spots, total_bases::DOUBLE AS bases FROM run JOIN experiment USING (experiment_accession) WHERE total_spots IS NOT NULL OR total_bases IS NOT NULL")
 def j10(s, d):
-    some = F.col("total_spots").isNotNull() | F.col("total_bases").isNotNull()
-    return f.run(s, d).join(f.experiment(s, d).select("experiment_accession"), "experiment_accession").filter(some).select("run_accession", F.coalesce(F.col("total_spots").cast("double"), F.lit(0.0)).alias("spots"), F.coalesce(F.col("total_bases").cast("double"), F.lit(0.0)).alias("bases"))
+    return rel.with_metrics(f.run(s, d).join(f.experiment(s, d).select("experiment_accession"), "experiment_accession")).select("run_accession", "spots", "bases")
 
 
 @query("j11_enriched_studies", "SELECT study_accession, study_title, study_type, organism, coalesce(string_agg(DISTINCT platform, ',' ORDER BY platform), '') AS platforms, coalesce(string_agg(DISTINCT library_strategy, ',' ORDER BY library_strategy), '') AS strategies, count(DISTINCT experiment_accession) AS experiments, count(DISTINCT sample_accession) AS samples, count(DISTINCT run_accession) AS runs FROM study LEFT JOIN experiment USING (study_accession) LEFT JOIN junction USING (experiment_accession) LEFT JOIN run USING (experiment_accession) GROUP BY ALL")
@@ -345,7 +344,7 @@ def a4(s, d):
 
 @query("a5_study_children", "SELECT study_accession, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms, count(DISTINCT library_strategy) AS strategies FROM experiment GROUP BY 1")
 def a5(s, d):
-    return f.experiment(s, d).groupBy("study_accession").agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), F.countDistinct("library_strategy").alias("strategies"))
+    return stats.study_children(f.experiment(s, d))
 
 
 @query("a6_a7_pool_sizes", ", z AS (SELECT parent_sample, count(*) AS n FROM pool GROUP BY 1) SELECT count(*) AS pools, round(coalesce(avg(n), 0), 6) AS average_size, coalesce(max(n), 0) AS largest_size FROM z")
@@ -451,7 +450,7 @@ def o3(s, d):
 
 @query("o5_top_groups", "SELECT platform, library_strategy, count(*) AS experiments FROM experiment GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 5")
 def o5(s, d):
-    return f.experiment(s, d).groupBy("platform", "library_strategy").agg(F.count("*").alias("experiments")).orderBy(F.desc("experiments"), "platform", "library_strategy").limit(5)
+    return stats.top_groups(f.experiment(s, d), ["platform", "library_strategy"], 5, "experiments")
 
 
 @query("flagship_top_platforms", "SELECT platform, count(*) AS runs, sum(total_spots)::BIGINT AS spots FROM run JOIN experiment USING (experiment_accession) WHERE total_spots >= 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -38,14 +38,13 @@ def bm25_sql(words: list[str], extra: str = "") -> str:
 
 @query("t1_t3_corpora", "SELECT 'sample' AS type, sample_accession AS accession, concat_ws(' ', description, organism, scientific_name, tissue) AS body FROM sample UNION ALL SELECT 'run', run_accession, total_spots::VARCHAR || ' ' || total_bases::VARCHAR FROM run")
 def t1(s, d):
-    a = f.sample(s, d).select(F.lit("sample").alias("type"), F.col("sample_accession").alias("accession"), F.concat_ws(" ", "description", "organism", "scientific_name", "tissue").alias("body"))
-    return a.unionByName(f.run(s, d).select(F.lit("run").alias("type"), F.col("run_accession").alias("accession"), F.concat_ws(" ", F.col("total_spots").cast("string"), F.col("total_bases").cast("string")).alias("body")))
+    return t.sample_corpus(f.sample(s, d)).unionByName(t.run_corpus(f.run(s, d)))
 
 
 @query("t4_documents", "SELECT study_accession AS id, 'study' AS type, study_title AS title, organism, NULL::VARCHAR AS platform FROM study UNION ALL SELECT experiment_accession, 'experiment', title, NULL, platform FROM experiment")
 def t4(s, d):
-    a = f.study(s, d).select(F.col("study_accession").alias("id"), F.lit("study").alias("type"), F.col("study_title").alias("title"), "organism")
-    return a.unionByName(f.experiment(s, d).select(F.col("experiment_accession").alias("id"), F.lit("experiment").alias("type"), "title", "platform"), allowMissingColumns=True)
+    a = t.index_documents(f.study(s, d), "study", "study_accession", "study_title", ["organism"])
+    return a.unionByName(t.index_documents(f.experiment(s, d), "experiment", "experiment_accession", "title", ["platform"]), allowMissingColumns=True)
 
 
 @query("t5_analysis", TOKENS + " SELECT term, count(*) AS tokens, count(DISTINCT doc_id) AS docs, sum(position)::BIGINT AS places FROM a GROUP BY 1")
