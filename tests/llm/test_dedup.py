@@ -191,7 +191,14 @@ def test_lines(odd, none, odd_rows):
 def test_long_documents_of_lines(spark):
     docs = [(i, "\n".join(["common"] + [f"{i}-{k}" for k in range(200)] + ["Common "])) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    r = line_dedup.dedup_lines(df, line_dedup.line_keep_bitmaps(df)).first()
+    bitmaps = line_dedup.line_keep_bitmaps(df)
+    assert {tuple(x % 2**64 for x in r.words) for r in bitmaps.collect()} == {(2**64 - 2, 2**64 - 1, 2**64 - 1, 2**64 - 1 - (1 << 201 % 64))}
+    first = spark.createDataFrame([(i, "common\n" + "\n".join(f"{i}-{k}" for k in range(500))) for i in range(12)] + [(99, "own")], "doc_id long, text string")
+    assert [[x % 2**64 for x in r.words] for r in line_dedup.line_keep_bitmaps(first).collect()] == [[2**64 - 2]] * 12
+    twice = df.union(df).withColumns({"_id": F.lit(1), "__words": F.lit("x")})  # rows that repeat, names that clash
+    out = line_dedup.dedup_lines(twice, line_dedup.line_keep_bitmaps(twice)).collect()
+    assert len(out) == 24 and {(r.n_lines, r.n_dropped, r._id, r["__words"]) for r in out} == {(202, 2, 1, "x")}
+    r = line_dedup.dedup_lines(df, bitmaps).first()
     assert (r.n_lines, r.n_dropped) == (202, 2) and r.kept_text.split("\n")[0] == f"{r.doc_id}-0"
 
 
