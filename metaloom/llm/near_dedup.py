@@ -5,13 +5,13 @@ exponentially distributed ``h_i``: exponentially spaced truncated minima. They m
 in a register with a probability that grows with the sets' Jaccard similarity. The method:
 
 1. Sets: documents with equal sets (128 bits of a cryptographic hash of them) form a class. Only classes go on.
-2. Bands of registers: classes with an equal band fall into one bucket. Every member is paired with the bucket's
-   smallest member, not with every other: pairs grow with the rows, however large a bucket.
+2. Bands of registers: classes with an equal band fall into one bucket. Every member is paired with the bucket's head (the
+   member with the most company), not with every other: pairs grow with the rows, however large a bucket.
 3. Estimate: from the numbers of registers that are greater, smaller and equal, and the known set sizes, the
    likelihood of a Jaccard similarity at the threshold is compared with the largest one; pairs for which it is
    hopeless are dropped (``log_odds``), those that stay are confirmed on the full sets, made anew from the whole texts
    with shingles that are equal only if their words are.
-4. Components. First each class tries its smallest partner; then only pairs that are not yet in one component are
+4. Components. First each class tries the head that it meets most often; then only pairs that are not yet in one component are
    tried; last, in buckets that still hold several components, pairs across components are tried, so that a link that
    no bucket's first member shows is found too. Pairs that share a rare shingle are found by it, the
    others by their bucket, if an exact bound on what they can share allows the threshold.
@@ -207,10 +207,16 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     nodes = classes.select("node", "n", "sketch")
     bands = F.array(*(F.xxhash64(F.substring("sketch", 1 + i * sketch.rows, sketch.rows), F.lit(i)) for i in range(sketch.bands)))
     banded = classes.select("node", F.explode(bands).alias("key"))
-    heads = cut(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("key", "head"))
-    members = cut(banded.join(heads, "key").select("key", "node", "head"))
-    discard(heads)
-    stars = cut(members.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    inside = cut(banded.join(buckets, "key").select("key", "node", "size"))
+    # A bucket's head is the member with the most company over all its buckets: of copies that were changed here and there,
+    # that is the one they were made from, which is nearer to each than they are to each other.
+    weights = inside.groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = inside.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("head"))
+    members = cut(inside.select("key", "node").join(heads, "key"))
+    discard(inside)
+    stars = cut(members.filter("node != head").groupBy("head", "node").agg(F.count("*").alias("times")))
+    ends = F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")
     shared = members.select("node").distinct()
     near = cut(nodes.join(shared, "node", "left_semi"))
     # Of each class that shares a bucket one text; where an id stands for several texts, the one that has the class's set.
@@ -221,7 +227,8 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     def tried(pairs: DataFrame) -> DataFrame:
         return cut(_verified(_estimated(pairs, near, sketch), texts, sketch))
 
-    links = tried(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    nearest = stars.groupBy("node").agg(F.max(F.struct("times", (-F.col("head")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("head"))
+    links = tried(nearest.select(*ends).distinct())
     labels = components(links)
 
     def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,7 +236,7 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
         side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
-    more = tried(labelled(stars, labels).filter("ca != cb").select("a", "b"))
+    more = tried(labelled(stars.select(*ends).distinct(), labels).filter("ca != cb").select("a", "b"))
     links = links.union(more)
     discard(labels)
     labels = components(links)
@@ -260,7 +267,7 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     other = few.select("token", F.col("node").alias("b"), F.col("label").alias("lb"))
     by_shingle = few.withColumnsRenamed({"node": "a", "label": "la"}).join(other, "token").filter("a < b and la != lb").select("a", "b")
     across = by_bound.union(by_shingle).distinct()
-    last = tried(across.join(stars, ["a", "b"], "left_anti"))
+    last = tried(across.join(stars.select(*ends), ["a", "b"], "left_anti"))
     discard(members, stars, near, texts, labels, placed, mixed, ranked, rest, loose)
     # An id whose rows have different sets links their classes, as a star around the first of them.
     owned = with_node.filter("node is not null").select("id", "node")
