@@ -56,25 +56,30 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integers as differences in the narrowest bytes, laid out by byte and compressed together."""
+def pack(rising: list[np.ndarray], plain: list[np.ndarray] = ()) -> bytes:
+    """Integers in the narrowest bytes, laid out by byte and compressed together: ``rising`` as differences, ``plain`` (none negative) as they are."""
     parts = []
-    for a in arrays:
-        d = np.diff(a.astype(np.int64), prepend=0)
-        z = ((d << 1) ^ (d >> 63)).view(np.uint64)
+    for delta, a in [*((True, a) for a in rising), *((False, a) for a in plain)]:
+        z = a.astype(np.int64)
+        if delta:
+            z = np.diff(z, prepend=0)
+            z = (z << 1) ^ (z >> 63)
+        z = z.view(np.uint64)
         width = next(w for w in (1, 2, 4, 8) if not len(z) or int(z.max()) < 1 << (8 * w))
-        parts += [bytes([width]), len(z).to_bytes(6, "little"), z.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
+        parts += [bytes([width | delta << 7]), len(z).to_bytes(6, "little"), z.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(b: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(b), 0, []
     while at < len(raw):
-        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 7], "little")
-        at += 7
-        z = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, -1).T).view(f"<u{width}")[:, 0].astype(np.uint64) if n else np.zeros(0, np.uint64)
-        at += n * width
-        out.append(np.cumsum((z >> U(1)).astype(np.int64) ^ -(z & U(1)).astype(np.int64)))
+        width, delta, n = raw[at] & 127, raw[at] >> 7, int.from_bytes(raw[at + 1 : at + 7], "little")
+        z = np.frombuffer(raw, np.uint8, n * width, at + 7).reshape(width, n)
+        z = np.ascontiguousarray(z.T).view(f"<u{width}").reshape(n).astype(np.int64) if width < 8 else np.ascontiguousarray(z.T).view("<i8").reshape(n)
+        if delta:
+            z = np.cumsum((z >> 1 & np.int64(2**63 - 1)) ^ -(z & 1))
+        at += 7 + n * width
+        out.append(z)
     return out
 
 
@@ -201,8 +206,8 @@ class Scorer:
         for s, i, j in _cells(shard[order]):
             mine = sorted(order[i:j].tolist(), key=lambda k: names[by_use[k]])
             order[i:j] = mine
-            rows.append({"block": block, "shard": s, "names": zstandard.ZstdCompressor(level=3).compress(b"\n".join([names[by_use[k]] for k in mine])), "body": pack(counts[mine])})
-        rows.append({"block": block, "body": pack(b.number, sizes, order)})
+            rows.append({"block": block, "shard": s, "names": zstandard.ZstdCompressor(level=3).compress(b"\n".join([names[by_use[k]] for k in mine])), "body": pack([], [counts[mine]])})
+        rows.append({"block": block, "body": pack([], [b.number, sizes, order])})
         out = _columns(rows, {"block": pa.int64(), "shard": pa.int64(), "names": pa.binary(), "body": pa.binary()})
         none = pa.nulls(len(rows) - 1, pa.list_(ids.type))
         whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -221,7 +226,7 @@ class Scorer:
         rank = np.empty(len(total), dtype=np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
         ends = np.cumsum([len(x) for x in lists]).tolist()
-        rows = [{"block": b, "shard": shard, "body": pack(1 + rank[own] * self.shards + shard, total[own])} for b, own in zip(table.column("block").to_pylist(), np.split(number, ends[:-1]), strict=True)]
+        rows = [{"block": b, "shard": shard, "body": pack([], [1 + rank[own] * self.shards + shard, total[own]])} for b, own in zip(table.column("block").to_pylist(), np.split(number, ends[:-1]), strict=True)]
         rows.append({"shard": shard, "n": int(total.sum()), "v": int((total > 0).sum())})
         return pa.table(_columns(rows, {"block": pa.int64(), "shard": pa.int64(), "body": pa.binary(), "n": pa.int64(), "v": pa.int64()}))
 
@@ -236,11 +241,15 @@ class Scorer:
 
     # Bigrams.
     def _opened(self, row: pa.Table, words: pa.Table) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-        """The block with its bigrams; numbers of contexts and their occurrences by local number (0: the start), and counts of words."""
+        """The block with its bigrams, its words in order of their numbers; numbers of contexts and their occurrences by local number (0: the start), and counts of words."""
         tokens, sizes, order = unpack(row.column("body")[0].as_py())
-        b = Block(tokens, sizes, np.array(row.column("held")[0].as_py(), dtype=bool), len(order))
-        b.bigrams()
         number, total = self._known(words, order)
+        by_number = np.argsort(number)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[by_number] = np.arange(len(order))
+        b = Block(rank[tokens], sizes, np.array(row.column("held")[0].as_py(), dtype=bool), len(order))
+        b.bigrams()
+        number, total = number[by_number], total[by_number]
         return b, np.concatenate([[START], number]), np.concatenate([[self.docs], total]), total
 
     def _asked(self, b: Block, names: np.ndarray, seen: np.ndarray) -> tuple:
@@ -256,7 +265,8 @@ class Scorer:
         successor = np.concatenate([names[1 + b.word], np.zeros(len(of_part), dtype=np.int64)])
         part = np.concatenate([(mix(names[1 + b.word].astype(np.uint64)) % parts[b.context].astype(np.uint64)).astype(np.int64), of_part])
         shard = (mix(names[local].astype(np.uint64) + part.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(self.shards)).astype(np.int64)
-        order = np.lexsort((successor, names[local], shard))
+        # Pairs come by context and successor already, but for the questions at their end.
+        order = np.lexsort((successor, names[local], shard)) if len(split) else np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
         s, n = shard[order], local[order]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])]) if len(s) else np.zeros(0, dtype=bool)
         return order, np.flatnonzero(new), _cells(s), local, successor
@@ -270,14 +280,14 @@ class Scorer:
             for shard, i, j in cells:
                 at = runs[np.searchsorted(runs, i) : np.searchsorted(runs, j)]
                 of = local[order[at]]
-                rows.append({"shard": shard, "block": row.column("block")[0].as_py(), "asked": pack(names[of], np.diff(at, append=j), successor[order[i:j]]), "told": pack(seen[of], counts[order[i:j]])})
+                rows.append({"shard": shard, "block": row.column("block")[0].as_py(), "asked": pack([names[of], successor[order[i:j]]], [np.diff(at, append=j)]), "told": pack([seen[of]], [counts[order[i:j]]])})
         return pa.table(_columns(rows, {"shard": pa.int64(), "block": pa.int64(), "asked": pa.binary(), "told": pa.binary()}))
 
     def build(self, table: pa.Table) -> pa.Table:
         """The shard's trie from the training counts of all blocks, and beside it what they ask."""
         context, seen, successor, count = [], [], [], []
         for asked, told in zip(table.column("asked").to_pylist(), table.column("told").to_pylist(), strict=True):
-            (names, sizes, follow), (occur, times) = unpack(asked), unpack(told)
+            (names, follow, sizes), (occur, times) = unpack(asked), unpack(told)
             use = times > 0  # only what the training texts hold
             context.append(np.repeat(names, sizes)[use])
             seen.append(np.repeat(occur, sizes)[use])
@@ -299,10 +309,19 @@ class Scorer:
         for batch in batches:
             for i in range(batch.num_rows):
                 trie, shard = Trie.open(batch.column("trie")[i].as_buffer()), batch.column("shard")[i].as_py()
-                rows = []
-                for q in batch.column("questions")[i]:
-                    names, sizes, successor = unpack(q["asked"].as_py())
-                    rows.append({"block": q["block"].as_py(), "shard": shard, "body": pack(trie.followers(names), trie.find(names, sizes, successor))})
+                questions = [(q["block"].as_py(), *unpack(q["asked"].as_py())) for q in batch.column("questions")[i]]
+                rows, at = [], 0
+                while at < len(questions):
+                    to, size = at, 0
+                    while to < len(questions) and size < 1 << 20:
+                        size += len(questions[to][2])
+                        to += 1
+                    part = questions[at:to]
+                    names, successor, sizes = (np.concatenate([q[k] for q in part]) for k in (1, 2, 3))
+                    followers = np.split(trie.followers(names), np.cumsum([len(q[1]) for q in part])[:-1])
+                    found = np.split(trie.find(names, sizes, successor), np.cumsum([len(q[2]) for q in part])[:-1])
+                    rows += [{"block": q[0], "shard": shard, "body": pack([], [f, x])} for q, f, x in zip(part, followers, found, strict=True)]
+                    at = to
                 yield pa.RecordBatch.from_pydict(_columns(rows, {"block": pa.int64(), "shard": pa.int64(), "body": pa.binary()}))
 
     def score(self, row: pa.Table, answers: pa.Table) -> pa.Table:

@@ -161,7 +161,7 @@ def test_trie_finds_successors_of_contexts():
 @given(st.lists(st.lists(st.integers(-(2**40), 2**40), max_size=30), max_size=4))
 def test_packed_numbers(lists):
     arrays = [np.array(x, dtype=np.int64) for x in lists]
-    assert [x.tolist() for x in lm.unpack(lm.pack(*arrays))] == lists
+    assert [x.tolist() for x in lm.unpack(lm.pack(arrays, [abs(a) for a in arrays]))] == [*lists, *([abs(x) for x in v] for v in lists)]
 
 
 def test_words_that_weak_hashes_confuse(spark):
