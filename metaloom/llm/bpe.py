@@ -17,7 +17,7 @@ import numpy as np
 from metaloom.llm import pretok
 from metaloom.llm.words import numbered
 
-MEMO = 400_000
+MEMO = 200_000
 NONE = np.int32(2**31 - 1)
 PROBE = 0x9E3779B97F4A7C15 - (1 << 64)
 

@@ -34,11 +34,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.components import components
-from metaloom.llm.words import exact_shingles, marked_shingles, mix, scan, slices
+from metaloom.llm.words import exact_shingles, marked_shingles, mix, scan, text_runs
 from metaloom.session import cut, discard, ship_package
 
 
@@ -106,9 +107,8 @@ class Sketch:
 def _signature(sketch: Sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                sets, marks = marked_shingles(scan(texts[a:b], lower=True), sketch.width)
+            for a, b, texts in text_runs(batch.column("text")):
+                sets, marks = marked_shingles(scan(texts, lower=True), sketch.width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(marks, type=pa.binary()), pa.array([k.tobytes() for k in sketch.of(sets)], type=pa.binary())],
                     names=["id", "n", "mark", "sketch"],
@@ -122,9 +122,9 @@ def _of_class(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("mark").to_pylist()
-            for a, b in slices(texts):
-                own = marked_shingles(scan(texts[a:b], lower=True), width)[1]
+            marks = batch.column("mark").to_pylist()
+            for a, b, texts in text_runs(batch.column("text")):
+                own = marked_shingles(scan(texts, lower=True), width)[1]
                 yield batch.select(["node", "text"]).slice(a, b - a).filter(pa.array([x == y for x, y in zip(own, marks[a:b], strict=True)]))
 
     return run
@@ -135,9 +135,8 @@ def _exploded(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                sets = marked_shingles(scan(texts[a:b], lower=True), width)[0]
+            for a, b, texts in text_runs(batch.column("text")):
+                sets = marked_shingles(scan(texts, lower=True), width)[0]
                 owner = pa.array(np.repeat(np.arange(a, b), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in ("node", "label", "n")), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "label", "n", "token"])
 
@@ -164,21 +163,21 @@ def _confirmed(sketch: Sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [t for pair in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True) for t in pair]
             links = np.zeros(batch.num_rows, dtype=bool)
+            ta, tb = batch.column("ta"), batch.column("tb")
+            ends = np.cumsum(pc.binary_length(ta).to_numpy() + pc.binary_length(tb).to_numpy())
             at = 0
-            while at < len(both):
-                to, size = at, 0
-                while to < len(both) and size < 1 << 21:
-                    size += len(both[to]) + len(both[to + 1])
-                    to += 2
-                sets = exact_shingles(scan(both[at:to], lower=True), sketch.width)
-                for i in range(0, to - at, 2):
-                    x, y = sets[i], sets[i + 1]
+            while at < len(links):
+                # Pairs of about 2 MB of text at a time.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21))))
+                both = [t for pair in zip(ta.slice(at, to - at).to_pylist(), tb.slice(at, to - at).to_pylist(), strict=True) for t in pair]
+                sets = exact_shingles(scan(both, lower=True), sketch.width)
+                for i in range(to - at):
+                    x, y = sets[2 * i], sets[2 * i + 1]
                     # Similar sets have similar sizes; the others need not be met.
                     if 100 * min(len(x), len(y)) >= sketch.percent * max(len(x), len(y)):
                         common = len(np.intersect1d(x, y, assume_unique=True))
-                        links[(at + i) // 2] = 100 * common >= sketch.percent * (len(x) + len(y) - common)
+                        links[at + i] = 100 * common >= sketch.percent * (len(x) + len(y) - common)
                 at = to
             yield batch.select(["a", "b"]).filter(pa.array(links))
 
@@ -225,7 +224,11 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def tried(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(_estimated(pairs, near, sketch), texts, sketch))
+        # Written in between, so that no task holds Python workers for both.
+        hopeful = cut(_estimated(pairs, near, sketch))
+        links = cut(_verified(hopeful, texts, sketch))
+        discard(hopeful)
+        return links
 
     nearest = stars.groupBy("node").agg(F.max(F.struct("times", (-F.col("head")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("head"))
     links = tried(nearest.select(*ends).distinct())

@@ -14,6 +14,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SEP = np.zeros(256, dtype=bool)
@@ -90,6 +91,16 @@ def slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int,
         yield a, len(texts)
 
 
+def text_runs(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs ``(a, b, texts)`` of an Arrow column with about ``limit`` bytes each (one text at least); only a run at a time is held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit)))
+        yield a, b, texts.slice(a, b - a).to_pylist()
+        a = b
+
+
 def _windows(h: np.ndarray, width: int) -> list[np.ndarray]:
     """Hashes of 1, 2, ... ``width`` words from each place on."""
     out, x = [mix(h ^ U(0xD6E8FEB86659FD93))], h

@@ -221,7 +221,10 @@ def test_sharding_query(spark, data, documents):
     groups = Counter()
     for t in texts.values():
         groups[t] += len(t.encode()) + 16
-    assert max(load.values()) <= max(max(groups.values()), 1.35 * sum(load.values()) / 40)
+    plain = Counter()
+    for name, shard in sharding.schedule([(n, t) for t, n in groups.items()], 40):
+        plain[shard] += groups[name]
+    assert sum(load.values()) == sum(plain.values()) and max(load.values()) <= 1.01 * max(plain.values())
 
 
 def test_sharding_odd_rows(odd, none, odd_rows):
