@@ -76,14 +76,14 @@ def test_kept_query(spark, data, documents):
 
 
 def test_fitted_bands_decide(spark):
-    """On labelled texts of sf0.01: clean ones stay, and most poor ones that pass the base's rules go by compression."""
-    data = "/root/testdata/sf0.01"
+    """Fitted to half of the labels of sf0.1 and tried on the other half: clean texts stay, and most poor ones that pass the base's rules go by compression."""
+    data = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    bands = quality.fit_bands(docs, labels)
-    rows = quality.with_quality(docs.join(labels.select("doc_id"), "doc_id"), bands=bands).filter("not quality.base_failed").select("doc_id", F.col("quality.in_band").alias("ok")).collect()
-    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
-    clean, poor = [r.ok for r in rows if r.doc_id in good], [r.ok for r in rows if r.doc_id not in good]
-    assert sum(clean) >= 0.99 * len(clean) and sum(poor) <= 0.5 * len(poor)
+    bands = quality.fit_bands(docs, labels.filter("doc_id % 2 = 0"))
+    tried = docs.join(labels.filter("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = quality.with_quality(tried, name="judged", bands=bands).select("label", "judged.base_failed", "judged.in_band").collect()
+    clean, poor = ([r.in_band for r in rows if r.label == x and not r.base_failed] for x in (1, 0))
+    assert len(clean) > 1000 and len(poor) > 100 and sum(clean) >= 0.99 * len(clean) and sum(poor) <= 0.35 * len(poor)
 
 
 def test_bands_without_labels_or_few(spark, odd, none):
@@ -92,7 +92,7 @@ def test_bands_without_labels_or_few(spark, odd, none):
         assert quality.fit_bands(docs, few) == quality.Bands()
     sizes = np.repeat(np.arange(1000, 3000, 10), 3)
     b = quality.Bands().fitted(sizes, 1.9 + 0.0001 * (sizes - 1000), 100)
-    assert b.band(999) == quality.Bands().band(999) and b.band(3000) == quality.Bands().band(3000) and 1.9 < b.band(1500)[1] < 2.0
+    assert b.band(999) == quality.Bands().band(999) and b.band(3000) == quality.Bands().band(3000) and 1.95 < b.band(1500)[1] < 2.03  # 1.95 at 1500 bytes, at most 1.99 in its class, and 2 %
     starts = [x[0] for x in b.limits]
     assert starts == sorted(set(starts)) and starts[0] == 0
 
