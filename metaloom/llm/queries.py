@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import bpe_codec, exact_dedup, line_dedup, lm, near_dedup, packing, quality, sharding, token_counts, url_filter
+from metaloom.llm import bpe_codec, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, quality, sharding, token_counts, url_filter
+from metaloom.llm.merkle_sql import manifest_sql
 from metaloom.session import ship_package, table
 
 COUNTED, MULTI = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -79,16 +81,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering: texts of every fifth id (by CRC-32) lose their capitals."""
+    text = F.col("text")
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(hit, lowered).otherwise(text)})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_merkle_manifest, pipeline)}
 
 _WS = r"\x20\x09-\x0D"
 SQL = {
+    "op11_merkle_manifest": manifest_sql(),
     "op3_url_filter": r"""
 WITH p AS (
   SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END, '') AS rest FROM pages),
