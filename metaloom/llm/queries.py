@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import bpe_codec, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, quality, sharding, token_counts, url_filter
-from metaloom.llm.merkle_sql import manifest_sql
+from metaloom.llm import bpe_codec, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, prefix_trie, quality, sharding, token_counts, url_filter
+from metaloom.llm.merkle_sql import crc32, manifest_sql
 from metaloom.session import ship_package, table
 
 COUNTED, MULTI = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -89,13 +89,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(hit, lowered).otherwise(text)})
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.with_shared_openings(prefix_trie.positions(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_merkle_manifest, op13_prefix_trie, pipeline)}
 
 _WS = r"\x20\x09-\x0D"
 SQL = {
@@ -156,6 +161,27 @@ f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM f)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM f)), '')) AS kept_sha256
 FROM k GROUP BY doc_id""",
+    "op13_prefix_trie": rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, {crc32("conv_id::VARCHAR")} % 6 AS h, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, 0 AS part, b.pos, b.role, b.text FROM c JOIN t b ON b.conv_id = c.base AND b.pos <= c.h
+  UNION ALL SELECT t.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t USING (conv_id) WHERE t.pos > c.h),
+s AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, sha256(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER w) AS node,
+         coalesce(sha256(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS parent
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT conv_id, coalesce(max_by(node, depth), '') AS node FROM c LEFT JOIN s USING (conv_id) GROUP BY conv_id),
+x AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM e GROUP BY node),
+n AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM s GROUP BY node
+  UNION ALL SELECT '', NULL, 0, min(conv_id), count(*), 0 FROM c HAVING count(*) > 0),
+k AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n z WHERE z.parent = n.node) AS n_children FROM n LEFT JOIN n p ON p.node = n.parent),
+a AS (SELECT DISTINCT s.node, u.node AS above FROM s JOIN s u ON u.conv_id = s.conv_id AND u.depth <= s.depth UNION SELECT node, '' FROM n)
+SELECT above.conv_id, above.depth::BIGINT AS depth, above.parent_conv_id, above.n_convs, above.n_children, sum((k.n_children = 0)::INT)::BIGINT AS n_leaves, sum((k.n_convs - 1) * k.chars)::BIGINT AS saved_tokens,
+       coalesce(any_value(x.ends_sha256), sha256('')) AS ends_sha256
+FROM k above JOIN a ON a.above = above.node JOIN k ON k.node = a.node LEFT JOIN x ON x.node = above.node GROUP BY ALL""",
     "op10_exact_dedup": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[{_WS}]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER g = 1 AS kept, sha256(norm) AS text_sha256
