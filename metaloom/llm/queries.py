@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import bpe_codec, exact_dedup, line_dedup, lm, merkle, near_dedup, packing, prefix_trie, quality, sharding, token_counts, url_filter
+from metaloom.llm import bpe_codec, exact_dedup, html_text, line_dedup, lm, merkle, near_dedup, packing, prefix_trie, quality, sharding, token_counts, url_filter
 from metaloom.llm.merkle_sql import crc32, manifest_sql
 from metaloom.session import ship_package, table
 
@@ -89,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(hit, lowered).otherwise(text)})
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = prefix_trie.with_shared_openings(prefix_trie.positions(table(spark, sf_dir, "conversations")))
     return prefix_trie.prefix_trie(turns, convs)
@@ -100,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_merkle_manifest, op13_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_url_filter, op4_sharding, op5_near_dedup, op6_lm_score, op7_packing, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_merkle_manifest, op12_html_text, op13_prefix_trie, pipeline)}
 
 _WS = r"\x20\x09-\x0D"
 SQL = {
