@@ -1,11 +1,12 @@
 """Main text of web pages by consensus of a host's pages on where the text stands.
 
 First pass: each page is cut into elements; every container is scored by the text of its blocks (links and short loose
-text count against it, elements made for articles count more), and the page votes for the generalised tag-class paths of
-its best containers: tag names with their classes from the body down, digits left out. Votes are summed by host and
-path, and a host's paths are ranked. Second pass: a page is read again and its text taken from the first of its host's
-paths that it has text at, or from its own best container if it has none. A page is thus not fooled by a long sidebar or
-notice that the other pages of the host do not have.
+text count against it, elements made for articles count more), and the page votes for the generalised path of its best
+container: tag names with their classes and ids from the body down, numbers of three and more digits left out. Votes are
+summed by host and path, and a host's paths are ranked. Second pass: a page is read again and its text taken from the
+first of its host's paths that it has text at (all containers of a path that is named by tag or class, else the best one),
+or from its own best container if it has none. A page is thus not fooled by a long sidebar or notice that the other pages
+of the host do not have.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role or
 by words of class and id (``BOILERPLATE``), wherever they stand; a heading inside an article belongs to it. Character
@@ -64,7 +65,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*)\s*(=?)\s*)?")
 BARE = re.compile(r"[^\s>]*")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d{3,}")
 INVISIBLE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 LABEL_STEPS = 24
 
