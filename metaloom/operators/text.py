@@ -1,14 +1,15 @@
 """Text search as DataFrames: analysis, postings, ranked and boolean retrieval, facets and highlights.
 
 Postings are rows (term, doc_id, field, tf, positions); documents' lengths are a second frame. A query is a join of its
-terms with the postings. :func:`search` answers from the texts themselves and drops all other terms before anything is
-shuffled; for repeated use :func:`store_index` writes postings by buckets of terms, and :func:`stored_search` reads only the
-buckets of the terms that are asked for.
+terms with the postings. :func:`search` answers from the texts themselves: words that are not asked for are dropped inside
+the row that reads the text, before anything is shuffled. For repeated use :mod:`metaloom.operators.index` stores
+postings in blocks by buckets of terms; :func:`stored_search` reads only the buckets of the terms that are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from metaloom.session import cut
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
 K1, B = 1.2, 0.75
+FEW_TERMS, SET_BYTES = 4096, 8 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -65,13 +67,21 @@ def lengths(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool = T
     return out
 
 
+def words_of(text: Column, kind: str, stop: bool = True) -> Column:
+    """The analysed words of a field as an array, without nulls; empty for a null text."""
+    if kind == "keyword":
+        return F.array_compact(F.array(F.lower(text)))
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    return F.filter(words, lambda x: ~x.isin(STOP_WORDS)) if stop else words
+
+
 def _totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
 
 
 def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bool) -> DataFrame:
-    """``hits``: term, doc_id, field, tf, length of the asked terms; they are used twice, so they are written once."""
-    q, hits = queries.select("query_id", "term").distinct(), cut(hits)
+    """``hits``: term, doc_id, field, tf, length of the asked terms."""
+    q = queries.select("query_id", "term").distinct()
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # a posting is a document
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -88,35 +98,68 @@ def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, need_all: bool =
     return _scored(queries, hits.join(stats, ["doc_id", "field"]), _totals(stats), need_all)
 
 
-def matching(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame) -> DataFrame:
-    """``term, doc_id, field, tf, length`` of the given terms alone: other terms are dropped where the text is read."""
-    out = None
+def scanned(docs: DataFrame, id_col: str, fields: dict[str, str], terms: list[str] | None = None) -> DataFrame:
+    """``doc_id, field, length, words`` of each text, read once; of ``words`` only the given terms stay, in their order. Nothing is shuffled."""
+    parts = []
     for name, kind in fields.items():
-        words = F.array_compact(F.array(F.lower(F.col(name)))) if kind == "keyword" else F.filter(tokens(F.col(name)), lambda x: ~x.isin(STOP_WORDS))
-        part = docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), words.alias("words"))
-        part = part.select("doc_id", "field", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
-        out = part if out is None else out.unionByName(part)
-    return out.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "field", "length").agg(F.count("*").alias("tf"))
+        part = docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), words_of(F.col(name), kind).alias("words")).withColumn("length", F.size("words").cast("long"))
+        kept = F.col("words") if terms is None else F.filter("words", lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")
+        parts.append(part.select("doc_id", "field", "length", kept.alias("words")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _looked_up(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term, doc_id, field, tf, length`` of the given terms, and ``doc_id, field, length`` of all texts.
+
+    Up to ``FEW_TERMS`` terms are part of the plan: texts are read and cut into words once, all other words go before rows
+    are made of them, and what is left is written. More terms are broadcast as long as their strings stay below
+    ``SET_BYTES``, and words are dropped where they are made. Beyond that most words are asked for: they are counted
+    within their texts before they meet the terms.
+    """
+    asked = terms.select("term").filter("term is not null").distinct()
+    some = [r[0] for r in asked.limit(FEW_TERMS + 1).collect()]
+    if len(some) <= FEW_TERMS:
+        scan = cut(scanned(docs, id_col, fields, some))
+        stats, hits = scan.select("doc_id", "field", "length").filter("length > 0"), scan.filter("size(words) > 0").select("doc_id", "field", "length", F.explode("words").alias("term"))
+    else:
+        asked = cut(asked)
+        stats, hits = lengths(docs, id_col, fields), scanned(docs, id_col, fields).select("doc_id", "field", "length", F.explode("words").alias("term"))
+        if asked.agg(F.sum(F.octet_length("term") + 16)).first()[0] <= SET_BYTES:
+            hits = hits.join(F.broadcast(asked), "term", "left_semi")
+        else:
+            counted = hits.groupBy("doc_id", "field", "length", "term").agg(F.count("*").alias("tf"))
+            return cut(counted.join(asked, "term", "left_semi")), stats
+        hits = cut(hits)
+    return hits.groupBy("term", "doc_id", "field", "length").agg(F.count("*").alias("tf")), stats
+
+
+def matching(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame) -> DataFrame:
+    """``term, doc_id, field, tf, length`` of the given terms alone: other words are dropped where the text is read."""
+    return _looked_up(docs, id_col, fields, terms)[0]
 
 
 def search(docs: DataFrame, id_col: str, fields: dict[str, str], queries: DataFrame, need_all: bool = False) -> DataFrame:
     """:func:`bm25` straight from the texts: nothing but the asked terms' postings is shuffled."""
-    return _scored(queries, matching(docs, id_col, fields, queries), _totals(lengths(docs, id_col, fields)), need_all)
+    hits, stats = _looked_up(docs, id_col, fields, queries)
+    return _scored(queries, hits, _totals(stats), need_all)
 
 
 def store_index(docs: DataFrame, id_col: str, fields: dict[str, str], folder: str, buckets: int = 64) -> None:
-    """Writes ``postings`` in folders by bucket of the term, and ``lengths``. A common term's postings lie in several files of its bucket."""
-    post = postings(analyse(docs, id_col, fields)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    post.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths(docs, id_col, fields).write.mode("overwrite").parquet(f"{folder}/lengths")
-
-
-def stored_search(spark: SparkSession, folder: str, words: dict[int, list[str]], buckets: int = 64, need_all: bool = False) -> DataFrame:
-    """:func:`bm25` over a stored index for queries given as lists of analysed words: reads the folders of their buckets alone."""
-    asked = spark.createDataFrame([(i, w) for i, ws in words.items() for w in ws], "query_id long, term string")
-    of = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]  # as many as buckets at most
-    post = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(of) & F.col("term").isin(sorted({w for ws in words.values() for w in ws})))
-    return bm25(asked, post, spark.read.parquet(f"{folder}/lengths"), need_all)
+    """Writes an index (:mod:`metaloom.operators.index`) of one generation in a new folder."""
+    from metaloom.operators import index
+
+    index.create(docs, id_col, fields, folder, buckets)
+
+
+def stored_search(spark: SparkSession, folder: str, words: dict[int, list[str]], buckets: int | None = None, need_all: bool = False) -> DataFrame:
+    """:func:`bm25` over a stored index, every match, for queries given as lists of words, which are analysed. The number of buckets is read from the index; another one is an error."""
+    from metaloom.operators import index
+
+    written = index.manifest(spark, folder)
+    if buckets is not None and buckets != written["buckets"]:
+        raise ValueError(f"the index in {folder} has {written['buckets']} buckets, not {buckets}")
+    queries = spark.createDataFrame([(i, " ".join(ws)) for i, ws in words.items()], "query_id long, query string")
+    return index.matches(spark, folder, index.ask(queries, written), need_all)
 
 
 def top_hits(scored: DataFrame, k: int) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from metaloom import schemas
 from metaloom.functions import scalars as sc
+from metaloom.operators import index as ix
 from metaloom.operators import predicates as p
 from metaloom.operators import text as t
 from metaloom.operators import vectors as vec
 from metaloom.operators.stemming import stems
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
-from metaloom.session import table
+from metaloom.session import new_folder, table
 
 STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
 TOKENS = f", tk AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS position FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)), a AS (SELECT * FROM tk WHERE term NOT IN ({STOP}))"
@@ -87,6 +88,37 @@ def t9b(s, d):
     return t.top_hits(_search(s, d, q), 5)
 
 
+ALL_ITEMS = f", asking AS (SELECT item_id AS query_id, text AS query FROM benchmark), ask AS ({terms_sql('asking')})" + ranked_sql("") + f" SELECT query_id, doc_id, score, {RANK} FROM r" + BEST.format(k=5)
+
+
+def _items(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("t5_t9_index_blocks", ", corpus AS (SELECT doc_id AS id, text AS body FROM documents)" + ALL_ITEMS)
+def t9c(s, d):
+    """Documents stored as an index; of each benchmark text the first five, by blocks whose bounds allow it."""
+    folder = new_folder(s, "index")
+    ix.create(table(s, d, "documents"), "doc_id", {"text": "standard"}, folder, buckets=16)
+    return ix.search(s, folder, _items(s, d), 5)
+
+
+@query(
+    "t25_i8_index_updates",
+    ", corpus AS (SELECT doc_id AS id, CASE WHEN quality = 0 THEN concat_ws(' ', lang, source, text, 'thnd license') ELSE text END AS body FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1)" + ALL_ITEMS,
+)
+def t25b(s, d):
+    """The same after changes: documents called poor get a new text, toxic ones are deleted, and what is left is made one generation."""
+    docs, labels = table(s, d, "documents"), table(s, d, "labels")
+    first, folder = new_folder(s, "index"), new_folder(s, "index")
+    ix.create(docs, "doc_id", {"text": "standard"}, first, buckets=16)
+    poor = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    ix.upsert(poor.withColumn("text", F.concat_ws(" ", "lang", "source", "text", F.lit("thnd license"))), first)
+    ix.delete(labels.filter("toxic = 1").select("doc_id"), first)
+    ix.compact(s, first, folder)
+    return ix.search(s, folder, _items(s, d), 5)
+
+
 @query("t10_field_terms", "SELECT experiment_accession FROM experiment WHERE lower(platform) = '1-urgent' AND lower(library_strategy) = 'o'")
 def t10(s, d):
     e = f.experiment(s, d)

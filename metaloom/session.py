@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 _TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SCRATCH: list[list[str]] = []
+_ALIVE: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,22 +33,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a folder of tables in the shared checkpoint folder.
+
+    Frames that read it need it as long as they are used, so it lives until :func:`discard`, the end of the
+    :func:`scratch` that it was made in, :func:`release`, or else the end of the application, whose file system deletes
+    it then.
+    """
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _ALIVE.append(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
-    """``df`` as a table written in the shared checkpoint folder: later jobs neither recompute it nor lose it with an executor, read only the columns they need, and plan with its true size. ``rows_a_file`` (0: any number) is for very large rows."""
+    """``df`` as a table written in the shared checkpoint folder (:func:`new_folder`): later jobs neither recompute it nor lose it with an executor, read only the columns they need, and plan with its true size. ``rows_a_file`` (0: any number) is for very large rows."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _TABLES[out] = path
-    for paths in _SCRATCH:
-        paths.append(path)
     return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+    if path in _ALIVE:
+        _ALIVE.remove(path)
 
 
 def discard(*cuts: DataFrame) -> None:
@@ -56,6 +75,12 @@ def discard(*cuts: DataFrame) -> None:
         delete(df.sparkSession, _TABLES.pop(df))
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that are left of earlier queries: for a long session whose results have been written or collected."""
+    for path in list(_ALIVE):
+        delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside are deleted at the end: for work whose result has been written by then."""
@@ -64,9 +89,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.remove(paths)
         for path in paths:
-            delete(spark, path)
+            if path in _ALIVE:
+                delete(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:
