@@ -1,11 +1,16 @@
 """URL filters with DataFrame functions alone: rules, then a blocked Bloom filter before an exact hash join.
 
 The list of canonical URLs may be of any size. It is folded into a blocked Bloom filter: a URL's hash names one block
-of four 64-bit words and sets one bit in each. The number of blocks follows the list (``KEYS`` URLs a block, where about
-one other URL in 250 passes), up to ``blocks``, so the broadcast has a proven bound: that many rows of 40 bytes, 10.5 MB
-by default, which serve four million URLs. A longer list is joined without the filter, as nearly all would pass it.
-URLs that pass are joined with the list itself on the canonical URL, which removes false hits; the key of the others
-can't be in the list. Pages are read once.
+of four 64-bit words and sets one bit in each; the number of blocks follows the list (``KEYS`` URLs a block, where about
+one other URL in 250 passes). Up to ``blocks`` blocks, 10.5 MB by default, which serve four million URLs, the filter is
+broadcast to the pages' URLs, and only what passes is shuffled; a larger filter is dealt by blocks and meets each wanted
+URL once. Possible hits then meet the list itself in a hash join on the canonical URL, which removes false ones. No
+column of a page but its canonical URL takes part.
+
+What is left, the listed URLs that pages want, goes back to the pages as a broadcast while it has at most ``few`` bytes
+(checked on the written table). Beyond that a filter of it, of ``blocks`` blocks, is broadcast: pages that it stops are
+not moved, and the others meet the confirmed URLs in a shuffled join. The URL column is read twice, all else once (twice
+beyond ``few``).
 
 Canonical URLs: scheme, user, fragment, default ports, a leading ``www.`` and slashes at the path's end are left out;
 dot segments are resolved; escapes of unreserved characters are undone and the others written in capitals; parameters of
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from metaloom.session import cut
 
-BLOCKS, KEYS = 1 << 18, 16
+BLOCKS, KEYS, FEW = 1 << 18, 16, 32 << 20
 # Parameters of a query that name the way to a page, not the page.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|msclkid|ref|ref_src)(=|$)"
 
@@ -92,28 +97,48 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFram
     return listed.select(_block(F.col(key), blocks).alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits))).groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)))
 
 
-def judge_urls(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def _hit(key: Column, at: str, words: list[str]) -> Column:
+    """Whether a key passes the block that it was joined with."""
+    passed = F.col(at).isNotNull()
+    for w, b in zip(words, _bits(key), strict=True):
+        passed = passed & (F.col(w).bitwiseAND(b) != 0)
+    return F.coalesce(passed, F.lit(False))
+
+
+def confirmed_keys(wanted: DataFrame, keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """The distinct ``key`` of ``wanted`` that are in ``keys`` (distinct): possible hits by the filter, then a hash join of those with the list."""
+    n = max(1024, -(-keys.count() // KEYS))
+    names = [f"w{k}" for k in range(4)]
+    bloom = blocked_bloom(keys, "key", n if n > blocks else min(blocks, n))
+    if n <= blocks:  # what the filter stops is not shuffled
+        tested = wanted.join(F.broadcast(bloom), _block(F.col("key"), n) == F.col("block"))
+    else:  # a larger filter is dealt by blocks, and meets each wanted key once
+        tested = wanted.distinct().withColumn("block", _block(F.col("key"), n)).join(bloom, "block")
+    return tested.filter(_hit(F.col("key"), "block", names)).select("key").distinct().join(keys, "key", "left_semi")
+
+
+def judge_urls(df: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", blocks: int = BLOCKS, few: int = FEW) -> DataFrame:
     """``df`` with ``host, path, rule, listed, verdict`` (columns of these names are replaced); ``listed`` has a column ``canonical_url`` (repeats and nulls allowed)."""
     tag = "_"
     while any(c.lower().startswith(tag) for c in df.columns):
         tag += "_"
-    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias(f"{tag}key")).distinct())
-    count = keys.count()
-    source, wanted, at = (F.col(f"{tag}{x}") for x in ("source", "wanted", "at"))
+    keys = cut(listed.filter("canonical_url is not null").select(F.col("canonical_url").alias("key")).distinct())
+    source, wanted = F.col(f"{tag}source"), F.col(f"{tag}wanted")
     host, path = host_and_path(source)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     parts = df.withColumn(f"{tag}source", F.col(f"`{url_col}`").cast("string")).drop("host", "path", "rule", "listed", "verdict").withColumns({"host": host, "path": path})
     # A URL that a rule settles, or without a host, is not looked up.
     parts = parts.withColumns({"rule": rule, f"{tag}settled": verdict})
     parts = parts.withColumn(f"{tag}wanted", F.when(F.col("rule").isNull() & (F.col("host") != ""), canonical(source)))
-    if count <= KEYS * blocks:
-        own = min(blocks, max(1024, -(-count // KEYS)))
-        bloom = blocked_bloom(keys, f"{tag}key", own).toDF(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
-        tested = parts.join(F.broadcast(bloom), _block(wanted, own) == at, "left")
-        hit = at.isNotNull()
-        for k, b in enumerate(_bits(wanted)):
-            hit = hit & (F.col(f"{tag}w{k}").bitwiseAND(b) != 0)
-        # What the filter stops gets a key that is in no list.
-        parts = tested.withColumn(f"{tag}wanted", F.when(hit, wanted).otherwise(F.concat(F.lit("\0"), wanted))).drop(f"{tag}at", *(f"{tag}w{k}" for k in range(4)))
-    judged = parts.join(keys, wanted == F.col(f"{tag}key"), "left").withColumn("listed", F.col(f"{tag}key").isNotNull())
+    confirmed = cut(confirmed_keys(parts.select(wanted.alias("key")).filter("key is not null"), keys, blocks)).select(F.col("key").alias(f"{tag}key"))
+    size = confirmed.agg(F.sum(F.octet_length(f"{tag}key") + 16)).first()[0] or 0
+    if size <= few:
+        judged = parts.join(F.broadcast(confirmed), wanted == F.col(f"{tag}key"), "left")
+    else:
+        # Too many to broadcast: a filter of them lets all other pages by, and only those that pass are shuffled.
+        at, words = f"{tag}at", [f"{tag}w{k}" for k in range(4)]
+        tested = parts.join(F.broadcast(blocked_bloom(confirmed, f"{tag}key", blocks).toDF(at, *words)), _block(wanted, blocks) == F.col(at), "left").withColumn(f"{tag}hit", _hit(wanted, at, words)).drop(at, *words)
+        yes = tested.filter(f"{tag}hit").join(confirmed, wanted == F.col(f"{tag}key"), "left")
+        judged = yes.unionByName(tested.filter(f"not {tag}hit").withColumn(f"{tag}key", F.lit(None).cast("string"))).drop(f"{tag}hit")
+    judged = judged.withColumn("listed", F.col(f"{tag}key").isNotNull())
     return judged.withColumn("verdict", F.coalesce(F.col(f"{tag}settled"), F.when(F.col("listed"), "block").otherwise("allow"))).drop(*(f"{tag}{x}" for x in ("source", "settled", "wanted", "key")))

@@ -286,3 +286,30 @@ def test_bloom_never_misses_and_false_hits_are_removed(spark):
     pages = spark.range(6000).select(F.concat(F.lit("http://h.com/"), F.col("id")).alias("url"))
     got = url_filter.judge_urls(pages, keys, [], blocks=8)
     assert got.filter("listed").count() == 3000 and url_filter.blocked_bloom(keys, "canonical_url", 8).count() <= 8
+
+
+
+@pytest.mark.parametrize("blocks", [4, 1 << 18])
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_urls_of_long_lists(spark, blocks, few):
+    """A filter too big to broadcast, and more confirmed URLs than are broadcast; a hot URL, settled ones and ones without host."""
+    urls = [f"http://a.com/{i % 700}" for i in range(2000)] + ["http://a.com/hot"] * 3000 + ["http://x.net/1", None, "none"] * 200
+    pages = spark.createDataFrame([(i, u, "html") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(5)
+    listed = spark.createDataFrame([(f"a.com/{i}",) for i in range(0, 40_000, 7)] + [("a.com/hot",), ("x.net/1",)], "canonical_url string")
+    got = url_filter.judge_urls(pages, listed, URL_RULES, blocks=blocks, few=few)
+    assert {r.page_id for r in got.filter("listed").collect()} == {i for i, u in enumerate(urls) if u == "http://a.com/hot" or i < 2000 and (i % 700) % 7 == 0}
+    assert got.count() == len(urls) and got.filter("rule = 'net/' and verdict = 'block'").count() == 200
+
+
+def test_pages_are_not_moved_for_the_list(spark, data):
+    """With Spark's own broadcasts off: no exchange has a page's columns in it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.read.parquet(f"{data}/pages.parquet")
+        listed = pages.select(url_filter.canonical(F.col("url")).alias("canonical_url"))
+        plan = url_filter.judge_urls(pages, listed, URL_RULES)._jdf.queryExecution().executedPlan().toString()
+        keys = url_filter.confirmed_keys(pages.select(url_filter.canonical(F.col("url")).alias("key")), listed.toDF("key").distinct())
+        assert "Exchange hashpartitioning" not in plan
+        assert "html" not in keys._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
