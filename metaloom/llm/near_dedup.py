@@ -184,10 +184,31 @@ def _confirmed(sketch: Sketch):
     return run
 
 
+PAIRS_A_TASK = 1000
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, most: int = PAIRS_A_TASK) -> DataFrame:
+    """``a, b, ta, tb``: pairs with the texts of both.
+
+    A node may be in very many pairs (copies of one text pair with their head). Pairs of a node with more than ``most`` are
+    dealt over salts while they are numbers alone, and its text is repeated once a salt, so that no task writes the texts
+    of all of a node's pairs. There are at most a ``most``-th as many such nodes as ends of pairs.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    hot = cut(ends.filter("shares > 1"))
+    spread = texts.join(hot, "node", "left").select("node", "text", F.explode(F.sequence(F.lit(1), F.coalesce("shares", F.lit(1)))).alias("salt"))
+    out = pairs
+    for at, other in (("a", "b"), ("b", "a")):
+        salt = F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int") + 1
+        out = out.join(hot.withColumnRenamed("node", at), at, "left").withColumn(f"s{at}", salt).drop("shares")
+    for at in ("a", "b"):
+        out = out.join(spread.select(F.col("node").alias(at), F.col("salt").alias(f"s{at}"), F.col("text").alias(f"t{at}")), [at, f"s{at}"])
+    return out.select("a", "b", "ta", "tb")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
     """The pairs whose full sets are similar. ``texts``: node and text."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(sketch), "a long, b long")
+    return _with_texts(pairs, texts).mapInArrow(_confirmed(sketch), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -286,5 +307,8 @@ def near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc
 
 def drop_near_duplicates(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """The rows of ``df`` whose document stays, with their own columns."""
-    gone = near_duplicates(df, sketch, id_col, text_col).filter("not kept").select(F.col(f"`{id_col}`").alias("metaloom_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("metaloom_gone"), "left_anti")
+    name = "gone"
+    while any(c.lower() == name for c in df.columns):
+        name += "_"
+    gone = near_duplicates(df, sketch, id_col, text_col).filter("not kept").select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return df.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -118,6 +118,31 @@ def test_ids_in_several_rows(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_pairs_of_one_head_are_dealt_out(spark):
+    texts = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(-1, 2000)], "node long, text string")
+    pairs = spark.createDataFrame([(-1, i) for i in range(1600)] + [(i, 1999) for i in range(900)] + [(3, 4)], "a long, b long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        largest = {}
+        for most in (10_000, 50):
+            met = near_dedup._with_texts(pairs, texts, most)
+            assert sorted((r.a, r.b) for r in met.collect()) == sorted((r.a, r.b) for r in pairs.collect())
+            assert met.filter("ta != repeat(concat('text ', a, ' '), 50) or tb != repeat(concat('text ', b, ' '), 50)").count() == 0
+            largest[most] = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest[50] < 0.5 * largest[10_000]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", ["gone", "GONE", "metaloom_gone", "node", "label", "component_id", "kept", "mark"])
+def test_near_stage_with_clashing_names(spark, name):
+    df = spark.createDataFrame([(1, "a b c d", 5), (2, "a b c d", 6), (3, "x y z", 7)], f"doc_id long, text string, {name} long")
+    out = near_dedup.drop_near_duplicates(df, TWO)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_near_by_five_words(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = [f"v{i}" for i in range(200)]
