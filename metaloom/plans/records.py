@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +15,7 @@ from metaloom.operators import ranking
 from metaloom.operators import validation as v
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
-from metaloom.session import checkpoint_dir, cut, table
+from metaloom.session import cut, new_folder, table
 from metaloom.sources import sinks, xml
 from metaloom.streaming import incremental as inc
 
@@ -177,7 +176,7 @@ def q3x(s, d):
 
 # Exports, written and read back.
 def _scratch(s: SparkSession) -> str:
-    return f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
+    return new_folder(s, "files")
 
 
 RESULTS = "SELECT study_accession AS id, 'study' AS type, study_title AS title, study_abstract AS description, organism, study_type AS platform, 'x' AS library_strategy FROM study"
@@ -233,11 +232,17 @@ def w2(s, d):
     return ranking.dense_ids(f.run(s, d).join(f.experiment(s, d).select("experiment_accession", "platform"), "experiment_accession").select("run_accession", "platform"), ["run_accession"], "sra_id")
 
 
-# Archives: the studies as members of gzipped archives, some broken; in sets and alone.
+# Archives: the studies as members of gzipped archives, in sets and alone; some with comments, CDATA and prefixes, some broken.
 def _archives(s: SparkSession, d: str, folder: str) -> DataFrame:
     """A file for each eighth of the studies, written where Spark runs the groups."""
-    one = F.concat(F.lit('<STUDY accession="'), F.col("study_accession"), F.lit('"><DESCRIPTOR><STUDY_TITLE>'), F.col("study_title"), F.when(F.col("k") % 10 == 9, "").otherwise("</STUDY_TITLE>"), F.lit("</DESCRIPTOR></STUDY>"))
-    whole = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<STUDY_SET>\n"), one, F.lit("\n</STUDY_SET>"))).otherwise(one)
+    k = F.col("k")
+    comment = F.when(k % 4 == 0, "<!-- </STUDY> <STUDY> -->").otherwise("")
+    title = F.when(k % 3 == 0, F.concat(F.lit("<![CDATA["), F.col("study_title"), F.lit("]]>"))).otherwise(F.col("study_title"))
+    name = F.when(k % 5 == 1, "s:STUDY").otherwise("STUDY")
+    end = F.when(k % 10 == 9, "").otherwise("</STUDY_TITLE>")  # a record that does not parse
+    one = F.concat(F.lit("<"), name, F.lit(' alias="a > b" accession="'), F.col("study_accession"), F.lit('">'), comment, F.lit("<DESCRIPTOR><STUDY_TITLE>"), title, end, F.lit("</DESCRIPTOR>"), F.when(k % 10 == 7, "").otherwise(F.concat(F.lit("</"), name, F.lit(">"))))
+    alone = F.lit('<STUDY accession="SRP0"/>')
+    whole = F.when(k % 2 == 0, F.concat(F.lit("<STUDY_SET>\n"), one, F.lit("\n</STUDY_SET>"))).when(k % 10 == 7, F.concat(F.lit("<STUDY_SET>"), one, alone, F.lit("</STUDY_SET>"))).otherwise(one)
     rows = f.study(s, d).withColumn("k", F.substring("study_accession", 4, 20).cast("long")).select((F.col("k") % 8).alias("part"), F.concat("study_accession", F.lit(".study.xml")).alias("name"), whole.alias("xml"))
 
     def write(part: pd.DataFrame) -> pd.DataFrame:
@@ -258,13 +263,16 @@ def _archives(s: SparkSession, d: str, folder: str) -> DataFrame:
     return rows.groupBy("part").applyInPandas(write, "file string, members long")
 
 
-@query("s1_s9_s10_archives", "SELECT CASE WHEN k % 8 = 5 THEN 'unreadable archive' WHEN k % 10 = 9 THEN 'broken record' ELSE 'record' END AS what, CASE WHEN k % 8 <> 5 AND k % 10 <> 9 THEN study_title END AS title, CASE WHEN k % 8 = 5 THEN 1 ELSE count(*) END AS members FROM (SELECT *, substr(study_accession, 4)::BIGINT AS k FROM study) GROUP BY 1, 2, k % 8 = 5")
+@query(
+    "s1_s9_s10_archives",
+    "SELECT what, title, count(*) AS members FROM (SELECT CASE WHEN k % 10 = 9 THEN 'does not parse' WHEN k % 10 = 7 THEN 'not closed' ELSE 'record' END AS what, CASE WHEN k % 10 NOT IN (7, 9) THEN study_title END AS title FROM (SELECT *, substr(study_accession, 4)::BIGINT AS k FROM study) WHERE k % 8 <> 5 UNION ALL SELECT 'record', NULL FROM (SELECT substr(study_accession, 4)::BIGINT AS k FROM study) WHERE k % 10 = 7 AND k % 8 <> 5) GROUP BY 1, 2 UNION ALL SELECT 'unreadable archive', NULL, 1 FROM (SELECT 1 FROM study WHERE substr(study_accession, 4)::BIGINT % 8 = 5 LIMIT 1)",
+)
 def s1(s, d):
     """What the archives give: records by title, broken records, archives that don't open."""
-    folder = _scratch(s)
-    _archives(s, d, folder).agg(F.sum("members")).collect()
+    folder = new_folder(s, "archives")
+    cut(_archives(s, d, folder))
     members = cut(xml.archive_members(s, folder + "/*.tar.gz"))
-    found = xml.records(members, "STUDY").select(F.when(F.col("_accession").isNull() | F.col("DESCRIPTOR").isNull(), "broken record").otherwise("record").alias("what"), F.col("DESCRIPTOR.STUDY_TITLE").alias("title"))
+    found = xml.parsed(members, "STUDY").select(F.coalesce("error", F.lit("record")).alias("what"), F.when(F.col("error").isNull(), F.col("r.DESCRIPTOR.STUDY_TITLE")).alias("title"))
     bad = members.filter("error is not null").select(F.lit("unreadable archive").alias("what"), F.lit(None).cast("string").alias("title"))
     return found.unionByName(bad).groupBy("what", "title").agg(F.count("*").alias("members"))
 

@@ -7,6 +7,8 @@ Numbers are read as strings and cast leniently when records are flattened: one b
 
 from __future__ import annotations
 
+import codecs
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from metaloom import schemas
 from metaloom.functions.scalars import organism, parse_time
+from metaloom.sources.xml_records import cut_records
 
 ATTR = "ARRAY<STRUCT<TAG: STRING, VALUE: STRING, UNITS: STRING>>"
 LINK = "ARRAY<STRUCT<URL_LINK: STRUCT<LABEL: STRING, URL: STRING>, XREF_LINK: STRUCT<DB: STRING, ID: STRING, LABEL: STRING>>>"
@@ -62,34 +65,52 @@ def route(name: Column) -> Column:
 
 
 PIECE = 16 << 20
-
-
-def _pieces(stream, end: bytes, size: int) -> Iterator[str]:
-    """A member's text in pieces of about ``size`` bytes that end where a record ends."""
-    held = b""
-    while chunk := stream.read(size):
-        held += chunk
-        at = held.rfind(end)
-        if len(held) >= size and at >= 0:
-            yield held[: at + len(end)].decode("utf-8", "replace")
-            held = held[at + len(end) :]
-    if held:
-        yield held.decode("utf-8", "replace")
-
-
-def archive_members(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
-    """``archive, member, piece, xml, error`` of tar.gz archives of any size.
+LARGEST = 64 << 20
+_DECLARED = re.compile(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+
+
+def _utf8(stream, size: int) -> Iterator[bytes]:
+    """A member's bytes in UTF-8: as they are, or translated if a byte order mark or the declaration names another encoding."""
+    chunk = stream.read(max(size, 1 << 10))  # the declaration stands in the first of them
+    declared = _DECLARED.match(chunk)
+    name = "utf-16" if chunk[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else declared[1].decode() if declared else "utf-8"
+    decoder = None if codecs.lookup(name).name in ("utf-8", "ascii") else codecs.getincrementaldecoder(name)()
+    if decoder is None and chunk.startswith(codecs.BOM_UTF8):
+        chunk = chunk[3:]
+    while chunk:
+        yield decoder.decode(chunk).encode() if decoder else chunk
+        chunk = stream.read(size)
+    if decoder:
+        yield decoder.decode(b"", True).encode()
+
+
+def _pieces(stream, size: int, largest: int) -> Iterator[bytes]:
+    """A member in pieces of about ``size`` bytes that end behind a ``>``; what is behind the last one is a piece too."""
+    held: list[bytes] = []
+    for chunk in _utf8(stream, size):
+        at = chunk.rfind(b">")
+        if at >= 0:
+            yield b"".join([*held, chunk[: at + 1]])
+            held = []
+        held.append(chunk[at + 1 :])
+        if sum(map(len, held)) > largest:
+            raise ValueError(f"no tag ends in {largest} bytes")
+    if rest := b"".join(held).strip():
+        yield rest
+
+
+def archive_members(spark: SparkSession, path: str, piece: int = PIECE, largest: int = LARGEST) -> DataFrame:
+    """``archive, member, piece, xml, error`` of tar.gz archives of any size; ``xml`` is bytes in UTF-8.
 
     A task an archive (gzip can't be split): it reads the archive as a stream and gives out each member in pieces of about
-    ``piece`` bytes, so it holds no whole archive and no whole member. A member that is cut short keeps the pieces before
-    it. An archive that does not open gives one row with its error. Spark lists the files; they are opened through Arrow.
+    ``piece`` bytes that end behind a ``>``, so it holds no whole archive and no whole member. A member that is not in the
+    encoding that it names, or that has ``largest`` bytes without the end of a tag, gives a row with its error after the
+    pieces before it, and the next member is read. An archive that breaks off keeps the pieces before that; one that does
+    not open gives one row with its error. Spark lists the files; they are opened through Arrow.
     """
 
-    def end_of(name: str) -> bytes:
-        n = name.lower()
-        return next((f"</{tag}>".encode() for word, tag in ROUTES.items() if word in n), b">")
-
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lambda archive, member, i, data, error: pd.DataFrame({"archive": [archive], "member": [member], "piece": [i], "xml": [data], "error": [error]})
         for b in batches:
             for name in b["path"]:
                 try:
@@ -97,20 +118,37 @@ def archive_members(spark: SparkSession, path: str, piece: int = PIECE) -> DataF
                     with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
                         for m in tar:
                             if m.isfile() and m.name.lower().endswith(".xml"):
-                                for i, text in enumerate(_pieces(tar.extractfile(m), end_of(m.name), piece)):
-                                    yield pd.DataFrame({"archive": [name], "member": [m.name], "piece": [i], "xml": [text], "error": [None]})
+                                i = 0
+                                try:
+                                    for data in _pieces(tar.extractfile(m), piece, largest):
+                                        yield row(name, m.name, i, data, None)
+                                        i += 1
+                                except (ValueError, LookupError) as e:  # its encoding or its size; the stream goes on
+                                    yield row(name, m.name, i, None, str(e))
                 except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
-                    yield pd.DataFrame({"archive": [name], "member": [None], "piece": [0], "xml": [None], "error": [str(e)]})
+                    yield row(name, None, 0, None, str(e))
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.repartition(F.col("path")).mapInPandas(members, "archive string, member string, piece int, xml string, error string")
+    return files.repartition(F.col("path")).mapInPandas(members, "archive string, member string, piece int, xml binary, error string")
+
+
+def parsed(members: DataFrame, tag: str) -> DataFrame:
+    """``archive, member, r, record, error``: each record of one kind, cut out and parsed by the built-in function, or its text with what is wrong with it."""
+    cut_out = cut_records(members.filter(route(F.col("member")) == tag), tag)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}
+    r = F.from_xml("record", READ_SCHEMAS[tag] + ", _corrupt_record STRING", options)
+    found = cut_out.withColumn("r", F.when(F.col("error").isNull(), r))
+    return found.withColumn("error", F.coalesce("error", F.when(F.col("r._corrupt_record").isNotNull(), "does not parse")))
 
 
 def records(members: DataFrame, tag: str) -> DataFrame:
-    """Records of one kind out of members' texts: each record's own element is cut out and parsed by the built-in function."""
-    each = F.explode(F.regexp_extract_all(F.col("xml"), F.lit(rf"(?s)<{tag}[ >/](?:(?!</{tag}>).)*</{tag}>|<{tag}(?: [^>]*)?/>"), 0))
-    one = members.filter(route(F.col("member")) == tag).select("archive", "member", each.alias("record"))
-    return one.select("archive", "member", F.from_xml("record", READ_SCHEMAS[tag]).alias("r")).select("archive", "member", "r.*")
+    """Records of one kind out of members' pieces."""
+    return parsed(members, tag).filter("error is null").select("archive", "member", "r.*").drop("_corrupt_record")
+
+
+def quarantine(members: DataFrame, tag: str) -> DataFrame:
+    """``archive, member, record, error``: texts of one kind that give no record."""
+    return parsed(members, tag).filter("error is not null").select("archive", "member", "record", "error")
 
 
 def good_and_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import random
 import tarfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from metaloom.sources import lists, sinks, xml
+from metaloom.sources.xml_records import TEXT, cut_records, lex, transitions
 
 EXPERIMENTS = """<?xml version="1.0"?>
 <EXPERIMENT_SET>
@@ -110,6 +114,83 @@ def test_archives(spark, folder, tmp_path):
     assert part.filter("error is not null").count() == 1 and 0 < part.filter("error is null").count() < pieces.count()
 
 
+def archive(path, **members: bytes):
+    with tarfile.open(path, "w:gz") as t:
+        for name, data in members.items():
+            info = tarfile.TarInfo(f"{name}.xml")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+
+
+@pytest.mark.parametrize("piece", [7, 60, 1 << 20])
+def test_records_with_comments_sections_and_prefixes(spark, tmp_path, piece):
+    good = b"""<?xml version="1.0"?><!DOCTYPE s [ <!ENTITY x "<STUDY>"> ]><!-- <STUDY accession="no"> --><STUDY_SET>
+<STUDY accession="1" alias="/STUDY> > x"><!-- </STUDY> --><DESCRIPTOR><STUDY_TITLE><![CDATA[a </STUDY> ]] > b]]></STUDY_TITLE></DESCRIPTOR></STUDY>
+<STUDY accession='2'/><s:STUDY accession="3"><?p </STUDY> ?><s:DESCRIPTOR><s:STUDY_TITLE>t</s:STUDY_TITLE></s:DESCRIPTOR></s:STUDY><STUDYX accession="no"></STUDYX>
+<STUDY accession="4"><DESCRIPTOR><STUDY_TITLE>\xc3\xa9\xf0\x9f\x99\x82 &lt;</STUDY_TITLE></DESCRIPTOR></STUDY></STUDY_SET>"""
+    broken = b'<STUDY accession="5"><DESCRIPTOR>never closed <STUDY accession="6"/><STUDY accession="7"><DESCRIPTOR></STUDY><STUDY accession="8"><DESCRIPTOR>\xff\xfe</DESCRIPTOR></STUDY><STUDY accession="9">the end'
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><STUDY accession="10"><DESCRIPTOR><STUDY_TITLE>é</STUDY_TITLE></DESCRIPTOR></STUDY>'.encode("latin-1")
+    wide = '<?xml version="1.0" encoding="UTF-16"?><STUDY accession="11"/>'.encode("utf-16")
+    archive(tmp_path / "a.tgz", study1=good, study2=broken, study3=latin, study4=wide, study5=b"<?xml version='1.0' encoding='nothing'?><STUDY accession='no'/>", study6=b"", study7=b"\xef\xbb\xbf<STUDY accession='12'></STUDY>")
+    m = xml.archive_members(spark, str(tmp_path / "a.tgz"), piece=piece)
+    got = {r._accession: r.DESCRIPTOR.STUDY_TITLE if r.DESCRIPTOR else None for r in xml.records(m, "STUDY").collect()}
+    assert got == {"1": "a </STUDY> ]] > b", "2": None, "3": "t", "4": "é🙂 <", "6": None, "10": "é", "11": None, "12": None}
+    bad = sorted((r.error, r.record.split('"')[1]) for r in xml.quarantine(m, "STUDY").collect())
+    assert bad == [("does not parse", "7"), ("not UTF-8", "8"), ("not closed", "5"), ("not closed", "9")]
+    assert [r.member for r in m.filter("error is not null").collect()] == ["study5.xml"]
+
+
+def some_xml(rng: random.Random) -> str:
+    """A set of records, well formed, with all that may hide a tag."""
+    hidden = ["<!-- </RUN> <RUN> -->", "<![CDATA[<RUN></RUN>]]>", "<?x <RUN> ?>", "text > more", "<TITLE q='/RUN>' p=\">\">t</TITLE>", "<RUNS/>", "<a><b/></a>", "&amp;"]
+    def record(i: int) -> str:
+        if rng.random() < 0.2:
+            return f"<RUN accession='{i}' />"
+        more = rng.choice(["", " x='>'"])
+        return f'<RUN accession="{i}"{more}>' + "".join(rng.choice(hidden) for _ in range(rng.randrange(5))) + "</RUN >"
+
+    return "<RUN_SET>" + "".join(record(i) + rng.choice(["", "\n", "<!-- > -->", "<OTHER><RUN_X/></OTHER>"]) for i in range(rng.randrange(1, 12))) + "</RUN_SET>"
+
+
+def test_records_equal_those_of_a_parser(spark):
+    """Generated files in pieces of any length against the standard library's parser."""
+    rng = random.Random(11)
+    rows, want = [], []
+    for f in range(60):
+        text = some_xml(rng)
+        want += [(str(f), e.get("accession"), "".join(e.itertext())) for e in ElementTree.fromstring(text).iter("RUN")]
+        places = [i + 1 for i, c in enumerate(text) if c == ">" and rng.random() < 0.4]
+        rows += [("a", str(f), i, text[a:b].encode()) for i, (a, b) in enumerate(zip([0, *places], [*places, len(text)], strict=True)) if a < b]
+    pieces = spark.createDataFrame(rows, "archive string, member string, piece int, xml binary").repartition(5)
+    got = cut_records(pieces, "RUN").collect()
+    assert all(r.error is None for r in got)
+    parsed = [(r.member, ElementTree.fromstring(r.record)) for r in got]
+    assert sorted((m, e.get("accession"), "".join(e.itertext())) for m, e in parsed) == sorted(want) and len(want) > 200
+
+
+def test_transitions_compose():
+    """A run over a whole text and one over its pieces, from whatever state each is entered in."""
+    rng = random.Random(2)
+    bits = "<R>|</R>|<R a=\"x>y\">|<R b='</R>'/>|<!-- </R> <R> -->|<![CDATA[ <R>]] > </R>]]>|<?p <R> ?>|text|<n:R x='1'>|</n:R>|<R_SET>|<O q='a>\"b'>|<X/>|<!DOCTYPE a [ <!E x '>'> ]>|]]>|<R c='|<!--|<![CDATA[".split("|")
+    for _ in range(2000):
+        data = ("".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) + ">").encode()
+        places = [i + 1 for i, c in enumerate(data) if c == 62 and rng.random() < 0.5]
+        end, events = lex(data, TEXT, "R")
+        state, got, at = TEXT, [], 0
+        for b in [*places, len(data)]:
+            step, own = transitions(data[at:b], "R")[state], lex(data[at:b], state, "R")
+            assert step == (own[0], -2 if not own[1] else own[1][-1][1] if own[1][-1][0] == "S" else -1)
+            got += [(k, p + at) for k, p in own[1]]
+            state, at = own[0], b
+        assert (state, got) == (end, events)
+
+
+def test_long_texts_without_end_stay_in_parts(spark):
+    pieces = spark.createDataFrame([("a", "m", i, b"<RUN>" if i == 0 else b"x" * 99 + b"<b/>") for i in range(20)] + [("a", "m", 20, b"<RUN/>")], "archive string, member string, piece int, xml binary")
+    got = cut_records(pieces, "RUN", largest=500).collect()
+    assert [r.record for r in got if r.error is None] == ["<RUN/>"] and sum(r.error == "not closed" for r in got) == 21
+
+
 def test_corrupt_rows(spark, tmp_path):
     (tmp_path / "x.xml").write_text('<RUN_SET>\n<RUN accession="SRR1"><TITLE>a</OTHER></RUN>\n</RUN_SET>')
     (tmp_path / "y.xml").write_text('<RUN_SET>\n<RUN accession="SRR2" spots="abc"><TITLE>b</TITLE></RUN>\n</RUN_SET>')
