@@ -8,6 +8,8 @@ postings in blocks by buckets of terms; :func:`stored_search` reads only the buc
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -182,10 +184,10 @@ def contains_phrase(text: Column, words: str) -> Column:
     return joined.contains(" " + " ".join(words.lower().split()) + " ")
 
 
-def wildcard_terms(post: DataFrame, pattern: str) -> DataFrame:
+def wildcard_terms(vocabulary: DataFrame, pattern: str) -> DataFrame:
     from metaloom.operators.predicates import wildcard
 
-    return post.select("term").distinct().filter(wildcard(F.col("term"), pattern))
+    return vocabulary.select("term").distinct().filter(wildcard(F.col("term"), pattern))
 
 
 def damerau(a: str, b: str) -> int:
@@ -216,6 +218,84 @@ def fuzzy_terms(post: DataFrame, word: str, distance: int = 2) -> DataFrame:
     return near.withColumn("distance", exact("term")).filter(F.col("distance") <= distance)
 
 
+def _shortened(word: Column, distance: int, prefix: int) -> Column:
+    """The distinct strings that the word's first ``prefix`` characters become when up to ``distance`` of them are taken out."""
+    out = F.array(F.substring(word, 1, prefix))
+    for _ in range(distance):
+        without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, 1, i - 1), s.substr(i + 1, F.lit(prefix))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda s: s != ""), without))))
+    return out
+
+
+def fuzzy_join(words: DataFrame, vocabulary: DataFrame, distance: int = 2, prefix: int = 10) -> DataFrame:
+    """``word, term, distance`` of all pairs within so many edits (a swap of neighbours is one), for tables of both.
+
+    Two strings within d edits become equal when at most d characters are taken out of each, and so do their beginnings.
+    Both sides are therefore written out as their beginnings with up to ``distance`` characters left out, and meet by
+    an equi-join on those; pairs of fitting length are then compared in full.
+    """
+
+    @F.pandas_udf("int")
+    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    variants = lambda df, c: df.select(c).filter(F.col(c).isNotNull()).distinct().select(c, F.explode(_shortened(F.col(c), distance, prefix)).alias("variant"))
+    close = F.abs(F.length("word") - F.length("term")) <= distance
+    pairs = variants(words, "word").join(variants(vocabulary, "term"), "variant").filter(close).select("word", "term").distinct()
+    # Plain edits are at most twice as many.
+    near = pairs.filter(F.levenshtein("term", "word", 2 * distance) >= 0)
+    return near.withColumn("distance", exact("word", "term")).filter(F.col("distance") <= distance)
+
+
+def fragments(docs: DataFrame, id_col: str, fields: list[str], terms: list[str], most: int = 3, width: int = 20) -> DataFrame:
+    """``doc_id, field, rank, fragment, terms``: of each field up to ``most`` pieces of ``width`` words, hits marked, that do not overlap.
+
+    The best piece has the most different terms, then the most hits, then comes first; the next is the best of those that
+    do not overlap it, and so on. A piece begins with a hit and ends with the last one in it. Fields without a hit give no
+    row.
+    """
+    wanted = sorted({t.lower() for t in terms})
+    word = re.compile(r"[^\W_]+")
+
+    def best(text: str) -> list[dict]:
+        found = [(m.start(), m.end(), n, m[0].lower()) for n, m in enumerate(word.finditer(text))]
+        hits = [h for h in found if h[3] in wanted]
+        pieces, b = [], 0
+        counts: Counter[str] = Counter()
+        for a, hit in enumerate(hits):  # a window slides over the hits
+            while b < len(hits) and hits[b][2] < hit[2] + width:
+                counts[hits[b][3]] += 1
+                b += 1
+            pieces.append((-len(counts), a - b, a, b))
+            counts[hit[3]] -= 1
+            if not counts[hit[3]]:
+                del counts[hit[3]]
+        chosen: list[tuple] = []
+        for p in sorted(pieces):
+            if len(chosen) == most:
+                break
+            if all(p[3] <= c[2] or p[2] >= c[3] for c in chosen):
+                chosen.append(p)
+        out = []
+        for different, _, a, b in chosen:
+            at, parts = hits[a][0], []
+            for start, end, _, _ in hits[a:b]:
+                parts += [text[at:start], "<mark>", text[start:end], "</mark>"]
+                at = end
+            out.append({"fragment": "".join(parts), "terms": -different})
+        return out
+
+    @F.pandas_udf("array<struct<fragment: string, terms: int>>")
+    def cut_out(s: pd.Series) -> pd.Series:
+        return s.map(best)
+
+    any_term = r"(?i)" + "|".join(r"\Q" + t + r"\E" for t in wanted)
+    parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]
+    rows = reduce(DataFrame.unionByName, parts).filter(F.col("text").rlike(any_term) if wanted else F.lit(False))  # most texts never leave the JVM
+    out = rows.select("doc_id", "field", F.posexplode(cut_out("text")).alias("rank", "f"))
+    return out.select("doc_id", "field", (F.col("rank") + 1).cast("long").alias("rank"), "f.fragment", "f.terms")
+
+
 def highlight(text: Column, terms: list[str], around: int = 60) -> Column:
     """The text around the first hit, hits marked; null without one."""
     pattern = r"(?i)(?<!\w)(" + "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms) + r")(?!\w)"

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.session import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -97,6 +99,85 @@ def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | Non
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def coded(v: Column) -> Column:
+    """``codes, lo, step`` of a vector's unit vector: a byte a dimension, the cell of width ``step`` that the value lies in."""
+
+    @F.pandas_udf("codes binary, lo double, step double")
+    def cells(s: pd.Series) -> pd.DataFrame:
+        if not len(s):
+            return pd.DataFrame({"codes": [], "lo": [], "step": []})
+        x = _unit(np.stack(s).astype(np.float64))
+        lo = x.min(axis=1)
+        step = (x.max(axis=1) - lo) / 256
+        c = np.clip((x - lo[:, None]) / np.where(step > 0, step, 1)[:, None], 0, 255).astype(np.uint8)
+        return pd.DataFrame({"codes": [r.tobytes() for r in c], "lo": lo, "step": step})
+
+    return cells(v)
+
+
+SLACK = 2e-6  # more than distances change when they are rounded to six places
+
+
+def _maybe_best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a group of queries and one of codes: pairs that may be among the k nearest, with the bounds of their distance."""
+
+    def some(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "low": pd.Series(dtype="float64"), "high": pd.Series(dtype="float64")})]
+        if not a.empty and not b.empty:
+            q = _unit(np.stack(a["q"]).astype(np.float64))
+            codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8).reshape(len(b), -1)
+            lo, step, ids, asked = b["lo"].to_numpy(), b["step"].to_numpy(), b["vec_id"].to_numpy(), a["query_id"].to_numpy()
+            for i in range(0, len(q), TILE[0]):
+                part, best = q[i : i + TILE[0]], np.full((len(q[i : i + TILE[0]]), 0), 0.0)
+                tiles = []
+                for j in range(0, len(b), TILE[1]):
+                    # The middle of each cell; a value lies at most half a cell from it.
+                    mid = lo[j : j + TILE[1], None] + (codes[j : j + TILE[1]] + 0.5) * step[j : j + TILE[1], None]
+                    off = np.abs(part).sum(axis=1)[:, None] * step[None, j : j + TILE[1]] / 2 + SLACK
+                    d = 1 - part @ mid.T
+                    high = d + off
+                    best = np.concatenate([best, np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, :k]], axis=1)
+                    best = np.partition(best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
+                    row, col = np.nonzero(d - off <= best.max(axis=1)[:, None])
+                    tiles.append((row, ids[j + col], (d - off)[row, col], high[row, col]))
+                row, vec_id, low, high = (np.concatenate(x) for x in zip(*tiles, strict=True))
+                keep = low <= best.max(axis=1)[row] if best.shape[1] == k else np.ones(len(row), dtype=bool)
+                found.append(pd.DataFrame({"query_id": asked[i + row[keep]], "vec_id": vec_id[keep], "low": low[keep], "high": high[keep]}))
+        return pd.concat(found[1:] or found, ignore_index=True)
+
+    return some
+
+
+def coded_candidates(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, vec_id``: pairs whose distance has to be computed, as bounds from codes of a byte a dimension leave it open whether they are among the k nearest."""
+    blocks = blocks or 1 + rows.count() // 200_000
+    slices = slices or 1 + queries.count() // 20_000
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(qid), F.lit(slices)).cast("int").alias("slice"))
+    q = q.select("query_id", "q", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    r = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("vec_id"), coded(F.col(vector)).alias("c"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    r = r.select("vec_id", "c.*", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    found = cut(q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(_maybe_best(k), "query_id long, vec_id long, low double, high double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("high"))
+    limit = found.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", F.col("high").alias("limit"))
+    return found.join(limit, "query_id", "left").filter("limit is null or low <= limit").select("query_id", "vec_id")
+
+
+def coded_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """:func:`batch_nearest` by codes: what is copied to blocks and slices is a byte a dimension, and whole vectors are read for the candidates alone. Exact; ids are longs and different; null vectors are left out."""
+    pairs = coded_candidates(queries, rows, k, blocks, slices, qid, key, vector)
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        x, y = (_unit(np.stack(s).astype(np.float64)) for s in (a, b))
+        return pd.Series(np.round(1 - np.einsum("ij,ij->i", x, y), 6) + 0.0)
+
+    met = pairs.join(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")), "vec_id").join(queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q")), "query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return met.select("query_id", "vec_id", distance("q", "v").alias("distance")).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+
+
 def fit_centres(rows: DataFrame, centres: int, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id", seed: int = 7) -> np.ndarray:
     """Unit centres of a coarse quantiser, fitted by k-means to at most ``sample`` rows (those with the smallest hash of their key)."""
     from pyspark.ml.clustering import KMeans

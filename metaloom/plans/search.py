@@ -165,6 +165,24 @@ def t16(s, d):
     return t.fuzzy_terms(t.postings(_analysed(s, d)), "thnad", 1)
 
 
+def _letters(word: str) -> str:
+    """Capitals for letters of two bytes, as DuckDB's distance counts bytes (words are in small letters)."""
+    return f"translate({word}, 'áäçèéêíñóöúüßàâëîïôùûœ', 'ABCDEFGHIJKLMNOPQRSTUV')"
+
+
+@query("t16_fuzzy_table", TOKENS + f", v AS (SELECT DISTINCT term, {_letters('term')} AS t FROM a), w AS (SELECT DISTINCT word, {_letters('word')} AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark)) SELECT word, term, damerau_levenshtein(w, t)::INT AS distance FROM w JOIN v ON abs(length(w) - length(t)) <= 1 WHERE damerau_levenshtein(w, t) <= 1")
+def t16b(s, d):
+    """All words of the benchmark against all terms of the documents."""
+    words = table(s, d, "benchmark").select(F.explode(t.tokens(F.col("text"))).alias("word"))
+    return t.fuzzy_join(words, _analysed(s, d).select("term").distinct(), 1)
+
+
+@query("t17_fragments")
+def t17b(s, d):
+    """The best pieces of texts and sources; held against brute force in the tests."""
+    return t.fragments(table(s, d, "documents"), "doc_id", ["text", "source"], ["license", "public", "thnd", "hend", "src0"])
+
+
 @query("t17_highlight", "SELECT doc_id, CASE WHEN hit > 0 THEN regexp_replace(substr(text, greatest(1, hit - 60), 120), '(?i)\\b(license|public)\\b', '<mark>\\1</mark>', 'g') END AS fragment FROM (SELECT doc_id, text, CASE WHEN regexp_matches(text, '(?i)\\b(license|public)\\b') THEN length(regexp_extract(text, '(?is)^(.*?)\\b(license|public)\\b', 1)) + 1 ELSE 0 END AS hit FROM documents WHERE lang = 'en')")
 def t17(s, d):
     return table(s, d, "documents").filter("lang = 'en'").select("doc_id", t.highlight(F.col("text"), ["license", "public"]).alias("fragment"))
@@ -256,12 +274,22 @@ def v3(s, d):
     return vec.similar_to(table(s, d, "embeddings"), "embedding", "vec_id", 17, 25).select("vec_id", "distance")
 
 
-@query("v5_batch_nearest", f", x AS (SELECT a.vec_id AS query_id, b.vec_id, {DIST} AS distance FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x) SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 5")
+NEAREST = f", x AS (SELECT a.vec_id AS query_id, b.vec_id, {DIST} AS distance FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x) SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 5"
+
+
+@query("v5_batch_nearest", NEAREST)
 def v5(s, d):
     e = table(s, d, "embeddings")
     return vec.batch_nearest(e, e, 5, qid="vec_id")
 
 
+@query("v5_v7_coded_nearest", NEAREST)
+def v5c(s, d):
+    """The same by codes of a byte a dimension and bounds."""
+    e = table(s, d, "embeddings")
+    return vec.coded_nearest(e, e, 5, qid="vec_id")
+
+
 @query("v5_indexed_nearest")
 def v5i(s, d):
     """Every hundredth vector against all, through a coarse quantiser; held against the exact search in the tests."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from metaloom.operators import index as ix
 from metaloom.operators import text as t
+from metaloom.operators import vectors as vec
 from metaloom.session import cut, new_folder, release, scratch
 
 BODY = {"text": "standard"}
@@ -143,3 +144,73 @@ def test_tables_go_when_released(spark, docs):
             assert left(spark) == before + 2
         assert left(spark) == before + 1 and kept.count() == 1
     assert left(spark) == before
+
+
+# Words within some edits, pieces of texts, vectors by codes
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_fuzzy_join_against_all_pairs(spark, distance):
+    rng = random.Random(distance)
+    some = lambda n: ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 16))) for _ in range(n)]
+    a = some(60) + ["ca", "abc", "a", "abcdefghijklmnop", None, "teh"]
+    b = [w[:i] + w[i + 1 :] for w in a if w for i in (0, len(w) // 2)] + [w[:3] + w[4:5] + w[3:4] + w[5:] for w in a if w and len(w) > 5] + ["xx" + w for w in a if w] + [w + "yz" for w in a if w] + some(60) + ["the", None, ""]
+    got = {tuple(r) for r in t.fuzzy_join(spark.createDataFrame([(w,) for w in a], "word string"), spark.createDataFrame([(w,) for w in b], "term string"), distance).collect()}
+    want = {(x, y, t.damerau(x, y)) for x in a if x for y in b if y is not None and t.damerau(x, y) <= distance}
+    assert got == want and len(want) > 80
+
+
+def test_fuzzy_join_is_an_equi_join(spark):
+    words = spark.createDataFrame([("a",)], "word string")
+    joined = plan(t.fuzzy_join(words, words.toDF("term")))
+    assert "Cartesian" not in joined and "NestedLoop" not in joined
+
+
+def best_pieces(text, terms, most, width):
+    """All windows tried one after the other."""
+    import re
+
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text or "")]
+    hits = [i for i, w in enumerate(words) if w[2] in terms]
+    taken, out = [], []
+    while len(out) < most:
+        options = []
+        for a in hits:
+            inside = [i for i in hits if a <= i < a + width]
+            if all(inside[-1] < x or a > y for x, y in taken):
+                options.append((-len({words[i][2] for i in inside}), -len(inside), a, inside))
+        if not options:
+            return out
+        different, _, a, inside = min(options)
+        taken.append((a, inside[-1]))
+        parts, at = [], words[a][0]
+        for i in inside:
+            parts.append(text[at : words[i][0]] + "<mark>" + text[words[i][0] : words[i][1]] + "</mark>")
+            at = words[i][1]
+        out.append(("".join(parts), -different))
+    return out
+
+
+@pytest.mark.parametrize(("most", "width"), [(1, 5), (3, 4), (5, 20)])
+def test_fragments_against_all_windows(spark, most, width):
+    rng = random.Random(most)
+    texts = [" ".join(rng.choice(["cancer", "Lung", "lung,", "of", "the", "é", "x-lung", "cell"]) for _ in range(rng.randrange(60))) for _ in range(30)] + [None, "", "cancer", "no hit", "CANCER(lung)"]
+    df = spark.createDataFrame([(i, x, "lung " * (i % 3)) for i, x in enumerate(texts)], "id int, title string, note string")
+    got = {}
+    for r in t.fragments(df, "id", ["title", "note"], ["Cancer", "lung"], most, width).orderBy("rank").collect():
+        got.setdefault((r.doc_id, r.field), []).append((r.fragment, r.terms))
+    want = {(i, f): best_pieces(x, {"cancer", "lung"}, most, width) for i, title in enumerate(texts) for f, x in (("title", title), ("note", "lung " * (i % 3)))}
+    assert got == {k: v for k, v in want.items() if v}
+    assert t.fragments(df, "id", ["title"], []).count() == 0
+
+
+def test_codes_leave_few_distances(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    n = e.count()
+    pairs = vec.coded_candidates(e, e, 5, blocks=3, slices=2, qid="vec_id")
+    assert pairs.count() < 0.2 * n * n and pairs.count() == pairs.distinct().count()
+    odd = e.select("vec_id", "embedding").unionByName(spark.createDataFrame([(10**6, [0.0] * len(e.first().embedding)), (10**6 + 1, None), (10**6 + 2, [1.0] * len(e.first().embedding))], "vec_id long, embedding array<float>"))
+    some = odd.filter("vec_id % 7 = 0 or vec_id >= 1000000")
+    real = "embedding is not null"
+    for k in (1, 5, 400):
+        assert rows(vec.coded_nearest(some, odd, k, blocks=3, slices=2, qid="vec_id")) == rows(vec.batch_nearest(some.filter(real), odd.filter(real), k, blocks=2, slices=1, qid="vec_id"))
