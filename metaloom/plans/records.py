@@ -16,7 +16,8 @@ from metaloom.operators import validation as v
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
 from metaloom.session import cut, new_folder, table
-from metaloom.sources import sinks, xml
+from metaloom.sources import listing_source, sinks, xml
+from metaloom.streaming import changes as ch
 from metaloom.streaming import incremental as inc
 
 
@@ -286,3 +287,36 @@ def i9(s, d):
     stream = stream.select("user_id", "event_id", "event_type")
     inc.upsert_stream(stream, f"{folder}/table", ["user_id"], "event_id", f"{folder}/offsets").awaitTermination()
     return inc.latest_version(s, f"{folder}/table", ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@query(
+    "i5_i9_change_log",
+    ", v AS (SELECT user_id AS key, event_id AS seq, event_type AS hash, event_type = 'error' AS gone, lag(event_type) OVER w AS was, lag(event_type <> 'error') OVER w AS was_there FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT key, seq, CASE WHEN gone THEN CASE WHEN was_there THEN 'deleted' END WHEN NOT coalesce(was_there, false) THEN 'new' WHEN hash <> was THEN 'changed' END AS change FROM v) SELECT * FROM c WHERE change IS NOT NULL",
+)
+def i5_log(s, d):
+    """Each user's events as versions of a row, from state kept in a stream; an error takes the row away."""
+    folder = _scratch(s)
+    stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    versions = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("hash"), (F.col("event_type") == "error").alias("gone"))
+    ch.write_changes(ch.changed_rows(versions), f"{folder}/log", f"{folder}/offsets").awaitTermination()
+    return ch.read_changes(s, f"{folder}/log")
+
+
+@query(
+    "i1_s13_listing_stream",
+    "SELECT DISTINCT 'Meta_' || strftime(o_orderdate, '%Y%m%d') || '.tar.gz' AS name, o_orderdate::DATE AS date, 'daily' AS kind, (1 + month(o_orderdate))::BIGINT * 1048576 AS size FROM orders UNION SELECT 'Meta_Full_' || strftime(o_orderdate, '%Y%m%d') || '.tar.gz', o_orderdate::DATE, 'monthly', 3::BIGINT * 1073741824 FROM orders WHERE day(o_orderdate) = 1",
+)
+def i1_stream(s, d):
+    """A listing that names a daily archive for each day with orders and a monthly one for first days, read as a stream by the listing source."""
+    folder = _scratch(s)
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    line = lambda name, size: F.concat(F.lit('<a href="'), name, F.lit('">x</a>  2024-01-01 10:00  '), size)
+    days = table(s, d, "orders").select("o_orderdate").distinct()
+    daily = days.select(line(F.concat(F.lit("Meta_"), day, F.lit(".tar.gz")), F.concat((1 + F.month("o_orderdate")).cast("string"), F.lit("M"))).alias("value"))
+    monthly = days.filter(F.dayofmonth("o_orderdate") == 1).select(line(F.concat(F.lit("Meta_Full_"), day, F.lit(".tar.gz")), F.lit("3G")).alias("value"))
+    daily.unionByName(monthly).coalesce(1).write.text(f"{folder}/page")  # a line a day
+    page = s.read.format("binaryFile").load(f"{folder}/page").filter("length > 0").select("path").first()[0]
+    listing_source.register(s)
+    stream = s.readStream.format("archive_listing").option("page", page).option("log", f"{folder}/seen").load()
+    stream.writeStream.format("parquet").option("path", f"{folder}/files").option("checkpointLocation", f"{folder}/offsets").trigger(once=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(f"{folder}/files")
