@@ -190,6 +190,39 @@ def wildcard_terms(vocabulary: DataFrame, pattern: str) -> DataFrame:
     return vocabulary.select("term").distinct().filter(wildcard(F.col("term"), pattern))
 
 
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct substrings of these lengths."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
+    return F.array_distinct(F.concat(*(F.when(F.length(text) >= n, at(n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
+
+
+def pattern_candidates(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``pattern, term``: terms that have all the substrings that a pattern requires.
+
+    A pattern is cut at its wildcards; of each part of three and more characters all substrings of three are required,
+    of a shorter one itself (``^`` and ``$`` stand for the ends of a term). Both sides meet by an equi-join on substrings,
+    and a pair stays if all of the pattern's were met. A pattern of nothing but wildcards requires the empty string, which
+    all terms have.
+    """
+    asked = patterns.select("pattern").filter("pattern is not null").distinct()
+    anchored = F.concat(F.lit("^"), F.lower("pattern"), F.lit("$"))
+    parts = F.filter(F.split(F.regexp_replace(anchored, r"[*?]+", "*"), r"\*", -1), lambda x: ~x.isin("", "^", "$"))
+    required = F.array_distinct(F.flatten(F.transform(parts, lambda x: F.when(F.length(x) >= 3, _grams(x, (3,))).otherwise(F.array(x)))))
+    required = F.when(F.size(required) > 0, required).otherwise(F.array(F.lit("")))
+    needs = asked.select("pattern", F.size(required).alias("needed"), F.explode(required).alias("gram"))
+    terms = vocabulary.select("term").filter("term is not null").distinct()
+    has = terms.select("term", F.explode(F.concat(_grams(F.concat(F.lit("^"), F.lower("term"), F.lit("$")), (1, 2, 3)), F.array(F.lit("")))).alias("gram"))
+    met = has.join(needs.select("gram").distinct(), "gram", "left_semi").join(needs, "gram").groupBy("pattern", "term", "needed").agg(F.count("*").alias("met"))
+    return met.filter("met = needed").select("pattern", "term")
+
+
+def pattern_join(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``pattern, term`` of all pairs that match in full, whatever the case: ``*`` is any characters, ``?`` is one. Patterns run over their candidates alone."""
+    quoted = F.regexp_replace(F.lower("pattern"), r"([^\p{L}\p{N}*?])", r"\\$1")
+    as_regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    return pattern_candidates(patterns, vocabulary).filter(F.rlike(F.lower("term"), as_regex))
+
+
 def damerau(a: str, b: str) -> int:
     """Edits, with a swap of neighbours as one (unrestricted)."""
     last: dict[str, int] = {}

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from metaloom.operators import predicates as p
 from metaloom.operators import ranking as r
 from metaloom.operators import relations as rel
-from metaloom.operators import stats
+from metaloom.operators import states, stats
 from metaloom.plans import frames as f
 from metaloom.plans.registry import query
-from metaloom.session import table
+from metaloom.session import new_folder, table
 from metaloom.sources import lists, sinks
 
 STUDY, SRX, SRS = "SRP000000007", "SRX000000032", "SRS000000005"
@@ -377,6 +377,20 @@ def a12(s, d):
     return f.experiment(s, d).groupBy(F.col("submission_date").cast("string").alias("stat_date")).agg(F.count("*").alias("experiments"), F.countDistinct("platform").alias("platforms"), F.countDistinct("library_strategy").alias("strategies"))
 
 
+@query(
+    "a10_a12_merged_states",
+    "SELECT strftime(submission_date, '%Y-%m') AS period, 'study_accession' AS field, count(DISTINCT study_accession) AS distinct_values, count(*) AS rows FROM experiment GROUP BY 1 UNION ALL SELECT strftime(submission_date, '%Y-%m'), 'platform', count(DISTINCT platform), count(*) FROM experiment GROUP BY 1 UNION ALL SELECT 'all', 'study_accession', count(DISTINCT study_accession), count(*) FROM experiment UNION ALL SELECT 'all', 'platform', count(DISTINCT platform), count(*) FROM experiment",
+)
+def a10b(s, d):
+    """Distinct studies and platforms of experiments, by month and over all, merged from states of months; the first years' are written twice."""
+    folder = new_folder(s, "states")
+    e = f.experiment(s, d).select(F.date_format("submission_date", "yyyy-MM").alias("month"), "study_accession", "platform")
+    states.write_days(e.filter("month < '1994'").withColumn("platform", F.lit("old")), "month", ["study_accession", "platform"], folder)
+    states.write_days(e, "month", ["study_accession", "platform"], folder)
+    merged = lambda p: states.merged_distinct(s, folder, p).join(states.merged_totals(s, folder, p), "period")
+    return merged(F.col("day").cast("string")).unionByName(merged(None)).select("period", "field", "distinct_values", "rows")
+
+
 @query("a13_pool_proportions", "SELECT parent_sample, round(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END), 6) AS total, abs(round(sum(CASE WHEN proportion > 0 AND member_sample <> 'SRS000000001' THEN proportion END) - 1, 9)) <= 0.01 AS valid FROM pool GROUP BY 1")
 def a13(s, d):
     pools = f.pool(s, d).withColumn("proportion", F.when(F.col("member_sample") != "SRS000000001", F.col("proportion")))

@@ -142,6 +142,15 @@ def t12(s, d):
     return post.join(t.wildcard_terms(post, "Thst?nt*"), "term", "left_semi").select("doc_id", "term").distinct()
 
 
+@query("t12_wildcard_table", TOKENS + ", v AS (SELECT DISTINCT term FROM a), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM benchmark), q AS (SELECT word[1:3] || '*' || word[-2:] AS pattern FROM w UNION SELECT '?' || word[2:] FROM w UNION SELECT '*' || word[2:4] || '??' FROM w) SELECT pattern, term FROM q JOIN v ON term LIKE replace(replace(pattern, '*', '%'), '?', '_')")
+def t12b(s, d):
+    """Three patterns of each word of the benchmark against all terms of the documents."""
+    word = F.col("word")
+    words = table(s, d, "benchmark").select(F.explode(t.tokens(F.col("text"))).alias("word")).distinct()
+    each = F.array(F.concat(F.substring(word, 1, 3), F.lit("*"), F.right(word, F.lit(2))), F.concat(F.lit("?"), F.substring(word, 2, 1000)), F.concat(F.lit("*"), F.substring(word, 2, 3), F.lit("??")))
+    return t.pattern_join(words.select(F.explode(each).alias("pattern")), _analysed(s, d).select("term").distinct())
+
+
 @query("t13_range", "SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 900 AND lang BETWEEN 'de' AND 'es'")
 def t13(s, d):
     return table(s, d, "documents").filter(p.must(p.in_range(F.col("n_chars"), 500, 900), p.in_range(F.col("lang"), "de", "es"))).select("doc_id")

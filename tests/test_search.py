@@ -214,3 +214,22 @@ def test_codes_leave_few_distances(spark, data):
     real = "embedding is not null"
     for k in (1, 5, 400):
         assert rows(vec.coded_nearest(some, odd, k, blocks=3, slices=2, qid="vec_id")) == rows(vec.batch_nearest(some.filter(real), odd.filter(real), k, blocks=2, slices=1, qid="vec_id"))
+
+
+def test_patterns_against_all_terms(spark):
+    import re
+
+    rng = random.Random(8)
+    terms = ["".join(rng.choice("ab.é") for _ in range(rng.randrange(0, 8))) for _ in range(150)] + ["ABba", None, "a\nb"]
+    patterns = ["".join(rng.choice("ab.é*?") for _ in range(rng.randrange(0, 6))) for _ in range(60)] + ["*", "??", "", "a*B", "*a?b*", None, "^a", "a$", "(a|b)*", r"\Ea"]
+    got = {tuple(r) for r in t.pattern_join(spark.createDataFrame([(x,) for x in patterns], "pattern string"), spark.createDataFrame([(x,) for x in terms], "term string")).collect()}
+    regex = {p: re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p.lower()), re.S) for p in patterns if p is not None}
+    assert got == {(p, x) for p, r in regex.items() for x in terms if x is not None and r.fullmatch(x.lower())}
+
+
+def test_patterns_have_few_candidates(spark, docs):
+    terms = t.analyse(docs, "doc_id", BODY).select("term").distinct()
+    patterns = spark.createDataFrame([("thst?nt*",), ("*tion",), ("ing*",)], "pattern string")
+    n, found = t.pattern_candidates(patterns, terms).count(), t.pattern_join(patterns, terms)
+    assert 0 < found.count() <= n < 0.2 * 3 * terms.count()
+    assert "Cartesian" not in plan(found) and "NestedLoop" not in plan(found)
