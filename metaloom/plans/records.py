@@ -113,6 +113,20 @@ def e25(s, d):
     return out.groupBy("barcode", "tissue", "missing").agg(F.count("*").alias("n"))
 
 
+@query("e11_exact_tags", f"SELECT {f.pad('SRS', 'p_partkey')} AS sample_accession, p_type AS tissue, '' AS lower_tissue, 'female' AS sex, p_size::VARCHAR AS age FROM part")
+def e11(s, d):
+    """Tags in the case that they are asked for; the first of several."""
+    a = xml.attributes(F.col("SAMPLE_ATTRIBUTES.SAMPLE_ATTRIBUTE"))
+    return samples(s, d).select(F.col("_accession").alias("sample_accession"), xml.first_value(a, "TISSUE").alias("tissue"), xml.first_value(a, "tissue").alias("lower_tissue"), xml.first_value(a, "gender").alias("sex"), xml.first_value(a, "age").alias("age"))
+
+
+@query("e18_identifiers", "SELECT study_accession, study_accession AS primary_id, 'GEO' AS namespace, 'G' || study_accession AS value, 0 AS submitter_ids FROM study")
+def e18(s, d):
+    i = studies(s, d).select(F.col("_accession").alias("study_accession"), xml.identifiers(F.col("IDENTIFIERS")).alias("i"))
+    none = F.coalesce(F.size("i.submitter_ids"), F.lit(0))
+    return i.select("study_accession", "i.primary_id", F.col("i.external_ids")[0]["namespace"].alias("namespace"), F.col("i.external_ids")[0]["value"].alias("value"), F.when(none > 0, none).otherwise(0).alias("submitter_ids"))
+
+
 def runs(s: SparkSession, d: str) -> DataFrame:
     c = F.col
     stats = F.when(c("l_linenumber") == 1, F.lit("")).otherwise(text('<Statistics total_spots="{q}" total_bases="{b}"/>', q=c("l_quantity").cast("long"), b=c("l_extendedprice").cast("long")))
