@@ -201,12 +201,17 @@ def test_lm_beats_its_base(spark, data, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_all_probabilities_sum_to_one():
-    d, c = 0.75, {"a": 3, "b": 1, None: 2}
-    n, v = sum(c.values()), len(c)
-    base = {w: (k + 1) / (n + v + 1) for w, k in c.items()} | {"unseen": 1 / (n + v + 1)}
-    after = {"a": 2, "b": 1}
-    assert sum(max(after.get(w, 0) - d, 0) / 3 + d * len(after) / 3 * b for w, b in base.items()) == pytest.approx(1)
+def test_all_probabilities_sum_to_one(spark):
+    """From scores of texts of no, one and two words alone: with x the inverse of a word's probability to be the last, the sums to one behind each word are linear in x, and the sum behind the start has to follow."""
+    train = ["a b", "a", "b a b", "c a", "a b c", "", "a a a b"]
+    words = ["a", "b", "c", "unseen"]
+    asked = ["", *words, *(f"{v} {w}" for v in words for w in words)]
+    docs = spark.createDataFrame(list(enumerate(train)) + [(1000 + i, x) for i, x in enumerate(asked)], "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in lm.score_documents(docs, held=F.col("doc_id") >= 1000).collect()}
+    p = {x: got[1000 + i] for i, x in enumerate(asked)}
+    follow = np.array([[p[f"{v} {w}"] / p[v] for w in words] for v in words])
+    x = np.linalg.solve(np.eye(len(words)) - follow, np.ones(len(words)))
+    assert (x > 1).all() and p[""] + sum(p[w] * x[i] for i, w in enumerate(words)) == pytest.approx(1, abs=0.002)
 
 
 def test_pipeline(spark, data, documents, monkeypatch):

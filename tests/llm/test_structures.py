@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from metaloom.llm import html_text, merkle, prefix_trie, queries
 from metaloom.llm.ranges import running
+from metaloom.session import checkpoint_dir, release
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, tree string, rank long, digest string, above string, root string, lo long, bucket long"
 TURNS = "conv_id long, turn long, role string, text string, pos long, depth long, key string, path string, rank long, bound int, a long"
@@ -334,3 +335,14 @@ def test_pages_of_the_table(spark, data):
         inner = pages[r["page_id"]].split("<article>")[1].split("</article>")[0]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inner))
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("name", ["op4_sharding", "op5_near_dedup", "op6_lm_score", "op8_line_dedup", "op10_exact_dedup", "op11_merkle_manifest", "op12_html_text", "op13_prefix_trie"])
+def test_tables_of_a_query_go_when_released(spark, data, name):
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    left = lambda: len(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    release(spark)
+    before = left()
+    assert queries.QUERIES[name](spark, data).count() > 0
+    release(spark)
+    assert left() == before
