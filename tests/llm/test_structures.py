@@ -10,7 +10,6 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from oracle import same
 from pyspark.sql import functions as F
 
 from metaloom.llm import html_text, merkle, prefix_trie, queries
@@ -21,11 +20,6 @@ DOCS = "doc_id long, source string, lang string, n_chars long, text string, tree
 TURNS = "conv_id long, turn long, role string, text string, pos long, depth long, key string, path string, rank long, bound int, a long"
 
 
-@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op13_prefix_trie"])
-def test_against_sql(spark, data, name):
-    same(spark, queries.QUERIES[name], queries.SQL[name], data)
-
-
 def sha(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
 
