@@ -5,7 +5,7 @@ Tables in the index's folder, each by generation (0: the first write):
 * ``postings``, in folders by bucket of the term: a row is a term's postings in one block of documents, as an array, with
   ``peak``, the largest saturated frequency in it. Documents are put into blocks in order of length, so that peaks differ
   from block to block. A common term is spread over as many rows as blocks.
-* ``forward``: a document's length and its terms; ``frequencies`` and ``totals``: how many documents a generation adds to
+* ``forward``: a document's length, its block, and its words by field with their counts; ``frequencies`` and ``totals``: how many documents a generation adds to
   (or, through those it replaces, takes from) each term and field.
 * ``gone``: documents that a generation replaces or deletes; what older generations say of them is dead.
 
@@ -21,14 +21,14 @@ score found.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.operators.ranking import dense_ids
-from metaloom.operators.text import K1, STOP_WORDS, B, top_hits, words_of
-from metaloom.session import cut
+from metaloom.operators.text import K1, B, top_hits, words_of
+from metaloom.session import cut, discard
 
 ANALYSER = "lowercase runs of letters and digits"
 TABLES = ("postings", "forward", "frequencies", "totals", "gone")
@@ -43,10 +43,36 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _terms(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool) -> DataFrame:
-    """``doc_id, field, term, tf``. Rows of one id are one document."""
-    parts = [docs.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.explode(words_of(F.col(name), kind, stop)).alias("term")) for name, kind in fields.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"))
+ENTRY = "array<struct<field: string, terms: array<string>, tfs: array<int>>>"
+
+
+def _counted(words: Column) -> Column:
+    """The distinct words of an array and how often each stands there, in one pass over each row."""
+
+    @F.pandas_udf("terms array<string>, tfs array<int>")
+    def count(s: pd.Series) -> pd.DataFrame:
+        found = [Counter(w) for w in s]
+        return pd.DataFrame({"terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
+
+    return count(words)
+
+
+def _documents(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool) -> DataFrame:
+    """``doc_id, length, fields``: a row a document that has words, with each field's words counted. Nothing is shuffled."""
+    each = docs.select(F.col(id_col).alias("doc_id"), *(_counted(words_of(F.col(name), kind, stop)).alias(f"f{i}") for i, (name, kind) in enumerate(fields.items())))
+    entries = F.filter(F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"f{i}.terms").alias("terms"), F.col(f"f{i}.tfs").alias("tfs")) for i, name in enumerate(fields))), lambda x: F.size(x["terms"]) > 0)
+    return each.select("doc_id", _length(entries).alias("length"), entries.cast(ENTRY).alias("fields")).filter("length > 0")
+
+
+def _length(entries: Column) -> Column:
+    total = lambda tfs: F.aggregate(tfs, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a + total(x["tfs"]))
+
+
+def _by_field(docs: DataFrame) -> DataFrame:
+    """A row a document and field, with the field's own length."""
+    out = docs.select(*(c for c in docs.columns if c not in ("length", "fields")), F.explode("fields").alias("f"))
+    return out.withColumn("length", F.aggregate("f.tfs", F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
@@ -71,36 +97,45 @@ def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(last, "doc_id", "left").filter("since is null or generation >= since").drop("since")
 
 
-def _append(spark: SparkSession, folder: str, m: dict, generation: int, terms: DataFrame, gone: DataFrame) -> None:
-    """A generation: documents by their terms, and the ids of those it replaces or deletes."""
-    put = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}/generation={generation}")
-    terms = cut(terms)
-    docs = cut(terms.groupBy("doc_id", "field").agg(F.sum("tf").alias("length"), F.collect_list("term").alias("terms")))
-    numbered = dense_ids(docs.groupBy("doc_id").agg(F.sum("length").alias("whole")), ["whole", "doc_id"], "number")
-    placed = cut(docs.select("doc_id", "field", "length").join(numbered.select("doc_id", F.floor((F.col("number") - 1) / m["block_size"]).cast("long").alias("block")), "doc_id"))
-    means = placed.groupBy("field").agg(F.avg("length").alias("mean"))
-    entry = F.struct("doc_id", "tf", "length")
-    rows = terms.join(placed, ["doc_id", "field"]).join(F.broadcast(means), "field")  # one row a field
-    blocks = rows.groupBy("field", "term", "block").agg(F.collect_list(entry).alias("entries"), F.max(_saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("peak"), F.first("mean").alias("mean"), F.count("*").alias("n"))
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
-    put(blocks.repartition("bucket", F.pmod("block", F.lit(SLICES))).sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
-    put(docs, "forward")
-    # What the replaced documents had counted for goes off the counts.
-    dead = docs.limit(0) if not generation else _alive(_table(spark, folder, "forward"), _table(spark, folder, "gone")).join(gone, "doc_id", "left_semi").select(*docs.columns)
-    both = docs.withColumn("sign", F.lit(1)).unionByName(dead.withColumn("sign", F.lit(-1)))
-    counts = both.select("field", "sign", F.explode("terms").alias("term")).groupBy("field", "term").agg(F.sum("sign").alias("df")).withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
+def _append(spark: SparkSession, folder: str, m: dict, generation: int, documents: DataFrame, gone: DataFrame) -> None:
+    """A generation: documents (of :func:`_documents`), and the ids of those it replaces or deletes."""
+    at = lambda name: f"{folder}/{name}/generation={generation}"
+    put = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(at(name))
+    counted = cut(documents)
+    # In order of length; a row's number starts anew with each range, at a multiple of any block's size.
+    block = F.floor(F.monotonically_increasing_id() / m["block_size"])
+    put(counted.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id").withColumn("block", block), "forward")
+    discard(counted)
+    forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, block long").parquet(at("forward"))
+    docs = _by_field(forward)
+    means = docs.groupBy(F.col("f.field").alias("field")).agg(F.avg("length").alias("mean"))
+    terms = docs.select("doc_id", "block", "length", F.col("f.field").alias("field"), F.explode(F.arrays_zip("f.terms", "f.tfs")).alias("t")).select("doc_id", "block", "length", "field", F.col("t.terms").alias("term"), F.col("t.tfs").cast("long").alias("tf"))
+    # Dealt once, by bucket and slice, which all of a group's rows share.
+    dealt = terms.withColumns({"bucket": _bucket(F.col("term"), m["buckets"]), "slice": F.pmod("block", F.lit(SLICES))}).repartition("bucket", "slice").join(F.broadcast(means), "field")  # one row a field
+    peak = F.max(_saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("peak")
+    blocks = dealt.groupBy("bucket", "slice", "field", "term", "block").agg(F.collect_list(F.struct("doc_id", "tf", "length")).alias("entries"), peak, F.first("mean").alias("mean"), F.count("*").alias("n"))
+    put(blocks.drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    own = spark.read.schema("field string, term string, n long").parquet(at("postings")).select("field", "term", F.col("n").alias("df"))
+    size = lambda df, sign: _by_field(df).select(F.col("f.field").alias("field"), F.lit(sign).alias("docs"), (sign * F.col("length")).alias("length"))
+    sizes = size(forward, 1)
+    if generation:
+        # What the replaced documents had counted for goes off the counts.
+        dead = cut(_alive(_table(spark, folder, "forward"), _table(spark, folder, "gone")).join(gone, "doc_id", "left_semi").select("doc_id", "length", "fields"))
+        own = own.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.explode("f.terms").alias("term"), F.lit(-1).cast("long").alias("df")))
+        sizes = sizes.unionByName(size(dead, -1))
+    counts = own.groupBy("field", "term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
     put(counts.repartition("bucket").sortWithinPartitions("bucket", "term"), "frequencies", "bucket")
-    put(both.groupBy("field").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("length")).alias("length")), "totals")
+    put(sizes.groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")), "totals")
     put(gone, "gone")
     spark.createDataFrame([(generation,)], "generation int").write.mode("append").parquet(f"{folder}/generations")
 
 
 def create(docs: DataFrame, id_col: str, fields: dict[str, str], folder: str, buckets: int = 64, block_size: int = 32, stop: bool = True) -> None:
-    """Writes the first generation. ``fields``: column to analyser, ``standard`` or ``keyword``."""
+    """Writes the first generation. ``fields``: column to analyser, ``standard`` or ``keyword``. Each row is a document; the hits of rows that share an id are summed."""
     m = {"id_col": id_col, "fields": json.dumps(fields), "stop": stop, "buckets": buckets, "block_size": block_size, "analyser": ANALYSER}
     docs.sparkSession.createDataFrame([tuple(m.values())], "id_col string, fields string, stop boolean, buckets int, block_size int, analyser string").write.parquet(f"{folder}/manifest")
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    _append(docs.sparkSession, folder, m, 0, _terms(docs, id_col, fields, stop), ids.limit(0))
+    _append(docs.sparkSession, folder, m, 0, _documents(docs, id_col, fields, stop), ids.limit(0))
 
 
 def upsert(docs: DataFrame, folder: str) -> None:
@@ -108,28 +143,27 @@ def upsert(docs: DataFrame, folder: str) -> None:
     spark = docs.sparkSession
     m = manifest(spark, folder)
     ids = docs.select(F.col(m["id_col"]).alias("doc_id")).distinct()
-    _append(spark, folder, m, max(_generations(spark, folder)) + 1, _terms(docs, m["id_col"], m["fields"], m["stop"]), ids)
+    _append(spark, folder, m, max(_generations(spark, folder)) + 1, _documents(docs, m["id_col"], m["fields"], m["stop"]), ids)
 
 
 def delete(ids: DataFrame, folder: str) -> None:
     """``ids``: a column ``doc_id``; unknown ones do nothing."""
     spark = ids.sparkSession
     m = manifest(spark, folder)
-    none = _table(spark, folder, "postings").select(F.explode("entries").alias("e"), "field", "term").limit(0).select("e.doc_id", "field", "term", "e.tf")
+    none = _table(spark, folder, "forward").select("doc_id", "length", "fields").limit(0)
     _append(spark, folder, m, max(_generations(spark, folder)) + 1, none, ids.select("doc_id").distinct())
 
 
-def live_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, field, term, tf`` of all that is alive."""
-    rows = _table(spark, folder, "postings").select("generation", "field", "term", F.explode("entries").alias("e")).select("generation", "field", "term", "e.doc_id", "e.tf")
-    return _alive(rows, _table(spark, folder, "gone")).drop("generation")
+def live_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, length, fields`` of all that is alive."""
+    return _alive(_table(spark, folder, "forward"), _table(spark, folder, "gone")).select("doc_id", "length", "fields")
 
 
 def compact(spark: SparkSession, folder: str, to: str) -> None:
     """What is alive, as an index of one generation in the new folder ``to``."""
     m = manifest(spark, folder)
     spark.read.parquet(f"{folder}/manifest").write.parquet(f"{to}/manifest")
-    _append(spark, to, m, 0, live_terms(spark, folder), _table(spark, folder, "gone").select("doc_id").limit(0))
+    _append(spark, to, m, 0, live_documents(spark, folder), _table(spark, folder, "gone").select("doc_id").limit(0))
 
 
 def ask(queries: DataFrame, m: dict) -> DataFrame:
@@ -156,13 +190,18 @@ def _bounded(spark: SparkSession, folder: str, asked: DataFrame, m: dict, need_a
 
 
 def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFrame, wanted: DataFrame, need_all: bool) -> DataFrame:
-    """``query_id, doc_id, score`` of the documents in ``blocks`` (query_id, generation, block)."""
+    """``query_id, doc_id, score`` of the documents in ``blocks`` (query_id, generation, block).
+
+    Hits are dealt by document once; they meet the queries, and are summed, where they lie then. ``blocks``, ``asked`` and
+    ``wanted`` are written tables, which Spark broadcasts if they are small.
+    """
     buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
-    read = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).drop("peak", "mean", "n", "bucket")
-    pairs = blocks.join(asked, "query_id")
-    rows = read.join(pairs, ["generation", "block", "term"]).select("query_id", "generation", "field", "term", F.explode("entries").alias("e")).select("query_id", "generation", "field", "term", "e.*")
-    part = F.col("idf") * (K1 + 1) * _saturated(F.col("tf"), F.col("length"), F.col("mean_now"))
-    scored = _alive(rows, _table(spark, folder, "gone")).join(wanted, ["field", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.countDistinct("term").alias("terms"))
+    read = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "block", "field", "term", "entries")
+    rows = read.join(blocks.select("generation", "block").distinct(), ["generation", "block"], "left_semi").join(wanted.select("field", "term", "idf", "mean_now"), ["field", "term"])
+    rows = rows.select("generation", "block", "term", "idf", "mean_now", F.explode("entries").alias("e"))
+    part = F.col("idf") * (K1 + 1) * _saturated(F.col("e.tf"), F.col("e.length"), F.col("mean_now"))
+    hits = _alive(rows.select("generation", "block", "term", F.col("e.doc_id").alias("doc_id"), part.alias("part")), _table(spark, folder, "gone")).repartition("doc_id")
+    scored = hits.join(asked, "term").join(blocks, ["query_id", "generation", "block"], "left_semi").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.size(F.collect_set("term")).alias("terms"))
     if need_all:
         scored = scored.join(asked.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked")
     return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))

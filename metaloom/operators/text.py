@@ -82,13 +82,18 @@ def _totals(stats: DataFrame) -> DataFrame:
 
 
 def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bool) -> DataFrame:
-    """``hits``: term, doc_id, field, tf, length of the asked terms."""
-    q = queries.select("query_id", "term").distinct()
+    """``hits``: term, doc_id, field, tf, length of the asked terms.
+
+    They are dealt by document once, and meet the terms' weights and the queries where they lie then; both are written
+    first, so that Spark broadcasts them if they are small. Pairs of a query and a document are never shuffled.
+    """
+    q = cut(queries.select("query_id", "term").filter("term is not null").distinct())
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # a posting is a document
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(df.join(F.broadcast(totals), "field"), ["term", "field"]).select("term", "doc_id", part.alias("part"))
-    out = scored.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.countDistinct("term").alias("terms"))
+    weights = cut(df.join(F.broadcast(totals), "field").select("term", "field", "mean", idf.alias("idf")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    out = hits.repartition("doc_id").join(weights, ["term", "field"]).select("term", "doc_id", part.alias("part")).join(q, "term")
+    out = out.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.size(F.collect_set("term")).alias("terms"))
     if need_all:
         out = out.join(q.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
