@@ -46,20 +46,24 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
 ENTRY = "array<struct<field: string, terms: array<string>, tfs: array<int>>>"
 
 
-def _counted(words: Column) -> Column:
-    """The distinct words of an array and how often each stands there, in one pass over each row."""
+def _counted(words: Column, kind: str) -> Column:
+    """The distinct words of an array and how often each stands there, in one pass over each row. Words travel as one string a row, in and out, so that a batch of rows stays small."""
+    if kind == "keyword":
+        return F.struct(words.alias("terms"), F.transform(words, lambda w: F.lit(1)).alias("tfs"))
 
-    @F.pandas_udf("terms array<string>, tfs array<int>")
+    @F.pandas_udf("terms string, tfs string")
     def count(s: pd.Series) -> pd.DataFrame:
-        found = [Counter(w) for w in s]
-        return pd.DataFrame({"terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
+        found = (Counter(w.split()) for w in s)
+        return pd.DataFrame([(" ".join(c), " ".join(map(str, c.values()))) for c in found], columns=["terms", "tfs"])
 
-    return count(words)
+    c = count(F.array_join(words, " "))
+    apart = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    return F.struct(apart(c["terms"]).alias("terms"), F.transform(apart(c["tfs"]), lambda n: n.cast("int")).alias("tfs"))
 
 
 def _documents(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool) -> DataFrame:
     """``doc_id, length, fields``: a row a document that has words, with each field's words counted. Nothing is shuffled."""
-    each = docs.select(F.col(id_col).alias("doc_id"), *(_counted(words_of(F.col(name), kind, stop)).alias(f"f{i}") for i, (name, kind) in enumerate(fields.items())))
+    each = docs.select(F.col(id_col).alias("doc_id"), *(_counted(words_of(F.col(name), kind, stop), kind).alias(f"f{i}") for i, (name, kind) in enumerate(fields.items())))
     entries = F.filter(F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"f{i}.terms").alias("terms"), F.col(f"f{i}.tfs").alias("tfs")) for i, name in enumerate(fields))), lambda x: F.size(x["terms"]) > 0)
     return each.select("doc_id", _length(entries).alias("length"), entries.cast(ENTRY).alias("fields")).filter("length > 0")
 
