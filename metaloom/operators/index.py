@@ -3,9 +3,9 @@
 Tables in the index's folder, each by generation (0: the first write):
 
 * ``postings``, in folders by bucket of the term: a row is a term's postings in one block of documents, as an array, with
-  ``peak``, the largest saturated frequency in it. Documents are put into blocks in order of length, so that peaks differ
-  from block to block. A common term is spread over as many rows as blocks.
-* ``forward``: a document's length, its block, and its words by field with their counts; ``frequencies`` and ``totals``: how many documents a generation adds to
+  ``peak``, the largest saturated frequency in it. The documents that a task reads are put into blocks in order of length,
+  so that peaks differ from block to block. A common term is spread over as many rows as blocks.
+* ``forward``: a document's length, its block, and its words by field; ``frequencies`` and ``totals``: how many documents a generation adds to
   (or, through those it replaces, takes from) each term and field.
 * ``gone``: documents that a generation replaces or deletes; what older generations say of them is dead.
 
@@ -21,14 +21,12 @@ score found.
 from __future__ import annotations
 
 import json
-from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metaloom.operators.text import K1, B, top_hits, words_of
-from metaloom.session import cut, discard
+from metaloom.session import cut
 
 ANALYSER = "lowercase runs of letters and digits"
 TABLES = ("postings", "forward", "frequencies", "totals", "gone")
@@ -43,40 +41,38 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / mean))
 
 
-ENTRY = "array<struct<field: string, terms: array<string>, tfs: array<int>>>"
-
-
-def _counted(words: Column, kind: str) -> Column:
-    """The distinct words of an array and how often each stands there, in one pass over each row. Words travel as one string a row, in and out, so that a batch of rows stays small."""
-    if kind == "keyword":
-        return F.struct(words.alias("terms"), F.transform(words, lambda w: F.lit(1)).alias("tfs"))
-
-    @F.pandas_udf("terms string, tfs string")
-    def count(s: pd.Series) -> pd.DataFrame:
-        found = (Counter(w.split()) for w in s)
-        return pd.DataFrame([(" ".join(c), " ".join(map(str, c.values()))) for c in found], columns=["terms", "tfs"])
-
-    c = count(F.array_join(words, " "))
-    apart = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    return F.struct(apart(c["terms"]).alias("terms"), F.transform(apart(c["tfs"]), lambda n: n.cast("int")).alias("tfs"))
+ENTRY = "array<struct<field: string, length: long, words: array<string>>>"
 
 
 def _documents(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool) -> DataFrame:
-    """``doc_id, length, fields``: a row a document that has words, with each field's words counted. Nothing is shuffled."""
-    each = docs.select(F.col(id_col).alias("doc_id"), *(_counted(words_of(F.col(name), kind, stop), kind).alias(f"f{i}") for i, (name, kind) in enumerate(fields.items())))
-    entries = F.filter(F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"f{i}.terms").alias("terms"), F.col(f"f{i}.tfs").alias("tfs")) for i, name in enumerate(fields))), lambda x: F.size(x["terms"]) > 0)
-    return each.select("doc_id", _length(entries).alias("length"), entries.cast(ENTRY).alias("fields")).filter("length > 0")
-
-
-def _length(entries: Column) -> Column:
-    total = lambda tfs: F.aggregate(tfs, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a + total(x["tfs"]))
+    """``doc_id, length, fields``: a row a document that has words, with the words of each field. Nothing is shuffled."""
+    each = docs.select(F.col(id_col).alias("doc_id"), *(words_of(F.col(name), kind, stop).alias(f"w{i}") for i, (name, kind) in enumerate(fields.items())))
+    entries = (F.struct(F.lit(name).alias("field"), F.size(f"w{i}").cast("long").alias("length"), F.col(f"w{i}").alias("words")) for i, name in enumerate(fields))
+    found = each.select("doc_id", F.filter(F.array(*entries), lambda x: x["length"] > 0).cast(ENTRY).alias("fields"))
+    return found.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), "fields").filter("length > 0")
 
 
 def _by_field(docs: DataFrame) -> DataFrame:
     """A row a document and field, with the field's own length."""
     out = docs.select(*(c for c in docs.columns if c not in ("length", "fields")), F.explode("fields").alias("f"))
-    return out.withColumn("length", F.aggregate("f.tfs", F.lit(0).cast("long"), lambda a, x: a + x))
+    return out.withColumn("length", F.col("f.length"))
+
+
+def _postings(forward: DataFrame, fields: dict[str, str], buckets: int) -> DataFrame:
+    """``bucket, slice, field, block, doc_id, length, term, tf``, all of a bucket and slice in one task.
+
+    A document's words go to a bucket together, as one string, so one row a document and bucket is shuffled and not one a
+    word; words are counted where they arrive. ``row`` keeps documents that share an id apart.
+    """
+    each = _by_field(forward).select("doc_id", "block", "row", "length", F.col("f.field").alias("field"), F.transform("f.words", lambda w: F.struct(_bucket(w, buckets).alias("bucket"), w.alias("word"))).alias("hashed"))
+    # What stands below the explosion is computed once a document.
+    each = each.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    mine = F.filter("hashed", lambda x: x["bucket"] == F.col("bucket"))
+    packed = each.filter(F.exists("hashed", lambda x: x["bucket"] == F.col("bucket"))).select("doc_id", "block", "row", "length", "field", "bucket", F.array_join(F.transform(mine, lambda x: x["word"]), " ").alias("words"))
+    dealt = packed.withColumn("slice", F.pmod("block", F.lit(SLICES))).repartition("bucket", "slice")
+    whole = F.col("field").isin([name for name, kind in fields.items() if kind == "keyword"])  # a keyword is one word, with its spaces
+    words = dealt.select("bucket", "slice", "field", "block", "row", "doc_id", "length", F.explode(F.when(whole, F.array("words")).otherwise(F.split("words", " "))).alias("term"))
+    return words.groupBy("bucket", "slice", "field", "block", "row", "doc_id", "length", "term").agg(F.count("*").alias("tf")).drop("row")
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
@@ -105,19 +101,15 @@ def _append(spark: SparkSession, folder: str, m: dict, generation: int, document
     """A generation: documents (of :func:`_documents`), and the ids of those it replaces or deletes."""
     at = lambda name: f"{folder}/{name}/generation={generation}"
     put = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(at(name))
-    counted = cut(documents)
-    # In order of length; a row's number starts anew with each range, at a multiple of any block's size.
-    block = F.floor(F.monotonically_increasing_id() / m["block_size"])
-    put(counted.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id").withColumn("block", block), "forward")
-    discard(counted)
-    forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, block long").parquet(at("forward"))
+    # In order of length within each task's documents, which are not moved; rows number on from a multiple of 2**33 in each.
+    row = F.monotonically_increasing_id()
+    put(documents.sortWithinPartitions("length", "doc_id").withColumn("row", row).withColumn("block", F.floor(F.col("row") / m["block_size"])), "forward")
+    forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, row long, block long").parquet(at("forward"))
     docs = _by_field(forward)
     means = docs.groupBy(F.col("f.field").alias("field")).agg(F.avg("length").alias("mean"))
-    terms = docs.select("doc_id", "block", "length", F.col("f.field").alias("field"), F.explode(F.arrays_zip("f.terms", "f.tfs")).alias("t")).select("doc_id", "block", "length", "field", F.col("t.terms").alias("term"), F.col("t.tfs").cast("long").alias("tf"))
-    # Dealt once, by bucket and slice, which all of a group's rows share.
-    dealt = terms.withColumns({"bucket": _bucket(F.col("term"), m["buckets"]), "slice": F.pmod("block", F.lit(SLICES))}).repartition("bucket", "slice").join(F.broadcast(means), "field")  # one row a field
+    terms = _postings(forward, m["fields"], m["buckets"]).join(F.broadcast(means), "field")  # one row a field
     peak = F.max(_saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("peak")
-    blocks = dealt.groupBy("bucket", "slice", "field", "term", "block").agg(F.collect_list(F.struct("doc_id", "tf", "length")).alias("entries"), peak, F.first("mean").alias("mean"), F.count("*").alias("n"))
+    blocks = terms.groupBy("bucket", "slice", "field", "term", "block").agg(F.collect_list(F.struct("doc_id", "tf", "length")).alias("entries"), peak, F.first("mean").alias("mean"), F.count("*").alias("n"))
     put(blocks.drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
     own = spark.read.schema("field string, term string, n long").parquet(at("postings")).select("field", "term", F.col("n").alias("df"))
     size = lambda df, sign: _by_field(df).select(F.col("f.field").alias("field"), F.lit(sign).alias("docs"), (sign * F.col("length")).alias("length"))
@@ -125,7 +117,7 @@ def _append(spark: SparkSession, folder: str, m: dict, generation: int, document
     if generation:
         # What the replaced documents had counted for goes off the counts.
         dead = cut(_alive(_table(spark, folder, "forward"), _table(spark, folder, "gone")).join(gone, "doc_id", "left_semi").select("doc_id", "length", "fields"))
-        own = own.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.explode("f.terms").alias("term"), F.lit(-1).cast("long").alias("df")))
+        own = own.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.explode(F.array_distinct("f.words")).alias("term"), F.lit(-1).cast("long").alias("df")))
         sizes = sizes.unionByName(size(dead, -1))
     counts = own.groupBy("field", "term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
     put(counts.repartition("bucket").sortWithinPartitions("bucket", "term"), "frequencies", "bucket")
@@ -139,7 +131,7 @@ def create(docs: DataFrame, id_col: str, fields: dict[str, str], folder: str, bu
     m = {"id_col": id_col, "fields": json.dumps(fields), "stop": stop, "buckets": buckets, "block_size": block_size, "analyser": ANALYSER}
     docs.sparkSession.createDataFrame([tuple(m.values())], "id_col string, fields string, stop boolean, buckets int, block_size int, analyser string").write.parquet(f"{folder}/manifest")
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    _append(docs.sparkSession, folder, m, 0, _documents(docs, id_col, fields, stop), ids.limit(0))
+    _append(docs.sparkSession, folder, m | {"fields": fields}, 0, _documents(docs, id_col, fields, stop), ids.limit(0))
 
 
 def upsert(docs: DataFrame, folder: str) -> None:
