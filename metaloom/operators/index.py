@@ -167,39 +167,45 @@ def ask(queries: DataFrame, m: dict) -> DataFrame:
     return queries.select("query_id", F.explode(words_of(F.col("query"), "standard", m["stop"])).alias("term")).distinct()
 
 
-def _bounded(spark: SparkSession, folder: str, asked: DataFrame, m: dict, need_all: bool) -> tuple[DataFrame, DataFrame]:
-    """``bounds``: query_id, generation, block, bound, n (documents it has at least); ``wanted``: the asked terms with idf and mean."""
+def _bounded(spark: SparkSession, folder: str, asked: DataFrame, m: dict, need_all: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``bounds``: query_id, generation, block, bound, n (documents it has at least); ``wanted``: the asked terms by field, numbered;
+    ``known``: what each query asks for, by those numbers, with idf and mean."""
     buckets = [r[0] for r in asked.select(_bucket(F.col("term"), m["buckets"])).distinct().collect()]  # as many as buckets at most
     totals = _table(spark, folder, "totals").groupBy("field").agg(F.sum("docs").alias("docs"), (F.sum("length") / F.sum("docs")).alias("mean_now")).filter("docs > 0")
     terms = asked.select("term").distinct()
     df = _table(spark, folder, "frequencies").filter(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi").groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = cut(df.join(F.broadcast(totals), "field").select("field", "term", "mean_now", idf.alias("idf"), _bucket(F.col("term"), m["buckets"]).alias("bucket")))
+    wanted = cut(df.join(F.broadcast(totals), "field").select("field", "term", "mean_now", idf.alias("idf"), _bucket(F.col("term"), m["buckets"]).alias("bucket"), F.monotonically_increasing_id().alias("number")))
+    known = cut(asked.join(wanted, "term").select("query_id", "number", "term", "idf", "mean_now"))
     heads = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "field", "term", "block", "peak", "mean", "n")
     # The peak was taken with the mean length of its time: a larger mean raises scores by the quotient at most.
     top = F.col("idf") * (K1 + 1) * F.col("peak") * F.greatest(F.lit(1.0), F.col("mean_now") / F.col("mean"))
     met = heads.join(wanted, ["field", "term"]).join(asked, "term")
-    bounds = met.groupBy("query_id", "generation", "block").agg(F.sum(top).alias("bound"), F.max("n").alias("n"), F.countDistinct("term").alias("terms"))
-    if need_all:
-        bounds = bounds.join(asked.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
-    return cut(bounds.drop("terms")), wanted
+    each, best = met.groupBy("query_id", "generation", "block"), [F.sum(top).alias("bound"), F.max("n").alias("n")]
+    if not need_all:  # counting distinct terms would shuffle a row for each of them
+        return cut(each.agg(*best)), wanted, known
+    bounds = each.agg(*best, F.countDistinct("term").alias("terms")).join(asked.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
+    return cut(bounds.drop("terms")), wanted, known
 
 
-def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFrame, wanted: DataFrame, need_all: bool) -> DataFrame:
+def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFrame, wanted: DataFrame, known: DataFrame, need_all: bool) -> DataFrame:
     """``query_id, doc_id, score`` of the documents in ``blocks`` (query_id, generation, block).
 
-    Hits are dealt by document once; they meet the queries, and are summed, where they lie then. ``blocks``, ``asked`` and
-    ``wanted`` are written tables, which Spark broadcasts if they are small.
+    Hits are dealt by document once, as numbers; they meet the queries, and are summed, where they lie then. ``blocks`` and
+    :func:`_bounded`'s frames are written tables, which Spark broadcasts if they are small.
     """
     buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
     read = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "block", "field", "term", "entries")
-    rows = read.join(blocks.select("generation", "block").distinct(), ["generation", "block"], "left_semi").join(wanted.select("field", "term", "idf", "mean_now"), ["field", "term"])
-    rows = rows.select("generation", "block", "term", "idf", "mean_now", F.explode("entries").alias("e"))
-    part = F.col("idf") * (K1 + 1) * _saturated(F.col("e.tf"), F.col("e.length"), F.col("mean_now"))
-    hits = _alive(rows.select("generation", "block", "term", F.col("e.doc_id").alias("doc_id"), part.alias("part")), _table(spark, folder, "gone")).repartition("doc_id")
-    scored = hits.join(asked, "term").join(blocks, ["query_id", "generation", "block"], "left_semi").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.size(F.collect_set("term")).alias("terms"))
+    rows = read.join(blocks.select("generation", "block").distinct(), ["generation", "block"], "left_semi").join(wanted.select("field", "term", "number"), ["field", "term"])
+    rows = rows.select("generation", "block", "number", F.explode("entries").alias("e")).select("generation", "block", "number", "e.doc_id", "e.tf", "e.length")
+    hits = _alive(rows, _table(spark, folder, "gone")).repartition("doc_id")
+    part = F.col("idf") * (K1 + 1) * _saturated(F.col("tf"), F.col("length"), F.col("mean_now"))
+    pairs = hits.join(known, "number").join(blocks, ["query_id", "generation", "block"], "left_semi").groupBy("query_id", "doc_id")
     if need_all:
+        scored = pairs.agg(F.sum(part).alias("score"), F.size(F.collect_set("term")).alias("terms"))
         scored = scored.join(asked.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked")
+    else:
+        scored = pairs.agg(F.sum(part).alias("score"))
     return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -212,22 +218,24 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, need_al
 def matches(spark: SparkSession, folder: str, asked: DataFrame, need_all: bool = False) -> DataFrame:
     """``query_id, doc_id, score`` of every match of analysed terms (query_id, term)."""
     asked = cut(asked.distinct())
-    bounds, wanted = _bounded(spark, folder, asked, manifest(spark, folder), need_all)
-    return _scores(spark, folder, bounds.select("query_id", "generation", "block"), asked, wanted, need_all)
+    bounds, wanted, known = _bounded(spark, folder, asked, manifest(spark, folder), need_all)
+    return _scores(spark, folder, bounds.select("query_id", "generation", "block"), asked, wanted, known, need_all)
 
 
 def search_blocks(spark: SparkSession, folder: str, asked: DataFrame, k: int, need_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for analysed terms (query_id, term); also all blocks that have a term (with bounds), and those that were read."""
     m = manifest(spark, folder)
     asked = cut(asked.distinct())
-    bounds, wanted = _bounded(spark, folder, asked, m, need_all)
-    before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "generation", "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bounds.withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bounds, wanted, known = _bounded(spark, folder, asked, m, need_all)
+    best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "generation", "block")
+    # A block has a document at least, so k blocks are enough; no other leaves its task.
+    highest = bounds.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    ranked = highest.withColumn("held", F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = cut(ranked.filter(F.col("held") < k).select("query_id", "generation", "block"))
-    found = cut(_scores(spark, folder, first, asked, wanted, need_all))
+    found = cut(_scores(spark, folder, first, asked, wanted, known, need_all))
     floor = top_hits(found, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     # A score is rounded to six places, so a bound may lie that much below it.
     rest = bounds.join(first, ["query_id", "generation", "block"], "left_anti").join(floor, "query_id", "left").filter("floor is null or bound >= floor - 0.00001")
     rest = cut(rest.select("query_id", "generation", "block"))
-    more = _scores(spark, folder, rest, asked, wanted, need_all)
+    more = _scores(spark, folder, rest, asked, wanted, known, need_all)
     return top_hits(found.unionByName(more), k), bounds, first.unionByName(rest)
