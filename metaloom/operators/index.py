@@ -198,7 +198,7 @@ def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFram
     read = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "block", "field", "term", "entries")
     rows = read.join(blocks.select("generation", "block").distinct(), ["generation", "block"], "left_semi").join(wanted.select("field", "term", "number"), ["field", "term"])
     rows = rows.select("generation", "block", "number", F.explode("entries").alias("e")).select("generation", "block", "number", "e.doc_id", "e.tf", "e.length")
-    hits = _alive(rows, _table(spark, folder, "gone")).repartition("doc_id")
+    hits = _alive(rows.repartition("doc_id"), _table(spark, folder, "gone"))  # the join finds them dealt
     part = F.col("idf") * (K1 + 1) * _saturated(F.col("tf"), F.col("length"), F.col("mean_now"))
     pairs = hits.join(known, "number").join(blocks, ["query_id", "generation", "block"], "left_semi").groupBy("query_id", "doc_id")
     if need_all:
