@@ -66,6 +66,7 @@ def route(name: Column) -> Column:
 
 PIECE = 16 << 20
 LARGEST = 64 << 20
+BATCH = 1000  # members that leave a task together at most
 _DECLARED = re.compile(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
 
 
@@ -103,33 +104,45 @@ def archive_members(spark: SparkSession, path: str, piece: int = PIECE, largest:
     """``archive, member, piece, xml, error`` of tar.gz archives of any size; ``xml`` is bytes in UTF-8.
 
     A task an archive (gzip can't be split): it reads the archive as a stream and gives out each member in pieces of about
-    ``piece`` bytes that end behind a ``>``, so it holds no whole archive and no whole member. A member that is not in the
+    ``piece`` bytes that end behind a ``>``, so it holds no whole archive and no whole member; small ones leave it together. A member that is not in the
     encoding that it names, or that has ``largest`` bytes without the end of a tag, gives a row with its error after the
     pieces before it, and the next member is read. An archive that breaks off keeps the pieces before that; one that does
     not open gives one row with its error. Spark lists the files; they are opened through Arrow.
     """
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = lambda archive, member, i, data, error: pd.DataFrame({"archive": [archive], "member": [member], "piece": [i], "xml": [data], "error": [error]})
-        for b in batches:
-            for name in b["path"]:
-                try:
-                    fs, at = pa.fs.FileSystem.from_uri(name)
-                    with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
-                        for m in tar:
-                            if m.isfile() and m.name.lower().endswith(".xml"):
-                                i = 0
-                                try:
-                                    for data in _pieces(tar.extractfile(m), piece, largest):
-                                        yield row(name, m.name, i, data, None)
-                                        i += 1
-                                except (ValueError, LookupError) as e:  # its encoding or its size; the stream goes on
-                                    yield row(name, m.name, i, None, str(e))
-                except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
-                    yield row(name, None, 0, None, str(e))
+    def read(name: str) -> Iterator[tuple]:
+        try:
+            fs, at = pa.fs.FileSystem.from_uri(name)
+            with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
+                for m in tar:
+                    tar.members = []  # else all headers of the archive are kept
+                    if m.isfile() and m.name.lower().endswith(".xml"):
+                        i = 0
+                        try:
+                            for data in _pieces(tar.extractfile(m), piece, largest):
+                                yield name, m.name, i, data, None
+                                i += 1
+                        except (ValueError, LookupError) as e:  # its encoding or its size; the stream goes on
+                            yield name, m.name, i, None, str(e)
+        except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
+            yield name, None, 0, None, str(e)
 
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for row in (r for b in batches for name in b["path"] for r in read(name)):
+            held.append(row)
+            size += len(row[3] or b"")
+            if size >= piece or len(held) == BATCH:
+                yield pd.DataFrame(held, columns=columns)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    columns = ["archive", "member", "piece", "xml", "error"]
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.repartition(F.col("path")).mapInPandas(members, "archive string, member string, piece int, xml binary, error string")
+    # By number: tasks given by a key would be put together again, as paths are small.
+    tasks = max(1, min(files.count(), 10_000))
+    return files.repartition(tasks).mapInPandas(members, "archive string, member string, piece int, xml binary, error string")
 
 
 def parsed(members: DataFrame, tag: str) -> DataFrame:

@@ -224,3 +224,16 @@ def test_exports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "a")).first().value == "SRP1"
     sinks.write_bundle({"study": df}, str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b/col_desc")).count() == 8 and spark.read.parquet(str(tmp_path / "b/study")).count() == 1
+
+
+def test_archives_are_read_by_a_task_each(spark, tmp_path):
+    for n in range(6):
+        with tarfile.open(tmp_path / f"a{n}.tar.gz", "w:gz") as tar:
+            for i in range(1200):
+                info = tarfile.TarInfo(f"{i}.study.xml")
+                info.size = 8
+                tar.addfile(info, io.BytesIO(b"<STUDY/>"))
+    found = xml.archive_members(spark, f"{tmp_path}/*.tar.gz")
+    assert found.rdd.getNumPartitions() == 6
+    assert found.count() == found.select("archive", "member").distinct().count() == 7200
+    assert found.filter("error is not null or xml <> cast('<STUDY/>' as binary)").count() == 0
