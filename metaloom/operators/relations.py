@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions import scalars
 
+MOST_KINDS = 64
+
 
 def runs_of(runs: DataFrame, experiments: DataFrame, junction: DataFrame, key: str, accession: str) -> DataFrame:
     """Runs of a study, experiment or sample, with platform and strategy of their experiment."""
@@ -43,33 +47,32 @@ def studies_of(studies: DataFrame, experiments: DataFrame, runs: DataFrame, junc
     return studies.join(e, "study_accession", "left_semi")
 
 
-def edges(experiments: DataFrame, runs: DataFrame, junction: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
-    """``src_type, src, dst_type, dst`` of every supported conversion."""
+def edges(experiments: DataFrame, runs: DataFrame, junction: DataFrame, identifiers: DataFrame | None = None, unique: bool = True) -> DataFrame:
+    """``src_type, src, dst_type, dst`` of every supported conversion, each once unless ``unique`` is False.
+
+    Pairs are made distinct before they are turned into the edges of both directions, which then share one shuffle.
+    """
+
+    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+        some = df.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        return some.distinct() if unique else some
+
     e = experiments.select("experiment_accession", "study_accession")
-    r = runs.select("run_accession", "experiment_accession")
-    j = junction.select("experiment_accession", "sample_accession")
-    er, ej = e.join(r, "experiment_accession"), e.join(j, "experiment_accession")
-    rows = lambda df, a, x, b, y: df.select(F.lit(a).alias("src_type"), F.col(x).alias("src"), F.lit(b).alias("dst_type"), F.col(y).alias("dst"))
-    parts = [
-        rows(e, "SRP", "study_accession", "SRX", "experiment_accession"),
-        rows(er, "SRP", "study_accession", "SRR", "run_accession"),
-        rows(ej, "SRP", "study_accession", "SRS", "sample_accession"),
-        rows(e, "SRX", "experiment_accession", "SRP", "study_accession"),
-        rows(r, "SRX", "experiment_accession", "SRR", "run_accession"),
-        rows(j, "SRX", "experiment_accession", "SRS", "sample_accession"),
-        rows(r, "SRR", "run_accession", "SRX", "experiment_accession"),
-        rows(er, "SRR", "run_accession", "SRP", "study_accession"),
-        rows(j, "SRS", "sample_accession", "SRX", "experiment_accession"),
-    ]
+    own = {
+        ("SRP", "SRX"): pairs(e, "study_accession", "experiment_accession"),
+        ("SRP", "SRR"): pairs(e.join(runs.select("run_accession", "experiment_accession"), "experiment_accession"), "study_accession", "run_accession"),
+        ("SRP", "SRS"): pairs(e.join(junction.select("experiment_accession", "sample_accession"), "experiment_accession"), "study_accession", "sample_accession"),
+        ("SRX", "SRR"): pairs(runs, "experiment_accession", "run_accession"),
+        ("SRX", "SRS"): pairs(junction, "experiment_accession", "sample_accession"),
+    }
     if identifiers is not None:
         ext = identifiers.filter("id_type = 'external'")
-        bio = ext.filter("record_type = 'sample' and id_namespace = 'BioSample'")
-        geo = ext.filter("record_type = 'study' and id_namespace = 'GEO'")
-        parts += [rows(bio, "SRS", "record_accession", "BIOSAMPLE", "id_value"), rows(bio, "BIOSAMPLE", "id_value", "SRS", "record_accession"), rows(geo, "SRP", "record_accession", "GSE", "id_value"), rows(geo, "GSE", "id_value", "SRP", "record_accession")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter("src is not null and dst is not null").distinct()
+        own["SRS", "BIOSAMPLE"] = pairs(ext.filter("record_type = 'sample' and id_namespace = 'BioSample'"), "record_accession", "id_value")
+        own["SRP", "GSE"] = pairs(ext.filter("record_type = 'study' and id_namespace = 'GEO'"), "record_accession", "id_value")
+    rows = lambda df, a, x, b, y: df.select(F.lit(a).alias("src_type"), F.col(x).alias("src"), F.lit(b).alias("dst_type"), F.col(y).alias("dst"))
+    parts = [rows(df, a, df.columns[0], b, df.columns[1]) for (a, b), df in own.items()]
+    parts += [rows(df, b, df.columns[1], a, df.columns[0]) for (a, b), df in own.items() if (a, b) != ("SRP", "SRS")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def source_system(acc):
