@@ -93,12 +93,13 @@ def convert(wanted: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def expand_to_runs(accessions: DataFrame, edge: DataFrame) -> DataFrame:
-    """Runs of any accessions, ordered; a run stands for itself; samples go through their experiments."""
+    """Runs of any accessions, ordered; a run stands for itself; studies and samples go through their experiments. Edges may come more than once."""
     a = accessions.select(scalars.normalised_accession(F.col("accession")).alias("accession")).withColumn("system", source_system(F.col("accession")))
-    to_run = edge.filter("dst_type = 'SRR'").select("src", "dst")
-    via = edge.filter("src_type = 'SRS' and dst_type = 'SRX'").select("src", F.col("dst").alias("mid")).join(to_run.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    to = lambda kinds, dst: edge.filter(F.col("src_type").isin(*kinds) & (F.col("dst_type") == dst)).select("src", "dst")
+    met = lambda df, e: df.join(e, F.col("accession") == F.col("src")).select(F.col("dst").alias("accession")).distinct()
+    experiments = a.select("accession").union(met(a, to(["SRP", "SRS"], "SRX")))
     own = a.filter("system = 'SRR'").select(F.col("accession").alias("run_accession"))
-    return own.union(a.join(to_run.unionByName(via), F.col("accession") == F.col("src")).select("dst")).distinct().orderBy("run_accession")
+    return own.union(met(experiments, to(["SRX"], "SRR"))).distinct().orderBy("run_accession")
 
 
 def experiment_rows(experiments: DataFrame, junction: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def j4(s, d):
 @query("j5_expand_to_runs", f"SELECT DISTINCT run_accession FROM run {J} WHERE study_accession = '{STUDY}' OR experiment_accession = '{SRX}' OR experiment_accession IN (SELECT experiment_accession FROM junction WHERE sample_accession = '{SRS}')")
 def j5(s, d):
     wanted = s.createDataFrame([(STUDY.lower() + " ",), (SRX,), (SRS,)], "accession string")
-    return rel.expand_to_runs(wanted, rel.edges(f.experiment(s, d), f.run(s, d), f.junction(s, d)))
+    return rel.expand_to_runs(wanted, rel.edges(f.experiment(s, d), f.run(s, d), f.junction(s, d), unique=False))
 
 
 EDGES = """, e AS (
