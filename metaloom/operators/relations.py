@@ -158,6 +158,13 @@ def experiment_pools(experiments: DataFrame, junction: DataFrame, pools: DataFra
     return experiments.join(junction, "experiment_accession").join(pools, F.col("sample_accession") == F.col("parent_sample"), "left")
 
 
+def experiment_pool_sizes(experiments: DataFrame, junction: DataFrame, pools: DataFrame) -> DataFrame:
+    """``experiment_accession, sample_accession, members`` of :func:`experiment_pools`, counted before pools are joined: their members multiply nothing."""
+    sizes = pools.groupBy(F.col("parent_sample").alias("sample_accession")).agg(F.count("member_sample").alias("members"))
+    met = experiments.select("experiment_accession").join(junction.select("experiment_accession", "sample_accession"), "experiment_accession").join(sizes, "sample_accession", "left")
+    return met.groupBy("experiment_accession", "sample_accession").agg(F.coalesce(F.sum("members"), F.lit(0)).cast("long").alias("members"))
+
+
 def related_studies(studies: DataFrame, related: DataFrame) -> DataFrame:
     """``related``: study_accession, related_accession; titles of both ends (self-join)."""
     a, b = studies.select("study_accession", "study_title"), studies.select(F.col("study_accession").alias("related_accession"), F.col("study_title").alias("related_title"))

@@ -288,7 +288,7 @@ def j15(s, d):
 
 @query("j16_experiment_pools", "SELECT experiment_accession, sample_accession, count(member_sample) AS members FROM experiment JOIN junction USING (experiment_accession) LEFT JOIN pool ON sample_accession = parent_sample GROUP BY ALL")
 def j16(s, d):
-    return rel.experiment_pools(f.experiment(s, d), f.junction(s, d), f.pool(s, d)).groupBy("experiment_accession", "sample_accession").agg(F.count("member_sample").alias("members"))
+    return rel.experiment_pool_sizes(f.experiment(s, d), f.junction(s, d), f.pool(s, d))
 
 
 RELATED = ", r AS (SELECT study_accession, min(study_accession) OVER (PARTITION BY study_type, organism) AS related_accession FROM study)"
