@@ -25,10 +25,11 @@ def write_tsv(df: DataFrame, path: str, fields: list[str] | None = RESULT_FIELDS
     write_csv(df, path, fields, sep="\t")
 
 
-def write_xml(df: DataFrame, path: str, type_col: str = "type", id_col: str = "id", score_col: str = "score") -> None:
+def write_xml(df: DataFrame, path: str, type_col: str = "type", id_col: str = "id", score_col: str = "score", rows_a_file: int = 100_000) -> None:
+    """Files of up to ``rows_a_file`` records: an XML file is read by one task."""
     data = [c for c in df.columns if c not in (type_col, id_col, score_col)]
     shaped = df.select(F.col(type_col).alias("_type"), F.col(id_col).alias("_id"), F.col(score_col).alias("_score"), F.struct(*data).alias("data"))
-    shaped.write.format("xml").option("rootTag", "export").option("rowTag", "result").save(path)
+    shaped.write.format("xml").option("rootTag", "export").option("rowTag", "result").option("maxRecordsPerFile", rows_a_file).save(path)
 
 
 def write_accessions(df: DataFrame, path: str, id_col: str = "id") -> None:
