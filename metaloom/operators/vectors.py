@@ -44,7 +44,7 @@ def similar_to(df: DataFrame, vector: str, key: str, target: object, k: int) ->
     return scored.orderBy("distance", key).limit(k)
 
 
-TILE = (512, 16_384)
+TILE = (256, 8_192)
 
 
 def _tile_best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,23 +59,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, np.inf)
 
 
-def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Of a group of queries (query_id, q) and one of rows (vec_id, v), the k nearest rows to each query."""
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as the rows of a matrix, in the type that they are stored in; a row that is null or of another length is an error."""
+    lists = vectors.combine_chunks()
+    out = lists.flatten().to_numpy(zero_copy_only=False)
+    if lists.null_count or pc.count_distinct(pc.list_value_length(lists)).as_py() > 1:
+        raise ValueError("vectors are null or differ in dimension")
+    return out.reshape(len(lists), -1)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
-        if not a.empty and not b.empty:
-            m, n = _unit(np.stack(a["q"]).astype(np.float64)), _unit(np.stack(b["v"]).astype(np.float64))
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a group of queries (query_id, q) and one of rows (vec_id, v), the k nearest rows to each query. Doubles are made of a tile at a time."""
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            m, n = _matrix(a["q"]), _matrix(b["v"])
             asked, ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
             for i in range(0, len(m), TILE[0]):
-                parts = [_tile_best(m[i : i + TILE[0]], n[j : j + TILE[1]], ids[j : j + TILE[1]], k) for j in range(0, len(n), TILE[1])]
-                row, vec_id, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((vec_id, distance, row))
-                row = row[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                order = order[place < k]
-                found.append(pd.DataFrame({"query_id": asked[i + row[place < k]], "vec_id": vec_id[order], "distance": distance[order]}))
-        return pd.concat(found[1:] or found, ignore_index=True)
+                part = _unit(m[i : i + TILE[0]].astype(np.float64))
+                held = None  # the best so far; a tile's are merged at once
+                for j in range(0, len(n), TILE[1]):
+                    new = _tile_best(part, _unit(n[j : j + TILE[1]].astype(np.float64)), ids[j : j + TILE[1]], k)
+                    row, vec_id, distance = new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))
+                    order = np.lexsort((vec_id, distance, row))
+                    row = row[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    order = order[place < k]
+                    held = row[place < k], vec_id[order], distance[order]
+                found.append(pa.table({"query_id": asked[i + held[0]], "vec_id": held[1], "distance": held[2]}))
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *(x.cast(empty.schema) for x in found)])
 
     return best
 
@@ -94,7 +108,7 @@ def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | Non
     r = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     r = r.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
-    found = q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(_best(k), "query_id long, vec_id long, distance double")
+    found = q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInArrow(_best(k), "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
@@ -214,7 +228,7 @@ def indexed_nearest(queries: DataFrame, rows: DataFrame, k: int, centres: np.nda
     q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("query_id"), F.col(vector).alias("q")).withColumn("cell", F.explode(_cells(F.col("q"), centres, probes)))
     q = q.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pick = lambda df, *names: df.select("cell", "part", *names).groupBy("cell", "part")
-    found = pick(q, "query_id", "q").cogroup(pick(r, "vec_id", "v")).applyInPandas(_best(k), "query_id long, vec_id long, distance double")
+    found = pick(q, "query_id", "q").cogroup(pick(r, "vec_id", "v")).applyInArrow(_best(k), "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
