@@ -24,6 +24,7 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if
 
 K1, B = 1.2, 0.75
 FEW_TERMS, SET_BYTES = 4096, 8 << 20
+MEETINGS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -85,14 +86,19 @@ def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bo
     """``hits``: term, doc_id, field, tf, length of the asked terms.
 
     They are dealt by document once, and meet the terms' weights and the queries where they lie then; both are written
-    first, so that Spark broadcasts them if they are small. Pairs of a query and a document are never shuffled.
+    first, so that Spark broadcasts them if they are small. Pairs of a query and a document are never shuffled. What meets
+    is counted from both before, and documents are dealt over so many tasks that each has about ``MEETINGS`` of it.
     """
     q = cut(queries.select("query_id", "term").filter("term is not null").distinct())
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # a posting is a document
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = cut(df.join(F.broadcast(totals), "field").select("term", "field", "mean", idf.alias("idf")))
+    weights = cut(df.join(F.broadcast(totals), "field").select("term", "field", "mean", "df", idf.alias("idf")))
+    met = weights.join(q, "term").agg(F.sum("df")).first()[0] or 0
+    tasks = 1 + met // MEETINGS
+    few = tasks <= int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    out = hits.repartition("doc_id").join(weights, ["term", "field"]).select("term", "doc_id", part.alias("part")).join(q, "term")
+    dealt = hits.repartition("doc_id") if few else hits.repartition(tasks, "doc_id")
+    out = dealt.join(weights.drop("df"), ["term", "field"]).select("term", "doc_id", part.alias("part")).join(q, "term")
     out = out.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.size(F.collect_set("term")).alias("terms"))
     if need_all:
         out = out.join(q.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
