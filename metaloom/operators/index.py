@@ -15,7 +15,8 @@ next. One writer at a time. :func:`compact` writes all that is alive as an index
 
 :func:`search` gives the exact first k. The bounds of a query's blocks come from ``peak`` alone; postings are read first
 of the blocks with the highest bounds, as many as hold k documents, and then only of those whose bound reaches the k-th
-score found.
+score found. A block that one query needs is then scored for all that ask for its terms: pairs of a query and a document
+meet no table of blocks, so they are never shuffled.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.operators.text import K1, B, top_hits, words_of
+from metaloom.operators.text import K1, B, deal, top_hits, words_of
 from metaloom.session import cut
 
 ANALYSER = "lowercase runs of letters and digits"
 TABLES = ("postings", "forward", "frequencies", "totals", "gone")
-SLICES = 16  # files of a bucket at most
+SLICES, TASK_WORDS = 16, 500_000  # files of a bucket, more where a task would get more words than that
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -62,17 +63,23 @@ def _postings(forward: DataFrame, fields: dict[str, str], buckets: int) -> DataF
     """``bucket, slice, field, block, doc_id, length, term, tf``, all of a bucket and slice in one task.
 
     A document's words go to a bucket together, as one string, so one row a document and bucket is shuffled and not one a
-    word; words are counted where they arrive. ``row`` keeps documents that share an id apart.
+    word; they are in order, so words are counted inside the row. Tasks and slices are as many as the words ask for.
     """
-    each = _by_field(forward).select("doc_id", "block", "row", "length", F.col("f.field").alias("field"), F.transform("f.words", lambda w: F.struct(_bucket(w, buckets).alias("bucket"), w.alias("word"))).alias("hashed"))
+    tasks = 1 + (forward.agg(F.sum("length")).first()[0] or 0) // TASK_WORDS
+    slices = max(SLICES, -(-4 * tasks // buckets))  # four a task, that tasks are alike
+    few = tasks <= int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _by_field(forward).select("doc_id", "block", "length", F.col("f.field").alias("field"), F.transform("f.words", lambda w: F.struct(_bucket(w, buckets).alias("bucket"), w.alias("word"))).alias("hashed"))
     # What stands below the explosion is computed once a document.
     each = each.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     mine = F.filter("hashed", lambda x: x["bucket"] == F.col("bucket"))
-    packed = each.filter(F.exists("hashed", lambda x: x["bucket"] == F.col("bucket"))).select("doc_id", "block", "row", "length", "field", "bucket", F.array_join(F.transform(mine, lambda x: x["word"]), " ").alias("words"))
-    dealt = packed.withColumn("slice", F.pmod("block", F.lit(SLICES))).repartition("bucket", "slice")
+    packed = each.filter(F.exists("hashed", lambda x: x["bucket"] == F.col("bucket"))).select("doc_id", "block", "length", "field", "bucket", F.array_join(F.sort_array(F.transform(mine, lambda x: x["word"])), " ").alias("words"))
+    sliced, by = packed.withColumn("slice", F.pmod("block", F.lit(slices))), ("bucket", "slice")
+    dealt = sliced.repartition(*by) if few else sliced.repartition(tasks, *by)
     whole = F.col("field").isin([name for name, kind in fields.items() if kind == "keyword"])  # a keyword is one word, with its spaces
-    words = dealt.select("bucket", "slice", "field", "block", "row", "doc_id", "length", F.explode(F.when(whole, F.array("words")).otherwise(F.split("words", " "))).alias("term"))
-    return words.groupBy("bucket", "slice", "field", "block", "row", "doc_id", "length", "term").agg(F.count("*").alias("tf")).drop("row")
+    listed = dealt.withColumn("words", F.when(whole, F.array("words")).otherwise(F.split("words", " ")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    counted = F.transform("starts", lambda at, i: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("words")) - at).cast("long").alias("tf")))
+    return listed.withColumn("starts", starts).select("bucket", "slice", "field", "block", "doc_id", "length", F.inline(counted))
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
@@ -175,8 +182,8 @@ def _bounded(spark: SparkSession, folder: str, asked: DataFrame, m: dict, need_a
     terms = asked.select("term").distinct()
     df = _table(spark, folder, "frequencies").filter(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi").groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = cut(df.join(F.broadcast(totals), "field").select("field", "term", "mean_now", idf.alias("idf"), _bucket(F.col("term"), m["buckets"]).alias("bucket"), F.monotonically_increasing_id().alias("number")))
-    known = cut(asked.join(wanted, "term").select("query_id", "number", "term", "idf", "mean_now"))
+    wanted = cut(df.join(F.broadcast(totals), "field").select("field", "term", "mean_now", idf.alias("idf"), _bucket(F.col("term"), m["buckets"]).alias("bucket"), F.monotonically_increasing_id().alias("number"), "df"))
+    known = cut(asked.join(wanted, "term").select("query_id", "number", "term", "idf", "mean_now", "df"))
     heads = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "field", "term", "block", "peak", "mean", "n")
     # The peak was taken with the mean length of its time: a larger mean raises scores by the quotient at most.
     top = F.col("idf") * (K1 + 1) * F.col("peak") * F.greatest(F.lit(1.0), F.col("mean_now") / F.col("mean"))
@@ -189,18 +196,21 @@ def _bounded(spark: SparkSession, folder: str, asked: DataFrame, m: dict, need_a
 
 
 def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFrame, wanted: DataFrame, known: DataFrame, need_all: bool) -> DataFrame:
-    """``query_id, doc_id, score`` of the documents in ``blocks`` (query_id, generation, block).
+    """``query_id, doc_id, score`` of the documents in ``blocks``, of every query (generation, block) or of those named beside them (query_id too).
 
     Hits are dealt by document once, as numbers; they meet the queries, and are summed, where they lie then. ``blocks`` and
     :func:`_bounded`'s frames are written tables, which Spark broadcasts if they are small.
     """
-    buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
+    buckets, named = [r[0] for r in wanted.select("bucket").distinct().collect()], "query_id" in blocks.columns
     read = _table(spark, folder, "postings").filter(F.col("bucket").isin(buckets)).select("generation", "block", "field", "term", "entries")
-    rows = read.join(blocks.select("generation", "block").distinct(), ["generation", "block"], "left_semi").join(wanted.select("field", "term", "number"), ["field", "term"])
-    rows = rows.select("generation", "block", "number", F.explode("entries").alias("e")).select("generation", "block", "number", "e.doc_id", "e.tf", "e.length")
-    hits = _alive(rows.repartition("doc_id"), _table(spark, folder, "gone"))  # the join finds them dealt
+    rows = read.join(blocks.select("generation", "block").distinct() if named else blocks, ["generation", "block"], "left_semi").join(wanted.select("field", "term", "number"), ["field", "term"])
+    place = ("generation", "block") if named else ("generation",)
+    rows = rows.select(*place, "number", F.explode("entries").alias("e")).select(*place, "number", "e.doc_id", "e.tf", "e.length")
+    met = known.agg(F.sum("df")).first()[0] or 0
+    hits = _alive(deal(rows, met), _table(spark, folder, "gone"))  # the join finds them dealt
     part = F.col("idf") * (K1 + 1) * _saturated(F.col("tf"), F.col("length"), F.col("mean_now"))
-    pairs = hits.join(known, "number").join(blocks, ["query_id", "generation", "block"], "left_semi").groupBy("query_id", "doc_id")
+    pairs = hits.join(known.drop("df"), "number")
+    pairs = (pairs.join(blocks, ["query_id", "generation", "block"], "left_semi") if named else pairs).groupBy("query_id", "doc_id")
     if need_all:
         scored = pairs.agg(F.sum(part).alias("score"), F.size(F.collect_set("term")).alias("terms"))
         scored = scored.join(asked.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked")
@@ -209,6 +219,11 @@ def _scores(spark: SparkSession, folder: str, blocks: DataFrame, asked: DataFram
     return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _blocks(each: DataFrame) -> DataFrame:
+    """The blocks that any query needs, as a written table (a row for 32 documents)."""
+    return cut(each.select("generation", "block").distinct())
+
+
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, need_all: bool = False) -> DataFrame:
     """``query_id, doc_id, score, rank``: of each query (query_id, query) the first k by BM25, exactly."""
     hits, _, _ = search_blocks(spark, folder, ask(queries, manifest(spark, folder)), k, need_all)
@@ -219,7 +234,7 @@ def matches(spark: SparkSession, folder: str, asked: DataFrame, need_all: bool =
     """``query_id, doc_id, score`` of every match of analysed terms (query_id, term)."""
     asked = cut(asked.distinct())
     bounds, wanted, known = _bounded(spark, folder, asked, manifest(spark, folder), need_all)
-    return _scores(spark, folder, bounds.select("query_id", "generation", "block"), asked, wanted, known, need_all)
+    return _scores(spark, folder, _blocks(bounds), asked, wanted, known, need_all)
 
 
 def search_blocks(spark: SparkSession, folder: str, asked: DataFrame, k: int, need_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,5 +252,5 @@ def search_blocks(spark: SparkSession, folder: str, asked: DataFrame, k: int, ne
     # A score is rounded to six places, so a bound may lie that much below it.
     rest = bounds.join(first, ["query_id", "generation", "block"], "left_anti").join(floor, "query_id", "left").filter("floor is null or bound >= floor - 0.00001")
     rest = cut(rest.select("query_id", "generation", "block"))
-    more = _scores(spark, folder, rest, asked, wanted, known, need_all)
-    return top_hits(found.unionByName(more), k), bounds, first.unionByName(rest)
+    read = first.unionByName(rest)
+    return top_hits(_scores(spark, folder, _blocks(read), asked, wanted, known, need_all), k), bounds, read

@@ -82,6 +82,13 @@ def _totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
 
 
+def deal(hits: DataFrame, met: int) -> DataFrame:
+    """Hits dealt by document over so many tasks that each has about ``MEETINGS`` of the ``met`` meetings of hits and queries."""
+    tasks = 1 + met // MEETINGS
+    few = tasks <= int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartition("doc_id") if few else hits.repartition(tasks, "doc_id")
+
+
 def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bool) -> DataFrame:
     """``hits``: term, doc_id, field, tf, length of the asked terms.
 
@@ -94,11 +101,8 @@ def _scored(queries: DataFrame, hits: DataFrame, totals: DataFrame, need_all: bo
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = cut(df.join(F.broadcast(totals), "field").select("term", "field", "mean", "df", idf.alias("idf")))
     met = weights.join(q, "term").agg(F.sum("df")).first()[0] or 0
-    tasks = 1 + met // MEETINGS
-    few = tasks <= int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    dealt = hits.repartition("doc_id") if few else hits.repartition(tasks, "doc_id")
-    out = dealt.join(weights.drop("df"), ["term", "field"]).select("term", "doc_id", part.alias("part")).join(q, "term")
+    out = deal(hits, met).join(weights.drop("df"), ["term", "field"]).select("term", "doc_id", part.alias("part")).join(q, "term")
     out = out.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.size(F.collect_set("term")).alias("terms"))
     if need_all:
         out = out.join(q.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").filter("terms = asked").drop("asked")
