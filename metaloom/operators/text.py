@@ -212,30 +212,39 @@ def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
 
 
 def pattern_candidates(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``pattern, term``: terms that have all the substrings that a pattern requires.
+    """``pattern, term``: terms that have the substring, of those that a pattern requires, that the fewest terms have.
 
     A pattern is cut at its wildcards; of each part of three and more characters all substrings of three are required,
-    of a shorter one itself (``^`` and ``$`` stand for the ends of a term). Both sides meet by an equi-join on substrings,
-    and a pair stays if all of the pattern's were met. A pattern of nothing but wildcards requires the empty string, which
-    all terms have.
+    of a shorter one itself (``^`` and ``$`` stand for the ends of a term). Terms with each are counted, and both sides meet
+    by an equi-join on the rarest one of each pattern alone. A pattern of nothing but wildcards requires the empty string,
+    which all terms have.
     """
     asked = patterns.select("pattern").filter("pattern is not null").distinct()
     anchored = F.concat(F.lit("^"), F.lower("pattern"), F.lit("$"))
     parts = F.filter(F.split(F.regexp_replace(anchored, r"[*?]+", "*"), r"\*", -1), lambda x: ~x.isin("", "^", "$"))
     required = F.array_distinct(F.flatten(F.transform(parts, lambda x: F.when(F.length(x) >= 3, _grams(x, (3,))).otherwise(F.array(x)))))
     required = F.when(F.size(required) > 0, required).otherwise(F.array(F.lit("")))
-    needs = asked.select("pattern", F.size(required).alias("needed"), F.explode(required).alias("gram"))
-    terms = vocabulary.select("term").filter("term is not null").distinct()
+    needs = cut(asked.select("pattern", F.explode(required).alias("gram")))
+    terms = cut(vocabulary.select("term").filter("term is not null").distinct())
     has = terms.select("term", F.explode(F.concat(_grams(F.concat(F.lit("^"), F.lower("term"), F.lit("$")), (1, 2, 3)), F.array(F.lit("")))).alias("gram"))
-    met = has.join(needs.select("gram").distinct(), "gram", "left_semi").join(needs, "gram").groupBy("pattern", "term", "needed").agg(F.count("*").alias("met"))
-    return met.filter("met = needed").select("pattern", "term")
+    known = has.join(needs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("least")
+    rarest = cut(needs.join(known, "gram", "left").groupBy("pattern").agg(least).select("pattern", F.col("least.gram").alias("gram")))
+    return has.join(rarest, "gram").select("pattern", "term")
 
 
 def pattern_join(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``pattern, term`` of all pairs that match in full, whatever the case: ``*`` is any characters, ``?`` is one. Patterns run over their candidates alone."""
+    """``pattern, term`` of all pairs that match in full, whatever the case: ``*`` is any characters, ``?`` is one.
+
+    Patterns run over their candidates alone, and as expressions over those that have fitting ends and length.
+    """
     quoted = F.regexp_replace(F.lower("pattern"), r"([^\p{L}\p{N}*?])", r"\\$1")
     as_regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    return pattern_candidates(patterns, vocabulary).filter(F.rlike(F.lower("term"), as_regex))
+    first, last = F.regexp_extract("low", r"^[^*?]*", 0), F.regexp_extract("low", r"[^*?]*$", 0)
+    shape = patterns.select("pattern", F.lower("pattern").alias("low")).distinct().select("pattern", first.alias("first"), last.alias("last"), F.length(F.replace(F.col("low"), F.lit("*"), F.lit(""))).alias("least"), as_regex.alias("regex"))
+    term = F.lower("term")
+    near = pattern_candidates(patterns, vocabulary).join(cut(shape), "pattern").filter(F.startswith(term, F.col("first")) & F.endswith(term, F.col("last")) & (F.length(term) >= F.col("least")))
+    return near.filter(F.rlike(term, F.col("regex"))).select("pattern", "term")
 
 
 def damerau(a: str, b: str) -> int:
