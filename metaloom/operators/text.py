@@ -54,6 +54,53 @@ def postings(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
+    """The ids (``again``) that several rows share, null too."""
+    return cut(docs.groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"))
+
+
+def document_terms(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool = True) -> DataFrame:
+    """``term, doc_id, field, tf``: :func:`postings` without positions, straight from the texts. Words are counted inside the row that reads them; only those of rows that share an id are shuffled."""
+    again, parts = _repeated(docs, id_col), []
+    shared = not again.isEmpty()
+    own = docs.join(again, docs[id_col].eqNullSafe(again["again"]), "left_anti") if shared else docs
+    for name, kind in fields.items():
+        part = own.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("field"), F.sort_array(words_of(F.col(name), kind, stop)).alias("w")).filter("size(w) > 0")
+        starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+        counted = F.transform("starts", lambda at, i: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("w")) - at).cast("long").alias("tf")))
+        parts.append(part.withColumn("starts", starts).select("doc_id", "field", F.inline(counted)).select("term", "doc_id", "field", "tf"))
+    if shared:
+        rest = analyse(docs.join(again, docs[id_col].eqNullSafe(again["again"]), "left_semi"), id_col, fields, stop)
+        parts.append(rest.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def term_totals(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool = True) -> DataFrame:
+    """``term, tokens, docs, places``: how often a term stands, in how many documents, and the sum of its positions.
+
+    Behind a text's words its different ones are put once more, and both are counted by term where the text is read: a row
+    a term and task is shuffled. Documents are told apart by id, so those of ids that several rows share are counted from
+    their pairs of id and term; a null id is no document.
+    """
+    again = _repeated(docs, id_col).filter("again is not null")
+    shared = not again.isEmpty()
+    each = docs.join(again, docs[id_col] == again["again"], "left") if shared else docs.withColumn("again", F.lit(None))
+    once, none, parts = F.col(id_col).isNotNull() & F.col("again").isNull(), F.array().cast("array<string>"), []
+    different = F.array_distinct(F.concat(*(words_of(F.col(name), kind, stop) for name, kind in fields.items())))
+    for i, (name, kind) in enumerate(fields.items()):
+        words = F.coalesce(F.array(F.lower(F.col(name))) if kind == "keyword" else tokens(F.col(name)), none)
+        read = each.select(words.alias("w"), (F.when(once, different).otherwise(none) if i == 0 else none).alias("more"))
+        rows = read.select(F.size("w").alias("n"), F.posexplode(F.concat("w", "more")).alias("at", "term")).filter("term is not null")
+        if stop and kind != "keyword":
+            rows = rows.filter(~F.col("term").isin(STOP_WORDS) | (F.col("at") >= F.col("n")))
+        stands = F.col("at") < F.col("n")
+        parts.append(rows.select("term", stands.cast("long").alias("tokens"), (~stands).cast("long").alias("docs"), F.when(stands, F.col("at")).otherwise(0).cast("long").alias("places")))
+    if shared:
+        pairs = each.filter("again is not null").select("again", F.explode(different).alias("term")).distinct()
+        parts.append(pairs.select("term", *(F.lit(n).cast("long").alias(c) for c, n in (("tokens", 0), ("docs", 1), ("places", 0)))))
+    return reduce(DataFrame.unionByName, parts).groupBy("term").agg(*(F.sum(c).alias(c) for c in ("tokens", "docs", "places")))
+
+
 def doc_stats(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("doc_id", "field").agg(F.count("*").alias("length"))
 

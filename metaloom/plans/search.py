@@ -50,7 +50,7 @@ def t4(s, d):
 
 @query("t5_analysis", TOKENS + " SELECT term, count(*) AS tokens, count(DISTINCT doc_id) AS docs, sum(position)::BIGINT AS places FROM a GROUP BY 1")
 def t5(s, d):
-    return _analysed(s, d).groupBy("term").agg(F.count("*").alias("tokens"), F.countDistinct("doc_id").alias("docs"), F.sum("position").alias("places"))
+    return t.term_totals(table(s, d, "documents"), "doc_id", {"text": "standard"})
 
 
 @query("t6_stemming")
@@ -263,7 +263,7 @@ def t24(s, d):
 @query("t25_delete", TOKENS + " SELECT count(*) AS postings FROM (SELECT DISTINCT doc_id, term FROM a WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def t25(s, d):
     gone = table(s, d, "labels").filter("toxic = 1").select("doc_id")
-    return t.delete_documents(t.postings(_analysed(s, d)), gone).agg(F.count("*").alias("postings"))
+    return t.delete_documents(t.document_terms(table(s, d, "documents"), "doc_id", {"text": "standard"}), gone).agg(F.count("*").alias("postings"))
 
 
 # Vectors.
