@@ -32,6 +32,11 @@ def text(template: str, **cols: Column) -> Column:
 
 
 def parsed(df: DataFrame, tag: str, record: Column) -> DataFrame:
+    """Files of few splits are dealt over all tasks first: parsing takes much longer than reading, and one task would parse millions of records."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df.select(F.from_xml(record, xml.READ_SCHEMAS[tag]).alias("r")).select("r.*")
 
 
