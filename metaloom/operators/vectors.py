@@ -116,80 +116,113 @@ def batch_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | Non
 def coded(v: Column) -> Column:
     """``codes, lo, step`` of a vector's unit vector: a byte a dimension, the cell of width ``step`` that the value lies in."""
 
-    @F.pandas_udf("codes binary, lo double, step double")
-    def cells(s: pd.Series) -> pd.DataFrame:
-        if not len(s):
-            return pd.DataFrame({"codes": [], "lo": [], "step": []})
-        x = _unit(np.stack(s).astype(np.float64))
+    def cells(lists: pa.Array) -> pa.Array:
+        x = _unit(_matrix(pa.chunked_array([lists])).astype(np.float64)) if len(lists) else np.zeros((0, 1))
         lo = x.min(axis=1)
         step = (x.max(axis=1) - lo) / 256
         c = np.clip((x - lo[:, None]) / np.where(step > 0, step, 1)[:, None], 0, 255).astype(np.uint8)
-        return pd.DataFrame({"codes": [r.tobytes() for r in c], "lo": lo, "step": step})
+        at = np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]
+        codes = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(c))])
+        return pa.StructArray.from_arrays([codes, pa.array(lo), pa.array(step)], ["codes", "lo", "step"])
 
-    return cells(v)
+    return _batchwise(cells, "codes binary, lo double, step double")(v)
 
 
 SLACK = 2e-6  # more than distances change when they are rounded to six places
+CODE_TILE = (256, 2_048)
+MOST_OPEN = 256  # pairs of a query and the rows of a block; a query with more (or 4 k, if that is more) meets whole vectors instead
+OPEN = "query_id long, vec_id long, low double, high double"
+
 
+def _maybe_best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a group of queries and one of codes: pairs that may be among the k nearest, with the bounds of their distance, or one row without ``vec_id`` for a query that has too many of them."""
+    most = max(MOST_OPEN, 4 * k)
+    names = [x.split()[0] for x in OPEN.split(", ")]
+    empty = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True))).empty_table()
 
-def _maybe_best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Of a group of queries and one of codes: pairs that may be among the k nearest, with the bounds of their distance."""
-
-    def some(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "low": pd.Series(dtype="float64"), "high": pd.Series(dtype="float64")})]
-        if not a.empty and not b.empty:
-            q = _unit(np.stack(a["q"]).astype(np.float64))
-            codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8).reshape(len(b), -1)
-            lo, step, ids, asked = b["lo"].to_numpy(), b["step"].to_numpy(), b["vec_id"].to_numpy(), a["query_id"].to_numpy()
-            for i in range(0, len(q), TILE[0]):
-                part, best = q[i : i + TILE[0]], np.full((len(q[i : i + TILE[0]]), 0), 0.0)
-                tiles = []
-                for j in range(0, len(b), TILE[1]):
-                    # The middle of each cell; a value lies at most half a cell from it.
-                    mid = lo[j : j + TILE[1], None] + (codes[j : j + TILE[1]] + 0.5) * step[j : j + TILE[1], None]
-                    off = np.abs(part).sum(axis=1)[:, None] * step[None, j : j + TILE[1]] / 2 + SLACK
-                    d = 1 - part @ mid.T
-                    high = d + off
-                    best = np.concatenate([best, np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, :k]], axis=1)
-                    best = np.partition(best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
-                    row, col = np.nonzero(d - off <= best.max(axis=1)[:, None])
-                    tiles.append((row, ids[j + col], (d - off)[row, col], high[row, col]))
-                row, vec_id, low, high = (np.concatenate(x) for x in zip(*tiles, strict=True))
-                keep = low <= best.max(axis=1)[row] if best.shape[1] == k else np.ones(len(row), dtype=bool)
-                found.append(pd.DataFrame({"query_id": asked[i + row[keep]], "vec_id": vec_id[keep], "low": low[keep], "high": high[keep]}))
-        return pd.concat(found[1:] or found, ignore_index=True)
+    def some(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [empty]
+        if a.num_rows and b.num_rows:
+            m, raw = _matrix(a["q"]), b["codes"].combine_chunks().cast(pa.binary())
+            at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            codes = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(len(raw), -1)
+            lo, step, ids, asked = (x.to_numpy() for x in (b["lo"], b["step"], b["vec_id"], a["query_id"]))
+            some_rows = slice(None, None, -(-len(codes) // CODE_TILE[1]))
+
+            def bounds(part: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
+                # Distances to the middle of each cell; a value lies at most half a cell from it.
+                d = 1 - part @ (lo[at, None] + (codes[at] + 0.5) * step[at, None]).T
+                return d, np.abs(part).sum(axis=1)[:, None] * step[None, at] / 2 + SLACK
+
+            for i in range(0, len(m), CODE_TILE[0]):
+                part = _unit(m[i : i + CODE_TILE[0]].astype(np.float64))
+                full = np.zeros(len(part), dtype=bool)
+                # Some rows from all over the block tell first how near the k nearest are at least.
+                limit = np.partition(np.pad(np.add(*bounds(part, some_rows)), ((0, 0), (0, k)), constant_values=np.inf), k - 1, axis=1)[:, k - 1]
+                row, col, low, high = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
+                for j in range(0, len(codes), CODE_TILE[1]):
+                    d, off = bounds(part, slice(j, j + CODE_TILE[1]))
+                    r, c = np.nonzero((d - off <= limit[:, None]) & ~full[:, None])
+                    row, col = np.concatenate([row, r]), np.concatenate([col, j + c])
+                    low, high = np.concatenate([low, (d - off)[r, c]]), np.concatenate([high, (d + off)[r, c]])
+                    order = np.lexsort((high, row))
+                    has = np.nonzero(np.bincount(row, minlength=len(part)) >= k)[0]
+                    limit[has] = np.minimum(limit[has], high[order[np.searchsorted(row[order], has) + k - 1]])
+                    keep = low <= limit[row]
+                    full |= np.bincount(row[keep], minlength=len(part)) > most
+                    keep &= ~full[row]
+                    row, col, low, high = row[keep], col[keep], low[keep], high[keep]
+                found.append(pa.table({"query_id": asked[i + row], "vec_id": ids[col], "low": low, "high": high}))
+                if full.any():
+                    none = pa.nulls(int(full.sum()), pa.float64())
+                    found.append(pa.table({"query_id": asked[i + np.nonzero(full)[0]], "vec_id": none.cast(pa.int64()), "low": none, "high": none}))
+        return pa.concat_tables([empty, *(x.cast(empty.schema) for x in found)])
 
     return some
 
 
-def coded_candidates(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, vec_id``: pairs whose distance has to be computed, as bounds from codes of a byte a dimension leave it open whether they are among the k nearest."""
+def _candidates(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None, slices: int | None, qid: str, key: str, vector: str) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`coded_candidates`, queries that have too many of them apart (None: there are none)."""
     blocks = blocks or 1 + rows.count() // 200_000
     slices = slices or 1 + queries.count() // 20_000
     q = queries.filter(F.col(vector).isNotNull()).select(F.col(qid).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(qid), F.lit(slices)).cast("int").alias("slice"))
     q = q.select("query_id", "q", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     r = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("vec_id"), coded(F.col(vector)).alias("c"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     r = r.select("vec_id", "c.*", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    found = cut(q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(_maybe_best(k), "query_id long, vec_id long, low double, high double"))
+    found = cut(q.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInArrow(_maybe_best(k), OPEN))
+    full = found.filter("vec_id is null").select("query_id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("high"))
-    limit = found.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", F.col("high").alias("limit"))
-    return found.join(limit, "query_id", "left").filter("limit is null or low <= limit").select("query_id", "vec_id")
+    near = found.filter("vec_id is not null")
+    limit = near.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", F.col("high").alias("limit"))
+    pairs = near.join(limit, "query_id", "left").filter("limit is null or low <= limit").select("query_id", "vec_id")
+    return (pairs, None) if full.isEmpty() else (pairs.join(full, "query_id", "left_anti"), full)
+
+
+def coded_candidates(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, vec_id``: pairs whose distance has to be computed, as bounds from codes of a byte a dimension leave it open whether they are among the k nearest.
+
+    Queries that bounds leave with more than :data:`MOST_OPEN` rows of a block come once and without ``vec_id``: they have
+    to meet all rows. So a group holds and sends up a bounded number of pairs, however many rows are alike.
+    """
+    pairs, full = _candidates(queries, rows, k, blocks, slices, qid, key, vector)
+    return pairs if full is None else pairs.unionByName(full.withColumn("vec_id", F.lit(None).cast("long")))
 
 
 def coded_nearest(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None, slices: int | None = None, qid: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """:func:`batch_nearest` by codes: what is copied to blocks and slices is a byte a dimension, and whole vectors are read for the candidates alone. Exact; ids are longs and different; null vectors are left out."""
-    pairs = coded_candidates(queries, rows, k, blocks, slices, qid, key, vector)
+    """:func:`batch_nearest` by codes: what is copied to blocks and slices is a byte a dimension, and whole vectors are read for the candidates alone (of queries that have too many, for all rows). Exact; ids are longs and different; null vectors are left out."""
+    pairs, full = _candidates(queries, rows, k, blocks, slices, qid, key, vector)
 
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = (_unit(np.stack(s).astype(np.float64)) for s in (a, b))
-        return pd.Series(np.round(1 - np.einsum("ij,ij->i", x, y), 6) + 0.0)
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (_unit(_matrix(pa.chunked_array([v])).astype(np.float64)) if len(v) else np.zeros((0, 1)) for v in (a, b))
+        return pa.array(np.round(1 - np.einsum("ij,ij->i", x, y), 6) + 0.0)
 
     met = pairs.join(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")), "vec_id").join(queries.select(F.col(qid).alias("query_id"), F.col(vector).alias("q")), "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return met.select("query_id", "vec_id", distance("q", "v").alias("distance")).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    out = met.select("query_id", "vec_id", F.arrow_udf(distance, "double")("q", "v").alias("distance")).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    if full is None:
+        return out
+    some, there = queries.join(full.select(F.col("query_id").alias(qid)), qid, "left_semi"), F.col(vector).isNotNull()
+    return out.unionByName(batch_nearest(some, rows.filter(there), k, qid=qid, key=key, vector=vector))
 
 
 def fit_centres(rows: DataFrame, centres: int, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id", seed: int = 7) -> np.ndarray:
