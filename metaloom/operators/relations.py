@@ -77,19 +77,35 @@ def edges(experiments: DataFrame, runs: DataFrame, junction: DataFrame, identifi
 
 def source_system(acc):
     """``SRP`` for ERP and DRP as well; BIOSAMPLE for SAM*; else the system itself."""
-    s = scalars.id_system(acc)
-    return F.when(s.rlike("^[SED]R[PXSR]$"), F.concat(F.lit("SR"), F.substring(s, 3, 1))).when(s.startswith("SAM"), "BIOSAMPLE").otherwise(s)
+    return F.regexp_replace(F.regexp_replace(scalars.id_system(acc), "^[SED]R([PXSR])$", "SR$1"), "^SAM.*$", "BIOSAMPLE")
 
 
-def convert(wanted: DataFrame, edge: DataFrame) -> DataFrame:
-    """``wanted``: source, target_type. One row each with its sorted targets and an error, where there is none to give."""
+def _asked(wanted: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised ``source, target_type, system``, and the edges of the kinds that are asked for."""
     w = wanted.select(scalars.normalised_accession(F.col("source")).alias("source"), F.upper("target_type").alias("target_type")).withColumn("system", source_system(F.col("source")))
     # Few kinds are asked for: known by name, they keep the other edges from being made.
     kinds = [tuple(r) for r in w.select("system", "target_type").filter("system <> '' and target_type is not null").distinct().limit(MOST_KINDS + 1).collect()]
     if len(kinds) <= MOST_KINDS:
         edge = edge.filter(reduce(Column.__or__, ((F.col("src_type") == a) & (F.col("dst_type") == b) for a, b in kinds), F.lit(False)))
+    return w, edge
+
+
+def _targets(w: DataFrame, edge: DataFrame) -> DataFrame:
+    met = w.join(edge, (w["source"] == edge["src"]) & (w["target_type"] == edge["dst_type"]) & (w["system"] == edge["src_type"]))
+    # The system follows from the source; with it, groups lie as the join has dealt them.
+    return met.groupBy("source", "system", "target_type").agg(F.sort_array(F.collect_set("dst")).alias("targets")).drop("system")
+
+
+def converted(wanted: DataFrame, edge: DataFrame) -> DataFrame:
+    """What :func:`convert` finds, without the rows that have an error: edges are read once, and may come more than once."""
+    return _targets(*_asked(wanted, edge))
+
+
+def convert(wanted: DataFrame, edge: DataFrame) -> DataFrame:
+    """``wanted``: source, target_type. One row each with its sorted targets and an error, where there is none to give."""
+    w, edge = _asked(wanted, edge)
     known = edge.select("src_type", "dst_type").distinct()
-    got = w.join(edge, (w["source"] == edge["src"]) & (w["target_type"] == edge["dst_type"]) & (w["system"] == edge["src_type"])).groupBy("source", "target_type").agg(F.sort_array(F.collect_set("dst")).alias("targets"))
+    got = _targets(w, edge)
     pairs = known.select(F.col("src_type").alias("system"), F.col("dst_type").alias("target_type"), F.lit(True).alias("supported"))
     out = w.join(got, ["source", "target_type"], "left").join(F.broadcast(pairs), ["system", "target_type"], "left")
     error = F.when(F.col("system") == "", "unknown accession").when(F.col("supported").isNull(), "unsupported conversion").when(F.col("targets").isNull(), "not found")

@@ -216,8 +216,8 @@ def j6(s, d):
 @query("j6_convert", EDGES + " SELECT x AS source, b AS target_type, string_agg(y, ';' ORDER BY y) AS targets FROM e WHERE a = 'SRP' AND b = 'SRS' GROUP BY ALL")
 def j6b(s, d):
     w = f.study(s, d).select(F.col("study_accession").alias("source"), F.lit("srs").alias("target_type"))
-    out = rel.convert(w, rel.edges(f.experiment(s, d), f.run(s, d), f.junction(s, d)))
-    return out.filter("error is null").select("source", "target_type", F.array_join("targets", ";").alias("targets"))
+    out = rel.converted(w, rel.edges(f.experiment(s, d), f.run(s, d), f.junction(s, d, unique=False), unique=False))
+    return out.select("source", "target_type", F.array_join("targets", ";").alias("targets"))
 
 
 @query("j7_external_ids", "SELECT id_value AS source, CASE record_type WHEN 'study' THEN 'SRP' ELSE 'SRS' END AS target_type, record_accession AS targets FROM identifiers")

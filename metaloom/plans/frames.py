@@ -40,8 +40,10 @@ def sample(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(acc("SRS", "p_partkey").alias("sample_accession"), F.col("p_name").alias("description"), F.col("p_name").alias("scientific_name"), F.col("p_type").alias("tissue"), F.col("p_brand").alias("cell_type"), F.col("p_size").alias("taxon_id"), F.concat(F.lit("org "), F.col("p_size").cast("string")).alias("organism"))
 
 
-def junction(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").select(acc("SRX", "l_orderkey").alias("experiment_accession"), acc("SRS", "l_partkey").alias("sample_accession")).distinct()
+def junction(s: SparkSession, d: str, unique: bool = True) -> DataFrame:
+    """Pairs, each once unless ``unique`` is False: for what makes its results distinct itself."""
+    pairs = table(s, d, "lineitem").select(acc("SRX", "l_orderkey").alias("experiment_accession"), acc("SRS", "l_partkey").alias("sample_accession"))
+    return pairs.distinct() if unique else pairs
 
 
 def submission(s: SparkSession, d: str) -> DataFrame:
