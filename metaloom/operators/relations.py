@@ -188,7 +188,7 @@ def related_studies(studies: DataFrame, related: DataFrame) -> DataFrame:
 
 
 def study_bundle(studies: DataFrame, experiments: DataFrame, junction: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
-    """Each study with its counts and its first runs by accession."""
+    """Each study with its counts and its first runs by accession. Pairs of ``junction`` may come more than once."""
     keys = experiments.select("experiment_accession", "study_accession")
     own = runs.join(keys, "experiment_accession").select("study_accession", "run_accession")
     rank = F.row_number().over(Window.partitionBy("study_accession").orderBy("run_accession"))
