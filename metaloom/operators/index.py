@@ -22,16 +22,23 @@ meet no table of blocks, so they are never shuffled.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaloom.operators.text import K1, B, deal, top_hits, words_of
-from metaloom.session import cut
+from metaloom.session import cut, ship_package
 
 ANALYSER = "lowercase runs of letters and digits"
 TABLES = ("postings", "forward", "frequencies", "totals", "gone")
-SLICES, TASK_WORDS = 16, 500_000  # files of a bucket, more where a task would get more words than that
+SLICES, TASK_WORDS = 16, 1 << 26  # files of a bucket and words of a task, where postings are dealt
+WORDS = 1 << 20  # that are inverted at a time
+FEW_GONE = 250_000  # ids of a generation that are broadcast
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -47,10 +54,12 @@ ENTRY = "array<struct<field: string, length: long, words: array<string>>>"
 
 def _documents(docs: DataFrame, id_col: str, fields: dict[str, str], stop: bool) -> DataFrame:
     """``doc_id, length, fields``: a row a document that has words, with the words of each field. Nothing is shuffled."""
-    each = docs.select(F.col(id_col).alias("doc_id"), *(words_of(F.col(name), kind, stop).alias(f"w{i}") for i, (name, kind) in enumerate(fields.items())))
+    # A numbered row keeps the filter below from being moved in front of the words, where texts would be cut into words again for it.
+    each = docs.select(F.col(id_col).alias("doc_id"), *(words_of(F.col(name), kind, stop).alias(f"w{i}") for i, (name, kind) in enumerate(fields.items())), F.monotonically_increasing_id().alias("at"))
     entries = (F.struct(F.lit(name).alias("field"), F.size(f"w{i}").cast("long").alias("length"), F.col(f"w{i}").alias("words")) for i, name in enumerate(fields))
-    found = each.select("doc_id", F.filter(F.array(*entries), lambda x: x["length"] > 0).cast(ENTRY).alias("fields"))
-    return found.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), "fields").filter("length > 0")
+    found = each.select("doc_id", "at", F.filter(F.array(*entries), lambda x: x["length"] > 0).cast(ENTRY).alias("fields"))
+    found = found.select("doc_id", "at", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), "fields")
+    return found.filter("length > 0 and at >= 0").drop("at")
 
 
 def _by_field(docs: DataFrame) -> DataFrame:
@@ -59,27 +68,68 @@ def _by_field(docs: DataFrame) -> DataFrame:
     return out.withColumn("length", F.col("f.length"))
 
 
+def _inverted(rows: pa.RecordBatch, names: list[str], means: list[float]) -> pa.RecordBatch:
+    """Documents with the words of their fields, as rows ``field, block, term, entries, peak, mean, n``."""
+    entry = rows.column("fields").flatten()
+    doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("fields")).to_numpy())
+    field = pc.index_in(entry.field("field"), value_set=pa.array(names)).to_numpy()
+    words = entry.field("words")
+    coded = words.flatten().dictionary_encode()
+    # A word's key is its term, then its field and document.
+    by = np.lexsort((doc, field))
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
+    key = np.sort(coded.indices.to_numpy().astype(np.int64) * len(by) + np.repeat(place, pc.list_value_length(words).to_numpy()))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    tf = np.diff(np.append(first, len(key)))
+    term, e = key[first] // len(by), by[key[first] % len(by)]
+    block = rows.column("block").to_numpy()[doc[e]]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (np.diff(term) != 0) | (np.diff(field[e]) != 0) | (np.diff(block) != 0)
+    at = np.flatnonzero(new)
+    length, mean = entry.field("length").to_numpy()[e], np.array(means)[field[e]]
+    entries = pa.StructArray.from_arrays([rows.column("doc_id").take(pa.array(doc[e])), pa.array(tf), pa.array(length)], names=["doc_id", "tf", "length"])
+    ends = np.append(at, len(first))
+    columns = {
+        "field": pa.array(names).take(pa.array(field[e][at])), "block": pa.array(block[at]), "term": coded.dictionary.take(pa.array(term[at])), "entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
+        "peak": pa.array(np.maximum.reduceat(_saturated(tf, length, mean), at)), "mean": pa.array(mean[at]), "n": pa.array(np.diff(ends)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _inverter(means: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names, values, most = list(means), list(means.values()), WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Some whole blocks at a time; one that lies across two batches has two rows a term.
+            starts = np.flatnonzero(np.diff(batch.column("block").to_numpy(), prepend=-1))
+            before = np.append(0, np.cumsum(batch.column("length").to_numpy()))[starts]
+            begin = starts[np.diff(before // most, prepend=-1) != 0].tolist()
+            for i, j in zip(begin, [*begin[1:], batch.num_rows], strict=True):
+                yield _inverted(batch.slice(i, j - i), names, values)
+
+    return run
+
+
 def _postings(forward: DataFrame, fields: dict[str, str], buckets: int) -> DataFrame:
-    """``bucket, slice, field, block, doc_id, length, term, tf``, all of a bucket and slice in one task.
+    """``bucket, slice, field, block, term, entries, peak, mean, n``: a term's postings in a block.
 
-    A document's words go to a bucket together, as one string, so one row a document and bucket is shuffled and not one a
-    word; they are in order, so words are counted inside the row. Tasks and slices are as many as the words ask for.
+    Documents of a block lie together, so a block is inverted in the task that reads it, and nothing is shuffled. Only where
+    documents lie in so few partitions that a task would have more than ``TASK_WORDS`` words, the postings are dealt by
+    bucket and slice of blocks over as many tasks as the words ask for.
     """
-    tasks = 1 + (forward.agg(F.sum("length")).first()[0] or 0) // TASK_WORDS
+    ship_package(forward.sparkSession)
+    sizes = {r["field"]: r for r in _by_field(forward).groupBy(F.col("f.field").alias("field")).agg(F.avg("length").alias("mean"), F.sum("length").alias("words")).collect()}  # a row a field
+    tasks = 1 + sum(r["words"] for r in sizes.values()) // TASK_WORDS
     slices = max(SLICES, -(-4 * tasks // buckets))  # four a task, that tasks are alike
-    few = tasks <= int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = _by_field(forward).select("doc_id", "block", "length", F.col("f.field").alias("field"), F.transform("f.words", lambda w: F.struct(_bucket(w, buckets).alias("bucket"), w.alias("word"))).alias("hashed"))
-    # What stands below the explosion is computed once a document.
-    each = each.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    mine = F.filter("hashed", lambda x: x["bucket"] == F.col("bucket"))
-    packed = each.filter(F.exists("hashed", lambda x: x["bucket"] == F.col("bucket"))).select("doc_id", "block", "length", "field", "bucket", F.array_join(F.sort_array(F.transform(mine, lambda x: x["word"])), " ").alias("words"))
-    sliced, by = packed.withColumn("slice", F.pmod("block", F.lit(slices))), ("bucket", "slice")
-    dealt = sliced.repartition(*by) if few else sliced.repartition(tasks, *by)
-    whole = F.col("field").isin([name for name, kind in fields.items() if kind == "keyword"])  # a keyword is one word, with its spaces
-    listed = dealt.withColumn("words", F.when(whole, F.array("words")).otherwise(F.split("words", " ")))
-    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
-    counted = F.transform("starts", lambda at, i: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("words")) - at).cast("long").alias("tf")))
-    return listed.withColumn("starts", starts).select("bucket", "slice", "field", "block", "doc_id", "length", F.inline(counted))
+    entry = T.StructType([T.StructField("doc_id", forward.schema["doc_id"].dataType), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
+    kinds = {"field": T.StringType(), "block": T.LongType(), "term": T.StringType(), "entries": T.ArrayType(entry), "peak": T.DoubleType(), "mean": T.DoubleType(), "n": T.LongType()}
+    rows = forward.select("doc_id", "length", "block", "fields").mapInArrow(_inverter({name: sizes[name]["mean"] for name in fields if name in sizes}), T.StructType([T.StructField(*x) for x in kinds.items()]))
+    rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), F.pmod("block", F.lit(slices)).alias("slice"), *kinds)
+    return rows if tasks <= max(1, forward.rdd.getNumPartitions()) else rows.repartition(tasks, "bucket", "slice")
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:
@@ -112,24 +162,21 @@ def _append(spark: SparkSession, folder: str, m: dict, generation: int, document
     row = F.monotonically_increasing_id()
     put(documents.sortWithinPartitions("length", "doc_id").withColumn("row", row).withColumn("block", F.floor(F.col("row") / m["block_size"])), "forward")
     forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, row long, block long").parquet(at("forward"))
-    docs = _by_field(forward)
-    means = docs.groupBy(F.col("f.field").alias("field")).agg(F.avg("length").alias("mean"))
-    terms = _postings(forward, m["fields"], m["buckets"]).join(F.broadcast(means), "field")  # one row a field
-    peak = F.max(_saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("peak")
-    blocks = terms.groupBy("bucket", "slice", "field", "term", "block").agg(F.collect_list(F.struct("doc_id", "tf", "length")).alias("entries"), peak, F.first("mean").alias("mean"), F.count("*").alias("n"))
-    put(blocks.drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    put(_postings(forward, m["fields"], m["buckets"]).drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
     own = spark.read.schema("field string, term string, n long").parquet(at("postings")).select("field", "term", F.col("n").alias("df"))
     size = lambda df, sign: _by_field(df).select(F.col("f.field").alias("field"), F.lit(sign).alias("docs"), (sign * F.col("length")).alias("length"))
     sizes = size(forward, 1)
+    put(gone, "gone")
     if generation:
-        # What the replaced documents had counted for goes off the counts.
-        dead = cut(_alive(_table(spark, folder, "forward"), _table(spark, folder, "gone")).join(gone, "doc_id", "left_semi").select("doc_id", "length", "fields"))
+        # What the replaced documents had counted for goes off the counts. Words are not shuffled to find a few of them.
+        ids = spark.read.schema(gone.schema).parquet(at("gone"))
+        ids = F.broadcast(ids) if ids.count() <= FEW_GONE else ids
+        dead = cut(_alive(_table(spark, folder, "forward").join(ids, "doc_id", "left_semi"), _table(spark, folder, "gone")).select("doc_id", "length", "fields"))
         own = own.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.explode(F.array_distinct("f.words")).alias("term"), F.lit(-1).cast("long").alias("df")))
         sizes = sizes.unionByName(size(dead, -1))
     counts = own.groupBy("field", "term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
     put(counts.repartition("bucket").sortWithinPartitions("bucket", "term"), "frequencies", "bucket")
     put(sizes.groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")), "totals")
-    put(gone, "gone")
     spark.createDataFrame([(generation,)], "generation int").write.mode("append").parquet(f"{folder}/generations")
 
 
