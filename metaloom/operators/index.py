@@ -114,7 +114,13 @@ def _inverter(means: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _postings(forward: DataFrame, fields: dict[str, str], buckets: int) -> DataFrame:
+def _sizes(forward: DataFrame) -> dict[str, tuple[int, int]]:
+    """How many documents and words each field has."""
+    found = _by_field(forward).groupBy(F.col("f.field").alias("field")).agg(F.count("*"), F.sum("length")).collect()  # a row a field
+    return {name: (docs, words) for name, docs, words in found}
+
+
+def _postings(forward: DataFrame, fields: dict[str, str], buckets: int, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """``bucket, slice, field, block, term, entries, peak, mean, n``: a term's postings in a block.
 
     Documents of a block lie together, so a block is inverted in the task that reads it, and nothing is shuffled. Only where
@@ -122,12 +128,12 @@ def _postings(forward: DataFrame, fields: dict[str, str], buckets: int) -> DataF
     bucket and slice of blocks over as many tasks as the words ask for.
     """
     ship_package(forward.sparkSession)
-    sizes = {r["field"]: r for r in _by_field(forward).groupBy(F.col("f.field").alias("field")).agg(F.avg("length").alias("mean"), F.sum("length").alias("words")).collect()}  # a row a field
-    tasks = 1 + sum(r["words"] for r in sizes.values()) // TASK_WORDS
+    sizes = _sizes(forward) if sizes is None else sizes
+    tasks = 1 + sum(words for _, words in sizes.values()) // TASK_WORDS
     slices = max(SLICES, -(-4 * tasks // buckets))  # four a task, that tasks are alike
     entry = T.StructType([T.StructField("doc_id", forward.schema["doc_id"].dataType), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
     kinds = {"field": T.StringType(), "block": T.LongType(), "term": T.StringType(), "entries": T.ArrayType(entry), "peak": T.DoubleType(), "mean": T.DoubleType(), "n": T.LongType()}
-    rows = forward.select("doc_id", "length", "block", "fields").mapInArrow(_inverter({name: sizes[name]["mean"] for name in fields if name in sizes}), T.StructType([T.StructField(*x) for x in kinds.items()]))
+    rows = forward.select("doc_id", "length", "block", "fields").mapInArrow(_inverter({name: sizes[name][1] / sizes[name][0] for name in fields if name in sizes}), T.StructType([T.StructField(*x) for x in kinds.items()]))
     rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), F.pmod("block", F.lit(slices)).alias("slice"), *kinds)
     return rows if tasks <= max(1, forward.rdd.getNumPartitions()) else rows.repartition(tasks, "bucket", "slice")
 
@@ -154,29 +160,30 @@ def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(last, "doc_id", "left").filter("since is null or generation >= since").drop("since")
 
 
-def _append(spark: SparkSession, folder: str, m: dict, generation: int, documents: DataFrame, gone: DataFrame) -> None:
-    """A generation: documents (of :func:`_documents`), and the ids of those it replaces or deletes."""
+def _append(spark: SparkSession, folder: str, m: dict, generation: int, documents: DataFrame, gone: DataFrame, counts: DataFrame | None = None) -> None:
+    """A generation: documents (of :func:`_documents`), and the ids of those it replaces or deletes. ``counts``: its frequencies (bucket, field, term, df) where they are known."""
     at = lambda name: f"{folder}/{name}/generation={generation}"
     put = lambda df, name, *by: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(at(name))
     # In order of length within each task's documents, which are not moved; rows number on from a multiple of 2**33 in each.
     row = F.monotonically_increasing_id()
     put(documents.sortWithinPartitions("length", "doc_id").withColumn("row", row).withColumn("block", F.floor(F.col("row") / m["block_size"])), "forward")
     forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, row long, block long").parquet(at("forward"))
-    put(_postings(forward, m["fields"], m["buckets"]).drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
-    own = spark.read.schema("field string, term string, n long").parquet(at("postings")).select("field", "term", F.col("n").alias("df"))
-    size = lambda df, sign: _by_field(df).select(F.col("f.field").alias("field"), F.lit(sign).alias("docs"), (sign * F.col("length")).alias("length"))
-    sizes = size(forward, 1)
+    sizes = _sizes(forward)
+    put(_postings(forward, m["fields"], m["buckets"], sizes).drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    own = spark.read.schema("bucket int, field string, term string, n long").parquet(at("postings")).select("bucket", "field", "term", F.col("n").alias("df"))
+    totals = spark.createDataFrame([(name, *size) for name, size in sizes.items()], "field string, docs long, length long")
     put(gone, "gone")
     if generation:
         # What the replaced documents had counted for goes off the counts. Words are not shuffled to find a few of them.
         ids = spark.read.schema(gone.schema).parquet(at("gone"))
         ids = F.broadcast(ids) if ids.count() <= FEW_GONE else ids
         dead = cut(_alive(_table(spark, folder, "forward").join(ids, "doc_id", "left_semi"), _table(spark, folder, "gone")).select("doc_id", "length", "fields"))
-        own = own.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.explode(F.array_distinct("f.words")).alias("term"), F.lit(-1).cast("long").alias("df")))
-        sizes = sizes.unionByName(size(dead, -1))
-    counts = own.groupBy("field", "term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"), m["buckets"]))
-    put(counts.repartition("bucket").sortWithinPartitions("bucket", "term"), "frequencies", "bucket")
-    put(sizes.groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")), "totals")
+        each = _by_field(dead).select(F.col("f.field").alias("field"), F.explode(F.array_distinct("f.words")).alias("term"))
+        own = own.unionByName(each.select(_bucket(F.col("term"), m["buckets"]).alias("bucket"), "field", "term", F.lit(-1).cast("long").alias("df")))
+        totals = totals.unionByName(_by_field(dead).select(F.col("f.field").alias("field"), F.lit(-1).cast("long").alias("docs"), (-F.col("length")).alias("length")))
+    counts = own.groupBy("bucket", "field", "term").agg(F.sum("df").alias("df")) if counts is None else counts
+    put(counts.sortWithinPartitions("bucket", "term"), "frequencies", "bucket")
+    put(totals.groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")), "totals")
     spark.createDataFrame([(generation,)], "generation int").write.mode("append").parquet(f"{folder}/generations")
 
 
@@ -213,7 +220,8 @@ def compact(spark: SparkSession, folder: str, to: str) -> None:
     """What is alive, as an index of one generation in the new folder ``to``."""
     m = manifest(spark, folder)
     spark.read.parquet(f"{folder}/manifest").write.parquet(f"{to}/manifest")
-    _append(spark, to, m, 0, live_documents(spark, folder), _table(spark, folder, "gone").select("doc_id").limit(0))
+    counts = _table(spark, folder, "frequencies").groupBy("bucket", "field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+    _append(spark, to, m, 0, live_documents(spark, folder), _table(spark, folder, "gone").select("doc_id").limit(0), counts)
 
 
 def ask(queries: DataFrame, m: dict) -> DataFrame:
