@@ -75,11 +75,14 @@ def _inverted(rows: pa.RecordBatch, names: list[str], means: list[float]) -> pa.
     field = pc.index_in(entry.field("field"), value_set=pa.array(names)).to_numpy()
     words = entry.field("words")
     coded = words.flatten().dictionary_encode()
-    # A word's key is its term, then its field and document.
+    # A word's key is its term, in order, then its field and document.
+    in_order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(in_order), dtype=np.int64)
+    rank[in_order] = np.arange(len(rank))
     by = np.lexsort((doc, field))
     place = np.empty(len(by), dtype=np.int64)
     place[by] = np.arange(len(by))
-    key = np.sort(coded.indices.to_numpy().astype(np.int64) * len(by) + np.repeat(place, pc.list_value_length(words).to_numpy()))
+    key = np.sort(rank[coded.indices.to_numpy()] * len(by) + np.repeat(place, pc.list_value_length(words).to_numpy()))
     first = np.flatnonzero(np.diff(key, prepend=-1))
     tf = np.diff(np.append(first, len(key)))
     term, e = key[first] // len(by), by[key[first] % len(by)]
@@ -91,7 +94,7 @@ def _inverted(rows: pa.RecordBatch, names: list[str], means: list[float]) -> pa.
     entries = pa.StructArray.from_arrays([rows.column("doc_id").take(pa.array(doc[e])), pa.array(tf), pa.array(length)], names=["doc_id", "tf", "length"])
     ends = np.append(at, len(first))
     columns = {
-        "field": pa.array(names).take(pa.array(field[e][at])), "block": pa.array(block[at]), "term": coded.dictionary.take(pa.array(term[at])), "entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
+        "field": pa.array(names).take(pa.array(field[e][at])), "block": pa.array(block[at]), "term": coded.dictionary.take(pa.array(in_order[term[at]])), "entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
         "peak": pa.array(np.maximum.reduceat(_saturated(tf, length, mean), at)), "mean": pa.array(mean[at]), "n": pa.array(np.diff(ends)),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -169,7 +172,8 @@ def _append(spark: SparkSession, folder: str, m: dict, generation: int, document
     put(documents.sortWithinPartitions("length", "doc_id").withColumn("row", row).withColumn("block", F.floor(F.col("row") / m["block_size"])), "forward")
     forward = spark.read.schema("doc_id " + documents.schema["doc_id"].dataType.simpleString() + f", length long, fields {ENTRY}, row long, block long").parquet(at("forward"))
     sizes = _sizes(forward)
-    put(_postings(forward, m["fields"], m["buckets"], sizes).drop("slice").sortWithinPartitions("bucket", "term", "block"), "postings", "bucket")
+    # Terms are in order within what was inverted at a time; to sort by bucket alone compares no rows.
+    put(_postings(forward, m["fields"], m["buckets"], sizes).drop("slice").sortWithinPartitions("bucket"), "postings", "bucket")
     own = spark.read.schema("bucket int, field string, term string, n long").parquet(at("postings")).select("bucket", "field", "term", F.col("n").alias("df"))
     totals = spark.createDataFrame([(name, *size) for name, size in sizes.items()], "field string, docs long, length long")
     put(gone, "gone")
